@@ -105,18 +105,15 @@ def around(text: str, spans: list[tuple[int, int, str]]) -> list[dict]:
     return out
 
 
-FOUND = "uid long, doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, n_spans int, around array<struct<entity:string,context:string,terms:array<struct<t:string,s:int,e:int>>>>"
+FOUND = "n_email long, n_ip long, n_card long, n_phone long, base string, n_spans int, around array<struct<entity:string,context:string,terms:array<struct<t:string,s:int,e:int>>>>"
 
 
-def _found(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for f in frames:
-        spans = [base_spans(t) for t in f["text"]]
-        kinds = [[s[2] for s in x] for x in spans]
-        yield pd.DataFrame(
-            {"uid": f["uid"], "doc_id": f["doc_id"]}
-            | {f"n_{k}": [x.count(k) for x in kinds] for k in KINDS[:4]}
-            | {"base": [joined(x) for x in spans], "n_spans": [len(x) for x in spans], "around": [around(t, x) for t, x in zip(f["text"], spans, strict=True)]}
-        )
+def _found(texts: pd.Series) -> pd.DataFrame:
+    spans = [base_spans(t) for t in texts]
+    kinds = [[s[2] for s in x] for x in spans]
+    return pd.DataFrame(
+        {f"n_{k}": [x.count(k) for x in kinds] for k in KINDS[:4]} | {"base": [joined(x) for x in spans], "n_spans": [len(x) for x in spans], "around": [around(t, x) for t, x in zip(texts, spans, strict=True)]}
+    )
 
 
 def disclosing(docs: DataFrame, near: DataFrame, share: float, support: int) -> DataFrame:
@@ -136,7 +133,8 @@ def disclosing(docs: DataFrame, near: DataFrame, share: float, support: int) ->
 def find(docs: DataFrame, share: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
     """Per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans (base and disclosing terms)."""
     texts = docs.select("doc_id", text_of().alias("text"))
-    found = written(texts.withColumn("uid", F.monotonically_increasing_id()).mapInPandas(_found, FOUND), "pii")
+    scanned = F.pandas_udf(_found, FOUND, F.PandasUDFType.SCALAR)("text")
+    found = written(texts.select(F.monotonically_increasing_id().alias("uid"), "doc_id", scanned.alias("x")).select("uid", "doc_id", "x.*"), "pii")
     near = found.where("n_spans > 0").select("uid", F.explode("around").alias("x")).select("uid", "x.entity", "x.context", F.explode("x.terms").alias("w"))
     near = near.select("uid", "entity", "context", "w.*")
     terms = disclosing(texts, near, share, support)

@@ -6,14 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from helixtable.llm import fingerprints, mixing, pii, secrets
+import public_tokenizers
+
+from helixtable.llm import embeddings, fingerprints, html, mixing, packing, pii, secrets, simhash
 from helixtable.llm.common import table
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -22,14 +32,26 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets(table(spark, sf_dir, "documents")).drop("findings")
 
 
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
+def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_packing": op1_packing,
     "op2_pii": op2_pii,
+    "op3_simhash": op3_simhash,
     "op4_mixing": op4_mixing,
     "op5_secrets": op5_secrets,
+    "op7_html": op7_html,
+    "op9_embeddings": op9_embeddings,
     "op10_fingerprints": op10_fingerprints,
 }
-ORACLES = {"op5_secrets": secrets.ORACLE_SQL, "op10_fingerprints": fingerprints.ORACLE_SQL}
+ORACLES = {"op9_embeddings": embeddings.ORACLE_SQL, "op5_secrets": secrets.ORACLE_SQL, "op10_fingerprints": fingerprints.ORACLE_SQL}

@@ -22,7 +22,6 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from helixtable.llm.common import components, text_of, written
 
@@ -56,25 +55,22 @@ def majority(hashes: list[np.ndarray]) -> list[int]:
     return out.tolist()
 
 
-def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """docs (text without nulls, and any others but text kept) with fp long instead of text."""
-    rest = [f for f in docs.schema.fields if f.name != "text"]
-    names = [f.name for f in rest]
+def fingerprint(text: Column, width: int = SHINGLE) -> Column:
+    """The fingerprint, as a signed 64-bit number, of a text without nulls."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
             out, held, n = [], [], 0
-            for t in f["text"]:
+            for t in texts:
                 h = np.array(shingle_hashes(t, width), dtype=np.uint64)
                 held.append(h)
                 n += len(h)
                 if n >= FLUSH:
                     out += majority(held)
                     held, n = [], 0
-            out += majority(held)
-            yield f[names].assign(fp=np.array(out, dtype=np.int64))
+            yield pd.Series(out + majority(held), dtype=np.int64)
 
-    return docs.mapInPandas(run, StructType([*rest, StructField("fp", LongType())]))
+    return F.pandas_udf(run, "long", F.PandasUDFType.SCALAR_ITER)(text)
 
 
 def gray_rank(x: Column) -> Column:
@@ -198,5 +194,5 @@ def classes(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """Per document: doc_id, fingerprint (16 hexadecimal digits), component_id."""
-    rows = written(fingerprints(docs.select("doc_id", text_of().alias("text")), width), "simhash")
+    rows = written(docs.select("doc_id", fingerprint(text_of(), width).alias("fp")), "simhash")
     return rows.join(classes(rows, radius), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
