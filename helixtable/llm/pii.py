@@ -121,9 +121,9 @@ def disclosing(docs: DataFrame, near: DataFrame, share: float, support: int) ->
     pairs = near.groupBy("entity", "t").agg(F.countDistinct("context").alias("contexts"), F.countDistinct("uid").alias("n_te")).where(F.col("contexts") >= support)
     pairs = written(pairs, "pairs")
     entities = near.groupBy("entity").agg(F.countDistinct("uid").alias("n_e"))
-    # document frequencies of the candidate terms over the whole corpus; the table of candidates has a known size, so the planner broadcasts it if small
+    # document frequencies over the whole corpus, summed before they meet the candidates
     words = docs.select(F.explode(F.array_distinct(F.expr(r"transform(split(lower(text), '\\s+'), w -> regexp_replace(w, '^[^\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+$', ''))"))).alias("t"))
-    counts = words.join(pairs.select("t").distinct(), "t").groupBy("t").agg(F.count("*").alias("n_t"))
+    counts = words.groupBy("t").agg(F.count("*").alias("n_t"))
     n = docs.count()
     scored = pairs.join(entities, "entity").join(counts, "t")
     pmi, own = F.log2(F.col("n_te") * F.lit(float(n)) / (F.col("n_t") * F.col("n_e"))), F.log2(F.lit(float(n)) / F.col("n_e"))
