@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from helixtable.llm import embeddings, fingerprints, html, mixing, packing, pii, secrets, simhash
+from helixtable.llm import embeddings, fingerprints, html, lines, mixing, packing, pii, secrets, simhash, toxicity
 from helixtable.llm.common import table
 
 
@@ -32,10 +32,18 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets(table(spark, sf_dir, "documents")).drop("findings")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_dedup(table(spark, sf_dir, "documents"))
+
+
 def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -50,8 +58,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": op3_simhash,
     "op4_mixing": op4_mixing,
     "op5_secrets": op5_secrets,
+    "op6_toxicity": op6_toxicity,
     "op7_html": op7_html,
+    "op8_line_dedup": op8_line_dedup,
     "op9_embeddings": op9_embeddings,
     "op10_fingerprints": op10_fingerprints,
 }
-ORACLES = {"op9_embeddings": embeddings.ORACLE_SQL, "op5_secrets": secrets.ORACLE_SQL, "op10_fingerprints": fingerprints.ORACLE_SQL}
+ORACLES = {"op8_line_dedup": lines.ORACLE_SQL, "op9_embeddings": embeddings.ORACLE_SQL, "op5_secrets": secrets.ORACLE_SQL, "op10_fingerprints": fingerprints.ORACLE_SQL}

@@ -196,3 +196,15 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS)
     """Per document: doc_id, fingerprint (16 hexadecimal digits), component_id."""
     rows = written(docs.select("doc_id", fingerprint(text_of(), width).alias("fp")), "simhash")
     return rows.join(classes(rows, radius), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def deduplicated(docs: DataFrame, width: int = 5, radius: int = 4) -> DataFrame:
+    """docs with one row of each group of near-duplicates, the one of the smallest doc_id (null first, then by text hash).
+
+    Five-word shingles; fingerprints within four bits have a shingle similarity of about 0.8 or more.
+    """
+    key, tie = F.coalesce("doc_id", F.lit(-(1 << 63))), F.xxhash64(text_of())
+    rows = written(docs.select(F.struct(key.alias("key"), tie.alias("tie")).alias("doc_id"), fingerprint(text_of(), width).alias("fp")), "simhash")
+    keep = written(classes(rows, radius).select(F.col("component_id.*")).distinct(), "kept")
+    marked = docs.withColumn("key_", key).withColumn("tie_", tie)
+    return marked.join(keep, (F.col("key_") == keep.key) & (F.col("tie_") == keep.tie), "left_semi").dropDuplicates(["key_", "tie_"]).select(*docs.columns)
