@@ -221,10 +221,10 @@ def sampled(docs: DataFrame, labels: DataFrame, positive: int = POSITIVE, negati
 
 def scored(text: Column, model: Model | None, spark) -> Column:
     """The score of a text without nulls. The model, some 10 MB whatever the input, is broadcast."""
-    shared = spark.sparkContext.broadcast(model)
+    shared = spark.sparkContext.broadcast(model and vars(model))
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        m, words = shared.value, Words()
+        m, words = shared.value and Model(**shared.value), Words()
         for texts in batches:
             yield pd.Series(np.zeros(len(texts)) if m is None else m.scores(*judged(m, words, texts.tolist())))
 
