@@ -16,9 +16,11 @@ document; an empty table gives an empty result; columns of other names are ignor
 
 from __future__ import annotations
 
+import re
 import sys
 import types
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -29,38 +31,54 @@ from pyspark.sql import functions as F
 from helixtable.llm.common import ranked, text_of, written
 
 SIZE, END, CUT, PIVOTS, PRICED, SEED = 2048, 1, 1.05, 2000, 64, 42
-WORDS_KEPT = 500_000  # words a Python worker remembers the ids of, some 100 MB
+WORDS_KEPT = 700_000  # words a Python worker remembers the ids of, some 100 MB
+
+# Texts whose normal form is plain: Latin letters in composed form, no white space but ASCII's usual; there, lower case
+# is by character, and the vocabulary's own rule for words reads as WORD. Other texts are cut at spaces only.
+PLAIN = re.compile(r"[\n\r\t\x20-\x7e\u00a1-\u00ac\u00ae-\u012f\u0131-\u024f]*")
+LETTERS, NUMBERS = "a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u024f\u2c65\u2c66", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
+WORD = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^\s{LETTERS}{NUMBERS}]+")
 
 
 def encoder(vocabulary: str) -> Callable[[list[str]], list[bytes]]:
     """Ids, as little-endian unsigned 32-bit, of texts. No token of this vocabulary spans a space, tab or line end, so
-    the ids of a text are those of the words between them; each worker process keeps the ids of the words it met."""
+    the ids of a text are those of its words; each worker process keeps the ids of the words it met."""
     from tokenizers import Tokenizer
 
     store = sys.modules.setdefault("_helixtable_words", types.ModuleType("_helixtable_words")).__dict__.setdefault(vocabulary, {})
     if "tokenizer" not in store:
         store |= {"tokenizer": Tokenizer.from_file(vocabulary), "words": {}}
     tokenizer, words = store["tokenizer"], store["words"]
+    model, visible = tokenizer.model, byte_letters()
+
+    def learn(plain: set[str], other: set[str]) -> None:
+        """Words of plain texts go straight to the merges; pieces of other texts through the whole tokenizer."""
+        for w in plain:
+            words[w] = array("I", [t.id for t in model.tokenize(w.encode().decode("latin-1").translate(visible))]).tobytes()
+        rest = list(other)
+        for w, e in zip(rest, tokenizer.encode_batch(rest, add_special_tokens=False), strict=True):
+            words[w] = array("I", e.ids).tobytes()
 
     def encode(texts: list[str]) -> list[bytes]:
-        out = []
-        for text in texts:
-            parts = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-            fresh = [w for w in set(parts) if w not in words]
-            if fresh:
-                if len(words) + len(fresh) > WORDS_KEPT:
-                    words.clear()
-                    fresh = list(set(parts))
-                for i in range(0, len(fresh), 4096):
-                    some = fresh[i : i + 4096]
-                    for w, e in zip(some, tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
-                        words[w] = np.array(e.ids, dtype="<u4").tobytes()
-            out.append(b"".join(map(words.__getitem__, parts)))
-        return out
+        plain = [bool(PLAIN.fullmatch(t)) and "<|" not in t for t in texts]  # special tokens are whole words
+        parts = [WORD.findall(t.lower()) if p else re.split("[ \n\t\r]", t) for t, p in zip(texts, plain, strict=True)]
+        met = [set().union(*(x for x, p in zip(parts, plain, strict=True) if p == kind)) for kind in (True, False)]
+        fresh = [m.difference(words) for m in met]
+        if len(words) + sum(map(len, fresh)) > WORDS_KEPT:
+            words.clear()
+            fresh = met
+        learn(*fresh)
+        return [b"".join(map(words.__getitem__, p)) for p in parts]
 
     return encode
 
 
+def byte_letters() -> dict[int, int]:
+    """The letter that stands for each byte in byte-level vocabularies: visible Latin-1 characters themselves, the others from U+0100 on."""
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: b for b in visible} | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in visible)}
+
+
 def tokenised(text: Column, vocabulary: str, size: int = SIZE, end: int = END) -> Column:
     """doc_tokens, crcs (of the whole blocks, then of the rest) and rest (its ids, little-endian) of a text without nulls."""
 
