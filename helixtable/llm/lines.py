@@ -1,6 +1,6 @@
 """Line dedup: an exact set-similarity join of lines, with DataFrame functions only.
 
-A line's tokens are its distinct words, ASCII letters in lower case. Tokens are ordered by rarity: by the corpus count
+A line's tokens are its distinct words in lower case. Tokens are ordered by rarity: by the corpus count
 of one of BUCKETS hash buckets, then by hash. A line is removed if any earlier line (by doc_id, then line number) of
 the corpus has a Jaccard similarity of at least SIMILARITY with it. Lines of equal token sets are one set, known by
 128 bits; sets are joined on their prefixes, the n - ceil(t n) + 1 rarest tokens, of which similar sets share one.
@@ -21,11 +21,14 @@ from pyspark.sql import functions as F
 from helixtable.llm.common import WORD, text_of, written
 
 SIMILARITY, LEAST, BUCKETS, BITS = 0.8, 5, 1 << 16, 1 << 24
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def words(line: Column) -> Column:
-    return F.filter(F.split(F.translate(line, UPPER, LOWER), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    """The words of a line in lower case, repeats included. A split at one character is the fast one."""
+    line = F.lower(line)
+    for c in "\t\r\x0b\x0c":
+        line = F.replace(line, F.lit(c), F.lit(" "))
+    return F.array_remove(F.split(line, " ", -1), "")
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -39,7 +42,7 @@ def exploded(texts: DataFrame) -> DataFrame:
 
 def rarity(texts: DataFrame) -> Column:
     """How often each bucket of words occurs, as a constant array of BUCKETS numbers."""
-    met = texts.select(F.explode(words(F.translate("text", "\n", " "))).alias("w")).groupBy(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).cast("int").alias("b")).count()
+    met = texts.select(F.explode(words(F.replace("text", F.lit("\n"), F.lit(" ")))).alias("w")).groupBy(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).cast("int").alias("b")).count()
     counts = [0] * BUCKETS
     for r in met.collect():  # at most BUCKETS rows
         counts[r["b"]] = min(r["count"], (1 << 20) - 1)
@@ -48,7 +51,7 @@ def rarity(texts: DataFrame) -> Column:
 
 def tokens(content: Column, counts: Column) -> Column:
     """The distinct words of a line as numbers, rarest first: 20 bits of their bucket's count, 43 of their hash."""
-    hashes = F.transform(F.array_distinct(words(content)), lambda w: F.xxhash64(w))
+    hashes = F.array_distinct(F.transform(words(content), lambda w: F.xxhash64(w)))
     return F.sort_array(F.transform(hashes, lambda h: F.shiftleft(F.get(counts, F.pmod(h, F.lit(BUCKETS)).cast("int")).cast("long"), 43).bitwiseOR(F.shiftrightunsigned(h, 21))))
 
 
@@ -71,20 +74,23 @@ def kept_by(df: DataFrame, column: str, bitmap: DataFrame) -> DataFrame:
 
 
 def similar_sets(sets: DataFrame, texts: DataFrame, counts: Column, similarity: float) -> DataFrame:
-    """s1, s2 of the sets with an earlier similar set. sets: s1, s2, n, at (key, tie, line of its first line), prefix."""
-    p = sets.select("s1", "s2", "n", "at", F.posexplode("prefix").alias("pos", "token"))
-    a, b = (p.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("s1", "s2", "n", "at", "pos")]) for x in "ab")
+    """ids of the sets with an earlier similar set. sets: id, n, at (key, tie, line of its first line), prefix."""
+    p = sets.select("id", "n", F.posexplode("prefix").alias("pos", "token"))
+    shared = marked(p.groupBy("token").count().where("count > 1"), "token")
+    p = written(kept_by(p, "token", shared), "prefixes")
+    a, b = (p.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "pos")]) for x in "ab")
     need = f"ceil({similarity / (1 + similarity)!r} * (n_a + n_b) - 1e-9)"
     room = "least(pos_a, pos_b) + least(n_a - pos_a, n_b - pos_b)"
-    joined = a.join(b, "token").where(F.expr(f"at_a < at_b AND least(n_a, n_b) >= {similarity} * greatest(n_a, n_b) - 1e-9 AND {room} >= {need}"))
-    pairs = written(joined.select("at_a", "at_b", "n_a", "n_b", "s1_b", "s2_b").distinct(), "line-pairs")
-    needed = pairs.select(F.col("at_a").alias("at")).union(pairs.select(F.col("at_b").alias("at"))).distinct()
-    needed = written(needed.select("at.*"), "line-needs")
-    again = exploded(kept_by(texts, "key", marked(needed, "key"))).join(needed, ["key", "tie", "line"]).dropDuplicates(["key", "tie", "line"])
-    again = written(again.select(F.struct("key", "tie", "line").alias("at"), tokens(F.col("content"), counts).alias("tokens")), "line-sets")
-    both = pairs.join(again.select(F.col("at").alias("at_a"), F.col("tokens").alias("t_a")), "at_a").join(again.select(F.col("at").alias("at_b"), F.col("tokens").alias("t_b")), "at_b")
-    shared = F.size(F.array_intersect("t_a", "t_b"))
-    return both.where(shared >= F.lit(similarity) * (F.col("n_a") + F.col("n_b") - shared) - 1e-9).select(F.col("s1_b").alias("s1"), F.col("s2_b").alias("s2")).distinct()
+    joined = a.join(b, "token").where(F.expr(f"id_a < id_b AND least(n_a, n_b) >= {similarity} * greatest(n_a, n_b) - 1e-9 AND {room} >= {need}"))
+    pairs = written(joined.select("id_a", "id_b").distinct(), "line-pairs")
+    needed = pairs.select(F.col("id_a").alias("id")).union(pairs.select(F.col("id_b").alias("id"))).distinct()
+    needed = written(sets.select("id", "at").join(needed, "id").select("id", "at.*"), "line-needs")
+    again = exploded(kept_by(texts, "key", marked(needed, "key"))).join(needed, ["key", "tie", "line"]).dropDuplicates(["id"])
+    again = written(again.select("id", F.struct("key", "tie", "line").alias("at"), tokens(F.col("content"), counts).alias("t")), "line-tokens")
+    a, b = (again.select(*[F.col(c).alias(f"{c}_{x}") for c in ("id", "at", "t")]) for x in "ab")
+    same = F.size(F.array_intersect("t_a", "t_b"))
+    both = pairs.join(a, "id_a").join(b, "id_b").where(same >= F.lit(similarity) * (F.size("t_a") + F.size("t_b") - same) - 1e-9)
+    return both.select(F.when(F.col("at_a") < F.col("at_b"), F.col("id_b")).otherwise(F.col("id_a")).alias("id")).distinct()
 
 
 def removed_lines(docs: DataFrame, similarity: float = SIMILARITY, least: int = LEAST) -> DataFrame:
@@ -95,9 +101,9 @@ def removed_lines(docs: DataFrame, similarity: float = SIMILARITY, least: int =
     lines = lines.select(F.struct("key", "tie", "line").alias("at"), "n", F.xxhash64("t").alias("s1"), F.xxhash64(F.lit(1), "t").alias("s2"), F.expr(f"slice(t, 1, {prefix('n', similarity)})").alias("prefix"))
     lines = written(lines, "lines")
     sets = lines.groupBy("s1", "s2").agg(F.min("at").alias("at"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    sets = written(sets, "line-sets")
+    sets = written(sets.withColumn("id", F.monotonically_increasing_id()), "line-sets")
     late = similar_sets(sets, texts, counts, similarity).withColumn("late", F.lit(True))
-    firsts = written(sets.select("s1", "s2", F.col("at").alias("first")).join(late, ["s1", "s2"], "left"), "line-firsts")
+    firsts = written(sets.select("id", "s1", "s2", F.col("at").alias("first")).join(late, "id", "left").drop("id"), "line-firsts")
     gone = lines.select("s1", "s2", "at").join(firsts, ["s1", "s2"]).where(F.col("late").isNotNull() | (F.col("at") > F.col("first")))
     return gone.groupBy("at.key", "at.tie").agg(F.array_sort(F.collect_set("at.line")).alias("removed"))
 
@@ -124,7 +130,7 @@ def line_dedup(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 ORACLE_SQL = rf"""
 WITH d AS (SELECT coalesce(doc_id, -9223372036854775808) AS key, doc_id, coalesce(text, '') AS text FROM documents),
 l AS (SELECT key, i, string_split(text, chr(10))[i] AS line FROM (SELECT key, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM d)),
-t AS (SELECT key, i, line, list_distinct(regexp_extract_all(translate(line, '{UPPER}', '{LOWER}'), '{WORD}')) AS w FROM l),
+t AS (SELECT key, i, line, list_distinct(regexp_extract_all(lower(line), '{WORD}')) AS w FROM l),
 u AS (SELECT row_number() OVER (ORDER BY key, i) AS p, key, i, list_sort(w) AS w, len(w) AS n FROM t WHERE len(w) >= {LEAST}),
 s AS (SELECT min(p) AS p, w, n FROM u GROUP BY w, n),
 v AS (SELECT b.p FROM s a JOIN s b ON a.p < b.p AND a.n >= {SIMILARITY} * b.n AND b.n >= {SIMILARITY} * a.n
