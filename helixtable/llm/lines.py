@@ -18,9 +18,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from helixtable.llm.common import WORD, text_of, written
+from helixtable.llm.common import WORD, forget, text_of, written
 
-SIMILARITY, LEAST, BUCKETS, BITS = 0.8, 5, 1 << 16, 1 << 24
+SIMILARITY, LEAST, BUCKETS, BITS = 0.8, 5, 1 << 18, 1 << 24
 
 
 def words(line: Column) -> Column:
@@ -55,6 +55,12 @@ def tokens(content: Column, counts: Column) -> Column:
     return F.sort_array(F.transform(hashes, lambda h: F.shiftleft(F.get(counts, F.pmod(h, F.lit(BUCKETS)).cast("int")).cast("long"), 43).bitwiseOR(F.shiftrightunsigned(h, 21))))
 
 
+def bits(tokens: str, half: int) -> Column:
+    """64 of the 128 bits that the tokens set, each by seven bits of its hash."""
+    chosen = "shiftright(x, 6) & 1L" if half else "1L - (shiftright(x, 6) & 1L)"
+    return F.expr(f"aggregate({tokens}, 0L, (a, x) -> a | shiftleft({chosen}, cast(x & 63L as int)))")
+
+
 def prefix(n: str, similarity: float) -> str:
     return f"cast({n} - ceil({similarity} * {n} - 1e-9) + 1 as int)"
 
@@ -75,13 +81,11 @@ def kept_by(df: DataFrame, column: str, bitmap: DataFrame) -> DataFrame:
 
 def similar_sets(sets: DataFrame, texts: DataFrame, counts: Column, similarity: float) -> DataFrame:
     """ids of the sets with an earlier similar set. sets: id, n, at (key, tie, line of its first line), prefix."""
-    p = sets.select("id", "n", F.posexplode("prefix").alias("pos", "token"))
-    shared = marked(p.groupBy("token").count().where("count > 1"), "token")
-    p = written(kept_by(p, "token", shared), "prefixes")
-    a, b = (p.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "pos")]) for x in "ab")
+    p = sets.select("id", "n", "low", "high", F.posexplode("prefix").alias("pos", "token"))
+    a, b = (p.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "low", "high", "pos")]) for x in "ab")
     need = f"ceil({similarity / (1 + similarity)!r} * (n_a + n_b) - 1e-9)"
     room = "least(pos_a, pos_b) + least(n_a - pos_a, n_b - pos_b)"
-    joined = a.join(b, "token").where(F.expr(f"id_a < id_b AND least(n_a, n_b) >= {similarity} * greatest(n_a, n_b) - 1e-9 AND {room} >= {need}"))
+    joined = a.join(b, "token").where(F.expr(f"id_a < id_b AND least(n_a, n_b) >= {similarity} * greatest(n_a, n_b) - 1e-9 AND {room} >= {need} AND bit_count(low_a ^ low_b) + bit_count(high_a ^ high_b) <= n_a + n_b - 2 * {need}"))
     pairs = written(joined.select("id_a", "id_b").distinct(), "line-pairs")
     needed = pairs.select(F.col("id_a").alias("id")).union(pairs.select(F.col("id_b").alias("id"))).distinct()
     needed = written(sets.select("id", "at").join(needed, "id").select("id", "at.*"), "line-needs")
@@ -98,10 +102,13 @@ def removed_lines(docs: DataFrame, similarity: float = SIMILARITY, least: int =
     texts = keyed(docs)
     counts = rarity(texts)
     lines = exploded(texts).withColumn("t", tokens(F.col("content"), counts)).withColumn("n", F.size("t")).where(F.col("n") >= least)
-    lines = lines.select(F.struct("key", "tie", "line").alias("at"), "n", F.xxhash64("t").alias("s1"), F.xxhash64(F.lit(1), "t").alias("s2"), F.expr(f"slice(t, 1, {prefix('n', similarity)})").alias("prefix"))
+    lines = lines.withColumn("low", bits("t", 0)).withColumn("high", bits("t", 1))
+    lines = lines.select(F.struct("key", "tie", "line").alias("at"), "n", "low", "high", F.xxhash64("t").alias("s1"), F.xxhash64(F.lit(1), "t").alias("s2"), F.expr(f"slice(t, 1, {prefix('n', similarity)})").alias("prefix"))
     lines = written(lines, "lines")
-    sets = lines.groupBy("s1", "s2").agg(F.min("at").alias("at"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    wide, lines = lines, written(lines.select("at", "s1", "s2"), "line-keys")
+    sets = wide.groupBy("s1", "s2").agg(F.min("at").alias("at"), *[F.first(c).alias(c) for c in ("n", "low", "high", "prefix")])
     sets = written(sets.withColumn("id", F.monotonically_increasing_id()), "line-sets")
+    forget(wide)
     late = similar_sets(sets, texts, counts, similarity).withColumn("late", F.lit(True))
     firsts = written(sets.select("id", "s1", "s2", F.col("at").alias("first")).join(late, "id", "left").drop("id"), "line-firsts")
     gone = lines.select("s1", "s2", "at").join(firsts, ["s1", "s2"]).where(F.col("late").isNotNull() | (F.col("at") > F.col("first")))

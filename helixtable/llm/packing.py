@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from helixtable.llm.common import ranked, text_of, written
 
 SIZE, END, CUT, PIVOTS, PRICED, SEED = 2048, 1, 1.05, 2000, 64, 42
-WORDS_KEPT = 700_000  # words a Python worker remembers the ids of, some 100 MB
+WORDS_KEPT = 250_000  # words a Python worker remembers the ids of, some 50 MB
 
 # Texts whose normal form is plain: Latin letters in composed form, no white space but ASCII's usual; there, lower case
 # is by character, and the vocabulary's own rule for words reads as WORD. Other texts are cut at spaces only.
