@@ -25,7 +25,7 @@ class Profile:
     ordinal: int
     name: str
     consensus: str
-    match: float = 0.62  # probability of the consensus residue
+    match: float = 0.85  # probability of the consensus residue
     to_insert: float = 0.01
     to_delete: float = 0.01
     insert_again: float = 0.5
