@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from helixtable.functions.alphabet import CANONICAL, SYMBOLS
 from helixtable.functions.scores import LONGEST
 
 
@@ -13,15 +16,22 @@ def residues_of(text: Column) -> Column:
     return F.upper(F.regexp_replace(F.coalesce(text, F.lit("")), "[^A-Za-z]", ""))
 
 
-def targets(docs: DataFrame) -> DataFrame:
+def words_as_residues(text: Column) -> Column:
+    """A residue for each word of a text, by hash: passages of words become sequences whose chance matches are rare."""
+    words = F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+"), "")
+    canonical = F.lit(list(SYMBOLS[:CANONICAL]))
+    return F.array_join(F.transform(words, lambda w: F.get(canonical, F.pmod(F.xxhash64(w), F.lit(CANONICAL)).cast("int"))), "")
+
+
+def targets(docs: DataFrame, encode: Callable[[Column], Column] = words_as_residues) -> DataFrame:
     """seq_ordinal, name, source, length, residues of documents; status TOO_LONG marks what the engine does not take."""
-    t = docs.select(F.col("doc_id").alias("seq_ordinal"), F.concat(F.lit("doc"), F.col("doc_id")).alias("name"), "source", residues_of(F.col("text")).alias("residues"))
+    t = docs.select(F.col("doc_id").alias("seq_ordinal"), F.concat(F.lit("doc"), F.col("doc_id")).alias("name"), "source", encode(F.col("text")).alias("residues"))
     return t.withColumn("length", F.length("residues")).withColumn("status", F.when(F.col("length") > LONGEST, "TOO_LONG").when(F.col("length") == 0, "EMPTY").otherwise("OK"))
 
 
-def profile_table(passages: DataFrame) -> DataFrame:
+def profile_table(passages: DataFrame, encode: Callable[[Column], Column] = words_as_residues) -> DataFrame:
     """profile_ordinal, name, consensus, model_length of passages: a profile for each whole passage."""
-    p = passages.select(F.col("item_id").cast("int").alias("profile_ordinal"), F.concat(F.lit("passage"), F.col("item_id")).alias("name"), residues_of(F.col("text")).alias("consensus"))
+    p = passages.select(F.col("item_id").cast("int").alias("profile_ordinal"), F.concat(F.lit("passage"), F.col("item_id")).alias("name"), encode(F.col("text")).alias("consensus"))
     return p.withColumn("model_length", F.length("consensus")).where("model_length > 0")
 
 
