@@ -42,6 +42,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    spark.sparkContext._jvm.System.gc()  # nothing reads the shuffle files behind this table again: Spark drops them when the plan is collected
     atexit.register(drop_folder, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_path_ = path
