@@ -13,9 +13,10 @@ from functools import cached_property
 import numpy as np
 
 from helixtable.functions.alphabet import BACKGROUND, CANONICAL, MEMBERS, SYMBOLS, digits, expand
+from helixtable.functions.scores import LN2
 
-SCALE_BYTE = 3.0 / np.log(2.0)
-SCALE_WORD = 500.0 / np.log(2.0)
+SCALE_BYTE = 3.0 / LN2
+SCALE_WORD = 500.0 / LN2
 BASE, TEC = 190, 3
 NEG = -np.inf
 
