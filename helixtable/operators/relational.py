@@ -95,10 +95,9 @@ def candidate_lists(candidates: DataFrame) -> DataFrame:
 
 
 def words_of(rows: DataFrame, ordinal: str, residues: str, width: int) -> DataFrame:
-    """ordinal, word (binary): the distinct words of `width` residues of each row; bytes, as a string's middle is found by walking."""
-    n = F.length(residues) - width + 1
-    starts = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    return rows.select(ordinal, F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring(F.col(residues).cast("binary"), i, F.lit(width))))).alias("word"))
+    """ordinal, word: the distinct words of `width` residues of each row; a look-ahead yields the overlapping ones in one walk."""
+    words = F.regexp_extract_all(residues, F.lit(f"(?=(.{{{width}}}))"), F.lit(1))
+    return rows.select(ordinal, F.explode(F.array_distinct(words)).alias("word"))
 
 
 def seed_pairs(profile_words: DataFrame, target_words: DataFrame) -> DataFrame:

@@ -59,7 +59,7 @@ def fasta_text(records: DataFrame, width: int = 60) -> DataFrame:
 
 def read_profile_text(spark: SparkSession, path: str) -> DataFrame:
     """file, ordinal, format, name, accession, model_length, ga, tc, nc (pairs of cutoffs) of profile text records, which end in //."""
-    raw = spark.read.option("lineSep", "\n//").text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at")).where(F.trim("value") != "")
+    raw = spark.read.option("lineSep", "\n//").text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at")).where(F.col("value").rlike(r"\S"))
     raw = raw.withColumn("ordinal", F.row_number().over(Window.partitionBy("file").orderBy("at")) - 1)
     # the body after the HMM line may not look like a header
     head = F.regexp_replace("value", r"(?s)\nHMM\s.*", "")
@@ -71,7 +71,7 @@ def read_profile_text(spark: SparkSession, path: str) -> DataFrame:
 
 def parse_search_report(spark: SparkSession, path: str) -> DataFrame:
     """block, measure, value of the text summaries of searches; a file may hold several blocks, each ended by //."""
-    raw = spark.read.option("lineSep", "\n//").text(path).select("value", F.monotonically_increasing_id().alias("at")).where(F.trim("value") != "")
+    raw = spark.read.option("lineSep", "\n//").text(path).select("value", F.monotonically_increasing_id().alias("at")).where(F.col("value").rlike(r"\S"))
     raw = raw.withColumn("block", F.row_number().over(Window.orderBy("at")) - 1)
     number = lambda pattern: F.nullif(F.regexp_extract("value", pattern, 1), F.lit("")).cast("double")
     measures = {
