@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from helixtable.llm.common import WORD, forget, text_of, written
 
-SIMILARITY, LEAST, BUCKETS, BITS = 0.8, 5, 1 << 18, 1 << 24
+SIMILARITY, LEAST, BUCKETS, BITS = 0.8, 5, 1 << 20, 1 << 24
 
 
 def words(line: Column) -> Column:
@@ -41,24 +41,20 @@ def exploded(texts: DataFrame) -> DataFrame:
 
 
 def rarity(texts: DataFrame) -> Column:
-    """How often each bucket of words occurs, as a constant array of BUCKETS numbers."""
-    met = texts.select(F.explode(words(F.replace("text", F.lit("\n"), F.lit(" ")))).alias("w")).groupBy(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).cast("int").alias("b")).count()
-    counts = [0] * BUCKETS
-    for r in met.collect():  # at most BUCKETS rows
-        counts[r["b"]] = min(r["count"], (1 << 20) - 1)
-    return F.from_json(F.lit("[" + ",".join(map(str, counts)) + "]"), "array<int>")
+    """A constant of BUCKETS bytes: the binary logarithm of how often each bucket of words occurs in the corpus."""
+    met = texts.select(F.explode(words(F.replace("text", F.lit("\n"), F.lit(" ")))).alias("w"))
+    met = met.groupBy(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).alias("id")).agg(F.floor(F.log2(F.count("*"))).cast("int").alias("k"))
+    rows = texts.sparkSession.range(BUCKETS).join(met, "id", "left").groupBy(F.floor(F.col("id") / 4096).alias("part"))
+    parts = rows.agg(F.sort_array(F.collect_list(F.struct("id", F.coalesce("k", F.lit(0)).alias("k")))).alias("ks"))
+    parts = parts.select("part", F.array_join(F.transform("ks", lambda x: F.lpad(F.hex(x.k), 2, "0")), "").alias("bytes")).orderBy("part")
+    return F.lit(bytearray.fromhex("".join(r["bytes"] for r in parts.collect())))  # 2 * BUCKETS letters
 
 
 def tokens(content: Column, counts: Column) -> Column:
-    """The distinct words of a line as numbers, rarest first: 20 bits of their bucket's count, 43 of their hash."""
+    """The distinct words of a line as numbers, rarest first: their bucket's logarithm above 43 bits of their hash."""
     hashes = F.array_distinct(F.transform(words(content), lambda w: F.xxhash64(w)))
-    return F.sort_array(F.transform(hashes, lambda h: F.shiftleft(F.get(counts, F.pmod(h, F.lit(BUCKETS)).cast("int")).cast("long"), 43).bitwiseOR(F.shiftrightunsigned(h, 21))))
-
-
-def bits(tokens: str, half: int) -> Column:
-    """64 of the 128 bits that the tokens set, each by seven bits of its hash."""
-    chosen = "shiftright(x, 6) & 1L" if half else "1L - (shiftright(x, 6) & 1L)"
-    return F.expr(f"aggregate({tokens}, 0L, (a, x) -> a | shiftleft({chosen}, cast(x & 63L as int)))")
+    rank = lambda h: F.ascii(F.substring(counts, F.pmod(h, F.lit(BUCKETS)).cast("int") + 1, F.lit(1)).cast("string")).cast("long")
+    return F.sort_array(F.transform(hashes, lambda h: F.shiftleft(rank(h), 43).bitwiseOR(F.shiftrightunsigned(h, 21))))
 
 
 def prefix(n: str, similarity: float) -> str:
@@ -81,11 +77,11 @@ def kept_by(df: DataFrame, column: str, bitmap: DataFrame) -> DataFrame:
 
 def similar_sets(sets: DataFrame, texts: DataFrame, counts: Column, similarity: float) -> DataFrame:
     """ids of the sets with an earlier similar set. sets: id, n, at (key, tie, line of its first line), prefix."""
-    p = sets.select("id", "n", "low", "high", F.posexplode("prefix").alias("pos", "token"))
-    a, b = (p.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "low", "high", "pos")]) for x in "ab")
+    p = sets.select("id", "n", F.posexplode("prefix").alias("pos", "token")).where(F.shiftright("token", 43) > 0)
+    a, b = (p.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "pos")]) for x in "ab")
     need = f"ceil({similarity / (1 + similarity)!r} * (n_a + n_b) - 1e-9)"
     room = "least(pos_a, pos_b) + least(n_a - pos_a, n_b - pos_b)"
-    joined = a.join(b, "token").where(F.expr(f"id_a < id_b AND least(n_a, n_b) >= {similarity} * greatest(n_a, n_b) - 1e-9 AND {room} >= {need} AND bit_count(low_a ^ low_b) + bit_count(high_a ^ high_b) <= n_a + n_b - 2 * {need}"))
+    joined = a.join(b, "token").where(F.expr(f"id_a < id_b AND least(n_a, n_b) >= {similarity} * greatest(n_a, n_b) - 1e-9 AND {room} >= {need}"))
     pairs = written(joined.select("id_a", "id_b").distinct(), "line-pairs")
     needed = pairs.select(F.col("id_a").alias("id")).union(pairs.select(F.col("id_b").alias("id"))).distinct()
     needed = written(sets.select("id", "at").join(needed, "id").select("id", "at.*"), "line-needs")
@@ -102,11 +98,10 @@ def removed_lines(docs: DataFrame, similarity: float = SIMILARITY, least: int =
     texts = keyed(docs)
     counts = rarity(texts)
     lines = exploded(texts).withColumn("t", tokens(F.col("content"), counts)).withColumn("n", F.size("t")).where(F.col("n") >= least)
-    lines = lines.withColumn("low", bits("t", 0)).withColumn("high", bits("t", 1))
-    lines = lines.select(F.struct("key", "tie", "line").alias("at"), "n", "low", "high", F.xxhash64("t").alias("s1"), F.xxhash64(F.lit(1), "t").alias("s2"), F.expr(f"slice(t, 1, {prefix('n', similarity)})").alias("prefix"))
+    lines = lines.select(F.struct("key", "tie", "line").alias("at"), "n", F.xxhash64("t").alias("s1"), F.xxhash64(F.lit(1), "t").alias("s2"), F.expr(f"slice(t, 1, {prefix('n', similarity)})").alias("prefix"))
     lines = written(lines, "lines")
     wide, lines = lines, written(lines.select("at", "s1", "s2"), "line-keys")
-    sets = wide.groupBy("s1", "s2").agg(F.min("at").alias("at"), *[F.first(c).alias(c) for c in ("n", "low", "high", "prefix")])
+    sets = wide.groupBy("s1", "s2").agg(F.min("at").alias("at"), *[F.first(c).alias(c) for c in ("n", "prefix")])
     sets = written(sets.withColumn("id", F.monotonically_increasing_id()), "line-sets")
     forget(wide)
     late = similar_sets(sets, texts, counts, similarity).withColumn("late", F.lit(True))
