@@ -55,6 +55,11 @@ def forget(*tables: DataFrame) -> None:
         drop_folder(t.sparkSession, t.written_path_)
 
 
+def nested(docs: DataFrame, **more: Column) -> DataFrame:
+    """docs as one column, row, beside `more`: no name of theirs clashes with one of an operator."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[v.alias(k) for k, v in more.items()])
+
+
 def text_of(column: str = "text") -> Column:
     """The text, a null one as empty."""
     return F.coalesce(F.col(column), F.lit(""))

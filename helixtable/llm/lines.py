@@ -3,7 +3,7 @@
 A line's tokens are its distinct words in lower case. Tokens are ordered by rarity: by the corpus count
 of one of BUCKETS hash buckets, then by hash. A line is removed if any earlier line (by doc_id, then line number) of
 the corpus has a Jaccard similarity of at least SIMILARITY with it. Lines of equal token sets are one set, known by
-128 bits; sets are joined on their prefixes, the n - ceil(t n) + 1 rarest tokens, of which similar sets share one.
+128 bits; sets are joined on their prefixes, the n - ceil(t n) + SHARED rarest tokens, of which similar sets share SHARED.
 A pair is a candidate if its sizes allow the similarity and if what can still be shared after the common token does.
 Candidates are verified on whole token sets, read again from the texts that hold them.
 
@@ -18,9 +18,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from helixtable.llm.common import WORD, forget, text_of, written
+from helixtable.llm.common import WORD, forget, nested, text_of, written
 
-SIMILARITY, LEAST, BUCKETS, BITS = 0.8, 5, 1 << 20, 1 << 24
+SIMILARITY, LEAST, SHARED, BUCKETS, BITS = 0.8, 5, 3, 1 << 20, 1 << 24
 
 
 def words(line: Column) -> Column:
@@ -41,24 +41,24 @@ def exploded(texts: DataFrame) -> DataFrame:
 
 
 def rarity(texts: DataFrame) -> Column:
-    """A constant of BUCKETS bytes: the binary logarithm of how often each bucket of words occurs in the corpus."""
+    """A constant of BUCKETS numbers: the binary logarithm of how often each bucket of words occurs in the corpus."""
     met = texts.select(F.explode(words(F.replace("text", F.lit("\n"), F.lit(" ")))).alias("w"))
     met = met.groupBy(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).alias("id")).agg(F.floor(F.log2(F.count("*"))).cast("int").alias("k"))
     rows = texts.sparkSession.range(BUCKETS).join(met, "id", "left").groupBy(F.floor(F.col("id") / 4096).alias("part"))
     parts = rows.agg(F.sort_array(F.collect_list(F.struct("id", F.coalesce("k", F.lit(0)).alias("k")))).alias("ks"))
-    parts = parts.select("part", F.array_join(F.transform("ks", lambda x: F.lpad(F.hex(x.k), 2, "0")), "").alias("bytes")).orderBy("part")
-    return F.lit(bytearray.fromhex("".join(r["bytes"] for r in parts.collect())))  # 2 * BUCKETS letters
+    parts = parts.select("part", F.array_join(F.transform("ks", lambda x: x.k.cast("string")), ",").alias("digits")).orderBy("part")
+    return F.from_json(F.lit("[" + ",".join(r["digits"] for r in parts.collect()) + "]"), "array<int>")  # a few letters a bucket
 
 
 def tokens(content: Column, counts: Column) -> Column:
     """The distinct words of a line as numbers, rarest first: their bucket's logarithm above 43 bits of their hash."""
     hashes = F.array_distinct(F.transform(words(content), lambda w: F.xxhash64(w)))
-    rank = lambda h: F.ascii(F.substring(counts, F.pmod(h, F.lit(BUCKETS)).cast("int") + 1, F.lit(1)).cast("string")).cast("long")
+    rank = lambda h: F.get(counts, F.pmod(h, F.lit(BUCKETS)).cast("int")).cast("long")
     return F.sort_array(F.transform(hashes, lambda h: F.shiftleft(rank(h), 43).bitwiseOR(F.shiftrightunsigned(h, 21))))
 
 
 def prefix(n: str, similarity: float) -> str:
-    return f"cast({n} - ceil({similarity} * {n} - 1e-9) + 1 as int)"
+    return f"cast({n} - ceil({similarity} * {n} - 1e-9) + {SHARED} as int)"
 
 
 def marked(ids: DataFrame, column: str) -> DataFrame:
@@ -75,18 +75,18 @@ def kept_by(df: DataFrame, column: str, bitmap: DataFrame) -> DataFrame:
     return rows.where(F.shiftright(byte, 0).bitwiseAND(F.expr("cast(shiftleft(1, cast(at_ % 8 as int)) as int)")) != 0).drop("b", "at_", "bits")
 
 
-def similar_sets(sets: DataFrame, texts: DataFrame, counts: Column, similarity: float) -> DataFrame:
+def similar_sets(sets: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """ids of the sets with an earlier similar set. sets: id, n, at (key, tie, line of its first line), prefix."""
     p = sets.select("id", "n", F.posexplode("prefix").alias("pos", "token")).where(F.shiftright("token", 43) > 0)
     a, b = (p.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "pos")]) for x in "ab")
     need = f"ceil({similarity / (1 + similarity)!r} * (n_a + n_b) - 1e-9)"
     room = "least(pos_a, pos_b) + least(n_a - pos_a, n_b - pos_b)"
     joined = a.join(b, "token").where(F.expr(f"id_a < id_b AND least(n_a, n_b) >= {similarity} * greatest(n_a, n_b) - 1e-9 AND {room} >= {need}"))
-    pairs = written(joined.select("id_a", "id_b").distinct(), "line-pairs")
+    pairs = written(joined.groupBy("id_a", "id_b").count().where(F.col("count") >= SHARED).select("id_a", "id_b"), "line-pairs")
     needed = pairs.select(F.col("id_a").alias("id")).union(pairs.select(F.col("id_b").alias("id"))).distinct()
     needed = written(sets.select("id", "at").join(needed, "id").select("id", "at.*"), "line-needs")
     again = exploded(kept_by(texts, "key", marked(needed, "key"))).join(needed, ["key", "tie", "line"]).dropDuplicates(["id"])
-    again = written(again.select("id", F.struct("key", "tie", "line").alias("at"), tokens(F.col("content"), counts).alias("t")), "line-tokens")
+    again = written(again.select("id", F.struct("key", "tie", "line").alias("at"), F.array_distinct(F.transform(words(F.col("content")), lambda w: F.xxhash64(w))).alias("t")), "line-tokens")
     a, b = (again.select(*[F.col(c).alias(f"{c}_{x}") for c in ("id", "at", "t")]) for x in "ab")
     same = F.size(F.array_intersect("t_a", "t_b"))
     both = pairs.join(a, "id_a").join(b, "id_b").where(same >= F.lit(similarity) * (F.size("t_a") + F.size("t_b") - same) - 1e-9)
@@ -104,29 +104,32 @@ def removed_lines(docs: DataFrame, similarity: float = SIMILARITY, least: int =
     sets = wide.groupBy("s1", "s2").agg(F.min("at").alias("at"), *[F.first(c).alias(c) for c in ("n", "prefix")])
     sets = written(sets.withColumn("id", F.monotonically_increasing_id()), "line-sets")
     forget(wide)
-    late = similar_sets(sets, texts, counts, similarity).withColumn("late", F.lit(True))
+    late = similar_sets(sets, texts, similarity).withColumn("late", F.lit(True))
     firsts = written(sets.select("id", "s1", "s2", F.col("at").alias("first")).join(late, "id", "left").drop("id"), "line-firsts")
     gone = lines.select("s1", "s2", "at").join(firsts, ["s1", "s2"]).where(F.col("late").isNotNull() | (F.col("at") > F.col("first")))
     return gone.groupBy("at.key", "at.tie").agg(F.array_sort(F.collect_set("at.line")).alias("removed"))
 
 
-def deduplicated(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """docs with `text` less the removed lines (and n_chars to match, if it is there), and the columns removed_lines_ and all_lines_."""
-    gone = written(removed_lines(docs, similarity), "gone").select(F.col("key").alias("key_"), F.col("tie").alias("tie_"), "removed")
-    rows = docs.withColumn("key_", F.coalesce("doc_id", F.lit(-(1 << 63)))).withColumn("tie_", F.xxhash64(text_of())).join(gone, ["key_", "tie_"], "left")
-    all_lines = F.split(text_of(), "\n", -1)
+def _cleaned(docs: DataFrame, similarity: float) -> DataFrame:
+    """row (the document), text (what is left; NULL only where it was), n_removed, n_lines."""
+    gone = written(removed_lines(docs, similarity), "gone")
+    rows = nested(docs, key=F.coalesce("doc_id", F.lit(-(1 << 63))), tie=F.xxhash64(text_of())).join(gone, ["key", "tie"], "left")
+    all_lines = F.split(F.coalesce("row.text", F.lit("")), "\n", -1)
     left = F.array_join(F.filter(all_lines, lambda x, i: ~F.array_contains("removed", i)), "\n")
-    rows = rows.withColumn("all_lines_", F.size(all_lines)).withColumn("text", F.when(F.col("removed").isNull(), F.col("text")).otherwise(left))
-    rows = rows.withColumn("removed_lines_", F.coalesce(F.size("removed"), F.lit(0)))
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("removed").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(dict(docs.dtypes)["n_chars"])))
-    return rows.select(*docs.columns, "removed_lines_", "all_lines_")
+    return rows.select("row", F.when(F.col("removed").isNull(), F.col("row.text")).otherwise(left).alias("text"), F.coalesce(F.size("removed"), F.lit(0)).alias("n_removed"), F.size(all_lines).alias("n_lines"))
+
+
+def deduplicated(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """docs with `text` less the removed lines, and n_chars to match, if it is there."""
+    rows, kinds = _cleaned(docs, similarity), dict(docs.dtypes)
+    new = {"text": F.col("text"), "n_chars": F.when(F.col("n_removed") > 0, F.length("text").cast(kinds.get("n_chars", "long"))).otherwise(F.col("row.n_chars")) if "n_chars" in kinds else None}
+    return rows.select(*[(new[c] if c in new else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def line_dedup(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Per document: doc_id, n_lines, n_removed, text (what is left)."""
-    rows = deduplicated(docs.select("doc_id", text_of().alias("text")), similarity)
-    return rows.select("doc_id", F.col("all_lines_").cast("long").alias("n_lines"), F.col("removed_lines_").cast("long").alias("n_removed"), "text")
+    rows = _cleaned(docs.select("doc_id", text_of().alias("text")), similarity)
+    return rows.select("row.doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.col("n_removed").cast("long").alias("n_removed"), "text")
 
 
 ORACLE_SQL = rf"""

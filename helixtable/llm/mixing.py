@@ -16,17 +16,18 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixtable.llm.common import WORD, ranked, text_of, written
+from helixtable.llm.common import WORD, nested, ranked, text_of, written
 
 WEIGHTS, REPEATS, WINDOW, SEED = (5.0, 2.0, 1.0), 3, 1 << 16, 42
 
 
 def knapsack(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """How many of each size, at most counts, reach the largest sum up to budget. Dynamic programming over sums as bit sets."""
+    """How many of each size, at most counts, have the sum nearest to budget (below before above). Dynamic programming over sums as bit sets."""
     took = np.zeros(len(sizes), dtype=np.int64)
-    reach, goal, full, steps = 1, 1 << budget, (1 << (budget + 1)) - 1, []
+    most = budget + int(sizes.max(initial=0))
+    reach, goal, full, steps = 1, 1 << budget, (1 << (most + 1)) - 1, []
     for i in np.argsort(-sizes, kind="stable"):
-        spare = int(min(counts[i], budget // sizes[i])) if sizes[i] > 0 else 0
+        spare = int(min(counts[i], most // sizes[i])) if sizes[i] > 0 else 0
         k = 1
         while spare > 0 and not reach & goal:
             k = min(k, spare)
@@ -37,7 +38,9 @@ def knapsack(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
             spare, k = spare - k, 2 * k
         if reach & goal:
             break
-    at = reach.bit_length() - 1
+    at, above = (reach & (2 * goal - 1)).bit_length() - 1, reach >> (budget + 1)
+    if above and budget + (above & -above).bit_length() - budget < budget - at:
+        at = budget + (above & -above).bit_length()
     for i, k, before in reversed(steps):
         if not before >> at & 1:
             took[i] += k
@@ -46,7 +49,7 @@ def knapsack(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
 
 
 def fit(sizes: np.ndarray, counts: np.ndarray, target: float, repeats: int = REPEATS) -> tuple[int, np.ndarray]:
-    """Rounds over all documents, and how many of each size besides, whose sum comes nearest below the target."""
+    """Rounds over all documents, and how many of each size besides, whose sum comes nearest to the target."""
     total = int((sizes * counts).sum())
     if total == 0:
         return 0, np.zeros(len(sizes), dtype=np.int64)
@@ -116,8 +119,7 @@ def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
 
 def mixed(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """docs, each row as often as the mix takes it."""
-    columns = docs.columns
-    keyed = written(docs.withColumn("row_", F.monotonically_increasing_id()), "rows")
-    took = mix(keyed.select(F.col("row_").alias("doc_id"), "source", "text"), seed).select(F.col("doc_id").alias("row_"), "copies").where("copies > 0")
-    out = keyed.join(took, "row_").withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return out.select(*columns)
+    keyed = written(nested(docs, uid=F.monotonically_increasing_id()), "rows")
+    took = mix(keyed.select(F.col("uid").alias("doc_id"), "row.source", "row.text"), seed).select(F.col("doc_id").alias("uid"), "copies").where("copies > 0")
+    out = keyed.join(took, "uid").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return out.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from helixtable.llm.common import components, text_of, written
+from helixtable.llm.common import components, nested, text_of, written
 
 SHINGLE, RADIUS, BITS, SEED = 3, 2, 64, 42
 LEVEL, FLUSH, PAIRS = 8, 1 << 16, 1 << 21  # bits of a tree level; hashes counted at once; pairs of nodes held at once
@@ -165,7 +165,7 @@ def _linked(radius: int):
 
 
 def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Edges (a, b) that connect just the distinct fingerprints (column fp) which links of at most radius bits connect."""
+    """Edges (a, b) that connect just the distinct fingerprints (column fp) which links of at most radius bits (1 at least) connect."""
     bounds = [BITS * i // (radius + 1) for i in range(radius + 2)]
     routes = []
     for r, (low, high) in enumerate(zip(bounds, bounds[1:], strict=False)):
@@ -206,5 +206,5 @@ def deduplicated(docs: DataFrame, width: int = 5, radius: int = 4) -> DataFrame:
     key, tie = F.coalesce("doc_id", F.lit(-(1 << 63))), F.xxhash64(text_of())
     rows = written(docs.select(F.struct(key.alias("key"), tie.alias("tie")).alias("doc_id"), fingerprint(text_of(), width).alias("fp")), "simhash")
     keep = written(classes(rows, radius).select(F.col("component_id.*")).distinct(), "kept")
-    marked = docs.withColumn("key_", key).withColumn("tie_", tie)
-    return marked.join(keep, (F.col("key_") == keep.key) & (F.col("tie_") == keep.tie), "left_semi").dropDuplicates(["key_", "tie_"]).select(*docs.columns)
+    rows = nested(docs, key=key, tie=tie).join(keep, ["key", "tie"], "left_semi").dropDuplicates(["key", "tie"])
+    return rows.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

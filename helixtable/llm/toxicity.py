@@ -23,10 +23,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from helixtable.llm.common import text_of
+from helixtable.llm.common import nested, text_of
 
 POSITIVE, NEGATIVE, HELD_BACK, THRESHOLD, SEED = 2000, 4000, 0.3, 0.7, 42
-BUCKETS, DIMENSION, WIDTHS, FILTERS, EPOCHS, BATCH, RATE, PREFIX = 1 << 17, 8, (1, 2, 3), 8, 6, 64, 0.05, 4
+BUCKETS, DIMENSION, WIDTHS, FILTERS, EPOCHS, STEPS, BATCH, RATE, PREFIX = 1 << 17, 8, (1, 2, 3), 8, 6, 400, 64, 0.05, 4
 KEPT = 1 << 18  # words whose hashes a batch function remembers
 PAD = BUCKETS  # the row of zeros
 # Frequent function words by language.
@@ -141,7 +141,7 @@ def trained(texts: list[str], toxic: np.ndarray, seed: int = SEED) -> Model | No
     words, train = Words(), np.flatnonzero(~held)
     share = toxic[train].mean()
     balance = np.where(toxic == 1, 0.5 / share, 0.5 / (1 - share))
-    for _ in range(EPOCHS):
+    for _ in range(max(EPOCHS, -(-STEPS * BATCH // len(train)))):
         order = rng.permutation(train)
         for at in range(0, len(order), BATCH):
             some = order[at : at + BATCH]
@@ -241,5 +241,5 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that are not predicted toxic, with their own columns."""
     model = trained(*sampled(docs, labels))
-    score = "score_" + "_".join(docs.columns)  # clashes with no column
-    return docs.withColumn(score, scored(text_of(), model, docs.sparkSession)).where(F.col(score) < THRESHOLD).drop(score)
+    rows = nested(docs, score=scored(text_of(), model, docs.sparkSession)).where(F.col("score") < THRESHOLD)
+    return rows.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
