@@ -15,7 +15,7 @@ and then has an empty text; an empty table gives an empty result; `deduplicated`
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixtable.llm.common import WORD, forget, nested, text_of, written
@@ -75,22 +75,48 @@ def kept_by(df: DataFrame, column: str, bitmap: DataFrame) -> DataFrame:
     return rows.where(F.shiftright(byte, 0).bitwiseAND(F.expr("cast(shiftleft(1, cast(at_ % 8 as int)) as int)")) != 0).drop("b", "at_", "bits")
 
 
-def similar_sets(sets: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """ids of the sets with an earlier similar set. sets: id, n, at (key, tie, line of its first line), prefix."""
-    p = sets.select("id", "n", F.posexplode("prefix").alias("pos", "token")).where(F.shiftright("token", 43) > 0)
-    a, b = (p.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "pos")]) for x in "ab")
+def fitting(similarity: float) -> Column:
+    """Whether sets a and b (n_a, n_b, and pos_a, pos_b of a common token) can still be similar: length and positional filters."""
     need = f"ceil({similarity / (1 + similarity)!r} * (n_a + n_b) - 1e-9)"
     room = "least(pos_a, pos_b) + least(n_a - pos_a, n_b - pos_b)"
-    joined = a.join(b, "token").where(F.expr(f"id_a < id_b AND least(n_a, n_b) >= {similarity} * greatest(n_a, n_b) - 1e-9 AND {room} >= {need}"))
-    pairs = written(joined.groupBy("id_a", "id_b").count().where(F.col("count") >= SHARED).select("id_a", "id_b"), "line-pairs")
+    return F.expr(f"least(n_a, n_b) >= {similarity} * greatest(n_a, n_b) - 1e-9 AND {room} >= {need}")
+
+
+def shared(pairs: DataFrame) -> DataFrame:
+    """id_a, id_b of the pairs that stand there for SHARED tokens at least."""
+    return pairs.groupBy("id_a", "id_b").count().where(F.col("count") >= SHARED).select("id_a", "id_b")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """ids of the later sets (id_b) of the pairs that are similar, by their whole token sets."""
     needed = pairs.select(F.col("id_a").alias("id")).union(pairs.select(F.col("id_b").alias("id"))).distinct()
     needed = written(sets.select("id", "at").join(needed, "id").select("id", "at.*"), "line-needs")
     again = exploded(kept_by(texts, "key", marked(needed, "key"))).join(needed, ["key", "tie", "line"]).dropDuplicates(["id"])
-    again = written(again.select("id", F.struct("key", "tie", "line").alias("at"), F.array_distinct(F.transform(words(F.col("content")), lambda w: F.xxhash64(w))).alias("t")), "line-tokens")
-    a, b = (again.select(*[F.col(c).alias(f"{c}_{x}") for c in ("id", "at", "t")]) for x in "ab")
+    again = written(again.select("id", F.array_distinct(F.transform(words(F.col("content")), lambda w: F.xxhash64(w))).alias("t")), "line-tokens")
+    a, b = (again.select(*[F.col(c).alias(f"{c}_{x}") for c in ("id", "t")]) for x in "ab")
     same = F.size(F.array_intersect("t_a", "t_b"))
     both = pairs.join(a, "id_a").join(b, "id_b").where(same >= F.lit(similarity) * (F.size("t_a") + F.size("t_b") - same) - 1e-9)
-    return both.select(F.when(F.col("at_a") < F.col("at_b"), F.col("id_b")).otherwise(F.col("id_a")).alias("id")).distinct()
+    out = written(both.select(F.col("id_b").alias("id")).distinct(), "line-late")
+    forget(needed, again)
+    return out
+
+
+def similar_sets(sets: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """ids of the sets with an earlier similar set. sets: id (in the order of `at`), n, at (key, tie, line of its first line), prefix.
+
+    First each set is held against the earliest set of each of its tokens: that settles groups of near copies at the
+    cost of their members. Then only the sets that this left are joined with all that are earlier.
+    """
+    p = sets.select("id", "n", F.posexplode("prefix").alias("pos", "token")).where(F.shiftright("token", 43) > 0)
+    by_token = Window.partitionBy("token").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
+    first = p.withColumn("a", F.first(F.struct("id", "n", "pos")).over(by_token))
+    first = first.select(*[F.col(f"a.{c}").alias(f"{c}_a") for c in ("id", "n", "pos")], *[F.col(c).alias(f"{c}_b") for c in ("id", "n", "pos")])
+    pairs = written(shared(first.where("id_a < id_b").where(fitting(similarity))), "line-pairs")
+    early = verified(pairs, sets, texts, similarity)
+    left = p.join(early, "id", "left_anti")
+    a, b = (q.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "pos")]) for q, x in ((p, "a"), (left, "b")))
+    pairs = written(shared(a.join(b, "token").where("id_a < id_b").where(fitting(similarity))), "line-pairs")
+    return early.union(verified(pairs, sets, texts, similarity))
 
 
 def removed_lines(docs: DataFrame, similarity: float = SIMILARITY, least: int = LEAST) -> DataFrame:
@@ -102,7 +128,7 @@ def removed_lines(docs: DataFrame, similarity: float = SIMILARITY, least: int =
     lines = written(lines, "lines")
     wide, lines = lines, written(lines.select("at", "s1", "s2"), "line-keys")
     sets = wide.groupBy("s1", "s2").agg(F.min("at").alias("at"), *[F.first(c).alias(c) for c in ("n", "prefix")])
-    sets = written(sets.withColumn("id", F.monotonically_increasing_id()), "line-sets")
+    sets = written(sets.orderBy("at").withColumn("id", F.monotonically_increasing_id()), "line-sets")  # ids grow as `at` does
     forget(wide)
     late = similar_sets(sets, texts, similarity).withColumn("late", F.lit(True))
     firsts = written(sets.select("id", "s1", "s2", F.col("at").alias("first")).join(late, "id", "left").drop("id"), "line-firsts")
