@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from helixtable.functions import scores as S
 from helixtable.functions.alphabet import alphabet
 from helixtable.operators import kernels as K
+from helixtable.operators import provenance as V
 from helixtable.operators import relational as R
 from helixtable.plans import search as P
 from helixtable.sources import sinks
@@ -459,3 +461,80 @@ def incremental_ingest(spark, sf_dir):
     stream = counted_stream(spark, f"{sf_dir}/events.parque[t]", schema, "event_type")
     return run_available(stream, "ingested_events", f"{named}/ingest-{spark.sparkContext.applicationId}-{id(stream)}").select("event_type", "rows", F.round("total", 4).alias("total"))
 
+
+# -- formats, merges and stability ---------------------------------------------------------------
+
+
+def _folder(spark, name):
+    named = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="helixtable-")
+    return f"{named.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query(f"{LETTERS} SELECT 'doc' || seq_ordinal AS identifier, length, upper(residues) AS residues, sha256('>doc' || seq_ordinal || ' ' || source) AS header_sha256 FROM s")
+def fasta_scan(spark, sf_dir):
+    """Documents written as FASTA and read again."""
+    path = _folder(spark, "fasta")
+    records = letters(spark, sf_dir).select(F.concat("name", F.lit(" "), "source").alias("identifier"), "residues")
+    sinks.write_lines(T.fasta_text(records), path)
+    return T.read_fasta(spark, path).select("identifier", "length", "residues", "header_sha256")
+
+
+@query(f"WITH {PROFILES} SELECT 'passage' || profile_ordinal AS name, model_length, 'P' || profile_ordinal AS accession, model_length / 2.0::DOUBLE AS ga_t FROM p WHERE model_length > 0")
+def profile_text_scan(spark, sf_dir):
+    """Passages written as profile text records and read again."""
+    path = _folder(spark, "profiles")
+    p = T.profile_table(read(spark, sf_dir, "benchmark"), T.residues_of)
+    half = F.format_string("%.1f", F.col("model_length") / 2.0)
+    text = F.concat(F.lit("HMMER3/f [3.4]\nNAME  "), "name", F.lit("\nACC   P"), "profile_ordinal", F.lit("\nLENG  "), "model_length", F.lit("\nGA    "), half, F.lit(" "), half, F.lit(";\nHMM  A C D\n//"))
+    sinks.write_lines(p.select(text.alias("value")), path)
+    return T.read_profile_text(spark, path).select("name", "model_length", "accession", F.col("ga")[0].alias("ga_t"))
+
+
+@query("""WITH m AS (SELECT user_id AS profile_ordinal, event_id AS seq_ordinal, CASE WHEN value > 60 THEN 'OVERFLOW' WHEN value < 1 THEN 'NO_RESULT' ELSE 'OK' END AS msv_status, value > 5 AS msv_pass FROM events),
+b AS (SELECT user_id AS profile_ordinal, event_id AS seq_ordinal, value > 10 AS bias_pass FROM events WHERE value > 5), v AS (SELECT user_id AS profile_ordinal, event_id AS seq_ordinal, value > 20 AS viterbi_pass FROM events WHERE value > 10)
+SELECT profile_ordinal, seq_ordinal, CASE WHEN msv_status = 'OVERFLOW' THEN 'RANGE' WHEN msv_status <> 'OK' THEN 'EXACT_PATH' WHEN msv_pass THEN 'FINITE' ELSE 'RAW_REJECT' END AS kind,
+ array_to_string(list_filter([CASE WHEN msv_status = 'OVERFLOW' THEN 'MSV_OVERFLOW' END, CASE WHEN msv_status = 'OK' AND NOT msv_pass THEN 'MSV_REJECT' END, CASE WHEN NOT bias_pass THEN 'BIAS_REJECT' END, CASE WHEN NOT viterbi_pass THEN 'VITERBI_REJECT' END], lambda x: x IS NOT NULL), ',') AS reasons
+FROM m LEFT JOIN b USING (profile_ordinal, seq_ordinal) LEFT JOIN v USING (profile_ordinal, seq_ordinal)""")
+def merged_filters(spark, sf_dir):
+    e = read(spark, sf_dir, "events").select(F.col("user_id").alias("profile_ordinal"), F.col("event_id").alias("seq_ordinal"), "value")
+    key = ["profile_ordinal", "seq_ordinal"]
+    msv = e.select(*key, F.when(F.col("value") > 60, "OVERFLOW").when(F.col("value") < 1, "NO_RESULT").otherwise("OK").alias("msv_status"), (F.col("value") > 5).alias("msv_pass"))
+    bias, viterbi = e.where("value > 5").select(*key, (F.col("value") > 10).alias("bias_pass")), e.where("value > 10").select(*key, (F.col("value") > 20).alias("viterbi_pass"))
+    return R.merged_filters(msv, bias, viterbi).select(*key, "kind", F.array_join("reasons", ",").alias("reasons"))
+
+
+@query("SELECT event_type, k AS query_index, count(*) FILTER (d = 0) AS day0_count, count(*) FILTER (d = 1) AS day1_count FROM (SELECT event_type, user_id % 5 AS k, event_id % 2 AS d FROM events) GROUP BY event_type, k")
+def timing_matrix(spark, sf_dir):
+    e = read(spark, sf_dir, "events").select((F.col("user_id") % 5).alias("query_index"), F.col("event_type").alias("query"), F.concat(F.lit("day"), F.col("event_id") % 2).alias("metric"))
+    t = e.groupBy("query_index", "query", "metric").agg(F.count("*").alias("count")).withColumn("elapsed_ns", F.lit(0))
+    d = T.timing_matrix(t, ["day0", "day1"])
+    return d.select(F.col("query").alias("event_type"), "query_index", F.coalesce("day0_count", F.lit(0)).alias("day0_count"), F.coalesce("day1_count", F.lit(0)).alias("day1_count"))
+
+
+@query(f"""WITH g AS (SELECT l_orderkey, round(sum(l_extendedprice) / 1000, 6) AS score FROM lineitem GROUP BY l_orderkey)
+SELECT l_orderkey, score, abs(score - 150) > 0.5 AS stable, ((0.9 * exp(-{S.LN2!r} * score / 10)) * 1e4 <= 1.0) = ((1.1 * exp(-{S.LN2!r} * score / 10)) * 1e4 <= 1.0) AS stable_e FROM g""")
+def stable_calls(spark, sf_dir):
+    g = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.round(F.sum("l_extendedprice") / 1000, 6).alias("score"))
+    p = F.exp(-S.LN2 * F.col("score") / 10)
+    return g.select("l_orderkey", "score", V.stable_call(F.col("score"), F.lit(0.5), 150.0).alias("stable"), V.stable_evalue(0.9 * p, 1.1 * p, F.lit(1e4), 1.0).alias("stable_e"))
+
+
+@query()
+def stage_seals(spark, sf_dir):
+    """Seals of orders over three stages, after one value was changed: the stage that the change breaks."""
+    stages = {"key": ["o_orderkey", "o_custkey"], "status": ["o_orderstatus"], "price": ["o_totalprice"]}
+    d = V.sealed(read(spark, sf_dir, "orders"), stages)
+    changed = d.withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 10 == 1, F.lit("X")).otherwise(F.col("o_orderstatus")))
+    return V.broken_seals(changed, stages).select("o_orderkey", "broken")
+
+
+@query("SELECT d.doc_id, l.quality, l.toxic FROM documents d LEFT JOIN labels l USING (doc_id)")
+def scattered_facts(spark, sf_dir):
+    return V.scattered(read(spark, sf_dir, "documents").select("doc_id"), read(spark, sf_dir, "labels"), "doc_id").select("doc_id", "quality", "toxic")
+
+
+@query("SELECT l_orderkey % 100 AS chunk, count(*) AS cells_rows, sum(l_linenumber::BIGINT * l_partkey)::BIGINT AS cells FROM lineitem GROUP BY l_orderkey % 100")
+def work_cells(spark, sf_dir):
+    """Profile positions times residues, by chunk."""
+    d = read(spark, sf_dir, "lineitem")
+    return d.groupBy((F.col("l_orderkey") % 100).alias("chunk")).agg(F.count("*").alias("cells_rows"), F.sum(F.col("l_linenumber").cast("long") * F.col("l_partkey")).alias("cells"))

@@ -35,14 +35,22 @@ def profile_table(passages: DataFrame, encode: Callable[[Column], Column] = word
     return p.withColumn("model_length", F.length("consensus")).where("model_length > 0")
 
 
+def records(spark: SparkSession, path: str, separator: str) -> DataFrame:
+    """value, file, ordinal (from 0 within a file) of text records. Files are split among tasks; a record's ordinal is its
+    place in its split plus the records of the file's earlier splits, of which there is one row for each split."""
+    raw = spark.read.option("lineSep", separator).text(path).select("value", F.col("_metadata.file_path").alias("file"), F.spark_partition_id().alias("split"), F.monotonically_increasing_id().alias("at"))
+    splits = raw.groupBy("file", "split").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = Window.partitionBy("file").orderBy("first").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select("file", "split", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    return raw.join(F.broadcast(splits), ["file", "split"]).select("value", "file", (F.col("before") + F.col("at") - F.col("first")).alias("ordinal"))
+
+
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """file, ordinal, identifier, header, length, residues, header_sha256 of a FASTA file.
 
     Records are split at line starts with '>', so no record is read by two tasks; data before the first header is an error.
     """
-    raw = spark.read.option("lineSep", "\n>").text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
-    w = Window.partitionBy("file").orderBy("at")
-    raw = raw.withColumn("ordinal", F.row_number().over(w) - 1)
+    raw = records(spark, path, "\n>")
     bad = (F.col("ordinal") == 0) & ~F.col("value").startswith(">")
     record = F.when(F.col("ordinal") == 0, F.expr("substring(value, 2)")).otherwise(F.col("value"))
     raw = raw.withColumn("record", F.when(bad, F.raise_error(F.lit("data before the first header"))).otherwise(record))
@@ -59,8 +67,7 @@ def fasta_text(records: DataFrame, width: int = 60) -> DataFrame:
 
 def read_profile_text(spark: SparkSession, path: str) -> DataFrame:
     """file, ordinal, format, name, accession, model_length, ga, tc, nc (pairs of cutoffs) of profile text records, which end in //."""
-    raw = spark.read.option("lineSep", "\n//").text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at")).where(F.col("value").rlike(r"\S"))
-    raw = raw.withColumn("ordinal", F.row_number().over(Window.partitionBy("file").orderBy("at")) - 1)
+    raw = records(spark, path, "\n//").where(F.col("value").rlike(r"\S"))
     # the body after the HMM line may not look like a header
     head = F.regexp_replace("value", r"(?s)\nHMM\s.*", "")
     field = lambda name: F.regexp_extract(head, rf"(?m)^{name}\s+([^\r\n]*?)\s*$", 1)
@@ -71,8 +78,7 @@ def read_profile_text(spark: SparkSession, path: str) -> DataFrame:
 
 def parse_search_report(spark: SparkSession, path: str) -> DataFrame:
     """block, measure, value of the text summaries of searches; a file may hold several blocks, each ended by //."""
-    raw = spark.read.option("lineSep", "\n//").text(path).select("value", F.monotonically_increasing_id().alias("at")).where(F.col("value").rlike(r"\S"))
-    raw = raw.withColumn("block", F.row_number().over(Window.orderBy("at")) - 1)
+    raw = records(spark, path, "\n//").where(F.col("value").rlike(r"\S")).withColumn("block", F.col("ordinal"))
     number = lambda pattern: F.nullif(F.regexp_extract("value", pattern, 1), F.lit("")).cast("double")
     measures = {
         "queries": r"Query model\(s\):\s+(\d+)", "targets": r"Target sequences:\s+(\d+)", "residues": r"Target sequences:\s+\d+\s+\((\d+) residues",
