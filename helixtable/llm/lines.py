@@ -82,6 +82,12 @@ def fitting(similarity: float) -> Column:
     return F.expr(f"least(n_a, n_b) >= {similarity} * greatest(n_a, n_b) - 1e-9 AND {room} >= {need}")
 
 
+def bits(tokens: str, half: int) -> Column:
+    """64 of the 128 bits that the tokens set, each by seven bits of its hash."""
+    chosen = "shiftright(x, 6) & 1L" if half else "1L - (shiftright(x, 6) & 1L)"
+    return F.expr(f"aggregate({tokens}, 0L, (a, x) -> a | shiftleft({chosen}, cast(x & 63L as int)))")
+
+
 def shared(pairs: DataFrame) -> DataFrame:
     """id_a, id_b of the pairs that stand there for SHARED tokens at least."""
     return pairs.groupBy("id_a", "id_b").count().where(F.col("count") >= SHARED).select("id_a", "id_b")
@@ -107,15 +113,16 @@ def similar_sets(sets: DataFrame, texts: DataFrame, similarity: float) -> DataFr
     First each set is held against the earliest set of each of its tokens: that settles groups of near copies at the
     cost of their members. Then only the sets that this left are joined with all that are earlier.
     """
-    p = sets.select("id", "n", F.posexplode("prefix").alias("pos", "token")).where(F.shiftright("token", 43) > 0)
+    p = sets.select("id", "n", bits("prefix", 0).alias("low"), bits("prefix", 1).alias("high"), F.posexplode("prefix").alias("pos", "token")).where(F.shiftright("token", 43) > 0)
     by_token = Window.partitionBy("token").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
     first = p.withColumn("a", F.first(F.struct("id", "n", "pos")).over(by_token))
     first = first.select(*[F.col(f"a.{c}").alias(f"{c}_a") for c in ("id", "n", "pos")], *[F.col(c).alias(f"{c}_b") for c in ("id", "n", "pos")])
     pairs = written(shared(first.where("id_a < id_b").where(fitting(similarity))), "line-pairs")
     early = verified(pairs, sets, texts, similarity)
     left = p.join(early, "id", "left_anti")
-    a, b = (q.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "pos")]) for q, x in ((p, "a"), (left, "b")))
-    pairs = written(shared(a.join(b, "token").where("id_a < id_b").where(fitting(similarity))), "line-pairs")
+    a, b = (q.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "pos", "low", "high")]) for q, x in ((p, "a"), (left, "b")))
+    apart = F.expr(f"bit_count(low_a ^ low_b) + bit_count(high_a ^ high_b) <= {prefix('n_a', similarity)} + {prefix('n_b', similarity)} - {2 * SHARED}")
+    pairs = written(shared(a.join(b, "token").where("id_a < id_b").where(apart).where(fitting(similarity))), "line-pairs")
     return early.union(verified(pairs, sets, texts, similarity))
 
 

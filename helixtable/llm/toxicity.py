@@ -27,7 +27,7 @@ from helixtable.llm.common import nested, text_of
 
 POSITIVE, NEGATIVE, HELD_BACK, THRESHOLD, SEED = 2000, 4000, 0.3, 0.7, 42
 BUCKETS, DIMENSION, WIDTHS, FILTERS, EPOCHS, STEPS, BATCH, RATE, PREFIX = 1 << 17, 8, (1, 2, 3), 8, 6, 400, 64, 0.05, 4
-KEPT = 1 << 18  # words whose hashes a batch function remembers
+KEPT = 1 << 16  # words whose hashes a batch function remembers
 PAD = BUCKETS  # the row of zeros
 # Frequent function words by language.
 LANGUAGES = {
@@ -227,6 +227,7 @@ def scored(text: Column, model: Model | None, spark) -> Column:
         m, words = shared.value and Model(**shared.value), Words()
         for texts in batches:
             yield pd.Series(np.zeros(len(texts)) if m is None else m.scores(*judged(m, words, texts.tolist())))
+            words.clear()  # an idle worker keeps no words
 
     return F.pandas_udf(run, "double", F.PandasUDFType.SCALAR_ITER)(text)
 
