@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 #: Words of a text: runs of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
+BATCH_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +61,13 @@ def nested(docs: DataFrame, **more: Column) -> DataFrame:
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[v.alias(k) for k, v in more.items()])
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts may be long: Python workers get BATCH_ROWS of them at a time, unless the session asks for fewer."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def text_of(column: str = "text") -> Column:
     """The text, a null one as empty."""
     return F.coalesce(F.col(column), F.lit(""))

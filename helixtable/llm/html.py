@@ -19,6 +19,8 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from helixtable.llm.common import small_batches
+
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|object|title|textarea|select|math)\b[^>]*>.*?(?:</\1\s*>|\Z)"
     r"|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^\"'>]++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>",
@@ -185,5 +187,6 @@ def main_text(page: str) -> str:
 
 def extract(pages: DataFrame) -> DataFrame:
     """Per page: page_id, url, text, n_chars."""
+    small_batches(pages.sparkSession)
     run = F.pandas_udf(lambda pages: pages.map(main_text), "string")
     return pages.select("page_id", "url", run(F.coalesce("html", F.lit(""))).alias("text")).withColumn("n_chars", F.length("text").cast("long"))

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from helixtable.llm.common import ranked, text_of, written
+from helixtable.llm.common import ranked, small_batches, text_of, written
 
 SIZE, END, CUT, PIVOTS, PRICED, SEED = 2048, 1, 1.05, 2000, 64, 42
 WORDS_KEPT = 250_000  # words a Python worker remembers the ids of, some 50 MB
@@ -227,6 +227,7 @@ class Plan:
 
 def pack(docs: DataFrame, vocabulary: str, size: int = SIZE, end: int = END, pivots: int = PIVOTS) -> DataFrame:
     """Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", tokenised(text_of(), vocabulary, size, end).alias("x"))
     tokens = written(rows.select("uid", "doc_id", "x.*"), "tokens")
     sized = tokens.select("uid", (F.col("doc_tokens") % size).alias("rest_n"), F.floor(F.col("doc_tokens") / size).alias("full"), F.xxhash64(F.lit(SEED), "uid").alias("hash"))

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixtable.llm.common import text_of, written
+from helixtable.llm.common import small_batches, text_of, written
 
 REACH, SUPPORT, DISCLOSURE = 8, 3, 0.7
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -132,6 +132,7 @@ def disclosing(docs: DataFrame, near: DataFrame, share: float, support: int) ->
 
 def find(docs: DataFrame, share: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
     """Per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans (base and disclosing terms)."""
+    small_batches(docs.sparkSession)
     texts = docs.select("doc_id", text_of().alias("text"))
     scanned = F.pandas_udf(_found, FOUND, F.PandasUDFType.SCALAR)("text")
     found = written(texts.select(F.monotonically_increasing_id().alias("uid"), "doc_id", scanned.alias("x")).select("uid", "doc_id", "x.*"), "pii")

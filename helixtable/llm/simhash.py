@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from helixtable.llm.common import components, nested, text_of, written
+from helixtable.llm.common import components, nested, small_batches, text_of, written
 
 SHINGLE, RADIUS, BITS, SEED = 3, 2, 64, 42
 LEVEL, FLUSH, PAIRS = 8, 1 << 16, 1 << 21  # bits of a tree level; hashes counted at once; pairs of nodes held at once
@@ -194,6 +194,7 @@ def classes(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """Per document: doc_id, fingerprint (16 hexadecimal digits), component_id."""
+    small_batches(docs.sparkSession)
     rows = written(docs.select("doc_id", fingerprint(text_of(), width).alias("fp")), "simhash")
     return rows.join(classes(rows, radius), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
@@ -203,6 +204,7 @@ def deduplicated(docs: DataFrame, width: int = 5, radius: int = 4) -> DataFrame:
 
     Five-word shingles; fingerprints within four bits have a shingle similarity of about 0.8 or more.
     """
+    small_batches(docs.sparkSession)
     key, tie = F.coalesce("doc_id", F.lit(-(1 << 63))), F.xxhash64(text_of())
     rows = written(docs.select(F.struct(key.alias("key"), tie.alias("tie")).alias("doc_id"), fingerprint(text_of(), width).alias("fp")), "simhash")
     keep = written(classes(rows, radius).select(F.col("component_id.*")).distinct(), "kept")

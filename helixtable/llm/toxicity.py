@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from helixtable.llm.common import nested, text_of
+from helixtable.llm.common import nested, small_batches, text_of
 
 POSITIVE, NEGATIVE, HELD_BACK, THRESHOLD, SEED = 2000, 4000, 0.3, 0.7, 42
 BUCKETS, DIMENSION, WIDTHS, FILTERS, EPOCHS, STEPS, BATCH, RATE, PREFIX = 1 << 17, 8, (1, 2, 3), 8, 6, 400, 64, 0.05, 4
@@ -221,6 +221,7 @@ def sampled(docs: DataFrame, labels: DataFrame, positive: int = POSITIVE, negati
 
 def scored(text: Column, model: Model | None, spark) -> Column:
     """The score of a text without nulls. The model, some 10 MB whatever the input, is broadcast."""
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(model and vars(model))
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
