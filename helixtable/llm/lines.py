@@ -15,12 +15,14 @@ and then has an empty text; an empty table gives an empty result; `deduplicated`
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixtable.llm.common import WORD, forget, nested, text_of, written
 
-SIMILARITY, LEAST, SHARED, BUCKETS, BITS = 0.8, 5, 3, 1 << 20, 1 << 24
+SIMILARITY, LEAST, SHARED, SLICES, BUCKETS, BITS = 0.8, 5, 3, 4, 1 << 20, 1 << 24
 
 
 def words(line: Column) -> Column:
@@ -113,16 +115,21 @@ def similar_sets(sets: DataFrame, texts: DataFrame, similarity: float) -> DataFr
     First each set is held against the earliest set of each of its tokens: that settles groups of near copies at the
     cost of their members. Then only the sets that this left are joined with all that are earlier.
     """
-    p = sets.select("id", "n", bits("prefix", 0).alias("low"), bits("prefix", 1).alias("high"), F.posexplode("prefix").alias("pos", "token")).where(F.shiftright("token", 43) > 0)
+    rows = lambda of: of.select("id", "n", "low", "high", F.posexplode("prefix").alias("pos", "token")).where(F.shiftright("token", 43) > 0)
     by_token = Window.partitionBy("token").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
-    first = p.withColumn("a", F.first(F.struct("id", "n", "pos")).over(by_token))
+    first = rows(sets).withColumn("a", F.first(F.struct("id", "n", "pos")).over(by_token))
     first = first.select(*[F.col(f"a.{c}").alias(f"{c}_a") for c in ("id", "n", "pos")], *[F.col(c).alias(f"{c}_b") for c in ("id", "n", "pos")])
     pairs = written(shared(first.where("id_a < id_b").where(fitting(similarity))), "line-pairs")
     early = verified(pairs, sets, texts, similarity)
-    left = p.join(early, "id", "left_anti")
-    a, b = (q.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "pos", "low", "high")]) for q, x in ((p, "a"), (left, "b")))
+    marked_sets = written(sets.select("id", "n", "low", "high", "prefix").join(early.withColumn("settled", F.lit(True)), "id", "left"), "line-open")
+    sides = ((rows(marked_sets), "a"), (rows(marked_sets.where("settled IS NULL")), "b"))
     apart = F.expr(f"bit_count(low_a ^ low_b) + bit_count(high_a ^ high_b) <= {prefix('n_a', similarity)} + {prefix('n_b', similarity)} - {2 * SHARED}")
-    pairs = written(shared(a.join(b, "token").where("id_a < id_b").where(apart).where(fitting(similarity))), "line-pairs")
+    found = []
+    for k in range(SLICES):  # one share of the tokens after the other: the rows of one share stand on disk at a time
+        a, b = (q.where(F.pmod("token", F.lit(SLICES)) == k).select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "pos", "low", "high")]) for q, x in sides)
+        found.append(written(a.join(b, "token").where("id_a < id_b").where(apart).where(fitting(similarity)).select("id_a", "id_b"), "line-pairs"))
+    pairs = written(shared(reduce(DataFrame.union, found)), "line-pairs")
+    forget(marked_sets, *found)
     return early.union(verified(pairs, sets, texts, similarity))
 
 
@@ -135,6 +142,7 @@ def removed_lines(docs: DataFrame, similarity: float = SIMILARITY, least: int =
     lines = written(lines, "lines")
     wide, lines = lines, written(lines.select("at", "s1", "s2"), "line-keys")
     sets = wide.groupBy("s1", "s2").agg(F.min("at").alias("at"), *[F.first(c).alias(c) for c in ("n", "prefix")])
+    sets = sets.withColumn("low", bits("prefix", 0)).withColumn("high", bits("prefix", 1))
     sets = written(sets.orderBy("at").withColumn("id", F.monotonically_increasing_id()), "line-sets")  # ids grow as `at` does
     forget(wide)
     late = similar_sets(sets, texts, similarity).withColumn("late", F.lit(True))
