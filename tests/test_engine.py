@@ -214,3 +214,44 @@ def test_entry_survives_without_the_optional_package(tmp_path):
     shutil.copy(repo / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; assert 'search_hits' in e.queries() and not any(k.startswith('op') and k[2].isdigit() for k in e.queries()); e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)})
+
+
+def test_provenance(spark):
+    from helixtable.operators import provenance as V
+
+    a = spark.createDataFrame([(1, "x", 2.0), (2, "y", None)], "k int, s string, v double")
+    stages = {"one": ["k"], "two": ["s", "v"]}
+    sealed = V.sealed(a, stages)
+    assert V.broken_seals(sealed, stages).count() == 0
+    assert [r["broken"] for r in V.broken_seals(sealed.withColumn("v", F.lit(3.0)), stages).collect()] == ["two", "two"]
+    assert V.same_content(a, a.orderBy(F.desc("k")).repartition(3)) and not V.same_content(a, a.where("k = 1"))
+    with pytest.raises(ValueError):
+        V.one_to_one(a, a.where("k = 1"), "k")
+    assert V.one_to_one(a, a.select("k", F.lit(1).alias("w")), "k").count() == 2
+    facts = spark.createDataFrame([(1, 5), (1, 6)], "k int, f int")
+    with pytest.raises(Exception, match="twice"):
+        V.scattered(a, facts, "k").collect()
+    with pytest.raises(Exception, match="nowhere"):
+        V.scattered(a, spark.createDataFrame([(9, 5)], "k int, f int"), "k").collect()
+    d = spark.createDataFrame([(1.0, 0.1), (1.05, 0.1), (float("nan"), 0.1)], "s double, e double")
+    assert [r[0] for r in d.select(V.stable_call(F.col("s"), F.col("e"), 1.2)).collect()][:2] == [True, True]
+    assert [r[0] for r in d.select(V.stable_call(F.col("s"), F.col("e"), 1.09)).collect()][:2] == [False, False]
+
+
+def test_streams_in_batches(spark, tmp_path):
+    from helixtable.streaming.ingest import append_batches, counted_stream, run_available
+
+    for i in range(3):
+        spark.range(i * 10, i * 10 + 10).selectExpr("id % 2 AS k", "cast(id AS double) AS value").coalesce(1).write.parquet(str(tmp_path / f"in{i}"))
+    schema = spark.read.parquet(str(tmp_path / "in0")).schema
+    out = run_available(counted_stream(spark, str(tmp_path / "in*"), schema, "k"), "batches", str(tmp_path / "c1"))
+    assert sorted((r["k"], r["rows"], r["total"]) for r in out.collect()) == [(0, 15, 210.0), (1, 15, 225.0)]
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in*"))
+    append_batches(stream, str(tmp_path / "out"), str(tmp_path / "c2"), lambda b: b.where("k = 0"))
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 15
+
+
+def test_chunks_and_lists(spark):
+    d = spark.createDataFrame([(0, 5), (0, 3), (2, 9)], "profile_ordinal int, seq_ordinal int")
+    assert [tuple(r) for r in R.candidate_lists(d).select("profile_ordinal", "start", "n", "targets").orderBy("profile_ordinal").collect()] == [(0, 0, 2, [3, 5]), (2, 2, 1, [9])]
+    assert [r["chunk"] for r in R.chunked(spark.range(7).withColumnRenamed("id", "o"), "o", 3).orderBy("o").collect()] == [0, 0, 0, 1, 1, 1, 2]
