@@ -179,8 +179,9 @@ l AS (SELECT key, i, string_split(text, chr(10))[i] AS line FROM (SELECT key, te
 t AS (SELECT key, i, line, list_distinct(regexp_extract_all(lower(line), '{WORD}')) AS w FROM l),
 u AS (SELECT row_number() OVER (ORDER BY key, i) AS p, key, i, list_sort(w) AS w, len(w) AS n FROM t WHERE len(w) >= {LEAST}),
 s AS (SELECT min(p) AS p, w, n FROM u GROUP BY w, n),
-v AS (SELECT b.p FROM s a JOIN s b ON a.p < b.p AND a.n >= {SIMILARITY} * b.n AND b.n >= {SIMILARITY} * a.n
-      WHERE len(list_intersect(a.w, b.w)) >= {SIMILARITY} * (a.n + b.n - len(list_intersect(a.w, b.w))) - 1e-9 GROUP BY b.p),
+x AS (SELECT p, n, unnest(list_transform(list_sort(list_transform(w, lambda x: {{'k': -length(x), 'x': x}}))[1:(n - ceil({SIMILARITY} * n - 1e-9) + 1)::BIGINT], lambda e: e.x)) AS token FROM s),
+c AS (SELECT DISTINCT a.p AS a, b.p AS b FROM x a JOIN x b ON a.token = b.token AND a.p < b.p AND a.n >= {SIMILARITY} * b.n AND b.n >= {SIMILARITY} * a.n),
+v AS (SELECT DISTINCT b.p FROM c JOIN s a ON a.p = c.a JOIN s b ON b.p = c.b WHERE len(list_intersect(a.w, b.w)) >= {SIMILARITY} * (a.n + b.n - len(list_intersect(a.w, b.w))) - 1e-9),
 g AS (SELECT u.key, u.i FROM u JOIN s ON s.w = u.w WHERE u.p > s.p OR s.p IN (SELECT p FROM v)),
 r AS (SELECT t.key, count(*) AS n_lines, count(g.i) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY t.i) FILTER (g.i IS NULL), '') AS text FROM t LEFT JOIN g ON g.key = t.key AND g.i = t.i GROUP BY t.key)
 SELECT d.doc_id, n_lines, n_removed, r.text FROM d JOIN r ON r.key = d.key
