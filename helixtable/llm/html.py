@@ -35,7 +35,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 # Elements and words of class, id and role that name what is not the article.
 NOT_TEXT = frozenset("nav aside footer form menu dialog button label fieldset search".split())
 NOT_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent contentinfo cookie cookies disqus "
+    "ad ads advert adverts advertisement advertising alert banner breadcrumb breadcrumbs comment comments commentlist consent contentinfo cookie cookies copyright disclaimer disqus "
     "footer gdpr masthead menu modal nav navbar navigation newsletter notice pager pagination popup promo promoted promotion related replies "
     "reply respond share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget login complementary search".split()
 )
@@ -65,7 +65,10 @@ def named_bad(name: str, attributes: str, in_article: bool) -> bool:
         value = "".join(values)
         if key.lower() == "hidden" or (key.lower() == "aria-hidden" and value == "true"):
             return True
-        if key.lower() != "aria-hidden" and not NOT_WORDS.isdisjoint(p.lower() for p in PART.findall(value)):
+        parts = {p.lower() for p in PART.findall(value)}
+        if key.lower() != "aria-hidden" and not NOT_WORDS.isdisjoint(parts):
+            return True
+        if "header" in parts and not in_article and parts.isdisjoint(("article", "entry", "post", "story", "content")):
             return True
     return False
 

@@ -251,7 +251,7 @@ def test_html_equals_articles(spark, sf):
 
 
 def test_html_rules():
-    page = """<body><header><h1>Site</h1></header><nav><a href=x>Home</a></nav><div class="cookie-notice">We use cookies, and so do you.</div>
+    page = """<body><header><h1>Site</h1></header><div class="site-header">The name of the site and all of the things that it is about, for you</div><nav><a href=x>Home</a></nav><div class="cookie-notice">We use cookies, and so do you.</div>
     <div id="content"><h2>A headline</h2><p>This is the first paragraph of the story and it has all of the words that are needed for it to be the text of the page.</p>
     <p>Short.</p><p>And this is another paragraph of the same story with many of the words that it needs to be long enough for the rules of the game.</p>
     <p><a href=y>More links</a> <a href=z>and more</a></p></div><aside>Related stories of the day</aside>
