@@ -46,7 +46,7 @@ def exploded(texts: DataFrame) -> DataFrame:
 def rarity(texts: DataFrame) -> Column:
     """A constant of BUCKETS numbers: the binary logarithm of how often each bucket of words occurs in the corpus."""
     conf = texts.sparkSession.conf
-    if int(conf.get("spark.sql.maxPlanStringLength")) > PLAN_LETTERS:  # the driver keeps descriptions of plans, and the constant would stand in them
+    if not conf.get("spark.sql.maxPlanStringLength").isdigit():  # not set in plain letters; the driver keeps descriptions of plans, and the constant would stand in them
         conf.set("spark.sql.maxPlanStringLength", str(PLAN_LETTERS))
     met = texts.select(F.explode(words(F.replace("text", F.lit("\n"), F.lit(" ")))).alias("w"))
     met = met.groupBy(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).alias("id")).agg(F.floor(F.log2(F.count("*"))).cast("int").alias("k"))
