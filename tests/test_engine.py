@@ -2,6 +2,7 @@
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -16,7 +17,7 @@ from helixtable.sources import tables as T
 
 def normal(frame):
     def one(x):
-        if x is None or (isinstance(x, (float, np.floating)) and np.isnan(x)):
+        if x is None or x is pd.NA or (isinstance(x, (float, np.floating)) and np.isnan(x)):
             return "none"
         return str(round(float(x), 6)) if isinstance(x, (float, np.floating, int, np.integer)) and not isinstance(x, (bool, np.bool_)) else str(x)
 
