@@ -23,9 +23,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from helixtable.llm.common import components, nested, small_batches, text_of, written
+from helixtable.llm.common import components, forget, nested, small_batches, text_of, written
+from helixtable.llm.lines import kept_by, marked
 
 SHINGLE, RADIUS, BITS, SEED = 3, 2, 64, 42
+SIMILARITY, BANDS, ROWS = 0.8, 24, 4
 LEVEL, FLUSH, PAIRS = 8, 1 << 16, 1 << 21  # bits of a tree level; hashes counted at once; pairs of nodes held at once
 
 
@@ -199,14 +201,88 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS)
     return rows.join(classes(rows, radius), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def deduplicated(docs: DataFrame, width: int = 5, radius: int = 4) -> DataFrame:
+def sketch(hashes: np.ndarray, factors: np.ndarray) -> tuple[int, int, int, list[int]]:
+    """128 bits that name a set of hashes, its size, and a number for each band of ROWS least values under the factors."""
+    with np.errstate(over="ignore"):
+        mixed = (hashes ^ (hashes >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        named = np.array([hashes.sum(dtype=np.uint64), (mixed ^ (mixed >> np.uint64(32))).sum(dtype=np.uint64)], dtype=np.uint64).view(np.int64).tolist()
+        if not len(hashes):
+            return *named, 0, []
+        least = np.full(len(factors), np.uint64(0xFFFFFFFFFFFFFFFF))
+        for at in range(0, len(hashes), 1024):
+            np.minimum(least, (hashes[at : at + 1024, None] * factors).min(axis=0), out=least)
+        bands = np.arange(1, BANDS + 1, dtype=np.uint64)
+        for r in least.reshape(BANDS, ROWS).T:
+            bands = (bands ^ r) * np.uint64(0x9E3779B97F4A7C15)
+            bands ^= bands >> np.uint64(31)
+    return *named, len(hashes), bands.view(np.int64).tolist()
+
+
+def sketched(text: Column, width: int) -> Column:
+    """s1, s2, n, bands of the set of shingles of a text without nulls."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        factors = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        for texts in batches:
+            yield pd.DataFrame([sketch(np.unique(np.array(shingle_hashes(t, width), dtype=np.uint64)), factors) for t in texts], columns=["s1", "s2", "n", "bands"])
+
+    return F.pandas_udf(run, "s1 long, s2 long, n long, bands array<long>", F.PandasUDFType.SCALAR_ITER)(text)
+
+
+def shingle_set(text: Column, width: int) -> Column:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([np.unique(np.array(shingle_hashes(t, width), dtype=np.uint64)).view(np.int64) for t in texts], dtype=object)
+
+    return F.pandas_udf(run, "array<long>", F.PandasUDFType.SCALAR_ITER)(text)
+
+
+def similar(pairs: DataFrame, sets: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose whole shingle sets, read again from the texts, have a Jaccard similarity of at least `similarity`."""
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    needed = written(sets.select("id", "at.*").join(ids, "id"), "simhash-needs")
+    texts = docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("key"), F.xxhash64(text_of()).alias("tie"), text_of().alias("text"))
+    again = kept_by(texts, "key", marked(needed, "key")).join(needed, ["key", "tie"]).dropDuplicates(["id"])
+    again = written(again.select("id", shingle_set(F.col("text"), width).alias("t")), "simhash-sets")
+    same = F.size(F.array_intersect("t_a", "t_b"))
+    both = pairs.join(again.select(F.col("id").alias("a"), F.col("t").alias("t_a")), "a").join(again.select(F.col("id").alias("b"), F.col("t").alias("t_b")), "b")
+    out = written(both.where(same >= F.lit(similarity) * (F.size("t_a") + F.size("t_b") - same) - 1e-9).select("a", "b"), "simhash-edges")
+    forget(needed, again)
+    return out
+
+
+def deduplicated(docs: DataFrame, width: int = 5, similarity: float = SIMILARITY) -> DataFrame:
     """docs with one row of each group of near-duplicates, the one of the smallest doc_id (null first, then by text hash).
 
-    Five-word shingles; fingerprints within four bits have a shingle similarity of about 0.8 or more.
+    Links are pairs of texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more. Fingerprints of
+    64 bits do not reach so far: at 0.8 two differ in some nine bits. So candidates are pairs of sets that agree in one
+    of BANDS bands of ROWS minimum hashes (all but (1 - 0.8^4)^24, some 3 in a million pairs, at 0.8; fewer above), and
+    each is verified on its whole sets. Equal sets are one. Sets are first held against the first set of each of
+    their bands, which settles groups of near copies at the cost of their members; then all pairs of a band that this
+    did not connect.
     """
     small_batches(docs.sparkSession)
     key, tie = F.coalesce("doc_id", F.lit(-(1 << 63))), F.xxhash64(text_of())
-    rows = written(docs.select(F.struct(key.alias("key"), tie.alias("tie")).alias("doc_id"), fingerprint(text_of(), width).alias("fp")), "simhash")
-    keep = written(classes(rows, radius).select(F.col("component_id.*")).distinct(), "kept")
-    rows = nested(docs, key=key, tie=tie).join(keep, ["key", "tie"], "left_semi").dropDuplicates(["key", "tie"])
-    return rows.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    rows = docs.select(F.struct(key.alias("key"), tie.alias("tie")).alias("at"), sketched(text_of(), width).alias("x")).select("at", "x.*")
+    rows = written(rows, "simhash")
+    sets = rows.groupBy("s1", "s2").agg(F.min(F.struct("at", "n", "bands")).alias("x")).select("x.*")
+    sets = written(sets.withColumn("id", F.monotonically_increasing_id()), "simhash-sets")
+    banded = written(sets.select("id", "n", F.explode("bands").alias("band")), "simhash-bands")
+    fits = lambda a, b: F.least(a, b) >= F.lit(similarity) * F.greatest(a, b) - 1e-9
+    heads = banded.groupBy("band").agg(F.min(F.struct("id", "n")).alias("head"), F.count("*").alias("size")).where("size > 1")
+    star = banded.join(heads, "band").where(F.col("id") > F.col("head.id")).where(fits(F.col("n"), F.col("head.n")))
+    star = written(star.select(F.col("head.id").alias("a"), F.col("id").alias("b")).distinct(), "simhash-pairs")
+    edges = similar(star, sets, docs, width, similarity)
+    placed = banded.join(components(edges).withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    placed = written(placed, "simhash-placed")
+    mixed = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band")
+    open_ = placed.join(mixed, "band")
+    a, b = (open_.select("band", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "component")]) for x in "ab")
+    rest = a.join(b, "band").where("component_a < component_b").where(fits(F.col("n_a"), F.col("n_b"))).select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"))
+    rest = written(rest.distinct().join(star, ["a", "b"], "left_anti"), "simhash-pairs")
+    found = components(edges.union(similar(rest, sets, docs, width, similarity))).withColumnRenamed("node", "id")
+    least = sets.select("id", "at").join(found, "id", "left").groupBy(F.coalesce("component", "id").alias("component")).agg(F.min("at").alias("at"))
+    keep = written(least.select("at.*"), "kept")
+    forget(rows, banded, placed, star, rest)
+    out = nested(docs, key=key, tie=tie).join(keep, ["key", "tie"], "left_semi").dropDuplicates(["key", "tie"])
+    return out.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
