@@ -8,9 +8,10 @@ A pair is a candidate if its sizes allow the similarity and if what can still be
 Candidates are verified on whole token sets, read again from the texts that hold them.
 
 Defined cases: a null text is an empty one; a null doc_id comes first; rows equal in doc_id and text are one document
-whose lines are no earlier than each other, rows that share only a doc_id are ordered by their text's hash; lines of
-fewer than LEAST tokens, empty ones among them, are never removed nor do they remove; a document may lose all lines
-and then has an empty text; an empty table gives an empty result; `deduplicated` keeps other columns as they are.
+whose lines are no earlier than each other, rows that share only a doc_id are ordered by their text's hash; lines
+without words are never removed; below LEAST tokens lines are similar only if their token sets are equal, so those are
+found by equality alone, in `deduplicated`, while `line_dedup` leaves them, as its SQL does; a document may lose all
+lines and then has an empty text; an empty table gives an empty result; `deduplicated` keeps other columns as they are.
 """
 
 from __future__ import annotations
@@ -142,22 +143,24 @@ def removed_lines(docs: DataFrame, similarity: float = SIMILARITY, least: int =
     texts = keyed(docs)
     counts = rarity(texts)
     lines = exploded(texts).withColumn("t", tokens(F.col("content"), counts)).withColumn("n", F.size("t")).where(F.col("n") >= least)
-    lines = lines.select(F.struct("key", "tie", "line").alias("at"), "n", F.xxhash64("t").alias("s1"), F.xxhash64(F.lit(1), "t").alias("s2"), F.expr(f"slice(t, 1, {prefix('n', similarity)})").alias("prefix"))
+    few = F.sort_array(F.array_distinct(words(F.col("content"))))  # few tokens have few bits: their words are hashed
+    name = lambda *salt: F.when(F.col("n") < LEAST, F.xxhash64(*salt, few)).otherwise(F.xxhash64(*salt, "t"))
+    lines = lines.select(F.struct("key", "tie", "line").alias("at"), "n", name().alias("s1"), name(F.lit(1)).alias("s2"), F.expr(f"slice(t, 1, {prefix('n', similarity)})").alias("prefix"))
     lines = written(lines, "lines")
     wide, lines = lines, written(lines.select("at", "s1", "s2"), "line-keys")
     sets = wide.groupBy("s1", "s2").agg(F.min("at").alias("at"), *[F.first(c).alias(c) for c in ("n", "prefix")])
     sets = sets.withColumn("low", bits("prefix", 0)).withColumn("high", bits("prefix", 1))
     sets = written(sets.orderBy("at").withColumn("id", F.monotonically_increasing_id()), "line-sets")  # ids grow as `at` does
     forget(wide)
-    late = similar_sets(sets, texts, similarity).withColumn("late", F.lit(True))
+    late = similar_sets(sets.where(F.col("n") >= LEAST), texts, similarity).withColumn("late", F.lit(True))
     firsts = written(sets.select("id", "s1", "s2", F.col("at").alias("first")).join(late, "id", "left").drop("id"), "line-firsts")
     gone = lines.select("s1", "s2", "at").join(firsts, ["s1", "s2"]).where(F.col("late").isNotNull() | (F.col("at") > F.col("first")))
     return gone.groupBy("at.key", "at.tie").agg(F.array_sort(F.collect_set("at.line")).alias("removed"))
 
 
-def _cleaned(docs: DataFrame, similarity: float) -> DataFrame:
+def _cleaned(docs: DataFrame, similarity: float, least: int) -> DataFrame:
     """row (the document), text (what is left; NULL only where it was), n_removed, n_lines."""
-    gone = written(removed_lines(docs, similarity), "gone")
+    gone = written(removed_lines(docs, similarity, least), "gone")
     rows = nested(docs, key=F.coalesce("doc_id", F.lit(-(1 << 63))), tie=F.xxhash64(text_of())).join(gone, ["key", "tie"], "left")
     all_lines = F.split(F.coalesce("row.text", F.lit("")), "\n", -1)
     left = F.array_join(F.filter(all_lines, lambda x, i: ~F.array_contains("removed", i)), "\n")
@@ -165,15 +168,15 @@ def _cleaned(docs: DataFrame, similarity: float) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """docs with `text` less the removed lines, and n_chars to match, if it is there."""
-    rows, kinds = _cleaned(docs, similarity), dict(docs.dtypes)
+    """docs with `text` less the removed lines, those of few words among them, and n_chars to match, if it is there."""
+    rows, kinds = _cleaned(docs, similarity, 1), dict(docs.dtypes)
     new = {"text": F.col("text"), "n_chars": F.when(F.col("n_removed") > 0, F.length("text").cast(kinds.get("n_chars", "long"))).otherwise(F.col("row.n_chars")) if "n_chars" in kinds else None}
     return rows.select(*[(new[c] if c in new else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def line_dedup(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Per document: doc_id, n_lines, n_removed, text (what is left)."""
-    rows = _cleaned(docs.select("doc_id", text_of().alias("text")), similarity)
+    rows = _cleaned(docs.select("doc_id", text_of().alias("text")), similarity, LEAST)
     return rows.select("row.doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.col("n_removed").cast("long").alias("n_removed"), "text")
 
 

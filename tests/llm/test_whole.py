@@ -2,7 +2,7 @@
 
 import random
 
-from helixtable.llm import simhash
+from helixtable.llm import lines, simhash
 
 
 def jaccard(a, b):
@@ -28,3 +28,10 @@ def test_near_duplicates_from_similarity_08(spark):
                 group = [group[j] if g == group[i] else g for g in group] if group[j] < group[i] else [group[i] if g == group[j] else g for g in group]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert sorted(r["doc_id"] for r in simhash.deduplicated(docs).select("doc_id").collect()) == sorted(set(group))
+
+
+def test_short_lines_repeat(spark):
+    """Repeats of lines of one to four words go, as sets of words; lines without words stay."""
+    rows = [(1, "All rights reserved.\n\nYes\nall of the\n  "), (2, "ALL rights  reserved.\n\nno\nthe of all of\n  "), (3, "All rights reserved\nyes\nno"), (None, "No")]
+    out = {r["doc_id"]: r["text"] for r in lines.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {1: "All rights reserved.\n\nYes\nall of the\n  ", 2: "\n\n  ".replace("\n\n", "\n"), 3: "All rights reserved", None: "No"}
