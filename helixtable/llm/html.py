@@ -59,7 +59,7 @@ class Block:
 def named_bad(name: str, attributes: str, in_article: bool) -> bool:
     if name in NOT_TEXT or (name == "header" and not in_article):
         return True
-    if not attributes or name in ("html", "body", "article", "main"):
+    if not attributes or name in ("html", "body"):
         return False
     for key, *values in ATTRIBUTE.findall(attributes):
         value = "".join(values)
@@ -136,12 +136,10 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-def first_pass(b: Block, has_article: bool) -> str:
-    """good, bad or undecided."""
+def first_pass(b: Block) -> str:
+    """good, bad or undecided. An article is evidence for its own blocks only: it says nothing against others."""
     if b.bad or b.linked > LINKS * len(b.text):
         return "bad"
-    if has_article and not b.article:
-        return "bad"
     words = b.text.lower().split()
     dense = sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / len(words)
     if b.article:
@@ -183,8 +181,7 @@ def second_pass(found: list[Block], labels: list[str]) -> list[str]:
 
 def main_text(page: str) -> str:
     found = blocks(page)
-    has_article = any(b.article for b in found)
-    labels = second_pass(found, [first_pass(b, has_article) for b in found])
+    labels = second_pass(found, [first_pass(b) for b in found])
     return "\n".join(b.text for b, label in zip(found, labels, strict=True) if label == "good")
 
 

@@ -2,7 +2,7 @@
 
 import random
 
-from helixtable.llm import lines, simhash
+from helixtable.llm import html, lines, simhash
 
 
 def jaccard(a, b):
@@ -35,3 +35,16 @@ def test_short_lines_repeat(spark):
     rows = [(1, "All rights reserved.\n\nYes\nall of the\n  "), (2, "ALL rights  reserved.\n\nno\nthe of all of\n  "), (3, "All rights reserved\nyes\nno"), (None, "No")]
     out = {r["doc_id"]: r["text"] for r in lines.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert out == {1: "All rights reserved.\n\nYes\nall of the\n  ", 2: "\n\n  ".replace("\n\n", "\n"), 3: "All rights reserved", None: "No"}
+
+
+STORY = "This is the first paragraph of the story and it has all of the words that are needed for it to be the text of the page."
+MORE = "And this is another paragraph of the same story with many of the words that it needs to be long enough for the rules."
+
+
+def test_articles_beside_the_text():
+    """Reader comments and teaser cards in <article> take nothing from a text that stands in a <div>."""
+    body = f"<div id=content><p>{STORY}</p><p>{MORE}</p></div>"
+    remark = "<p>I think that this is the best of all the stories that I have read on the site in a very long time.</p>"
+    assert html.main_text(f'{body}<ol class="commentlist"><li><article class="comment">{remark}</article></ol>') == f"{STORY}\n{MORE}"
+    assert html.main_text(f'{body}<article class="comment">{remark}</article>') == f"{STORY}\n{MORE}"
+    assert html.main_text(f"{body}<article>{remark}</article>").startswith(f"{STORY}\n{MORE}")
