@@ -7,7 +7,8 @@ pass undecided blocks take the label of their nearest decided neighbours; inside
 differ, and with no decided neighbour there, they are good.
 
 Defined cases: null html is an empty page with an empty text; null and repeated page_ids and urls stay; unclosed
-elements end with what encloses them; an unclosed comment, script or style runs to the end; an empty table gives an
+elements end with what encloses them; an unclosed comment, script or style runs to the end; what else holds no text
+of the page (SKIPPED) is left out up to its end tag, or alone where it has none or closes itself; an empty table gives an
 empty result; columns of other names are ignored.
 """
 
@@ -22,13 +23,15 @@ from pyspark.sql import functions as F
 from helixtable.llm.common import small_batches
 
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|object|title|textarea|select|math)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(script|style)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)"
     r"|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^\"'>]++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>",
     re.S | re.I,
 )
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
+SKIPPED = {n: re.compile(rf"</{n}\s*>", re.I) for n in ("noscript", "template", "svg", "iframe", "title", "textarea", "select")}
+
 # HTML's block-level and void elements.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -39,6 +42,13 @@ NOT_WORDS = frozenset(
     "footer gdpr masthead menu modal nav navbar navigation newsletter notice pager pagination popup promo promoted promotion related replies "
     "reply respond share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget login complementary search".split()
 )
+# Words that follow the one that names a container, and words that make a name say what an element has or lacks.
+GENERIC = frozenset(
+    "area background bar block body bottom box btn button buttons center col column container content entry footer form group head icon icons inner item items left link links list main media "
+    "meta nav outer panel primary region right row secondary section slot text thread title top trail unit widget wrap wrapper".split()
+)
+SAYING = frozenset("has have with without no not is open closed enable enabled disable disabled show hide status".split())
+QUALIFIERS = frozenset("related promoted sponsored".split())
 # Frequent function words of English, German, French and Spanish.
 STOP_WORDS = frozenset(
     "the of and to in a is that it for was on are with as his they be at this from have or by one had not but what all were when your can said there "
@@ -56,6 +66,18 @@ class Block:
         self.text, self.linked, self.bad, self.article, self.heading = text, linked, bad, article, heading
 
 
+def head_word(words: list[str]) -> str:
+    """The word of a class or id that says what its element is; an empty one if the name only says what it has."""
+    if not SAYING.isdisjoint(words):
+        return ""
+    if words[0] in QUALIFIERS:
+        return words[0]
+    end = len(words)
+    while end > 1 and (words[end - 1] in GENERIC or len(words[end - 1]) == 1) and words[end - 1] not in NOT_WORDS:
+        end -= 1
+    return words[end - 1]
+
+
 def named_bad(name: str, attributes: str, in_article: bool) -> bool:
     if name in NOT_TEXT or (name == "header" and not in_article):
         return True
@@ -65,11 +87,15 @@ def named_bad(name: str, attributes: str, in_article: bool) -> bool:
         value = "".join(values)
         if key.lower() == "hidden" or (key.lower() == "aria-hidden" and value == "true"):
             return True
-        parts = {p.lower() for p in PART.findall(value)}
-        if key.lower() != "aria-hidden" and not NOT_WORDS.isdisjoint(parts):
-            return True
-        if "header" in parts and not in_article and parts.isdisjoint(("article", "entry", "post", "story", "content")):
-            return True
+        if key.lower() == "aria-hidden":
+            continue
+        for token in value.split():
+            parts = [p.lower() for p in PART.findall(token)]
+            head = head_word(parts) if parts else ""
+            if head in NOT_WORDS or "".join(parts) in NOT_WORDS:
+                return True
+            if head == "header" and not in_article and {"article", "entry", "post", "story", "content"}.isdisjoint(parts):
+                return True
     return False
 
 
@@ -99,7 +125,8 @@ def blocks(page: str) -> list[Block]:
             if in_link:
                 linked += len(raw)
 
-    for m in TOKEN.finditer(page):
+    unclosed: set[str] = set()
+    while m := TOKEN.search(page, upto):
         text(page[upto : m.start()])
         upto = m.end()
         closing, name, attributes = (m[2], m[3], m[4]) if m[3] else (m[5], m[6], m[7])
@@ -108,7 +135,15 @@ def blocks(page: str) -> list[Block]:
                 parts.append(" ")
             continue
         name = name.lower()
-        if name == "a":
+        if name in SKIPPED:
+            parts.append(" ")
+            if not closing and not attributes.endswith("/") and name not in unclosed:
+                end = SKIPPED[name].search(page, upto)
+                if end:
+                    upto = end.end()
+                else:
+                    unclosed.add(name)
+        elif name == "a":
             in_link = 0 if closing else 1
         elif name == "br":
             parts.append(" ")

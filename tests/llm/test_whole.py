@@ -48,3 +48,15 @@ def test_articles_beside_the_text():
     assert html.main_text(f'{body}<ol class="commentlist"><li><article class="comment">{remark}</article></ol>') == f"{STORY}\n{MORE}"
     assert html.main_text(f'{body}<article class="comment">{remark}</article>') == f"{STORY}\n{MORE}"
     assert html.main_text(f"{body}<article>{remark}</article>").startswith(f"{STORY}\n{MORE}")
+
+
+def test_loose_words_and_tags():
+    """Names that only mention a sidebar, comments or social do not make an element bad, nor do other tags swallow the text."""
+    for name in ("content has-sidebar", "page-with-comments", "post social-studies", "no-header", "comments-open"):
+        assert html.main_text(f'<div class="{name}" id="{name.split()[-1]}"><p>{STORY}</p><p>{MORE}</p></div>') == f"{STORY}\n{MORE}"
+    for name in ("comment-list", "site-footer", "cookie-notice", "ad-container", "sidebar", "related-posts", "socialLinks", "nav-bar", "site-header", "post-comments", "social-share-bar"):
+        assert html.main_text(f'<div class="{name}"><p>{STORY}</p></div><p>{MORE}</p>') == MORE
+    for tag in ("<svg-icon>", "<title-block>", "<select-list>", "<svg viewBox='0 0 1 1'/>", "<iframe src='x' />", "<svg>", "<SELECT name=x>"):
+        assert html.main_text(f"<p>{STORY}{tag}</p><p>{MORE}</p>") == f"{STORY}\n{MORE}"
+    assert html.main_text(f"<article><p>{STORY} <math><mi>xyz</mi></math> <object>fallback</object><svg><text>drawn</text></svg></p></article>") == f"{STORY} xyz fallback"
+    assert html.main_text("<svg>" * 100_000 + f"<p>{STORY}</p>") == STORY
