@@ -2,7 +2,7 @@
 
 import random
 
-from helixtable.llm import html, lines, simhash
+from helixtable.llm import html, lines, pii, simhash
 
 
 def jaccard(a, b):
@@ -60,3 +60,13 @@ def test_loose_words_and_tags():
         assert html.main_text(f"<p>{STORY}{tag}</p><p>{MORE}</p>") == f"{STORY}\n{MORE}"
     assert html.main_text(f"<article><p>{STORY} <math><mi>xyz</mi></math> <object>fallback</object><svg><text>drawn</text></svg></p></article>") == f"{STORY} xyz fallback"
     assert html.main_text("<svg>" * 100_000 + f"<p>{STORY}</p>") == STORY
+
+
+def test_disclosing_terms_of_whole_texts(spark):
+    """A name far from the address, short, repeated, or in a text without the address is found all the same."""
+    fill = lambda i, n: " ".join(f"fill{i}x{k}" for k in range(n))
+    rows = [(i, f"note of day{i} ana@corp.example.org at{i} {fill(i, 30)} Zorblax, {fill(i + 100, 20)} (zorblax)  qz") for i in range(6)]
+    rows += [(i, f"the note of day{i} {fill(i, 40)}") for i in range(6, 60)] + [(60, f"today {fill(60, 9)} Zorblax! came")]
+    got = {r["doc_id"]: r["spans"] for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    places = {i: [t[int(a) : int(b)] for k, a, b in (x.split(":") for x in got[i].split(",") if x) if k == "term"] for i, t in rows}
+    assert all(places[i] == ["Zorblax", "zorblax", "qz"] for i in range(6)) and places[60] == ["Zorblax"] and not any(places[i] for i in range(6, 60))
