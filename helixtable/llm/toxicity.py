@@ -4,8 +4,11 @@ A word's embedding is the sum of three rows of hashed tables, two for the word (
 agree) and one for its first PREFIX letters, so forms of one stem are alike.
 Filters of several widths run over the words of a text, each filter keeps its largest response over the whole text,
 and a logistic layer weighs them. Training uses a bounded sample of labelled rows (POSITIVE and NEGATIVE, those of
-the smallest hashes); a part of it is held back to choose, for each language guessed from the text's own function
-words, the logit above which a text is toxic. Scores are shifted so that this logit is always scored THRESHOLD.
+the smallest hashes; HELD_BACK of all rows, by hash, are kept out of it). All labelled rows that are neither held out nor
+trained on choose, for each language guessed from the text's own function words, the logit above which a text is toxic:
+counts by language, bin of the logit and label, weighed to the labels' true mix, have the best F1 there. A language's
+counts are joined by those of all languages, scaled to SHRINK positive rows, so its cut moves from the common one to its
+own as its labels grow. Scores are shifted so that this logit is always scored THRESHOLD.
 
 Defined cases: a null text is an empty one, and an empty text is scored by the bias alone; null and repeated doc_ids
 stay; a document labelled more than once is toxic if any label says so, null labels don't count; without labels of
@@ -23,9 +26,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from helixtable.llm.common import nested, small_batches, text_of
+from helixtable.llm.common import forget, nested, small_batches, text_of, written
 
-POSITIVE, NEGATIVE, HELD_BACK, THRESHOLD, SEED = 2000, 4000, 0.3, 0.7, 42
+POSITIVE, NEGATIVE, HELD_BACK, THRESHOLD, SEED, SHRINK, BINS = 2000, 4000, 0.3, 0.7, 42, 30, 64
 BUCKETS, DIMENSION, WIDTHS, FILTERS, EPOCHS, STEPS, BATCH, RATE, PREFIX = 1 << 17, 8, (1, 2, 3), 8, 6, 400, 64, 0.05, 4
 KEPT = 1 << 16  # words whose hashes a batch function remembers
 PAD = BUCKETS  # the row of zeros
@@ -86,7 +89,6 @@ class Model:
     bias: np.ndarray
     weights: np.ndarray
     intercept: float
-    cuts: dict[int, float]  # logit of THRESHOLD by language, -1 for all
 
     def responses(self, buckets: np.ndarray, numbers: np.ndarray) -> Iterator[np.ndarray]:
         """For each width, the responses of its filters at every word."""
@@ -102,24 +104,16 @@ class Model:
         best = np.concatenate([np.maximum.reduceat(r, starts, axis=0) for r in self.responses(buckets, numbers)], axis=1)
         return np.maximum(best + self.bias, 0) @ self.weights + self.intercept
 
-    def scores(self, logits: np.ndarray, languages: np.ndarray) -> np.ndarray:
-        cut = np.array([self.cuts.get(int(x), self.cuts[-1]) for x in languages])
-        return 1 / (1 + np.exp(-np.clip(logits - cut + np.log(THRESHOLD / (1 - THRESHOLD)), -50, 50)))
-
 
 def trained(texts: list[str], toxic: np.ndarray, seed: int = SEED) -> Model | None:
     """A model from labelled texts; None without both labels."""
     if len(set(toxic.tolist())) < 2:
         return None
     rng = np.random.default_rng(seed)
-    held = np.zeros(len(texts), dtype=bool)
-    held[rng.permutation(len(texts))[: int(len(texts) * HELD_BACK)]] = True
-    if len(set(toxic[~held].tolist())) < 2:
-        held[:] = False
     small = lambda *shape: (rng.standard_normal(shape) * 0.1).astype(np.float32)
     tables = small(3, BUCKETS + 1, DIMENSION)
     tables[:, PAD] = 0
-    m = Model(tables, [small(w, DIMENSION, FILTERS) * 5 for w in WIDTHS], np.zeros(FILTERS * len(WIDTHS), np.float32), small(FILTERS * len(WIDTHS)) * 5, 0.0, {-1: 0.0})
+    m = Model(tables, [small(w, DIMENSION, FILTERS) * 5 for w in WIDTHS], np.zeros(FILTERS * len(WIDTHS), np.float32), small(FILTERS * len(WIDTHS)) * 5, 0.0)
     squares = {"tables": np.full_like(tables, 1e-3)}
 
     def adapt(name: str, value: np.ndarray, grad: np.ndarray) -> None:
@@ -138,7 +132,7 @@ def trained(texts: list[str], toxic: np.ndarray, seed: int = SEED) -> Model | No
         squares["tables"][k, rows] += total * total
         tables[k, rows] -= RATE * total / np.sqrt(squares["tables"][k, rows])
 
-    words, train = Words(), np.flatnonzero(~held)
+    words, train = Words(), np.arange(len(texts))
     share = toxic[train].mean()
     balance = np.where(toxic == 1, 0.5 / share, 0.5 / (1 - share))
     for _ in range(max(EPOCHS, -(-STEPS * BATCH // len(train)))):
@@ -173,13 +167,6 @@ def trained(texts: list[str], toxic: np.ndarray, seed: int = SEED) -> Model | No
             rows, grads = np.concatenate(rows), np.concatenate(grads)
             for k in range(3):
                 adapt_rows(k, rows[:, k], grads)
-    back = np.flatnonzero(held) if held.any() else train
-    logits, languages = judged(m, words, [texts[i] for i in back])
-    m.cuts[-1] = best_cut(logits, toxic[back])
-    for k in range(len(LANGUAGES)):
-        own = languages == k
-        if min((toxic[back][own] == 1).sum(), (toxic[back][own] == 0).sum()) >= 30:
-            m.cuts[k] = best_cut(logits[own], toxic[back][own])
     return m
 
 
@@ -193,55 +180,109 @@ def judged(m: Model, words: Words, texts: list[str], at_once: int = 128) -> tupl
     return np.concatenate(logits), np.concatenate(languages)
 
 
-def best_cut(logits: np.ndarray, toxic: np.ndarray) -> float:
-    """The middle of the widest gap among the cuts whose F1 is within 0.005 of the best."""
-    order = np.argsort(-logits, kind="stable")
-    hits = np.cumsum(toxic[order] == 1)
-    f1 = 2 * hits / (np.arange(1, len(order) + 1) + max(1, (toxic == 1).sum()))
-    sorted_logits = logits[order]
-    after = np.append(sorted_logits[1:], sorted_logits[-1] - 1)
-    gaps = np.where(f1 >= f1.max() - 0.005, sorted_logits - after, -1)
+def best_cut(bins: np.ndarray, toxic: np.ndarray, clean: np.ndarray) -> float:
+    """From weighed counts by bin: the middle of the widest gap among the cuts whose F1 is within 0.005 of the best."""
+    used = toxic + clean > 0
+    order = np.argsort(-bins[used], kind="stable")
+    low, hits, met = bins[used][order] / BINS, np.cumsum(toxic[used][order]), np.cumsum((toxic + clean)[used][order])
+    f1 = 2 * hits / (met + hits[-1])
+    below = np.append(low[1:] + 1 / BINS, low[-1] - 1)  # the upper end of the next bin
+    gaps = np.where(f1 >= f1.max() - 0.005, low - below, -np.inf)
     i = int(gaps.argmax())
-    return float((sorted_logits[i] + after[i]) / 2)
+    return float((low[i] + below[i]) / 2)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def sampled(docs: DataFrame, labels: DataFrame, positive: int = POSITIVE, negative: int = NEGATIVE) -> tuple[list[str], np.ndarray]:
-    """Texts and labels of at most positive + negative rows that are not held out."""
-    known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    known = known.withColumn("hash", F.xxhash64(F.lit(SEED), "doc_id"))
-    some = known.where("toxic = 1").orderBy("hash").limit(positive).union(known.where("toxic <> 1").orderBy("hash").limit(negative))
-    rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(some), "doc_id").select("hash", "text", "toxic").collect()  # bounded
+def known_rows(labels: DataFrame) -> DataFrame:
+    """doc_id, toxic, hash, back (whether it stays out of training) of the labelled rows that are not held out."""
+    known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out()).groupBy("doc_id").agg((F.max("toxic") == 1).cast("int").alias("toxic"))
+    back = F.pmod(F.xxhash64(F.lit(SEED + 1), "doc_id"), F.lit(1000)) < int(1000 * HELD_BACK)
+    return known.withColumn("hash", F.xxhash64(F.lit(SEED), "doc_id")).withColumn("back", back)
+
+
+def sampled(docs: DataFrame, known: DataFrame, positive: int = POSITIVE, negative: int = NEGATIVE) -> tuple[list[str], np.ndarray, Column]:
+    """Texts and labels of at most positive + negative rows to train on, and the condition that names them among the known rows."""
+    for own in (~F.col("back"), F.lit(True)):  # without both labels among the others, the rows that stay back train too
+        some = known.where(own & (F.col("toxic") == 1)).orderBy("hash").limit(positive).union(known.where(own & (F.col("toxic") == 0)).orderBy("hash").limit(negative))
+        rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(some), "doc_id").select("hash", "text", "toxic").collect()  # bounded
+        if len({r["toxic"] for r in rows}) == 2:
+            break
     rows.sort(key=lambda r: (r["hash"], r["text"]))
-    return [r["text"] for r in rows], np.array([int(r["toxic"] == 1) for r in rows])
+    last = {k: max((r["hash"] for r in rows if r["toxic"] == k), default=-(1 << 63)) for k in (0, 1)}
+    trained_on = own & (F.col("hash") <= F.when(F.col("toxic") == 1, F.lit(last[1])).otherwise(F.lit(last[0])))
+    return [r["text"] for r in rows], np.array([r["toxic"] for r in rows], dtype=np.int64), trained_on
 
 
-def scored(text: Column, model: Model | None, spark) -> Column:
-    """The score of a text without nulls. The model, some 10 MB whatever the input, is broadcast."""
+def judgement(text: Column, model: Model | None, spark) -> Column:
+    """logit and language of a text without nulls; NULL without a model. The model, some 10 MB whatever the input, is broadcast."""
     small_batches(spark)
-    shared = spark.sparkContext.broadcast(model and vars(model))
+    if model is None:
+        return F.lit(None).cast("struct<logit:double,language:int>")
+    shared = spark.sparkContext.broadcast(vars(model))
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        m, words = shared.value and Model(**shared.value), Words()
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        m, words = Model(**shared.value), Words()
         for texts in batches:
-            yield pd.Series(np.zeros(len(texts)) if m is None else m.scores(*judged(m, words, texts.tolist())))
+            logits, languages = judged(m, words, texts.tolist())
+            yield pd.DataFrame({"logit": logits.astype(np.float64), "language": languages.astype(np.int32)})
             words.clear()  # an idle worker keeps no words
 
-    return F.pandas_udf(run, "double", F.PandasUDFType.SCALAR_ITER)(text)
+    return F.pandas_udf(run, "logit double, language int", F.PandasUDFType.SCALAR_ITER)(text)
+
+
+def chosen_cuts(counts: pd.DataFrame) -> dict[int, float]:
+    """The cut of each language and, as -1, of all, from counts: language, bin, toxic, trained, n."""
+    if counts["toxic"].nunique() < 2:
+        return {-1: 0.0}
+    own = counts[~counts["trained"]]
+    own = own if own["toxic"].nunique() == 2 else counts
+    weight = counts.groupby("toxic")["n"].sum() / own.groupby("toxic")["n"].sum()  # the true mix of labels
+    bins = np.unique(own["bin"])
+    table = np.zeros((len(LANGUAGES) + 1, 2, len(bins)))
+    np.add.at(table, (own["language"].to_numpy() % (len(LANGUAGES) + 1), own["toxic"].to_numpy(), np.searchsorted(bins, own["bin"])), (own["n"] * own["toxic"].map(weight)).to_numpy(dtype=float))
+    everything = table.sum(axis=0)
+    prior = everything * (SHRINK / everything[1].sum())
+    return {-1: best_cut(bins, everything[1], everything[0])} | {k: best_cut(bins, *(table[k] + prior)[::-1]) for k in range(len(LANGUAGES))}
+
+
+def cuts_by(rows: DataFrame, known: DataFrame, trained_on: Column) -> dict[int, float]:
+    """Cuts from all known rows. rows: doc_id, logit, language (of all documents)."""
+    near = known.select("doc_id", "toxic", trained_on.alias("trained"))
+    bin_ = F.floor(F.greatest(F.lit(-100.0), F.least(F.lit(100.0), F.col("logit"))) * BINS).alias("bin")
+    counts = rows.join(near, "doc_id").groupBy("language", bin_, "toxic", "trained").agg(F.count("*").alias("n"))
+    return chosen_cuts(counts.toPandas())  # bounded by languages and bins
+
+
+def score(cuts: dict[int, float]) -> Column:
+    """The score of a row with logit and language; 0 without a model."""
+    cut = F.lit(cuts[-1])
+    for k, v in cuts.items():
+        cut = F.when(F.col("language") == k, F.lit(v)).otherwise(cut)
+    shifted = F.col("logit") - cut + float(np.log(THRESHOLD / (1 - THRESHOLD)))
+    return F.when(F.col("logit").isNull(), 0.0).otherwise(1 / (1 + F.exp(-F.greatest(F.lit(-50.0), F.least(F.lit(50.0), shifted)))))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Per document: doc_id, held_out, score, predicted."""
-    model = trained(*sampled(docs, labels))
-    rows = docs.select("doc_id", held_out().alias("held_out"), scored(text_of(), model, docs.sparkSession).alias("score"))
+    known = written(known_rows(labels), "labels")
+    texts, toxic, trained_on = sampled(docs, known)
+    model = trained(texts, toxic)
+    rows = written(docs.select("doc_id", judgement(text_of(), model, docs.sparkSession).alias("x")).select("doc_id", "x.*"), "logits")
+    rows = rows.select("doc_id", held_out().alias("held_out"), score(cuts_by(rows, known, trained_on) if model else {-1: 0.0}).alias("score"))
+    forget(known)
     return rows.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
 def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that are not predicted toxic, with their own columns."""
-    model = trained(*sampled(docs, labels))
-    rows = nested(docs, score=scored(text_of(), model, docs.sparkSession)).where(F.col("score") < THRESHOLD)
-    return rows.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    known = written(known_rows(labels), "labels")
+    texts, toxic, trained_on = sampled(docs, known)
+    model = trained(texts, toxic)
+    rows = nested(docs, doc_id=F.col("doc_id"), x=judgement(text_of(), model, docs.sparkSession)).select("row", "doc_id", "x.*")
+    rows = written(rows, "logits")
+    kept = rows.where(score(cuts_by(rows.select("doc_id", "logit", "language"), known, trained_on) if model else {-1: 0.0}) < THRESHOLD)
+    forget(known)
+    return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

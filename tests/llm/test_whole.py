@@ -2,7 +2,9 @@
 
 import random
 
-from helixtable.llm import html, lines, pii, simhash
+import pandas as pd
+
+from helixtable.llm import html, lines, pii, simhash, toxicity
 
 
 def jaccard(a, b):
@@ -70,3 +72,13 @@ def test_disclosing_terms_of_whole_texts(spark):
     got = {r["doc_id"]: r["spans"] for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     places = {i: [t[int(a) : int(b)] for k, a, b in (x.split(":") for x in got[i].split(",") if x) if k == "term"] for i, t in rows}
     assert all(places[i] == ["Zorblax", "zorblax", "qz"] for i in range(6)) and places[60] == ["Zorblax"] and not any(places[i] for i in range(6, 60))
+
+
+def test_cuts_cover_all_labels_at_their_mix():
+    """A language with few labels has its own cut, moved by them; trained rows count for the mix of labels only."""
+    rows = [(0, 64 * 4, 1, False, 900), (0, 64 * 1, 0, False, 90_000), (1, 64 * 8, 1, False, 25), (1, 64 * 6, 0, False, 20_000)]
+    cuts = toxicity.chosen_cuts(pd.DataFrame(rows, columns=["language", "bin", "toxic", "trained", "n"]))
+    assert 1 < cuts[0] < 4 and 6 < cuts[1] < 8 and cuts[2] == cuts[-1]
+    few = [(0, 64 * 3, 1, False, 10), (0, 64 * 3, 0, False, 10), (0, 64 * 5, 1, False, 10), (0, 0, 0, False, 10)]
+    frame = lambda rows: pd.DataFrame(rows, columns=["language", "bin", "toxic", "trained", "n"])
+    assert toxicity.chosen_cuts(frame(few))[-1] < 3.1 < toxicity.chosen_cuts(frame([*few, (0, 0, 0, True, 2000)]))[-1]
