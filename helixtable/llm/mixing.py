@@ -73,7 +73,7 @@ def fit(sizes: np.ndarray, counts: np.ndarray, target: float, repeats: int = REP
             more = min(int(counts[i] - extra[i]), (left - WINDOW) // int(sizes[i]))
             extra[i] += more
             left -= more * int(sizes[i])
-    return int(rounds), extra + knapsack(sizes, counts - extra, int(min(left, WINDOW)))
+    return int(rounds), extra + knapsack(sizes, counts - extra, int(left))  # over WINDOW only where every text left is longer than left - WINDOW
 
 
 def _plan(frames: pd.DataFrame) -> pd.DataFrame:

@@ -2,9 +2,10 @@
 
 import random
 
+import numpy as np
 import pandas as pd
 
-from helixtable.llm import html, lines, pii, simhash, toxicity
+from helixtable.llm import html, lines, mixing, pii, simhash, toxicity
 
 
 def jaccard(a, b):
@@ -82,3 +83,9 @@ def test_cuts_cover_all_labels_at_their_mix():
     few = [(0, 64 * 3, 1, False, 10), (0, 64 * 3, 0, False, 10), (0, 64 * 5, 1, False, 10), (0, 0, 0, False, 10)]
     frame = lambda rows: pd.DataFrame(rows, columns=["language", "bin", "toxic", "trained", "n"])
     assert toxicity.chosen_cuts(frame(few))[-1] < 3.1 < toxicity.chosen_cuts(frame([*few, (0, 0, 0, True, 2000)]))[-1]
+
+
+def test_long_texts_meet_the_budget():
+    """Where all texts are longer than what is left, the nearest sum is taken, above or below."""
+    rounds, took = mixing.fit(np.array([200_000]), np.array([10]), 130_000.0)
+    assert rounds == 0 and took.tolist() == [1]
