@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 #: Words of a text: runs of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 BATCH_ROWS = 1000
+BITS = 1 << 24  # of a bitmap of keys
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,15 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the cluster names it; where none is named, a local one (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share, as the cluster names it. In local mode, where driver and executors
+    are one process, a folder below the warehouse will do; elsewhere a folder must be named."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
-    held = spark.sparkContext.getCheckpointDir()
-    if held is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="helixtable-"))
-        held = spark.sparkContext.getCheckpointDir()
-    return held
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/helixtable"
 
 
 def drop_folder(spark: SparkSession, path: str) -> None:
@@ -38,12 +39,29 @@ def drop_folder(spark: SparkSession, path: str) -> None:
         pass
 
 
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A setting of the session for as long as the block runs; the caller's own comes back."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder, read back: lineage ends there and a lost executor costs a reread."""
+    """df as a table in the shared folder, read back: lineage ends there and a lost executor costs a reread.
+
+    Nothing reads the shuffle files behind the table again: Spark drops them when it is written.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    spark.sparkContext._jvm.System.gc()  # nothing reads the shuffle files behind this table again: Spark drops them when the plan is collected
+    with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        df.select("*").write.parquet(path)
     atexit.register(drop_folder, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_path_ = path
@@ -56,6 +74,20 @@ def forget(*tables: DataFrame) -> None:
         drop_folder(t.sparkSession, t.written_path_)
 
 
+def marked(ids: DataFrame, column: str) -> DataFrame:
+    """A bitmap of BITS bits of the hashes of a column, in BITS / 32768 rows at most (b, bits): small whatever the input."""
+    h = F.pmod(F.xxhash64(column), F.lit(BITS))
+    return ids.select(F.bitmap_bucket_number(h).alias("b"), F.bitmap_bit_position(h).alias("at")).groupBy("b").agg(F.bitmap_construct_agg("at").alias("bits"))
+
+
+def kept_by(df: DataFrame, column: str, bitmap: DataFrame) -> DataFrame:
+    """Rows of df whose column may be in the bitmap: all that are, few others."""
+    h = F.pmod(F.xxhash64(column), F.lit(BITS))
+    rows = df.withColumn("b", F.bitmap_bucket_number(h)).withColumn("at_", F.bitmap_bit_position(h)).join(F.broadcast(bitmap), "b")
+    byte = F.conv(F.hex(F.expr("substring(bits, cast(at_ div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    return rows.where(byte.bitwiseAND(F.expr("cast(shiftleft(1, cast(at_ % 8 as int)) as int)")) != 0).drop("b", "at_", "bits")
+
+
 def nested(docs: DataFrame, **more: Column) -> DataFrame:
     """docs as one column, row, beside `more`: no name of theirs clashes with one of an operator."""
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[v.alias(k) for k, v in more.items()])

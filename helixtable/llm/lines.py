@@ -1,30 +1,32 @@
 """Line dedup: an exact set-similarity join of lines, with DataFrame functions only.
 
-A line's tokens are its distinct words in lower case. Tokens are ordered by rarity: by the corpus count
-of one of BUCKETS hash buckets, then by hash. A line is removed if any earlier line (by doc_id, then line number) of
+A line's tokens are its distinct words in lower case, ordered by rarity: by the binary logarithm of the corpus count of
+one of BUCKETS hash buckets, then by hash. A line is removed if any earlier line (by doc_id, then line number) of
 the corpus has a Jaccard similarity of at least SIMILARITY with it. Lines of equal token sets are one set, known by
-128 bits; sets are joined on their prefixes, the n - ceil(t n) + SHARED rarest tokens, of which similar sets share SHARED.
-A pair is a candidate if its sizes allow the similarity and if what can still be shared after the common token does.
-Candidates are verified on whole token sets, read again from the texts that hold them.
+128 bits, of which the first line stays. Different sets are joined on their prefixes: the n - ceil(t n) + CLASSES + 1
+rarest tokens, of which similar sets share CLASSES + 1 at least. If one of those is in a bucket of fewer than
+2^(RARE + 1) words, it is a key by itself, and its list is short. If all are more frequent, two of them are in one of
+CLASSES hash classes, and that pair of tokens is the key. So no list is that of one frequent token, and the rows of
+the joins grow with the lines. Where a corpus is so large that each bucket is full, all keys are pairs of the tokens
+of the emptier buckets. Candidates must pass the length filter, the positional filter (single tokens) and a bound on the
+bits in which the parities of the tokens' hashes differ; they are verified on whole token sets, read again from the texts.
 
 Defined cases: a null text is an empty one; a null doc_id comes first; rows equal in doc_id and text are one document
 whose lines are no earlier than each other, rows that share only a doc_id are ordered by their text's hash; lines
-without words are never removed; below LEAST tokens lines are similar only if their token sets are equal, so those are
-found by equality alone, in `deduplicated`, while `line_dedup` leaves them, as its SQL does; a document may lose all
-lines and then has an empty text; an empty table gives an empty result; `deduplicated` keeps other columns as they are.
+without words are never removed; lines of any number of words take part; a document may lose all lines and then has an
+empty text; an empty table gives an empty result; `deduplicated` keeps other columns as they are.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from helixtable.llm.common import WORD, forget, nested, text_of, written
+from helixtable.llm.common import WORD, forget, kept_by, marked, nested, setting, text_of, written
 
-SIMILARITY, LEAST, SHARED, SLICES, BUCKETS, BITS = 0.8, 5, 3, 4, 1 << 20, 1 << 24
-PLAN_LETTERS = 100_000
+SIMILARITY, CLASSES, RARE, BUCKETS = 0.8, 4, 4, 1 << 21
+PART, HASH_BITS = 4096, 43  # buckets in a row of counts; bits of a token's hash below its rarity
+PLAN_LETTERS = "100000"
 
 
 def words(line: Column) -> Column:
@@ -44,66 +46,65 @@ def exploded(texts: DataFrame) -> DataFrame:
     return texts.select("key", "tie", F.posexplode(F.split("text", "\n", -1)).alias("line", "content"))
 
 
-def rarity(texts: DataFrame) -> Column:
-    """A constant of BUCKETS numbers: the binary logarithm of how often each bucket of words occurs in the corpus."""
-    conf = texts.sparkSession.conf
-    if not conf.get("spark.sql.maxPlanStringLength").isdigit():  # not set in plain letters; the driver keeps descriptions of plans, and the constant would stand in them
-        conf.set("spark.sql.maxPlanStringLength", str(PLAN_LETTERS))
-    met = texts.select(F.explode(words(F.replace("text", F.lit("\n"), F.lit(" ")))).alias("w"))
-    met = met.groupBy(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).alias("id")).agg(F.floor(F.log2(F.count("*"))).cast("int").alias("k"))
-    rows = texts.sparkSession.range(BUCKETS).join(met, "id", "left").groupBy(F.floor(F.col("id") / 4096).alias("part"))
-    parts = rows.agg(F.sort_array(F.collect_list(F.struct("id", F.coalesce("k", F.lit(0)).alias("k")))).alias("ks"))
-    parts = parts.select("part", F.array_join(F.transform("ks", lambda x: x.k.cast("string")), ",").alias("digits")).orderBy("part")
-    return F.from_json(F.lit("[" + ",".join(r["digits"] for r in parts.collect()) + "]"), "array<int>")  # a few letters a bucket
+def bucket(h: Column) -> Column:
+    return h.bitwiseAND(F.lit(BUCKETS - 1))
 
 
-def tokens(content: Column, counts: Column) -> Column:
-    """The distinct words of a line as numbers, rarest first: their bucket's logarithm above 43 bits of their hash."""
-    hashes = F.array_distinct(F.transform(words(content), lambda w: F.xxhash64(w)))
-    rank = lambda h: F.get(counts, F.pmod(h, F.lit(BUCKETS)).cast("int")).cast("long")
-    return F.sort_array(F.transform(hashes, lambda h: F.shiftleft(rank(h), 43).bitwiseOR(F.shiftrightunsigned(h, 21))))
+def rarity(texts: DataFrame) -> bytes:
+    """For each bucket a byte: the binary logarithm of how often its words occur in the corpus. BUCKETS bytes whatever the input."""
+    met = texts.select(F.explode(words(F.replace("text", F.lit("\n"), F.lit(" ")))).alias("w"))
+    counts = met.groupBy(bucket(F.xxhash64("w")).alias("id")).agg(F.floor(F.log2(F.count("*"))).cast("int").alias("k")).where("k > 0")
+    packed = F.shiftleft(F.col("id") % PART, 6).cast("int") + F.col("k")
+    out = bytearray(BUCKETS)
+    for row in counts.groupBy(F.floor(F.col("id") / PART).alias("part")).agg(F.collect_list(packed).alias("ks")).collect():
+        for x in row["ks"]:  # PART at most
+            out[row["part"] * PART + (x >> 6)] = x & 63
+    return bytes(out)
 
 
-def prefix(n: str, similarity: float) -> str:
-    return f"cast({n} - ceil({similarity} * {n} - 1e-9) + {SHARED} as int)"
+def tokens(content: Column, counts: bytes) -> Column:
+    """The distinct words of a line as numbers, rarest first: their bucket's logarithm above HASH_BITS bits of their hash."""
+    hashes = F.array_distinct(F.transform(words(content), lambda w: F.xxhash64(w)))
+    rank = lambda h: F.ascii(F.substring(F.lit(counts), bucket(h).cast("int") + 1, 1).cast("string")).cast("long")
+    return F.sort_array(F.transform(hashes, lambda h: F.shiftleft(rank(h), HASH_BITS).bitwiseOR(F.shiftrightunsigned(h, 64 - HASH_BITS))))
 
 
-def marked(ids: DataFrame, column: str) -> DataFrame:
-    """A bitmap of BITS bits of the hashes of a column, in BITS / 32768 rows at most (b, bits): small whatever the input."""
-    h = F.pmod(F.xxhash64(column), F.lit(BITS))
-    return ids.select(F.bitmap_bucket_number(h).alias("b"), F.bitmap_bit_position(h).alias("at")).groupBy("b").agg(F.bitmap_construct_agg("at").alias("bits"))
+def keys(t: str, similarity: float) -> tuple[Column, Column]:
+    """The rare tokens of a set's prefix, and the keys of pairs of its other tokens. Sets that only an equal set can be similar to have none."""
+    n, least = f"size({t})", f"cast(ceil({similarity} * size({t}) - 1e-9) as int)"
+    partner = f"(floor({n} / {similarity} + 1e-9) > {n} OR {least} < {n} OR {n} - 1 >= {similarity} * ({n} + 1) - 1e-9)"
+    prefix = f"slice({t}, 1, CASE WHEN {partner} THEN {n} - {least} + {CLASSES + 1} ELSE 0 END)"
+    rare = f"shiftright(x, {HASH_BITS}) <= {RARE}"
+    frequent = f"filter({prefix}, x -> NOT {rare})"
+    # below CLASSES + 1 shared tokens no two need be of one class: all pairs, or the tokens where only one is shared
+    alike = f"({least} <= {CLASSES} OR (shiftright(x ^ y, 6) & {CLASSES - 1}L) = 0)"
+    pairs = f"transform({frequent}, (x, i) -> transform(filter(slice({frequent}, i + 2, {n}), y -> {alike}), y -> xxhash64(x, y)))"
+    return F.expr(f"filter({prefix}, x -> {rare} OR {least} <= 1)"), F.expr(f"flatten({pairs})")
 
 
-def kept_by(df: DataFrame, column: str, bitmap: DataFrame) -> DataFrame:
-    """Rows of df whose column may be in the bitmap: all that are, few others."""
-    h = F.pmod(F.xxhash64(column), F.lit(BITS))
-    rows = df.withColumn("b", F.bitmap_bucket_number(h)).withColumn("at_", F.bitmap_bit_position(h)).join(F.broadcast(bitmap), "b")
-    byte = F.conv(F.hex(F.expr("substring(bits, cast(at_ div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    return rows.where(F.shiftright(byte, 0).bitwiseAND(F.expr("cast(shiftleft(1, cast(at_ % 8 as int)) as int)")) != 0).drop("b", "at_", "bits")
+def parities(t: str) -> Column:
+    """64 bits: whether an odd number of tokens has each of 64 hash values. Two sets differ in as many tokens at least as bits."""
+    return F.expr(f"aggregate({t}, 0L, (a, x) -> a ^ shiftleft(1L, cast(x & 63L as int)))")
 
 
-def fitting(similarity: float) -> Column:
-    """Whether sets a and b (n_a, n_b, and pos_a, pos_b of a common token) can still be similar: length and positional filters."""
+def fitting(similarity: float, positional: bool) -> Column:
+    """Whether sets a and b (n_a, n_b, bits_a, bits_b, and pos_a, pos_b of a common token) can still be similar."""
     need = f"ceil({similarity / (1 + similarity)!r} * (n_a + n_b) - 1e-9)"
-    room = "least(pos_a, pos_b) + least(n_a - pos_a, n_b - pos_b)"
-    return F.expr(f"least(n_a, n_b) >= {similarity} * greatest(n_a, n_b) - 1e-9 AND {room} >= {need}")
-
+    room = f" AND least(pos_a, pos_b) + least(n_a - pos_a, n_b - pos_b) >= {need}" if positional else ""
+    lengths = f"least(n_a, n_b) >= {similarity} * greatest(n_a, n_b) - 1e-9"
+    return F.expr(f"{lengths} AND bit_count(bits_a ^ bits_b) <= n_a + n_b - 2 * {need}{room}")
 
-def bits(tokens: str, half: int) -> Column:
-    """64 of the 128 bits that the tokens set, each by seven bits of its hash."""
-    chosen = "shiftright(x, 6) & 1L" if half else "1L - (shiftright(x, 6) & 1L)"
-    return F.expr(f"aggregate({tokens}, 0L, (a, x) -> a | shiftleft({chosen}, cast(x & 63L as int)))")
 
-
-def shared(pairs: DataFrame) -> DataFrame:
-    """id_a, id_b of the pairs that stand there for SHARED tokens at least."""
-    return pairs.groupBy("id_a", "id_b").count().where(F.col("count") >= SHARED).select("id_a", "id_b")
+def sides(left: DataFrame, right: DataFrame, on: str, *columns: str) -> DataFrame:
+    """left as a and right as b, joined on a key; the earlier set is a."""
+    a, b = (d.select(on, *[F.col(c).alias(f"{c}_{x}") for c in columns]) for d, x in ((left, "a"), (right, "b")))
+    return a.join(b, on).where("id_a < id_b")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """ids of the later sets (id_b) of the pairs that are similar, by their whole token sets."""
-    needed = pairs.select(F.col("id_a").alias("id")).union(pairs.select(F.col("id_b").alias("id"))).distinct()
-    needed = written(sets.select("id", "at").join(needed, "id").select("id", "at.*"), "line-needs")
+    ids = pairs.select(F.col("id_a").alias("id")).union(pairs.select(F.col("id_b").alias("id"))).distinct()
+    needed = written(sets.select("id", "at").join(ids, "id").select("id", "at.*"), "line-needs")
     again = exploded(kept_by(texts, "key", marked(needed, "key"))).join(needed, ["key", "tie", "line"]).dropDuplicates(["id"])
     again = written(again.select("id", F.array_distinct(F.transform(words(F.col("content")), lambda w: F.xxhash64(w))).alias("t")), "line-tokens")
     a, b = (again.select(*[F.col(c).alias(f"{c}_{x}") for c in ("id", "t")]) for x in "ab")
@@ -115,68 +116,79 @@ def verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, similarity: fl
 
 
 def similar_sets(sets: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """ids of the sets with an earlier similar set. sets: id (in the order of `at`), n, at (key, tie, line of its first line), prefix.
+    """ids of the sets with an earlier similar set. sets: id (in the order of `at`), n, bits, singles, pairs, at (key, tie, line of its first line).
 
-    First each set is held against the earliest set of each of its tokens: that settles groups of near copies at the
-    cost of their members. Then only the sets that this left are joined with all that are earlier.
+    Lists of single tokens are short and joined whole. By pairs, each set is first held against the earliest set of each
+    of its keys: that settles groups of near copies at the cost of their members. Then only the sets that this left
+    are joined with all that are earlier.
     """
-    rows = lambda of: of.select("id", "n", "low", "high", F.posexplode("prefix").alias("pos", "token")).where(F.shiftright("token", 43) > 0)
-    by_token = Window.partitionBy("token").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
-    first = rows(sets).withColumn("a", F.first(F.struct("id", "n", "pos")).over(by_token))
-    first = first.select(*[F.col(f"a.{c}").alias(f"{c}_a") for c in ("id", "n", "pos")], *[F.col(c).alias(f"{c}_b") for c in ("id", "n", "pos")])
-    pairs = written(shared(first.where("id_a < id_b").where(fitting(similarity))), "line-pairs")
-    early = verified(pairs, sets, texts, similarity)
-    marked_sets = written(sets.select("id", "n", "low", "high", "prefix").join(early.withColumn("settled", F.lit(True)), "id", "left"), "line-open")
-    sides = ((rows(marked_sets), "a"), (rows(marked_sets.where("settled IS NULL")), "b"))
-    apart = F.expr(f"bit_count(low_a ^ low_b) + bit_count(high_a ^ high_b) <= {prefix('n_a', similarity)} + {prefix('n_b', similarity)} - {2 * SHARED}")
-    found = []
-    for k in range(SLICES):  # one share of the tokens after the other: the rows of one share stand on disk at a time
-        a, b = (q.where(F.pmod("token", F.lit(SLICES)) == k).select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "pos", "low", "high")]) for q, x in sides)
-        found.append(written(a.join(b, "token").where("id_a < id_b").where(apart).where(fitting(similarity)).select("id_a", "id_b"), "line-pairs"))
-    pairs = written(shared(reduce(DataFrame.union, found)), "line-pairs")
-    forget(marked_sets, *found)
-    return early.union(verified(pairs, sets, texts, similarity))
-
-
-def removed_lines(docs: DataFrame, similarity: float = SIMILARITY, least: int = LEAST) -> DataFrame:
+    single = sets.select("id", "n", "bits", F.posexplode("singles").alias("pos", "token"))
+    near = sides(single, single, "token", "id", "n", "bits", "pos").where(fitting(similarity, True)).select("id_a", "id_b")
+    pair = sets.select("id", "n", "bits", F.explode("pairs").alias("key"))
+    heads = pair.groupBy("key").agg(F.min("id").alias("head"), F.max("id").alias("last")).where("head < last").select("key", "head")
+    star = pair.select("key", "id").join(heads, "key").where("head < id").select(F.col("head").alias("id_a"), F.col("id").alias("id_b")).distinct()
+    thin_a, thin_b = (sets.select(*[F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "bits")]) for x in "ab")
+    star = star.join(thin_a, "id_a").join(thin_b, "id_b").where(fitting(similarity, False)).select("id_a", "id_b")
+    found = written(near.union(star).distinct(), "line-pairs")
+    early = verified(found, sets, texts, similarity)
+    open_ = pair.join(early, "id", "left_anti")
+    rest = sides(pair, open_, "key", "id", "n", "bits").where(fitting(similarity, False)).select("id_a", "id_b").distinct()
+    rest = written(rest.join(found, ["id_a", "id_b"], "left_anti"), "line-pairs")
+    late = verified(rest, sets, texts, similarity)
+    forget(found, rest)
+    return early.union(late).distinct()
+
+
+def set_lines(texts: DataFrame, similarity: float) -> DataFrame:
+    """For each line with words: at (key, tie, line), s1, s2 (its token set), n, bits, singles, pairs; as a written table."""
+    counts = rarity(texts)
+    lines = exploded(texts).where(F.col("content").rlike(WORD)).select(F.struct("key", "tie", "line").alias("at"), tokens(F.col("content"), counts).alias("t"))
+    singles, pairs = keys("t", similarity)
+    lines = lines.select("at", F.xxhash64("t").alias("s1"), F.xxhash64(F.lit(1), "t").alias("s2"), F.size("t").alias("n"), parities("t").alias("bits"), singles.alias("singles"), pairs.alias("pairs"))
+    with setting(texts.sparkSession, "spark.sql.maxPlanStringLength", PLAN_LETTERS):  # the driver keeps descriptions of plans, and the counts would stand in them
+        return written(lines, "lines")
+
+
+def removed_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """key, tie, removed (sorted line numbers) of the documents that lose lines."""
     texts = keyed(docs)
-    counts = rarity(texts)
-    lines = exploded(texts).withColumn("t", tokens(F.col("content"), counts)).withColumn("n", F.size("t")).where(F.col("n") >= least)
-    few = F.sort_array(F.array_distinct(words(F.col("content"))))  # few tokens have few bits: their words are hashed
-    name = lambda *salt: F.when(F.col("n") < LEAST, F.xxhash64(*salt, few)).otherwise(F.xxhash64(*salt, "t"))
-    lines = lines.select(F.struct("key", "tie", "line").alias("at"), "n", name().alias("s1"), name(F.lit(1)).alias("s2"), F.expr(f"slice(t, 1, {prefix('n', similarity)})").alias("prefix"))
-    lines = written(lines, "lines")
-    wide, lines = lines, written(lines.select("at", "s1", "s2"), "line-keys")
-    sets = wide.groupBy("s1", "s2").agg(F.min("at").alias("at"), *[F.first(c).alias(c) for c in ("n", "prefix")])
-    sets = sets.withColumn("low", bits("prefix", 0)).withColumn("high", bits("prefix", 1))
+    wide = set_lines(texts, similarity)
+    lines = written(wide.select("at", "s1", "s2"), "line-keys")
+    sets = wide.groupBy("s1", "s2").agg(F.min("at").alias("at"), *[F.first(c).alias(c) for c in ("n", "bits", "singles", "pairs")])
     sets = written(sets.orderBy("at").withColumn("id", F.monotonically_increasing_id()), "line-sets")  # ids grow as `at` does
     forget(wide)
-    late = similar_sets(sets.where(F.col("n") >= LEAST), texts, similarity).withColumn("late", F.lit(True))
+    late = similar_sets(sets, texts, similarity).withColumn("late", F.lit(True))
     firsts = written(sets.select("id", "s1", "s2", F.col("at").alias("first")).join(late, "id", "left").drop("id"), "line-firsts")
-    gone = lines.select("s1", "s2", "at").join(firsts, ["s1", "s2"]).where(F.col("late").isNotNull() | (F.col("at") > F.col("first")))
-    return gone.groupBy("at.key", "at.tie").agg(F.array_sort(F.collect_set("at.line")).alias("removed"))
+    forget(sets)
+    gone = lines.join(firsts, ["s1", "s2"]).where(F.col("late").isNotNull() | (F.col("at") > F.col("first")))
+    out = written(gone.groupBy("at.key", "at.tie").agg(F.array_sort(F.collect_set("at.line")).alias("removed")), "gone")
+    forget(lines, firsts)
+    return out
 
 
-def _cleaned(docs: DataFrame, similarity: float, least: int) -> DataFrame:
+def _cleaned(docs: DataFrame, similarity: float) -> DataFrame:
     """row (the document), text (what is left; NULL only where it was), n_removed, n_lines."""
-    gone = written(removed_lines(docs, similarity, least), "gone")
-    rows = nested(docs, key=F.coalesce("doc_id", F.lit(-(1 << 63))), tie=F.xxhash64(text_of())).join(gone, ["key", "tie"], "left")
+    rows = nested(docs, key=F.coalesce("doc_id", F.lit(-(1 << 63))), tie=F.xxhash64(text_of())).join(removed_lines(docs, similarity), ["key", "tie"], "left")
     all_lines = F.split(F.coalesce("row.text", F.lit("")), "\n", -1)
     left = F.array_join(F.filter(all_lines, lambda x, i: ~F.array_contains("removed", i)), "\n")
-    return rows.select("row", F.when(F.col("removed").isNull(), F.col("row.text")).otherwise(left).alias("text"), F.coalesce(F.size("removed"), F.lit(0)).alias("n_removed"), F.size(all_lines).alias("n_lines"))
+    return rows.select(
+        "row", F.when(F.col("removed").isNull(), F.col("row.text")).otherwise(left).alias("text"),
+        F.coalesce(F.size("removed"), F.lit(0)).alias("n_removed"), F.size(all_lines).alias("n_lines"),
+    )
 
 
 def deduplicated(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """docs with `text` less the removed lines, those of few words among them, and n_chars to match, if it is there."""
-    rows, kinds = _cleaned(docs, similarity, 1), dict(docs.dtypes)
-    new = {"text": F.col("text"), "n_chars": F.when(F.col("n_removed") > 0, F.length("text").cast(kinds.get("n_chars", "long"))).otherwise(F.col("row.n_chars")) if "n_chars" in kinds else None}
+    """docs with `text` less the removed lines, and n_chars to match, if it is there."""
+    rows, kinds = _cleaned(docs, similarity), dict(docs.dtypes)
+    new = {"text": F.col("text")}
+    if "n_chars" in kinds:
+        new["n_chars"] = F.when(F.col("n_removed") > 0, F.length("text").cast(kinds["n_chars"])).otherwise(F.col("row.n_chars"))
     return rows.select(*[(new[c] if c in new else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def line_dedup(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Per document: doc_id, n_lines, n_removed, text (what is left)."""
-    rows = _cleaned(docs.select("doc_id", text_of().alias("text")), similarity, LEAST)
+    rows = _cleaned(docs.select("doc_id", text_of().alias("text")), similarity)
     return rows.select("row.doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.col("n_removed").cast("long").alias("n_removed"), "text")
 
 
@@ -184,7 +196,7 @@ ORACLE_SQL = rf"""
 WITH d AS (SELECT coalesce(doc_id, -9223372036854775808) AS key, doc_id, coalesce(text, '') AS text FROM documents),
 l AS (SELECT key, i, string_split(text, chr(10))[i] AS line FROM (SELECT key, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM d)),
 t AS (SELECT key, i, line, list_distinct(regexp_extract_all(lower(line), '{WORD}')) AS w FROM l),
-u AS (SELECT row_number() OVER (ORDER BY key, i) AS p, key, i, list_sort(w) AS w, len(w) AS n FROM t WHERE len(w) >= {LEAST}),
+u AS (SELECT row_number() OVER (ORDER BY key, i) AS p, key, i, list_sort(w) AS w, len(w) AS n FROM t WHERE len(w) >= 1),
 s AS (SELECT min(p) AS p, w, n FROM u GROUP BY w, n),
 x AS (SELECT p, n, unnest(list_transform(list_sort(list_transform(w, lambda x: {{'k': -length(x), 'x': x}}))[1:(n - ceil({SIMILARITY} * n - 1e-9) + 1)::BIGINT], lambda e: e.x)) AS token FROM s),
 c AS (SELECT DISTINCT a.p AS a, b.p AS b FROM x a JOIN x b ON a.token = b.token AND a.p < b.p AND a.n >= {SIMILARITY} * b.n AND b.n >= {SIMILARITY} * a.n),

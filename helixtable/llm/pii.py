@@ -24,8 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from helixtable.llm.common import small_batches, text_of, written
-from helixtable.llm.lines import kept_by, marked
+from helixtable.llm.common import kept_by, marked, small_batches, text_of, written
 
 REACH, SUPPORT, DISCLOSURE = 8, 3, 0.7
 KINDS = ("email", "ip", "card", "phone", "term")

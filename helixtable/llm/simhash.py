@@ -23,8 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from helixtable.llm.common import components, forget, nested, small_batches, text_of, written
-from helixtable.llm.lines import kept_by, marked
+from helixtable.llm.common import components, forget, kept_by, marked, nested, small_batches, text_of, written
 
 SHINGLE, RADIUS, BITS, SEED = 3, 2, 64, 42
 SIMILARITY, BANDS, ROWS = 0.8, 24, 4
