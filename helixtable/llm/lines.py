@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from helixtable.llm.common import WORD, forget, kept_by, marked, nested, setting, text_of, written
 
 SIMILARITY, CLASSES, RARE, BUCKETS = 0.8, 4, 4, 1 << 21
+PLACE = ("key", "tie", "line")  # of a line, in the order of lines
 PART, HASH_BITS = 4096, 43  # buckets in a row of counts; bits of a token's hash below its rarity
 PLAN_LETTERS = "100000"
 
@@ -50,10 +51,9 @@ def bucket(h: Column) -> Column:
     return h.bitwiseAND(F.lit(BUCKETS - 1))
 
 
-def rarity(texts: DataFrame) -> bytes:
-    """For each bucket a byte: the binary logarithm of how often its words occur in the corpus. BUCKETS bytes whatever the input."""
-    met = texts.select(F.explode(words(F.replace("text", F.lit("\n"), F.lit(" ")))).alias("w"))
-    counts = met.groupBy(bucket(F.xxhash64("w")).alias("id")).agg(F.floor(F.log2(F.count("*"))).cast("int").alias("k")).where("k > 0")
+def rarity(lines: DataFrame) -> bytes:
+    """For each bucket a byte: the binary logarithm of how many lines its tokens (h) are in. BUCKETS bytes whatever the input."""
+    counts = lines.select(F.explode("h").alias("h")).groupBy(bucket(F.col("h")).alias("id")).agg(F.floor(F.log2(F.count("*"))).cast("int").alias("k")).where("k > 0")
     packed = F.shiftleft(F.col("id") % PART, 6).cast("int") + F.col("k")
     out = bytearray(BUCKETS)
     for row in counts.groupBy(F.floor(F.col("id") / PART).alias("part")).agg(F.collect_list(packed).alias("ks")).collect():
@@ -62,24 +62,29 @@ def rarity(texts: DataFrame) -> bytes:
     return bytes(out)
 
 
-def tokens(content: Column, counts: bytes) -> Column:
-    """The distinct words of a line as numbers, rarest first: their bucket's logarithm above HASH_BITS bits of their hash."""
-    hashes = F.array_distinct(F.transform(words(content), lambda w: F.xxhash64(w)))
+def by_rarity(h: str, counts: bytes) -> Column:
+    """The tokens of a line, rarest first: their bucket's logarithm above HASH_BITS bits of their hash."""
     rank = lambda h: F.ascii(F.substring(F.lit(counts), bucket(h).cast("int") + 1, 1).cast("string")).cast("long")
-    return F.sort_array(F.transform(hashes, lambda h: F.shiftleft(rank(h), HASH_BITS).bitwiseOR(F.shiftrightunsigned(h, 64 - HASH_BITS))))
+    return F.sort_array(F.transform(h, lambda h: F.shiftleft(rank(h), HASH_BITS).bitwiseOR(F.shiftrightunsigned(h, 64 - HASH_BITS))))
 
 
-def keys(t: str, similarity: float) -> tuple[Column, Column]:
-    """The rare tokens of a set's prefix, and the keys of pairs of its other tokens. Sets that only an equal set can be similar to have none."""
-    n, least = f"size({t})", f"cast(ceil({similarity} * size({t}) - 1e-9) as int)"
-    partner = f"(floor({n} / {similarity} + 1e-9) > {n} OR {least} < {n} OR {n} - 1 >= {similarity} * ({n} + 1) - 1e-9)"
-    prefix = f"slice({t}, 1, CASE WHEN {partner} THEN {n} - {least} + {CLASSES + 1} ELSE 0 END)"
+def keyed_sets(tokens: DataFrame, similarity: float) -> DataFrame:
+    """tokens (t, n and others) with singles, the rare tokens that are keys by themselves, and frequent, those of which
+    pairs are keys (of any two classes if few are shared). Sets that only an equal set can be similar to have neither."""
+    least = f"cast(ceil({similarity} * n - 1e-9) as int)"
+    partner = f"(floor(n / {similarity} + 1e-9) > n OR {least} < n OR n - 1 >= {similarity} * (n + 1) - 1e-9)"
+    prefix = lambda more: f"slice(t, 1, CASE WHEN {partner} THEN n - {least} + {more} ELSE 0 END)"
     rare = f"shiftright(x, {HASH_BITS}) <= {RARE}"
-    frequent = f"filter({prefix}, x -> NOT {rare})"
-    # below CLASSES + 1 shared tokens no two need be of one class: all pairs, or the tokens where only one is shared
-    alike = f"({least} <= {CLASSES} OR (shiftright(x ^ y, 6) & {CLASSES - 1}L) = 0)"
-    pairs = f"transform({frequent}, (x, i) -> transform(filter(slice({frequent}, i + 2, {n}), y -> {alike}), y -> xxhash64(x, y)))"
-    return F.expr(f"filter({prefix}, x -> {rare} OR {least} <= 1)"), F.expr(f"flatten({pairs})")
+    # if a shared token is rare, so is the rarest one, which stands in the prefixes that hold one shared token
+    singles = f"CASE WHEN {least} <= 1 THEN {prefix(1)} ELSE filter({prefix(1)}, x -> {rare}) END"
+    return tokens.withColumn("singles", F.expr(singles)).withColumn("frequent", F.expr(f"filter({prefix(CLASSES + 1)}, x -> NOT {rare})")).withColumn("few", F.expr(f"{least} <= {CLASSES}"))
+
+
+def paired(sets: DataFrame) -> DataFrame:
+    """id, n, bits, key of the pairs of frequent tokens of one class; of all pairs where fewer than CLASSES + 1 tokens need be shared."""
+    firsts = sets.where(F.size("frequent") > 1).select("id", "n", "bits", "few", "frequent", F.posexplode("frequent").alias("i", "x"))
+    pairs = firsts.select("id", "n", "bits", "few", "x", F.explode(F.expr("slice(frequent, i + 2, size(frequent))")).alias("y"))
+    return pairs.where(f"few OR (shiftright(x ^ y, 6) & {CLASSES - 1}L) = 0").select("id", "n", "bits", F.xxhash64("x", "y").alias("key"))
 
 
 def parities(t: str) -> Column:
@@ -101,22 +106,22 @@ def sides(left: DataFrame, right: DataFrame, on: str, *columns: str) -> DataFram
     return a.join(b, on).where("id_a < id_b")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+def verified(pairs: DataFrame, firsts: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
     """ids of the later sets (id_b) of the pairs that are similar, by their whole token sets."""
     ids = pairs.select(F.col("id_a").alias("id")).union(pairs.select(F.col("id_b").alias("id"))).distinct()
-    needed = written(sets.select("id", "at").join(ids, "id").select("id", "at.*"), "line-needs")
-    again = exploded(kept_by(texts, "key", marked(needed, "key"))).join(needed, ["key", "tie", "line"]).dropDuplicates(["id"])
-    again = written(again.select("id", F.array_distinct(F.transform(words(F.col("content")), lambda w: F.xxhash64(w))).alias("t")), "line-tokens")
-    a, b = (again.select(*[F.col(c).alias(f"{c}_{x}") for c in ("id", "t")]) for x in "ab")
+    needed = written(firsts.select("id", *PLACE, F.xxhash64(*PLACE).alias("place")).join(ids, "id"), "line-needs")
+    whole = kept_by(lines.select(*PLACE, "h", F.xxhash64(*PLACE).alias("place")), "place", marked(needed, "place")).drop("place")
+    whole = written(whole.join(needed, [*PLACE]).dropDuplicates(["id"]).select("id", F.col("h").alias("t")), "line-tokens")
+    a, b = (whole.select(*[F.col(c).alias(f"{c}_{x}") for c in ("id", "t")]) for x in "ab")
     same = F.size(F.array_intersect("t_a", "t_b"))
     both = pairs.join(a, "id_a").join(b, "id_b").where(same >= F.lit(similarity) * (F.size("t_a") + F.size("t_b") - same) - 1e-9)
     out = written(both.select(F.col("id_b").alias("id")).distinct(), "line-late")
-    forget(needed, again)
+    forget(needed, whole)
     return out
 
 
-def similar_sets(sets: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """ids of the sets with an earlier similar set. sets: id (in the order of `at`), n, bits, singles, pairs, at (key, tie, line of its first line).
+def similar_sets(sets: DataFrame, firsts: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
+    """ids of the sets with an earlier similar set. sets: id (in the order of lines), n, bits, singles, frequent, few.
 
     Lists of single tokens are short and joined whole. By pairs, each set is first held against the earliest set of each
     of its keys: that settles groups of near copies at the cost of their members. Then only the sets that this left
@@ -124,45 +129,38 @@ def similar_sets(sets: DataFrame, texts: DataFrame, similarity: float) -> DataFr
     """
     single = sets.select("id", "n", "bits", F.posexplode("singles").alias("pos", "token"))
     near = sides(single, single, "token", "id", "n", "bits", "pos").where(fitting(similarity, True)).select("id_a", "id_b")
-    pair = sets.select("id", "n", "bits", F.explode("pairs").alias("key"))
+    pair = paired(sets)
     heads = pair.groupBy("key").agg(F.min("id").alias("head"), F.max("id").alias("last")).where("head < last").select("key", "head")
     star = pair.select("key", "id").join(heads, "key").where("head < id").select(F.col("head").alias("id_a"), F.col("id").alias("id_b")).distinct()
     thin_a, thin_b = (sets.select(*[F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "bits")]) for x in "ab")
     star = star.join(thin_a, "id_a").join(thin_b, "id_b").where(fitting(similarity, False)).select("id_a", "id_b")
     found = written(near.union(star).distinct(), "line-pairs")
-    early = verified(found, sets, texts, similarity)
+    early = verified(found, firsts, lines, similarity)
     open_ = pair.join(early, "id", "left_anti")
     rest = sides(pair, open_, "key", "id", "n", "bits").where(fitting(similarity, False)).select("id_a", "id_b").distinct()
     rest = written(rest.join(found, ["id_a", "id_b"], "left_anti"), "line-pairs")
-    late = verified(rest, sets, texts, similarity)
+    late = verified(rest, firsts, lines, similarity)
     forget(found, rest)
     return early.union(late).distinct()
 
 
-def set_lines(texts: DataFrame, similarity: float) -> DataFrame:
-    """For each line with words: at (key, tie, line), s1, s2 (its token set), n, bits, singles, pairs; as a written table."""
-    counts = rarity(texts)
-    lines = exploded(texts).where(F.col("content").rlike(WORD)).select(F.struct("key", "tie", "line").alias("at"), tokens(F.col("content"), counts).alias("t"))
-    singles, pairs = keys("t", similarity)
-    lines = lines.select("at", F.xxhash64("t").alias("s1"), F.xxhash64(F.lit(1), "t").alias("s2"), F.size("t").alias("n"), parities("t").alias("bits"), singles.alias("singles"), pairs.alias("pairs"))
-    with setting(texts.sparkSession, "spark.sql.maxPlanStringLength", PLAN_LETTERS):  # the driver keeps descriptions of plans, and the counts would stand in them
-        return written(lines, "lines")
-
-
 def removed_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """key, tie, removed (sorted line numbers) of the documents that lose lines."""
-    texts = keyed(docs)
-    wide = set_lines(texts, similarity)
-    lines = written(wide.select("at", "s1", "s2"), "line-keys")
-    sets = wide.groupBy("s1", "s2").agg(F.min("at").alias("at"), *[F.first(c).alias(c) for c in ("n", "bits", "singles", "pairs")])
-    sets = written(sets.orderBy("at").withColumn("id", F.monotonically_increasing_id()), "line-sets")  # ids grow as `at` does
-    forget(wide)
-    late = similar_sets(sets, texts, similarity).withColumn("late", F.lit(True))
-    firsts = written(sets.select("id", "s1", "s2", F.col("at").alias("first")).join(late, "id", "left").drop("id"), "line-firsts")
-    forget(sets)
-    gone = lines.join(firsts, ["s1", "s2"]).where(F.col("late").isNotNull() | (F.col("at") > F.col("first")))
-    out = written(gone.groupBy("at.key", "at.tie").agg(F.array_sort(F.collect_set("at.line")).alias("removed")), "gone")
-    forget(lines, firsts)
+    session = docs.sparkSession
+    hashes = F.sort_array(F.array_distinct(F.transform(words(F.col("content")), lambda w: F.xxhash64(w))))
+    lines = exploded(keyed(docs)).select(*PLACE, hashes.alias("h"))
+    lines = written(lines.select(*PLACE, "h", F.xxhash64("h").alias("s1"), F.xxhash64(F.lit(1), "h").alias("s2")), "lines").where(F.size("h") > 0)
+    firsts = lines.groupBy("s1", "s2").agg(F.min(F.struct(*PLACE)).alias("at")).select("at.*", "s1", "s2")
+    firsts = written(firsts.orderBy(*PLACE).withColumn("id", F.monotonically_increasing_id()), "line-firsts")  # ids grow as places do
+    tokens = lines.select(*PLACE, "s1", "s2", by_rarity("h", rarity(lines)).alias("t")).withColumn("n", F.size("t")).withColumn("bits", parities("t"))
+    sets = keyed_sets(tokens, similarity).drop("t").join(firsts, [*PLACE, "s1", "s2"]).select("id", "n", "bits", "singles", "frequent", "few")
+    with setting(session, "spark.sql.maxPlanStringLength", PLAN_LETTERS):  # the driver keeps descriptions of plans, and the counts would stand in them
+        sets = written(sets, "line-sets")
+    late = similar_sets(sets, firsts, lines, similarity).withColumn("late", F.lit(True))
+    ends = firsts.select("id", "s1", "s2", F.struct(*PLACE).alias("first")).join(late, "id", "left").drop("id")
+    gone = lines.select(*PLACE, "s1", "s2").join(ends, ["s1", "s2"]).where(F.col("late").isNotNull() | (F.struct(*PLACE) > F.col("first")))
+    out = written(gone.groupBy("key", "tie").agg(F.array_sort(F.collect_set("line")).alias("removed")), "gone")
+    forget(sets, firsts)
     return out
 
 
