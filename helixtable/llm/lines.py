@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 
 from helixtable.llm.common import WORD, forget, kept_by, marked, nested, setting, text_of, written
 
-SIMILARITY, CLASSES, RARE, BUCKETS = 0.8, 4, 4, 1 << 21
+SIMILARITY, CLASSES, RARE, BUCKETS, HEADS, LONG = 0.8, 4, 5, 1 << 21, 4, 64
+SET = ("id", "n", "bits", "more")
 PLACE = ("key", "tie", "line")  # of a line, in the order of lines
 PART, HASH_BITS = 4096, 43  # buckets in a row of counts; bits of a token's hash below its rarity
 PLAN_LETTERS = "100000"
@@ -38,6 +39,11 @@ def words(line: Column) -> Column:
     return F.array_remove(F.split(line, " ", -1), "")
 
 
+def hashes(line: Column) -> Column:
+    """The hashes of the distinct words of a line, in their own order."""
+    return F.sort_array(F.array_distinct(F.transform(words(line), lambda w: F.xxhash64(w))))
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """key (doc_id, the least number for a null one), tie (hash of the text), text."""
     return docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("key"), F.xxhash64(text_of()).alias("tie"), text_of().alias("text"))
@@ -75,29 +81,38 @@ def keyed_sets(tokens: DataFrame, similarity: float) -> DataFrame:
     partner = f"(floor(n / {similarity} + 1e-9) > n OR {least} < n OR n - 1 >= {similarity} * (n + 1) - 1e-9)"
     prefix = lambda more: f"slice(t, 1, CASE WHEN {partner} THEN n - {least} + {more} ELSE 0 END)"
     rare = f"shiftright(x, {HASH_BITS}) <= {RARE}"
-    # if a shared token is rare, so is the rarest one, which stands in the prefixes that hold one shared token
-    singles = f"CASE WHEN {least} <= 1 THEN {prefix(1)} ELSE filter({prefix(1)}, x -> {rare}) END"
+    # if a shared token is rare, so is the rarest one, which stands in the prefixes that hold one shared token; a token
+    # that is alone in its bucket is in no other line
+    singles = f"transform({prefix(1)}, x -> CASE WHEN x >= {1 << HASH_BITS}L AND ({rare} OR {least} <= 1) THEN x END)"
     return tokens.withColumn("singles", F.expr(singles)).withColumn("frequent", F.expr(f"filter({prefix(CLASSES + 1)}, x -> NOT {rare})")).withColumn("few", F.expr(f"{least} <= {CLASSES}"))
 
 
 def paired(sets: DataFrame) -> DataFrame:
-    """id, n, bits, key of the pairs of frequent tokens of one class; of all pairs where fewer than CLASSES + 1 tokens need be shared."""
-    firsts = sets.where(F.size("frequent") > 1).select("id", "n", "bits", "few", "frequent", F.posexplode("frequent").alias("i", "x"))
-    pairs = firsts.select("id", "n", "bits", "few", "x", F.explode(F.expr("slice(frequent, i + 2, size(frequent))")).alias("y"))
-    return pairs.where(f"few OR (shiftright(x ^ y, 6) & {CLASSES - 1}L) = 0").select("id", "n", "bits", F.xxhash64("x", "y").alias("key"))
+    """id, n, bits, more, key of the pairs of frequent tokens of one class; of all pairs where fewer than CLASSES + 1 tokens need be shared."""
+    firsts = sets.where(F.size("frequent") > 1).select(*SET, "few", "frequent", F.posexplode("frequent").alias("i", "x"))
+    pairs = firsts.select(*SET, "few", "x", F.explode(F.expr("slice(frequent, i + 2, size(frequent))")).alias("y"))
+    return pairs.where(f"few OR (shiftright(x ^ y, 6) & {CLASSES - 1}L) = 0").select(*SET, F.xxhash64("x", "y").alias("key"))
+
+
+def parities(t: str, long_only: bool = False) -> Column:
+    """64 bits: whether an odd number of tokens has each of 64 hash values. Two sets differ in as many tokens at least as
+    bits. The second 64 bits, of other hash values, are for long sets: the first suffice for those of LONG tokens or fewer."""
+    x = "shiftright(x, 8)" if long_only else "x"
+    bits = f"aggregate({t}, 0L, (a, x) -> a ^ shiftleft(1L, cast({x} & 63L as int)))"
+    return F.expr(f"CASE WHEN size({t}) > {LONG} THEN {bits} ELSE 0L END" if long_only else bits)
 
 
-def parities(t: str) -> Column:
-    """64 bits: whether an odd number of tokens has each of 64 hash values. Two sets differ in as many tokens at least as bits."""
-    return F.expr(f"aggregate({t}, 0L, (a, x) -> a ^ shiftleft(1L, cast(x & 63L as int)))")
+APART = "bit_count(bits_a ^ bits_b)"
 
 
 def fitting(similarity: float, positional: bool) -> Column:
-    """Whether sets a and b (n_a, n_b, bits_a, bits_b, and pos_a, pos_b of a common token) can still be similar."""
+    """Whether sets a and b (n_a, n_b, bits_a, bits_b, more_a, more_b, and pos_a, pos_b of a common token) can still be similar."""
     need = f"ceil({similarity / (1 + similarity)!r} * (n_a + n_b) - 1e-9)"
     room = f" AND least(pos_a, pos_b) + least(n_a - pos_a, n_b - pos_b) >= {need}" if positional else ""
     lengths = f"least(n_a, n_b) >= {similarity} * greatest(n_a, n_b) - 1e-9"
-    return F.expr(f"{lengths} AND bit_count(bits_a ^ bits_b) <= n_a + n_b - 2 * {need}{room}")
+    differ = f"n_a + n_b - 2 * {need}"
+    both = f"(n_a <= {LONG} OR n_b <= {LONG} OR bit_count(more_a ^ more_b) <= {differ})"
+    return F.expr(f"{lengths}{room} AND {APART} <= {differ} AND {both}")
 
 
 def sides(left: DataFrame, right: DataFrame, on: str, *columns: str) -> DataFrame:
@@ -106,12 +121,12 @@ def sides(left: DataFrame, right: DataFrame, on: str, *columns: str) -> DataFram
     return a.join(b, on).where("id_a < id_b")
 
 
-def verified(pairs: DataFrame, firsts: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
-    """ids of the later sets (id_b) of the pairs that are similar, by their whole token sets."""
+def verified(pairs: DataFrame, firsts: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """ids of the later sets (id_b) of the pairs that are similar, by their whole token sets, read again from the texts."""
     ids = pairs.select(F.col("id_a").alias("id")).union(pairs.select(F.col("id_b").alias("id"))).distinct()
     needed = written(firsts.select("id", *PLACE, F.xxhash64(*PLACE).alias("place")).join(ids, "id"), "line-needs")
-    whole = kept_by(lines.select(*PLACE, "h", F.xxhash64(*PLACE).alias("place")), "place", marked(needed, "place")).drop("place")
-    whole = written(whole.join(needed, [*PLACE]).dropDuplicates(["id"]).select("id", F.col("h").alias("t")), "line-tokens")
+    whole = kept_by(exploded(texts).withColumn("place", F.xxhash64(*PLACE)), "place", marked(needed, "place")).drop("place")
+    whole = written(whole.join(needed, [*PLACE]).dropDuplicates(["id"]).select("id", hashes(F.col("content")).alias("t")), "line-tokens")
     a, b = (whole.select(*[F.col(c).alias(f"{c}_{x}") for c in ("id", "t")]) for x in "ab")
     same = F.size(F.array_intersect("t_a", "t_b"))
     both = pairs.join(a, "id_a").join(b, "id_b").where(same >= F.lit(similarity) * (F.size("t_a") + F.size("t_b") - same) - 1e-9)
@@ -120,47 +135,56 @@ def verified(pairs: DataFrame, firsts: DataFrame, lines: DataFrame, similarity:
     return out
 
 
-def similar_sets(sets: DataFrame, firsts: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
-    """ids of the sets with an earlier similar set. sets: id (in the order of lines), n, bits, singles, frequent, few.
+def similar_sets(sets: DataFrame, firsts: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """ids of the sets with an earlier similar set. sets: id (in the order of lines), n, bits, more, singles, frequent, few.
 
-    Lists of single tokens are short and joined whole. By pairs, each set is first held against the earliest set of each
-    of its keys: that settles groups of near copies at the cost of their members. Then only the sets that this left
-    are joined with all that are earlier.
+    Lists of single tokens are short and joined whole. By pairs, each set is first held against HEADS early sets, at most,
+    of each of its keys: that settles groups of near copies at the cost of their members. Then only the sets that this
+    left are joined with all that are earlier. Of a set's candidates the one with the fewest differing bits is verified
+    first, the others only if that one was not similar.
     """
-    single = sets.select("id", "n", "bits", F.posexplode("singles").alias("pos", "token"))
-    near = sides(single, single, "token", "id", "n", "bits", "pos").where(fitting(similarity, True)).select("id_a", "id_b")
+    single = sets.select(*SET, F.posexplode("singles").alias("pos", "token")).where("token IS NOT NULL")
+    near = sides(single, single, "token", *SET, "pos").where(fitting(similarity, True)).select("id_a", "id_b", F.expr(APART).alias("apart"))
+    near = written(near.distinct(), "line-near")
     pair = paired(sets)
-    heads = pair.groupBy("key").agg(F.min("id").alias("head"), F.max("id").alias("last")).where("head < last").select("key", "head")
+    heads = pair.groupBy("key", F.pmod(F.xxhash64("id"), F.lit(HEADS)).alias("salt")).agg(F.min("id").alias("id"), F.count("*").alias("size"))
+    heads = heads.groupBy("key").agg(F.collect_list("id").alias("heads"), F.sum("size").alias("size")).where("size > 1").select("key", F.explode("heads").alias("head"))
     star = pair.select("key", "id").join(heads, "key").where("head < id").select(F.col("head").alias("id_a"), F.col("id").alias("id_b")).distinct()
-    thin_a, thin_b = (sets.select(*[F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "bits")]) for x in "ab")
-    star = star.join(thin_a, "id_a").join(thin_b, "id_b").where(fitting(similarity, False)).select("id_a", "id_b")
-    found = written(near.union(star).distinct(), "line-pairs")
-    early = verified(found, firsts, lines, similarity)
-    open_ = pair.join(early, "id", "left_anti")
-    rest = sides(pair, open_, "key", "id", "n", "bits").where(fitting(similarity, False)).select("id_a", "id_b").distinct()
-    rest = written(rest.join(found, ["id_a", "id_b"], "left_anti"), "line-pairs")
-    late = verified(rest, firsts, lines, similarity)
-    forget(found, rest)
+    thin_a, thin_b = (sets.select(*[F.col(c).alias(f"{c}_{x}") for c in SET]) for x in "ab")
+    star = star.join(thin_a, "id_a").join(thin_b, "id_b").where(fitting(similarity, False)).select("id_a", "id_b", F.expr(APART).alias("apart"))
+    found = written(near.union(star), "line-pairs")
+    forget(near)
+    best = found.groupBy("id_b").agg(F.min(F.shiftleft(F.col("apart").cast("long"), 56).bitwiseOR(F.col("id_a"))).alias("x"))  # 56 bits hold an id
+    best = written(best.select(F.col("x").bitwiseAND(F.lit((1 << 56) - 1)).alias("id_a"), "id_b"), "line-best")
+    early = verified(best, firsts, texts, similarity)
+    unsettled = lambda rows, id_: rows.join(early.withColumnRenamed("id", id_), id_, "left_anti")
+    rest = sides(pair, unsettled(pair, "id"), "key", *SET).where(fitting(similarity, False)).select("id_a", "id_b")
+    rest = unsettled(found.select("id_a", "id_b"), "id_b").unionByName(rest).distinct()
+    rest = written(rest.join(best, ["id_a", "id_b"], "left_anti"), "line-pairs")
+    late = verified(rest, firsts, texts, similarity)
+    forget(found, best, rest)
     return early.union(late).distinct()
 
 
 def removed_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """key, tie, removed (sorted line numbers) of the documents that lose lines."""
-    session = docs.sparkSession
-    hashes = F.sort_array(F.array_distinct(F.transform(words(F.col("content")), lambda w: F.xxhash64(w))))
-    lines = exploded(keyed(docs)).select(*PLACE, hashes.alias("h"))
-    lines = written(lines.select(*PLACE, "h", F.xxhash64("h").alias("s1"), F.xxhash64(F.lit(1), "h").alias("s2")), "lines").where(F.size("h") > 0)
+    texts = keyed(docs)
+    wide = exploded(texts).select(*PLACE, hashes(F.col("content")).alias("h"))
+    wide = written(wide.select(*PLACE, "h", F.xxhash64("h").alias("s1"), F.xxhash64(F.lit(1), "h").alias("s2")), "line-tokens")
+    tokens = wide.where(F.size("h") > 0)
+    lines = written(tokens.select(*PLACE, "s1", "s2"), "lines")
     firsts = lines.groupBy("s1", "s2").agg(F.min(F.struct(*PLACE)).alias("at")).select("at.*", "s1", "s2")
     firsts = written(firsts.orderBy(*PLACE).withColumn("id", F.monotonically_increasing_id()), "line-firsts")  # ids grow as places do
-    tokens = lines.select(*PLACE, "s1", "s2", by_rarity("h", rarity(lines)).alias("t")).withColumn("n", F.size("t")).withColumn("bits", parities("t"))
-    sets = keyed_sets(tokens, similarity).drop("t").join(firsts, [*PLACE, "s1", "s2"]).select("id", "n", "bits", "singles", "frequent", "few")
-    with setting(session, "spark.sql.maxPlanStringLength", PLAN_LETTERS):  # the driver keeps descriptions of plans, and the counts would stand in them
+    rare_first = tokens.select(*PLACE, by_rarity("h", rarity(tokens)).alias("t")).withColumn("n", F.size("t")).withColumn("bits", parities("t")).withColumn("more", parities("t", True))
+    sets = keyed_sets(rare_first, similarity).drop("t").join(firsts.select("id", *PLACE), [*PLACE]).select(*SET, "singles", "frequent", "few")
+    with setting(docs.sparkSession, "spark.sql.maxPlanStringLength", PLAN_LETTERS):  # the driver keeps descriptions of plans, and the counts would stand in them
         sets = written(sets, "line-sets")
-    late = similar_sets(sets, firsts, lines, similarity).withColumn("late", F.lit(True))
+    forget(wide)
+    late = similar_sets(sets, firsts, texts, similarity).withColumn("late", F.lit(True))
     ends = firsts.select("id", "s1", "s2", F.struct(*PLACE).alias("first")).join(late, "id", "left").drop("id")
     gone = lines.select(*PLACE, "s1", "s2").join(ends, ["s1", "s2"]).where(F.col("late").isNotNull() | (F.struct(*PLACE) > F.col("first")))
     out = written(gone.groupBy("key", "tie").agg(F.array_sort(F.collect_set("line")).alias("removed")), "gone")
-    forget(sets, firsts)
+    forget(sets, firsts, lines)
     return out
 
 
