@@ -147,12 +147,13 @@ def similar_sets(sets: DataFrame, firsts: DataFrame, texts: DataFrame, similarit
     near = sides(single, single, "token", *SET, "pos").where(fitting(similarity, True)).select("id_a", "id_b", F.expr(APART).alias("apart"))
     near = written(near.distinct(), "line-near")
     pair = paired(sets)
-    heads = pair.groupBy("key", F.pmod(F.xxhash64("id"), F.lit(HEADS)).alias("salt")).agg(F.min("id").alias("id"), F.count("*").alias("size"))
-    heads = heads.groupBy("key").agg(F.collect_list("id").alias("heads"), F.sum("size").alias("size")).where("size > 1").select("key", F.explode("heads").alias("head"))
+    held = pair.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key")
+    pair = written(pair.join(held, "key"), "line-pairs")  # what more than one set has
+    heads = pair.groupBy("key", F.pmod(F.xxhash64("id"), F.lit(HEADS)).alias("salt")).agg(F.min("id").alias("head")).select("key", "head")
     star = pair.select("key", "id").join(heads, "key").where("head < id").select(F.col("head").alias("id_a"), F.col("id").alias("id_b")).distinct()
     thin_a, thin_b = (sets.select(*[F.col(c).alias(f"{c}_{x}") for c in SET]) for x in "ab")
     star = star.join(thin_a, "id_a").join(thin_b, "id_b").where(fitting(similarity, False)).select("id_a", "id_b", F.expr(APART).alias("apart"))
-    found = written(near.union(star), "line-pairs")
+    found = written(near.union(star), "line-found")
     forget(near)
     best = found.groupBy("id_b").agg(F.min(F.shiftleft(F.col("apart").cast("long"), 56).bitwiseOR(F.col("id_a"))).alias("x"))  # 56 bits hold an id
     best = written(best.select(F.col("x").bitwiseAND(F.lit((1 << 56) - 1)).alias("id_a"), "id_b"), "line-best")
@@ -160,9 +161,9 @@ def similar_sets(sets: DataFrame, firsts: DataFrame, texts: DataFrame, similarit
     unsettled = lambda rows, id_: rows.join(early.withColumnRenamed("id", id_), id_, "left_anti")
     rest = sides(pair, unsettled(pair, "id"), "key", *SET).where(fitting(similarity, False)).select("id_a", "id_b")
     rest = unsettled(found.select("id_a", "id_b"), "id_b").unionByName(rest).distinct()
-    rest = written(rest.join(best, ["id_a", "id_b"], "left_anti"), "line-pairs")
+    rest = written(rest.join(best, ["id_a", "id_b"], "left_anti"), "line-rest")
     late = verified(rest, firsts, texts, similarity)
-    forget(found, best, rest)
+    forget(pair, found, best, rest)
     return early.union(late).distinct()
 
 
