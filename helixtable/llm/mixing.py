@@ -98,13 +98,16 @@ def targets(totals: DataFrame) -> DataFrame:
     return d.withColumn("target", F.least("cap_", F.col("weight_") * F.max("level_").over(everything))).select("null_", "source_", "source_size", "target")
 
 
-def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """Per row of docs: doc_id, source, size, source_size, target, copies, taken (copies times size)."""
+def mix(docs: DataFrame, seed: int = SEED, by: str | None = None) -> DataFrame:
+    """Per row of docs: doc_id, source, size, source_size, target, copies, taken (copies times size).
+
+    by: a column of hashes that names the documents to take first, by default one of doc_id and size.
+    """
     sized = docs.select(
-        "doc_id", F.col("source").isNull().alias("null_"), F.coalesce("source", F.lit("")).alias("source_"),
+        "doc_id", (F.col(by) if by else F.lit(None).cast("long")).alias("by_"), F.col("source").isNull().alias("null_"), F.coalesce("source", F.lit("")).alias("source_"),
         F.when(text_of() == "", F.lit(0)).otherwise(F.regexp_count(text_of(), F.lit(WORD))).cast("long").alias("size"),
     )
-    sized = written(sized.withColumn("hash_", F.xxhash64(F.lit(seed), "doc_id", "size")), "sizes")
+    sized = written(sized.withColumn("hash_", F.coalesce("by_", F.xxhash64(F.lit(seed), "doc_id", "size"))).drop("by_"), "sizes")
     key = ["null_", "source_"]
     counts = sized.groupBy(*key, "size").agg(F.count("*").alias("n"))
     goals = targets(counts.groupBy(*key).agg(F.sum(F.col("size") * F.col("n")).alias("source_size")))
@@ -118,8 +121,8 @@ def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
 
 
 def mixed(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """docs, each row as often as the mix takes it."""
-    keyed = written(nested(docs, uid=F.monotonically_increasing_id()), "rows")
-    took = mix(keyed.select(F.col("uid").alias("doc_id"), "row.source", "row.text"), seed).select(F.col("doc_id").alias("uid"), "copies").where("copies > 0")
+    """docs, each row as often as the mix takes it. Rows equal in doc_id, source and text are interchangeable, so runs agree."""
+    keyed = written(nested(docs, uid=F.monotonically_increasing_id(), by=F.xxhash64(F.lit(seed), "doc_id", "source", "text")), "rows")
+    took = mix(keyed.select(F.col("uid").alias("doc_id"), "row.source", "row.text", "by"), seed, "by").select(F.col("doc_id").alias("uid"), "copies").where("copies > 0")
     out = keyed.join(took, "uid").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return out.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
