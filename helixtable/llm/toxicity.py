@@ -3,10 +3,12 @@
 A word's embedding is the sum of three rows of hashed tables, two for the word (words are confused only if both hashes
 agree) and one for its first PREFIX letters, so forms of one stem are alike.
 Filters of several widths run over the words of a text, each filter keeps its largest response over the whole text,
-and a logistic layer weighs them. Training uses a bounded sample of labelled rows (POSITIVE and NEGATIVE, those of
+and a logistic layer weighs them. Filters of WIDTHS have weights of their own for each place, those of WIDE the same for
+all, so they respond to how many telling words stand near to each other. Training, in one task, uses a bounded sample of labelled rows (POSITIVE and NEGATIVE, those of
 the smallest hashes; HELD_BACK of all rows, by hash, are kept out of it). All labelled rows that are neither held out nor
 trained on choose, for each language guessed from the text's own function words, the logit above which a text is toxic:
-counts by language, bin of the logit and label, weighed to the labels' true mix, have the best F1 there. A language's
+counts by language, bin of the logit and label have the least error there: missed toxic rows, and FALSE times the clean
+rows that are not left alone, each as a share. A language's
 counts are joined by those of all languages, scaled to SHRINK positive rows, so its cut moves from the common one to its
 own as its labels grow. Scores are shifted so that this logit is always scored THRESHOLD.
 
@@ -17,9 +19,10 @@ both kinds every score is 0; an empty table gives an empty result; other columns
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -28,8 +31,9 @@ from pyspark.sql import functions as F
 
 from helixtable.llm.common import forget, nested, small_batches, text_of, written
 
-POSITIVE, NEGATIVE, HELD_BACK, THRESHOLD, SEED, SHRINK, BINS = 2000, 4000, 0.3, 0.7, 42, 30, 64
+POSITIVE, NEGATIVE, HELD_BACK, THRESHOLD, SEED, SHRINK, BINS, FALSE = 2000, 4000, 0.3, 0.7, 42, 30, 64, 4
 BUCKETS, DIMENSION, WIDTHS, FILTERS, EPOCHS, STEPS, BATCH, RATE, PREFIX = 1 << 17, 8, (1, 2, 3), 8, 6, 400, 64, 0.05, 4
+WIDE, WIDE_FILTERS = (32, 128), 4
 KEPT = 1 << 16  # words whose hashes a batch function remembers
 PAD = BUCKETS  # the row of zeros
 # Frequent function words by language.
@@ -89,31 +93,45 @@ class Model:
     bias: np.ndarray
     weights: np.ndarray
     intercept: float
+    wide: list[np.ndarray] = field(default_factory=list)  # by width: (DIMENSION, WIDE_FILTERS)
 
-    def responses(self, buckets: np.ndarray, numbers: np.ndarray) -> Iterator[np.ndarray]:
-        """For each width, the responses of its filters at every word."""
-        x = (self.tables[0][buckets[:, 0]] + self.tables[1][buckets[:, 1]] + self.tables[2][buckets[:, 2]])[numbers]
+    def embedded(self, buckets: np.ndarray) -> np.ndarray:
+        return self.tables[0][buckets[..., 0]] + self.tables[1][buckets[..., 1]] + self.tables[2][buckets[..., 2]]
+
+    def responses(self, x: np.ndarray, starts: np.ndarray) -> Iterator[np.ndarray]:
+        """For each width, the responses of its filters at every word (row of x)."""
         n = len(x)
         for w, f in zip(WIDTHS, self.filters, strict=True):
             r = x @ f[0]
             for k in range(1, w):
                 r[: n - k] += (x @ f[k])[k:]
             yield r
+        for w, f in zip(WIDE, self.wide, strict=True):
+            upto = np.concatenate([np.zeros((1, f.shape[1])), np.cumsum(x @ f, axis=0, dtype=np.float64)])
+            yield (upto[stops(starts, n, w)] - upto[:-1]).astype(np.float32)
 
     def logits(self, buckets: np.ndarray, numbers: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        best = np.concatenate([np.maximum.reduceat(r, starts, axis=0) for r in self.responses(buckets, numbers)], axis=1)
+        x = self.embedded(buckets)[numbers]
+        best = np.concatenate([np.maximum.reduceat(r, starts, axis=0) for r in self.responses(x, starts)], axis=1)
         return np.maximum(best + self.bias, 0) @ self.weights + self.intercept
 
 
+def stops(starts: np.ndarray, n: int, width: int) -> np.ndarray:
+    """For each of n words the end of the window that starts there; a window ends with its text."""
+    sizes = np.diff(np.append(starts, n))
+    return np.minimum(np.arange(n) + width, np.repeat(starts + sizes, sizes))
+
+
 def trained(texts: list[str], toxic: np.ndarray, seed: int = SEED) -> Model | None:
     """A model from labelled texts; None without both labels."""
     if len(set(toxic.tolist())) < 2:
         return None
     rng = np.random.default_rng(seed)
     small = lambda *shape: (rng.standard_normal(shape) * 0.1).astype(np.float32)
-    tables = small(3, BUCKETS + 1, DIMENSION)
+    tables = small(3, BUCKETS + 1, DIMENSION) * 0.1
     tables[:, PAD] = 0
-    m = Model(tables, [small(w, DIMENSION, FILTERS) * 5 for w in WIDTHS], np.zeros(FILTERS * len(WIDTHS), np.float32), small(FILTERS * len(WIDTHS)) * 5, 0.0)
+    n_filters = FILTERS * len(WIDTHS) + WIDE_FILTERS * len(WIDE)
+    m = Model(tables, [small(w, DIMENSION, FILTERS) * 5 for w in WIDTHS], np.zeros(n_filters, np.float32), np.abs(small(n_filters)) * 5, 0.0, [small(DIMENSION, WIDE_FILTERS) * 5 for _ in WIDE])
     squares = {"tables": np.full_like(tables, 1e-3)}
 
     def adapt(name: str, value: np.ndarray, grad: np.ndarray) -> None:
@@ -125,8 +143,7 @@ def trained(texts: list[str], toxic: np.ndarray, seed: int = SEED) -> Model | No
     def adapt_rows(k: int, rows: np.ndarray, grads: np.ndarray) -> None:
         """Adagrad on the rows of one table, each once."""
         used, inverse = np.unique(rows, return_inverse=True)
-        total = np.zeros((len(used), DIMENSION), np.float32)
-        np.add.at(total, inverse, grads)
+        total = np.stack([np.bincount(inverse, grads[:, d], len(used)) for d in range(DIMENSION)], axis=1).astype(np.float32)
         real = (used != PAD) & (np.abs(total).sum(axis=1) > 0)
         rows, total = used[real], total[real]
         squares["tables"][k, rows] += total * total
@@ -140,7 +157,8 @@ def trained(texts: list[str], toxic: np.ndarray, seed: int = SEED) -> Model | No
         for at in range(0, len(order), BATCH):
             some = order[at : at + BATCH]
             buckets, numbers, starts, _ = words.arrays([texts[i] for i in some])
-            found = list(m.responses(buckets, numbers))
+            x = m.embedded(buckets)[numbers]
+            found = list(m.responses(x, starts))
             best = np.concatenate([np.maximum.reduceat(r, starts, axis=0) for r in found], axis=1)
             hidden = np.maximum(best + m.bias, 0)
             p = 1 / (1 + np.exp(-np.clip(hidden @ m.weights + m.intercept, -50, 50)))
@@ -158,12 +176,22 @@ def trained(texts: list[str], toxic: np.ndarray, seed: int = SEED) -> Model | No
                 top = np.stack([s + found[n][s:e].argmax(axis=0) for s, e in zip(starts, ends, strict=True)])  # (texts, filters)
                 change = np.zeros_like(f)
                 for k in range(w):
-                    own = buckets[numbers[np.minimum(top + k, len(numbers) - 1)]]  # (texts, filters, 3)
-                    x = tables[0][own[..., 0]] + tables[1][own[..., 1]] + tables[2][own[..., 2]]
-                    change[k] = np.einsum("tf,tfd->df", t, x)
-                    rows.append(own.reshape(-1, 3))
+                    at_k = np.minimum(top + k, len(numbers) - 1)
+                    change[k] = np.einsum("tf,tfd->df", t, x[at_k])
+                    rows.append(buckets[numbers[at_k]].reshape(-1, 3))  # of (texts, filters)
                     grads.append((t[:, :, None] * f[k].T[None]).reshape(-1, DIMENSION))
                 adapt(f"filters{n}", f, change)
+            sums = np.concatenate([np.zeros((1, DIMENSION)), np.cumsum(x, axis=0, dtype=np.float64)])
+            for n, w in enumerate(WIDE):
+                first = len(WIDTHS) * FILTERS + n * WIDE_FILTERS
+                t, f, r = through[:, first : first + WIDE_FILTERS], m.wide[n], found[len(WIDTHS) + n]
+                top = np.stack([s + r[s:e].argmax(axis=0) for s, e in zip(starts, ends, strict=True)])
+                stop = stops(starts, len(numbers), w)[top]
+                each = (stop - top).ravel()
+                at_k = np.repeat(top.ravel(), each) + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+                rows.append(buckets[numbers[at_k]])
+                grads.append(np.repeat((t[:, :, None] * f.T[None]).reshape(-1, DIMENSION), each, axis=0))
+                adapt(f"wide{n}", f, np.einsum("tf,tfd->df", t, sums[stop] - sums[top]).astype(np.float32))
             rows, grads = np.concatenate(rows), np.concatenate(grads)
             for k in range(3):
                 adapt_rows(k, rows[:, k], grads)
@@ -181,13 +209,14 @@ def judged(m: Model, words: Words, texts: list[str], at_once: int = 128) -> tupl
 
 
 def best_cut(bins: np.ndarray, toxic: np.ndarray, clean: np.ndarray) -> float:
-    """From weighed counts by bin: the middle of the widest gap among the cuts whose F1 is within 0.005 of the best."""
+    """From weighed counts by bin: the middle of the widest gap among the cuts whose error is within 0.005 of the least.
+    The error is the share of toxic rows that are missed and FALSE times the share of clean rows that are not left alone."""
     used = toxic + clean > 0
     order = np.argsort(-bins[used], kind="stable")
-    low, hits, met = bins[used][order] / BINS, np.cumsum(toxic[used][order]), np.cumsum((toxic + clean)[used][order])
-    f1 = 2 * hits / (met + hits[-1])
+    low, hits, false = bins[used][order] / BINS, np.cumsum(toxic[used][order]), np.cumsum(clean[used][order])
+    error = 1 - hits / hits[-1] + FALSE * false / max(false[-1], 1e-9)
     below = np.append(low[1:] + 1 / BINS, low[-1] - 1)  # the upper end of the next bin
-    gaps = np.where(f1 >= f1.max() - 0.005, low - below, -np.inf)
+    gaps = np.where(error <= error.min() + 0.005, low - below, -np.inf)
     i = int(gaps.argmax())
     return float((low[i] + below[i]) / 2)
 
@@ -203,17 +232,28 @@ def known_rows(labels: DataFrame) -> DataFrame:
     return known.withColumn("hash", F.xxhash64(F.lit(SEED), "doc_id")).withColumn("back", back)
 
 
-def sampled(docs: DataFrame, known: DataFrame, positive: int = POSITIVE, negative: int = NEGATIVE) -> tuple[list[str], np.ndarray, Column]:
-    """Texts and labels of at most positive + negative rows to train on, and the condition that names them among the known rows."""
+def sampled(docs: DataFrame, known: DataFrame, positive: int = POSITIVE, negative: int = NEGATIVE) -> tuple[DataFrame, Column]:
+    """hash, text, toxic of at most positive + negative rows to train on, and the condition that names them among the known rows."""
     for own in (~F.col("back"), F.lit(True)):  # without both labels among the others, the rows that stay back train too
         some = known.where(own & (F.col("toxic") == 1)).orderBy("hash").limit(positive).union(known.where(own & (F.col("toxic") == 0)).orderBy("hash").limit(negative))
-        rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(some), "doc_id").select("hash", "text", "toxic").collect()  # bounded
-        if len({r["toxic"] for r in rows}) == 2:
+        rows = written(docs.select("doc_id", text_of().alias("text")).join(F.broadcast(some), "doc_id").select("hash", "text", "toxic"), "toxicity-sample")
+        last = {r["toxic"]: r["hash"] for r in rows.groupBy("toxic").agg(F.max("hash").alias("hash")).collect()}
+        if len(last) == 2:
             break
-    rows.sort(key=lambda r: (r["hash"], r["text"]))
-    last = {k: max((r["hash"] for r in rows if r["toxic"] == k), default=-(1 << 63)) for k in (0, 1)}
-    trained_on = own & (F.col("hash") <= F.when(F.col("toxic") == 1, F.lit(last[1])).otherwise(F.lit(last[0])))
-    return [r["text"] for r in rows], np.array([r["toxic"] for r in rows], dtype=np.int64), trained_on
+    lowest = -(1 << 63)
+    return rows, own & (F.col("hash") <= F.when(F.col("toxic") == 1, F.lit(last.get(1, lowest))).otherwise(F.lit(last.get(0, lowest))))
+
+
+def fitted(rows: DataFrame) -> Model | None:
+    """A model from a sample of bounded size (hash, text, toxic), trained by one task; the driver receives its arrays."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        f = pd.concat([pd.DataFrame({"hash": [], "text": [], "toxic": []}), *frames]).sort_values(["hash", "text"])
+        model = trained(f["text"].tolist(), f["toxic"].to_numpy(dtype=np.int64))
+        yield pd.DataFrame({"model": [] if model is None else [pickle.dumps(vars(model))]})
+
+    out = rows.repartition(1).mapInPandas(run, "model binary").collect()
+    return Model(**pickle.loads(out[0]["model"])) if out else None
 
 
 def judgement(text: Column, model: Model | None, spark) -> Column:
@@ -268,21 +308,21 @@ def score(cuts: dict[int, float]) -> Column:
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Per document: doc_id, held_out, score, predicted."""
     known = written(known_rows(labels), "labels")
-    texts, toxic, trained_on = sampled(docs, known)
-    model = trained(texts, toxic)
+    sample, trained_on = sampled(docs, known)
+    model = fitted(sample)
     rows = written(docs.select("doc_id", judgement(text_of(), model, docs.sparkSession).alias("x")).select("doc_id", "x.*"), "logits")
     rows = rows.select("doc_id", held_out().alias("held_out"), score(cuts_by(rows, known, trained_on) if model else {-1: 0.0}).alias("score"))
-    forget(known)
+    forget(known, sample)
     return rows.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
 def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that are not predicted toxic, with their own columns."""
     known = written(known_rows(labels), "labels")
-    texts, toxic, trained_on = sampled(docs, known)
-    model = trained(texts, toxic)
+    sample, trained_on = sampled(docs, known)
+    model = fitted(sample)
     rows = nested(docs, doc_id=F.col("doc_id"), x=judgement(text_of(), model, docs.sparkSession)).select("row", "doc_id", "x.*")
     rows = written(rows, "logits")
     kept = rows.where(score(cuts_by(rows.select("doc_id", "logit", "language"), known, trained_on) if model else {-1: 0.0}) < THRESHOLD)
-    forget(known)
+    forget(known, sample)
     return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
