@@ -22,13 +22,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from helixtable.llm.common import WORD, forget, kept_by, marked, nested, setting, text_of, written
+from helixtable.llm.common import WORD, forget, kept_by, marked, nested, text_of, written
 
 SIMILARITY, CLASSES, RARE, BUCKETS, HEADS, LONG = 0.8, 4, 5, 1 << 21, 4, 64
 SET = ("id", "n", "bits", "more")
 PLACE = ("key", "tie", "line")  # of a line, in the order of lines
-PART, HASH_BITS = 4096, 43  # buckets in a row of counts; bits of a token's hash below its rarity
-PLAN_LETTERS = "100000"
+PART, HASH_BITS, ZERO = 4096, 43, "!"  # buckets in a part of the counts; bits of a token's hash below its rarity; the first of the characters
 
 
 def words(line: Column) -> Column:
@@ -57,21 +56,24 @@ def bucket(h: Column) -> Column:
     return h.bitwiseAND(F.lit(BUCKETS - 1))
 
 
-def rarity(lines: DataFrame) -> bytes:
-    """For each bucket a byte: the binary logarithm of how many lines its tokens (h) are in. BUCKETS bytes whatever the input."""
-    counts = lines.select(F.explode("h").alias("h")).groupBy(bucket(F.col("h")).alias("id")).agg(F.floor(F.log2(F.count("*"))).cast("int").alias("k")).where("k > 0")
-    packed = F.shiftleft(F.col("id") % PART, 6).cast("int") + F.col("k")
-    out = bytearray(BUCKETS)
-    for row in counts.groupBy(F.floor(F.col("id") / PART).alias("part")).agg(F.collect_list(packed).alias("ks")).collect():
-        for x in row["ks"]:  # PART at most
-            out[row["part"] * PART + (x >> 6)] = x & 63
-    return bytes(out)
+def rarity(lines: DataFrame) -> DataFrame:
+    """One row, counts: for each bucket a character, by the binary logarithm of how many lines its tokens (h) are in. BUCKETS bytes whatever the input."""
+    met = lines.select(F.explode("h").alias("h")).groupBy(bucket(F.col("h")).alias("id")).agg(F.floor(F.log2(F.count("*"))).cast("int").alias("k")).where("k > 0")
+    parts = met.groupBy(F.floor(F.col("id") / PART).alias("part")).agg(F.sort_array(F.collect_list(F.struct((F.col("id") % PART).cast("int").alias("at"), "k"))).alias("x"))  # PART at most
+    one = f"concat(repeat('{ZERO}', e.at - CASE WHEN i = 0 THEN 0 ELSE x[i - 1].at + 1 END), char({ord(ZERO)} + e.k))"
+    filled = F.expr(f"concat(array_join(transform(x, (e, i) -> {one}), ''), repeat('{ZERO}', {PART - 1} - x[size(x) - 1].at))")
+    rows = lines.sparkSession.range(BUCKETS // PART).select(F.col("id").alias("part")).join(parts, "part", "left")
+    rows = rows.select("part", F.coalesce(filled, F.repeat(F.lit(ZERO), F.lit(PART))).alias("x"))
+    whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part", "x"))), lambda r: r.x), "")
+    return written(rows.agg(whole.cast("binary").alias("counts")), "line-counts")
 
 
-def by_rarity(h: str, counts: bytes) -> Column:
-    """The tokens of a line, rarest first: their bucket's logarithm above HASH_BITS bits of their hash."""
-    rank = lambda h: F.ascii(F.substring(F.lit(counts), bucket(h).cast("int") + 1, 1).cast("string")).cast("long")
-    return F.sort_array(F.transform(h, lambda h: F.shiftleft(rank(h), HASH_BITS).bitwiseOR(F.shiftrightunsigned(h, 64 - HASH_BITS))))
+def by_rarity(lines: DataFrame, counts: DataFrame) -> DataFrame:
+    """lines with t, the tokens (h) rarest first: their bucket's logarithm above HASH_BITS bits of their hash. The counts
+    are a scalar subquery, so they stand in no plan."""
+    rank = lambda h: (F.ascii(F.substring(F.col("counts"), bucket(h).cast("int") + 1, 1).cast("string")) - ord(ZERO)).cast("long")
+    t = F.sort_array(F.transform("h", lambda h: F.shiftleft(rank(h), HASH_BITS).bitwiseOR(F.shiftrightunsigned(h, 64 - HASH_BITS))))
+    return lines.select(*PLACE, "h", counts.scalar().alias("counts")).select(*PLACE, t.alias("t"))
 
 
 def keyed_sets(tokens: DataFrame, similarity: float) -> DataFrame:
@@ -176,11 +178,11 @@ def removed_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     lines = written(tokens.select(*PLACE, "s1", "s2"), "lines")
     firsts = lines.groupBy("s1", "s2").agg(F.min(F.struct(*PLACE)).alias("at")).select("at.*", "s1", "s2")
     firsts = written(firsts.orderBy(*PLACE).withColumn("id", F.monotonically_increasing_id()), "line-firsts")  # ids grow as places do
-    rare_first = tokens.select(*PLACE, by_rarity("h", rarity(tokens)).alias("t")).withColumn("n", F.size("t")).withColumn("bits", parities("t")).withColumn("more", parities("t", True))
+    counts = rarity(tokens)
+    rare_first = by_rarity(tokens, counts).withColumn("n", F.size("t")).withColumn("bits", parities("t")).withColumn("more", parities("t", True))
     sets = keyed_sets(rare_first, similarity).drop("t").join(firsts.select("id", *PLACE), [*PLACE]).select(*SET, "singles", "frequent", "few")
-    with setting(docs.sparkSession, "spark.sql.maxPlanStringLength", PLAN_LETTERS):  # the driver keeps descriptions of plans, and the counts would stand in them
-        sets = written(sets, "line-sets")
-    forget(wide)
+    sets = written(sets, "line-sets")
+    forget(wide, counts)
     late = similar_sets(sets, firsts, texts, similarity).withColumn("late", F.lit(True))
     ends = firsts.select("id", "s1", "s2", F.struct(*PLACE).alias("first")).join(late, "id", "left").drop("id")
     gone = lines.select(*PLACE, "s1", "s2").join(ends, ["s1", "s2"]).where(F.col("late").isNotNull() | (F.struct(*PLACE) > F.col("first")))
