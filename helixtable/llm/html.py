@@ -16,17 +16,17 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixtable.llm.common import small_batches
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^\"'>]++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>",
-    re.S | re.I,
-)
+NAME = re.compile(r"[a-zA-Z][a-zA-Z0-9:-]*")
+STOPS = re.compile(r"[>\"']")
+RAW = {n: re.compile(rf"</{n}\s*>", re.I) for n in ("script", "style")}
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -36,7 +36,10 @@ SKIPPED = {n: re.compile(rf"</{n}\s*>", re.I) for n in ("noscript", "template",
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 # Elements and words of class, id and role that name what is not the article.
-NOT_TEXT = frozenset("nav aside footer form menu dialog button label fieldset search".split())
+NOT_TEXT = frozenset("nav aside footer form menu dialog button fieldset search".split())
+# Elements that hold text itself: inside an article their names say nothing.
+TEXTS = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote li dt dd td th caption figcaption address".split())
+BARRIERS = frozenset("article main body".split())
 NOT_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising alert banner breadcrumb breadcrumbs comment comments commentlist consent contentinfo cookie cookies copyright disclaimer disqus "
     "footer gdpr masthead menu modal nav navbar navigation newsletter notice pager pagination popup promo promoted promotion related replies "
@@ -49,6 +52,7 @@ GENERIC = frozenset(
 )
 SAYING = frozenset("has have with without no not is open closed enable enabled disable disabled show hide status".split())
 QUALIFIERS = frozenset("related promoted sponsored".split())
+QUALIFIED = frozenset("article articles news post posts product products reading story stories topic topics video videos".split()) | GENERIC
 # Frequent function words of English, German, French and Spanish.
 STOP_WORDS = frozenset(
     "the of and to in a is that it for was on are with as his they be at this from have or by one had not but what all were when your can said there "
@@ -56,7 +60,7 @@ STOP_WORDS = frozenset(
     "le la les de et un une des du en que qui dans pour sur par pas au est plus ne se ce avec il elle sont ou "
     "el los las y del que por con para una su al lo como más pero sus no se".split()
 )
-LINKS, SHORT, LONG, DENSE, SPARSE = 0.33, 25, 200, 0.30, 0.10
+LINKS, MOSTLY, SHORT, LONG, DENSE, SPARSE = 0.33, 0.8, 25, 200, 0.30, 0.10
 
 
 class Block:
@@ -71,7 +75,7 @@ def head_word(words: list[str]) -> str:
     if not SAYING.isdisjoint(words):
         return ""
     if words[0] in QUALIFIERS:
-        return words[0]
+        return words[0] if QUALIFIED.issuperset(words[1:]) else ""
     end = len(words)
     while end > 1 and (words[end - 1] in GENERIC or len(words[end - 1]) == 1) and words[end - 1] not in NOT_WORDS:
         end -= 1
@@ -81,7 +85,7 @@ def head_word(words: list[str]) -> str:
 def named_bad(name: str, attributes: str, in_article: bool) -> bool:
     if name in NOT_TEXT or (name == "header" and not in_article):
         return True
-    if not attributes or name in ("html", "body"):
+    if not attributes or name in ("html", "body") or (in_article and name in TEXTS and "hidden" not in attributes):
         return False
     for key, *values in ATTRIBUTE.findall(attributes):
         value = "".join(values)
@@ -99,10 +103,56 @@ def named_bad(name: str, attributes: str, in_article: bool) -> bool:
     return False
 
 
+class Scanner:
+    """The tags of a page, in one walk: a page without an end of a tag, a comment or a quotation is not searched for it again."""
+
+    def __init__(self, page: str) -> None:
+        self.page, self.last, self.quoted = page, page.rfind(">"), True
+
+    def end(self, at: int) -> int:
+        """The place of the > that ends a tag whose attributes start at `at`. A > in quotes does not, unless the quotes run to the end of the page."""
+        i = at
+        while self.quoted:
+            m = STOPS.search(self.page, i)
+            if m and m[0] == ">":
+                return m.start()
+            i = self.page.find(m[0], m.end()) + 1 if m else 0
+            if not i:
+                self.quoted = False
+        return self.page.find(">", at)
+
+    def tags(self) -> Iterator[tuple[int, int, bool, str, str]]:
+        """start, end, closing, name, attributes; the name is empty for comments and the like, and attributes say what they are."""
+        page, at = self.page, self.page.find("<")
+        while 0 <= at < self.last or (at >= 0 and page.startswith("<!--", at)):
+            upto, mark = at + 1, page[at + 1 : at + 2]
+            if mark == "!" and page.startswith("<!--", at):
+                end = page.find("-->", at + 4)
+                upto = end + 3 if end >= 0 else len(page)
+                yield at, upto, False, "", ""
+            elif mark in ("!", "?") and mark:
+                upto = page.find(">", at) + 1
+                yield at, upto, False, "", ""
+            elif m := NAME.match(page, at + 1 + (mark == "/")):
+                name, end = m[0].lower(), self.end(m.end())
+                upto = end + 1
+                if name in RAW and mark != "/":
+                    close = RAW[name].search(page, upto)
+                    upto = close.end() if close else len(page)
+                    yield at, upto, False, "", name
+                else:
+                    self.resume = 0
+                    yield at, upto, mark == "/", name, page[m.end() : end]
+                    upto = self.resume or upto
+            at = page.find("<", upto)
+
+
 def blocks(page: str) -> list[Block]:
     """The non-empty blocks of a page, in order."""
     out: list[Block] = []
     stack: list[tuple[str, bool, bool]] = []  # element, bad, in an article
+    open_: list[Counter] = [Counter()]  # how many of each element are open, by the innermost of BARRIERS around them
+    total: Counter = Counter()  # the same, of all
     parts: list[str] = []
     linked = in_link = upto = 0
     heading = False
@@ -125,22 +175,35 @@ def blocks(page: str) -> list[Block]:
             if in_link:
                 linked += len(raw)
 
+    def push(name: str, bad: bool, article: bool) -> None:
+        stack.append((name, bad, article))
+        total[name] += 1
+        open_[-1][name] += 1
+        if name in BARRIERS:
+            open_.append(Counter())
+
+    def pop() -> str:
+        name = stack.pop()[0]
+        if name in BARRIERS:
+            open_.pop()
+        total[name] -= 1
+        open_[-1][name] -= 1
+        return name
+
     unclosed: set[str] = set()
-    while m := TOKEN.search(page, upto):
-        text(page[upto : m.start()])
-        upto = m.end()
-        closing, name, attributes = (m[2], m[3], m[4]) if m[3] else (m[5], m[6], m[7])
+    scanner = Scanner(page)
+    for start, end, closing, name, attributes in scanner.tags():
+        text(page[upto:start])
+        upto = end
         if not name:
-            if m[1]:
+            if attributes:
                 parts.append(" ")
-            continue
-        name = name.lower()
-        if name in SKIPPED:
+        elif name in SKIPPED:
             parts.append(" ")
             if not closing and not attributes.endswith("/") and name not in unclosed:
-                end = SKIPPED[name].search(page, upto)
-                if end:
-                    upto = end.end()
+                close = SKIPPED[name].search(page, upto)
+                if close:
+                    scanner.resume = upto = close.end()
                 else:
                     unclosed.add(name)
         elif name == "a":
@@ -151,20 +214,21 @@ def blocks(page: str) -> list[Block]:
             flush()
             in_link = 0
             if closing:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == name:
-                        del stack[i:]
-                        break
-                    if stack[i][0] in ("article", "main", "body") and name not in ("article", "main", "body", "html"):
-                        break  # a stray end tag does not end what encloses it
+                # a stray end tag does not end what encloses it: other elements end within the innermost barrier only
+                if name == "html" or name in BARRIERS:
+                    there = total[name] > 0
+                else:
+                    there = open_[-1][name] > 0
+                while there and pop() != name:
+                    pass
             elif name not in VOID:
                 if name in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1][0] in ("p", name):
-                    stack.pop()
+                    pop()
                 elif name not in ("p",) and stack and stack[-1][0] == "p":
-                    stack.pop()
+                    pop()
                 bad, article = stack[-1][1:] if stack else (False, False)
                 article = article or name in ("article", "main")
-                stack.append((name, bad or named_bad(name, attributes, article), article))
+                push(name, bad or named_bad(name, attributes, article), article)
             heading = name[0] == "h" and name[1:].isdigit() and not closing
     text(page[upto:])
     flush()
@@ -173,10 +237,12 @@ def blocks(page: str) -> list[Block]:
 
 def first_pass(b: Block) -> str:
     """good, bad or undecided. An article is evidence for its own blocks only: it says nothing against others."""
-    if b.bad or b.linked > LINKS * len(b.text):
+    if b.bad:
         return "bad"
     words = b.text.lower().split()
     dense = sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / len(words)
+    if b.linked > LINKS * len(b.text) and not (b.article and dense >= SPARSE and b.linked < MOSTLY * len(b.text)):
+        return "bad"  # an article's own sentences may hold links
     if b.article:
         return "good" if len(b.text) >= SHORT and (dense >= SPARSE or len(b.text) >= LONG) else "undecided"
     if len(b.text) < SHORT or b.heading:

@@ -1,6 +1,7 @@
 """Stages do the whole job: cases that once fell through a cut."""
 
 import random
+import time
 
 import numpy as np
 import pandas as pd
@@ -65,6 +66,34 @@ def test_loose_words_and_tags():
     assert html.main_text("<svg>" * 100_000 + f"<p>{STORY}</p>") == STORY
 
 
+def test_articles_lose_nothing():
+    """Names of paragraphs, labels and links within sentences take nothing from an article."""
+    for body in (f'<p class="share-price">{STORY}</p>', f'<section class="related-work"><p>{STORY}</p></section>', f'<p id="search-for-meaning">{STORY}</p>'):
+        assert html.main_text(f"<article>{body}</article>") == STORY
+    assert html.main_text(f"<article><p>{STORY} <label>and this</label></p></article>") == f"{STORY} and this"
+    assert "linked words" in html.main_text("<article><p>And of the <a href=x>linked words that are in it for all of the time</a> to be here with it and on it</p></article>")
+
+
+def test_hostile_pages_take_time_in_proportion():
+    """Tags, quotes, comments and elements that never end."""
+    began = time.time()
+    for page in ("<a" * 200_000, '<b "' * 100_000, '<b "' * 100_000 + ">", '<b ">' * 100_000, "<div>" * 50_000 + "</p>" * 50_000, "<p><article>" + "<div>" * 50_000 + "</p>" * 50_000, "<!--" * 100_000, "<" * 300_000, "<article>" * 20_000 + "</main>" * 20_000):
+        html.main_text(page)
+    assert time.time() - began < 20
+
+
+def test_line_sets_equal_brute_force(spark):
+    """Jaccard 0.5 and 0.8 of lines of 0 to 10 words, against all pairs."""
+    rng = random.Random(3)
+    word = ["a", "b", "c", "d", "e", "f", "g", "h", "i", "j", "k", "l", *(f"r{x}" for x in range(30))]
+    rows = [(d, "\n".join(" ".join(rng.choice(word) for _ in range(rng.randint(0, 10))) for _ in range(6))) for d in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    sets = [((d, i), frozenset(x.split())) for d, t in rows for i, x in enumerate(t.split("\n"))]
+    for similarity in (0.5, 0.8):
+        want = {k for j, (k, s) in enumerate(sets) if s and any(q and len(s & q) >= similarity * len(s | q) - 1e-9 for _, q in sets[:j])}
+        assert {(r["key"], x) for r in lines.removed_lines(docs, similarity).collect() for x in r["removed"]} == want
+
+
 def test_disclosing_terms_of_whole_texts(spark):
     """A name far from the address, short, repeated, or in a text without the address is found all the same."""
     fill = lambda i, n: " ".join(f"fill{i}x{k}" for k in range(n))
