@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -295,6 +294,53 @@ def report_include(spark, sf_dir):
     return P.ranked_hits(scored, 1e12, P.SearchOptions()).select("profile_ordinal", "seq_ordinal", "score", "reported", "included", "rank")
 
 
+@query(f"""{_TARGETS}, r AS (SELECT profile_ordinal, seq_ordinal, round(score, 6) AS score FROM h)
+SELECT profile_ordinal, seq_ordinal, score, score >= 90 AS reported, score >= 140 AS included,
+ row_number() OVER (PARTITION BY profile_ordinal ORDER BY score DESC, seq_ordinal) AS rank FROM r""")
+def report_by_score(spark, sf_dir):
+    """Reporting and inclusion by scores of their own."""
+    scored = target_scores(spark, sf_dir).select("profile_ordinal", "seq_ordinal", "score")
+    return P.ranked_hits(scored, 1e12, P.SearchOptions(t=90.0, inc_t=140.0)).select("profile_ordinal", "seq_ordinal", "score", "reported", "included", "rank")
+
+
+def _cutoffs(spark):
+    """Cutoffs of profiles 0 to 5; the seventh has none, so nothing of it is reported."""
+    n = F.col("id")
+    return spark.range(6).select(n.cast("int").alias("profile_ordinal"), (80.0 + 10 * n).alias("tc_t"), (20.0 + 5 * n).alias("tc_d"))
+
+
+@query(f"""{_TARGETS}, r AS (SELECT profile_ordinal, seq_ordinal, round(score, 6) AS score FROM h)
+SELECT profile_ordinal, seq_ordinal, score, profile_ordinal < 6 AND score >= 80 + 10 * profile_ordinal AS reported, profile_ordinal < 6 AND score >= 80 + 10 * profile_ordinal AS included FROM r""")
+def report_by_cutoffs(spark, sf_dir):
+    """Reporting and inclusion by the profiles' own trusted cutoffs."""
+    scored = target_scores(spark, sf_dir).select("profile_ordinal", "seq_ordinal", "score")
+    return P.ranked_hits(scored, 1e12, P.SearchOptions(cutoffs="tc"), _cutoffs(spark)).select("profile_ordinal", "seq_ordinal", "score", "reported", "included")
+
+
+_DOMAIN_SCORES = f"""WITH d AS (SELECT (l_orderkey % 7)::INT AS profile_ordinal, l_orderkey AS seq_ordinal, l_linenumber AS domain_ordinal, l_extendedprice / 1000 AS forward, l_quantity::INT + 1 AS own, ln(0.00390625::DOUBLE) + l_discount * 40 AS y, 1000.0::DOUBLE AS n FROM lineitem),
+s AS (SELECT profile_ordinal, seq_ordinal, domain_ordinal, round((forward + (n - own) * ln(n / (n + 3)) - (n * ln(n / (n + 1)) + ln(1 - n / (n + 1))) - (greatest(y, 0) + ln(1 + exp(-abs(y))))) / {S.LN2!r}, 6) AS score FROM d)"""
+
+
+def _reported_domains(spark, sf_dir, o):
+    scored = target_scores(spark, sf_dir).select("profile_ordinal", "seq_ordinal", "score")
+    hits = P.ranked_hits(scored, 1e12, o, _cutoffs(spark))
+    d = P.domain_scores(_domains(spark, sf_dir), 1 / 256).withColumn("domain_score", F.round("domain_score", 6))
+    d = P.domain_report(d, hits, 1e12, o, _cutoffs(spark))
+    return d.select("profile_ordinal", "seq_ordinal", "domain_ordinal", F.col("domain_score").alias("score"), "dom_reported", "dom_included")
+
+
+@query(f"""{_DOMAIN_SCORES} SELECT profile_ordinal, seq_ordinal, domain_ordinal, score, score >= 30 AS dom_reported, score >= 60 AS dom_included FROM s""")
+def domains_by_score(spark, sf_dir):
+    """Domains by scores of their own for reporting and inclusion."""
+    return _reported_domains(spark, sf_dir, P.SearchOptions(t=90.0, inc_t=140.0, dom_t=30.0, inc_dom_t=60.0))
+
+
+@query(f"""{_DOMAIN_SCORES} SELECT profile_ordinal, seq_ordinal, domain_ordinal, score, profile_ordinal < 6 AND score >= 20 + 5 * profile_ordinal AS dom_reported, profile_ordinal < 6 AND score >= 20 + 5 * profile_ordinal AS dom_included FROM s""")
+def domains_by_cutoffs(spark, sf_dir):
+    """Domains by the profiles' own trusted cutoffs."""
+    return _reported_domains(spark, sf_dir, P.SearchOptions(cutoffs="tc"))
+
+
 @query(f"""WITH d AS (SELECT (l_orderkey % 7)::INT AS profile_ordinal, l_orderkey AS seq_ordinal, l_extendedprice / 1000 AS f, 1000.0::DOUBLE AS n FROM lineitem),
 g AS (SELECT profile_ordinal, seq_ordinal, n * ln(n / (n + 1)) + ln(1 - n / (n + 1)) AS null1, sum(greatest(f + 0.004, 0)) AS s FROM d GROUP BY profile_ordinal, seq_ordinal, n),
 u AS (SELECT profile_ordinal, seq_ordinal, round(greatest((60.0 + 0.004 - null1) / {S.LN2!r} + 1e-5, (s - null1) / {S.LN2!r} + 1e-5), 6) AS upper FROM g)
@@ -457,16 +503,19 @@ def incremental_ingest(spark, sf_dir):
     from helixtable.streaming.ingest import counted_stream, run_available
 
     schema = read(spark, sf_dir, "events").schema
-    named = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="helixtable-")
     stream = counted_stream(spark, f"{sf_dir}/events.parque[t]", schema, "event_type")
-    return run_available(stream, "ingested_events", f"{named}/ingest-{spark.sparkContext.applicationId}-{id(stream)}").select("event_type", "rows", F.round("total", 4).alias("total"))
+    return run_available(stream, "ingested_events", _folder(spark, "ingest")).select("event_type", "rows", F.round("total", 4).alias("total"))
 
 
 # -- formats, merges and stability ---------------------------------------------------------------
 
 
 def _folder(spark, name):
-    named = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="helixtable-")
+    """A new folder that driver and executors share: below the one the cluster names, in local mode below the warehouse."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")
+    named = named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/helixtable"
     return f"{named.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

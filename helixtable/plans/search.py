@@ -33,9 +33,11 @@ class SearchOptions:
     inc_dom_e: float = 0.01
     t: float | None = None  # report by score instead of E-value
     dom_t: float | None = None
+    inc_t: float | None = None  # include by score instead of E-value
+    inc_dom_t: float | None = None
     z: float | None = None  # fixed search spaces
     dom_z: float | None = None
-    gathering: bool = False  # use the profiles' own cutoffs (columns ga_t, ga_d)
+    cutoffs: str | None = None  # use the profiles' own cutoffs: "ga", "tc" or "nc" (columns <name>_t for targets, <name>_d for domains)
     rt1: float = 0.25
     rt2: float = 0.10
     rt3: float = 0.20
@@ -53,6 +55,8 @@ class SearchOptions:
         for name in ("e", "inc_e", "dom_e", "inc_dom_e"):
             if not getattr(self, name) >= 0:
                 raise ValueError(f"{name} must not be negative")
+        if self.cutoffs not in (None, "ga", "tc", "nc"):
+            raise ValueError("cutoffs must be ga, tc or nc")
         for name in ("z", "dom_z"):
             if getattr(self, name) is not None and not getattr(self, name) > 0:
                 raise ValueError(f"{name} must be positive")
@@ -216,13 +220,13 @@ def target_scores(domains: DataFrame, omega: float, null2: bool = True) -> DataF
 def ranked_hits(scored: DataFrame, z: float, o: SearchOptions, cutoffs: DataFrame | None = None) -> DataFrame:
     """scored (profile_ordinal, seq_ordinal, score) with p, evalue, reported, included, rank (by falling score, then ordinal)."""
     d = scored.withColumn("p", S.exponential_survival(F.col("score"), F.lit(o.f_tau), F.lit(o.rate))).withColumn("evalue", F.col("p") * F.lit(float(z)))
-    if o.gathering:
-        d = d.join(F.broadcast(cutoffs.select("profile_ordinal", "ga_t")), "profile_ordinal", "left")
-        reported = included = F.col("score") >= F.col("ga_t")
+    if o.cutoffs:
+        d = d.join(cutoffs.select("profile_ordinal", F.col(f"{o.cutoffs}_t").alias("cut_")), "profile_ordinal", "left")
+        reported = included = F.col("score") >= F.col("cut_")
     else:
         reported = F.col("score") >= o.t if o.t is not None else F.col("evalue") <= o.e
-        included = F.col("score") >= o.t if o.t is not None else F.col("evalue") <= o.inc_e
-    d = d.withColumn("reported", F.coalesce(reported, F.lit(False))).withColumn("included", F.coalesce(included, F.lit(False)))
+        included = F.col("score") >= o.inc_t if o.inc_t is not None else F.col("evalue") <= o.inc_e
+    d = d.withColumn("reported", F.coalesce(reported, F.lit(False))).withColumn("included", F.coalesce(included, F.lit(False))).drop("cut_")
     w = Window.partitionBy("profile_ordinal").orderBy(F.col("score").desc(), "seq_ordinal")
     return d.withColumn("rank", F.row_number().over(w))
 
@@ -251,7 +255,7 @@ class SearchResult:
 
 
 def search(profiles: DataFrame, targets: DataFrame, options: SearchOptions | None = None) -> SearchResult:
-    """profiles: profile_ordinal, name, consensus, model_length (and ga_t with `gathering`); targets: as sources.tables.targets gives them."""
+    """profiles: profile_ordinal, name, consensus, model_length (and with `cutoffs` their columns); targets: as sources.tables.targets gives them."""
     o = options or SearchOptions()
     chunks = loaded(profiles)
     pairs = first_filter(segment_scores(chunks, targets), profile_constants(profiles, chunks), o)
@@ -264,11 +268,16 @@ def search(profiles: DataFrame, targets: DataFrame, options: SearchOptions | Non
     return SearchResult(pairs, filtered, continued, domains, hits)
 
 
-def domain_report(domains: DataFrame, hits: DataFrame, z: float, o: SearchOptions) -> DataFrame:
+def domain_report(domains: DataFrame, hits: DataFrame, z: float, o: SearchOptions, cutoffs: DataFrame | None = None) -> DataFrame:
     """domains with c_evalue and i_evalue; the domain search space is the number of reported targets of the profile, known only now."""
     space = hits.groupBy("profile_ordinal").agg(F.sum(F.col("reported").cast("long")).alias("dom_z"))
     p = S.exponential_survival(F.col("domain_score"), F.lit(o.f_tau), F.lit(o.rate))
     dom_z = F.lit(o.dom_z) if o.dom_z else F.col("dom_z")
-    d = domains.join(F.broadcast(space), "profile_ordinal").withColumn("i_evalue", p * F.lit(float(z))).withColumn("c_evalue", p * dom_z)
-    by_score = o.dom_t is not None
-    return d.withColumn("dom_reported", F.col("domain_score") >= o.dom_t if by_score else F.col("c_evalue") <= o.dom_e).withColumn("dom_included", F.col("domain_score") >= o.dom_t if by_score else F.col("c_evalue") <= o.inc_dom_e)
+    d = domains.join(space, "profile_ordinal").withColumn("i_evalue", p * F.lit(float(z))).withColumn("c_evalue", p * dom_z)
+    if o.cutoffs:
+        d = d.join(cutoffs.select("profile_ordinal", F.col(f"{o.cutoffs}_d").alias("cut_")), "profile_ordinal", "left")
+        reported = included = F.coalesce(F.col("domain_score") >= F.col("cut_"), F.lit(False))
+    else:
+        reported = F.col("domain_score") >= o.dom_t if o.dom_t is not None else F.col("c_evalue") <= o.dom_e
+        included = F.col("domain_score") >= o.inc_dom_t if o.inc_dom_t is not None else F.col("c_evalue") <= o.inc_dom_e
+    return d.withColumn("dom_reported", reported).withColumn("dom_included", included).drop("cut_")
