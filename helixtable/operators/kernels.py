@@ -71,12 +71,18 @@ class Profile:
         return 2.0 / (self.m * (self.m + 1))
 
 
-def segment_gains(profiles: list[Profile], residues: np.ndarray, starts: np.ndarray, slice_: int = 1 << 16) -> np.ndarray:
+def segment_gains(profiles: list[Profile], residues: np.ndarray, starts: np.ndarray, slice_: int = 1 << 15) -> np.ndarray:
     """(targets, profiles) best ungapped diagonal gain, 0 at least. residues: targets end to end, each ended by a code of 255.
 
-    Model positions are walked in turn; a step is one vector operation over all target positions, in pieces that stay in cache.
+    Model positions are walked in turn; a step is one vector operation over all target positions, in pieces that stay in
+    cache. Positions of equal gains, of any profile, share one row of gains looked up for the piece's residues.
     """
     best = np.zeros((len(starts), len(profiles)), dtype=np.int32)
+    kinds: dict[bytes, int] = {}
+    rows = [[kinds.setdefault(r.tobytes(), len(kinds)) for r in p.gains] for p in profiles]
+    tables = np.full((len(kinds), len(SYMBOLS) + 1), -10_000, np.int16)  # the last column ends a target
+    for key, at in kinds.items():
+        tables[at, :-1] = np.frombuffer(key, np.int16)
     cuts = [0]
     for s in starts[1:]:
         if s - cuts[-1] >= slice_:
@@ -88,18 +94,22 @@ def segment_gains(profiles: list[Profile], residues: np.ndarray, starts: np.ndar
             continue
         codes = residues[low:high]
         safe = np.where(codes == 255, len(SYMBOLS), codes)
-        for n, p in enumerate(profiles):
-            table = np.concatenate([p.gains, np.full((p.m, 1), -10_000, np.int16)], axis=1)
-            run = np.zeros(high - low, dtype=np.int16)
-            top = np.zeros(high - low, dtype=np.int16)
-            moved = np.empty_like(run)
-            for k in range(p.m):
-                moved[0] = 0
-                moved[1:] = run[:-1]
-                np.add(moved, table[k][safe], out=run)
-                np.maximum(run, 0, out=run)
-                np.maximum(top, run, out=top)
+        looked_up: dict[int, np.ndarray] = {}
+        run, new, top = (np.empty(high - low, dtype=np.int16) for _ in range(3))
+        for n, p in enumerate(rows):
+            run[:] = 0
+            top[:] = 0
+            for kind in p:
+                gains = looked_up.get(kind)
+                if gains is None:
+                    gains = looked_up[kind] = tables[kind][safe]
+                new[0] = gains[0]
+                np.add(run[:-1], gains[1:], out=new[1:])
+                np.maximum(new, 0, out=new)
+                np.maximum(top, new, out=top)
+                run, new = new, run
             best[own, n] = np.maximum.reduceat(top, starts[own] - low)
+        looked_up.clear()
     return best
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -504,25 +503,16 @@ def incremental_ingest(spark, sf_dir):
 
     schema = read(spark, sf_dir, "events").schema
     stream = counted_stream(spark, f"{sf_dir}/events.parque[t]", schema, "event_type")
-    return run_available(stream, "ingested_events", _folder(spark, "ingest")).select("event_type", "rows", F.round("total", 4).alias("total"))
+    return run_available(stream, "ingested_events", sinks.shared_folder(spark, "ingest")).select("event_type", "rows", F.round("total", 4).alias("total"))
 
 
 # -- formats, merges and stability ---------------------------------------------------------------
 
 
-def _folder(spark, name):
-    """A new folder that driver and executors share: below the one the cluster names, in local mode below the warehouse."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named and spark.sparkContext.master.split("[")[0] != "local":
-        raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")
-    named = named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/helixtable"
-    return f"{named.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 @query(f"{LETTERS} SELECT 'doc' || seq_ordinal AS identifier, length, upper(residues) AS residues, sha256('>doc' || seq_ordinal || ' ' || source) AS header_sha256 FROM s")
 def fasta_scan(spark, sf_dir):
     """Documents written as FASTA and read again."""
-    path = _folder(spark, "fasta")
+    path = sinks.shared_folder(spark, "fasta")
     records = letters(spark, sf_dir).select(F.concat("name", F.lit(" "), "source").alias("identifier"), "residues")
     sinks.write_lines(T.fasta_text(records), path)
     return T.read_fasta(spark, path).select("identifier", "length", "residues", "header_sha256")
@@ -531,7 +521,7 @@ def fasta_scan(spark, sf_dir):
 @query(f"WITH {PROFILES} SELECT 'passage' || profile_ordinal AS name, model_length, 'P' || profile_ordinal AS accession, model_length / 2.0::DOUBLE AS ga_t FROM p WHERE model_length > 0")
 def profile_text_scan(spark, sf_dir):
     """Passages written as profile text records and read again."""
-    path = _folder(spark, "profiles")
+    path = sinks.shared_folder(spark, "profiles")
     p = T.profile_table(read(spark, sf_dir, "benchmark"), T.residues_of)
     half = F.format_string("%.1f", F.col("model_length") / 2.0)
     text = F.concat(F.lit("HMMER3/f [3.4]\nNAME  "), "name", F.lit("\nACC   P"), "profile_ordinal", F.lit("\nLENG  "), "model_length", F.lit("\nGA    "), half, F.lit(" "), half, F.lit(";\nHMM  A C D\n//"))

@@ -7,15 +7,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from helixtable.functions import scores as S
 from helixtable.functions.alphabet import digits
+from helixtable.operators import batches as B
 from helixtable.operators import kernels as K
+from helixtable.sources.sinks import materialised
 
 #: Bytes of profile tables that a task may hold; more profiles go through in chunks.
 PROFILE_BYTES = 256 << 20
+#: Profiles that a task of a later filter keeps between batches.
+HELD = 512
 
 
 @dataclass(frozen=True)
@@ -75,7 +79,7 @@ def loaded(profiles: DataFrame) -> list[list[K.Profile]]:
 def segment_scores(profiles: list[list[K.Profile]], targets: DataFrame) -> DataFrame:
     """profile_ordinal, seq_ordinal, length, gain of all pairs: one pass over the targets for each chunk of profiles."""
     fit = targets.where("status = 'OK'").select("seq_ordinal", "residues")
-    fit = fit.repartition(fit.sparkSession.sparkContext.defaultParallelism * 4)
+    fit = fit.repartition(spread(fit.sparkSession), "seq_ordinal")
     out = None
     for chunk in profiles:
 
@@ -103,7 +107,7 @@ def profile_constants(profiles: DataFrame, chunks: list[list[K.Profile]]) -> Dat
 
 def first_filter(pairs: DataFrame, constants: DataFrame, o: SearchOptions) -> DataFrame:
     """pairs with tjb, null1, status, numerator, bits, p and action of the single-segment filter."""
-    d = pairs.join(F.broadcast(constants), "profile_ordinal")
+    d = pairs.join(constants, "profile_ordinal")
     scale = F.lit(float(K.SCALE_BYTE))
     d = d.withColumn("tjb", S.length_cost_byte(F.col("length"), scale)).withColumn("null1", S.null1_score(F.col("length")))
     status, numerator = S.ssv_status(*map(F.col, ("gain", "tjb", "tbm", "tec", "base", "bias")))
@@ -113,43 +117,71 @@ def first_filter(pairs: DataFrame, constants: DataFrame, o: SearchOptions) -> Da
     return d.withColumn("action", S.decision(F.col("p"), F.col("status"), o.f1))
 
 
-AFTER = "profile_ordinal int, seq_ordinal long, length int, residues string, msv_status string, msv_bits double, bias_nats double, viterbi_bits double, past string"
+AFTER = "profile_ordinal int, seq_ordinal long, length int, consensus string, residues string, msv_status string, msv_bits double, bias_nats double, viterbi_bits double, past string"
 
 
-def filters(candidates: DataFrame, targets: DataFrame, profiles: list[list[K.Profile]], o: SearchOptions) -> DataFrame:
+def spread(spark: SparkSession) -> int:
+    """Tasks of a kernel: the session's shuffle partitions, which are chosen by the data, and enough for its cores."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """Pairs dealt to tasks by both ordinals: neither a profile nor a target that is in a third of them is one task's burden."""
+    return rows.repartition(spread(rows.sparkSession), "profile_ordinal", "seq_ordinal")
+
+
+def batches(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, list[K.Profile], list[np.ndarray]]]:
+    """Rows, profiles and codes of each batch of pairs, whose targets are of like length, longest first."""
+    held: dict[int, K.Profile] = {}  # profiles with their tables
+    for f in frames:
+        for at in B.cut(f["length"].to_numpy()):
+            rows = f.iloc[at]
+            if len(held) > HELD:
+                held.clear()
+            for k, c in zip(rows["profile_ordinal"], rows["consensus"], strict=True):
+                if k not in held:
+                    held[k] = K.Profile(k, "", c)
+            yield rows, [held[k] for k in rows["profile_ordinal"]], [digits(r) for r in rows["residues"]]
+
+
+def filters(candidates: DataFrame, targets: DataFrame, profiles: DataFrame, o: SearchOptions) -> DataFrame:
     """Candidates with their multi-segment, bias and Viterbi scores and the last filter that each passed (NONE, MSV, BIAS, VITERBI).
 
     The three stages run in one function so that residues cross to Python once, each only for what the last one kept.
+    Profiles come by a join, so no task holds more of them than its rows name.
     """
-    by = {p.ordinal: p for c in profiles for p in c}
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            out = []
-            for r in f.itertuples():
-                p, codes, n = by[r.profile_ordinal], digits(r.residues), r.length
-                null1 = n * np.log(n / (n + 1)) + np.log(1 / (n + 1))
-                status, xj = K.multi_segment(p, codes, r.tjb)
-                bits = np.inf if status == "OVERFLOW" else ((xj - r.tjb - K.BASE) / K.SCALE_BYTE - 3.0 - null1) / S.LN2
-                usc = bits * S.LN2 + null1
-                past, bias, vit = "NONE", None, None
-                p_msv = 0.0 if status == "OVERFLOW" else S.gumbel(bits, o.m_mu, o.rate)
-                if not p_msv > o.f1:
-                    past = "MSV"
-                    bias = K.bias_score(p, codes) if o.bias_filter else null1
-                    filtered = 0.0 if status == "OVERFLOW" else S.gumbel((usc - bias) / S.LN2, o.m_mu, o.rate)
-                    if not filtered > o.f1:
-                        past = "BIAS"
-                        if filtered > o.f2:
-                            vit = (K.viterbi(p, codes) - bias) / S.LN2
-                        if vit is None or not S.gumbel(vit, o.v_mu, o.rate) > o.f2:
-                            past = "VITERBI"
-                out.append((r.profile_ordinal, r.seq_ordinal, n, r.residues, status, float(bits), bias, vit, past))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in AFTER.split(", ")])
-
-    rows = candidates.select("profile_ordinal", "seq_ordinal", "length", "tjb").join(targets.select("seq_ordinal", "residues"), "seq_ordinal")
-    n = rows.sparkSession.sparkContext.defaultParallelism * 4
-    return rows.select("profile_ordinal", "seq_ordinal", "length", "tjb", "residues").repartition(n, "profile_ordinal", "seq_ordinal").mapInPandas(run, AFTER)
+        for rows, ps, codes in batches(frames):
+            n = rows["length"].to_numpy()
+            null1 = n * np.log(n / (n + 1)) + np.log(1 / (n + 1))
+            tjb = rows["tjb"].to_numpy()
+            over, xj = B.multi_segments(ps, codes, tjb)
+            bits = np.where(over, np.inf, ((xj - tjb - K.BASE) / K.SCALE_BYTE - 3.0 - null1) / S.LN2)
+            bias, viterbi = np.full(len(n), np.nan), np.full(len(n), np.nan)
+            past = np.full(len(n), "NONE", dtype=object)
+            gumbels = lambda x, mu: np.array([0.0 if v == np.inf else S.gumbel(v, mu, o.rate) for v in x])
+            some = lambda at: ([ps[k] for k in at], [codes[k] for k in at])
+            msv = np.flatnonzero(~(gumbels(bits, o.m_mu) > o.f1))
+            past[msv] = "MSV"
+            bias[msv] = B.bias_scores(*some(msv)) if o.bias_filter and len(msv) else null1[msv]
+            left = gumbels((bits[msv] * S.LN2 + null1[msv] - bias[msv]) / S.LN2, o.m_mu)
+            kept = ~(left > o.f1)
+            past[msv[kept]] = "BIAS"
+            asked = msv[kept & (left > o.f2)]
+            past[msv[kept & ~(left > o.f2)]] = "VITERBI"
+            if len(asked):
+                viterbi[asked] = (B.viterbis(*some(asked)) - bias[asked]) / S.LN2
+                past[asked[~(gumbels(viterbi[asked], o.v_mu) > o.f2)]] = "VITERBI"
+            out = rows[["profile_ordinal", "seq_ordinal", "length", "consensus", "residues"]].copy()
+            out["msv_status"] = np.where(over, "OVERFLOW", "OK")
+            for name, x in (("msv_bits", bits), ("bias_nats", bias), ("viterbi_bits", viterbi)):
+                out[name] = pd.Series(x, index=out.index).astype(object).where(~np.isnan(x), None)
+            out["past"] = past
+            yield out
+
+    rows = candidates.select("profile_ordinal", "seq_ordinal", "length", "tjb").join(targets.select("seq_ordinal", "residues"), "seq_ordinal").join(profiles.select("profile_ordinal", "consensus"), "profile_ordinal")
+    return dealt(rows.select("profile_ordinal", "seq_ordinal", "length", "tjb", "consensus", "residues")).mapInPandas(run, AFTER)
 
 
 DOMAINS = (
@@ -159,37 +191,63 @@ DOMAINS = (
 )
 
 
-def continuation(kept: DataFrame, profiles: list[list[K.Profile]], o: SearchOptions) -> DataFrame:
-    """Forward, its filter, Backward, decoding, regions and rescored domains of what passed Viterbi; route says how regions were settled."""
-    by = {p.ordinal: p for c in profiles for p in c}
+def rescored_domain(p: K.Profile, codes: np.ndarray, begin: int, end: int) -> dict:
+    d = K.rescored(p, codes, begin, end)
+    on = [t for t in d.trace if t[0] == "M"]
+    return {
+        "env_from": d.begin, "env_to": d.end, "ali_from": int(on[0][2]), "ali_to": int(on[-1][2]), "hmm_from": int(on[0][1]), "hmm_to": int(on[-1][1]), "forward": d.forward, "backward": d.backward,
+        "accuracy": d.accuracy, "correction": d.correction, "trace": [{"state": s, "model": int(k), "target": int(i), "posterior": q} for s, k, i, q in d.trace],
+    }
+
+
+def continuation(kept: DataFrame, o: SearchOptions) -> DataFrame:
+    """Forward, its filter, Backward, decoding, regions and rescored domains of what passed Viterbi; route says how regions were settled.
+
+    kept: profile_ordinal, seq_ordinal, length, consensus, residues, bias_nats. With forward_nats given (scores from
+    elsewhere) the filter decides by them, and Forward runs only for what it keeps.
+    """
+    known = "forward_nats" in kept.columns
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            out = []
-            for r in f.itertuples():
-                p, codes, n = by[r.profile_ordinal], digits(r.residues), r.length
-                fwd = K.forward(p, codes)
-                bits = (fwd.score - r.bias_nats) / S.LN2
-                if S.exponential(bits, o.f_tau, o.rate) > o.f3:
-                    out.append((r.profile_ordinal, r.seq_ordinal, n, p.m, fwd.score, r.bias_nats, None, 0, "F3_REJECT", [], []))
+        for rows, ps, codes in batches(frames):
+            bias = rows["bias_nats"].to_numpy(dtype=float)
+            passed = (lambda nats: np.array([not S.exponential(x, o.f_tau, o.rate) > o.f3 for x in (nats - bias) / S.LN2]))
+            score = rows["forward_nats"].to_numpy(dtype=float) if known else None
+            wanted = np.flatnonzero(passed(score)) if known else np.arange(len(codes))
+            specials = dict(zip(wanted.tolist(), B.forwards([ps[k] for k in wanted], [codes[k] for k in wanted]) if len(wanted) else [], strict=True))
+            if not known:
+                score = np.array([specials[k].score for k in range(len(codes))])
+            keep, out = passed(score), []
+            for k, (p, seq, n) in enumerate(zip(ps, rows["seq_ordinal"], rows["length"], strict=True)):
+                head = (p.ordinal, seq, n, p.m, float(score[k]), float(bias[k]))
+                if not keep[k]:
+                    out.append((*head, None, 0, "F3_REJECT", [], []))
                     continue
-                track = K.posteriors(fwd, K.backward(p, codes), n / (n + 3.0))
+                track = K.posteriors(specials[k], K.backward(p, codes[k]), n / (n + 3.0))
                 found, uncertain = K.regions(track, o.rt1, o.rt2, o.rt3, o.guard)
-                domains = []
-                for begin, end, _ in found:
-                    d = K.rescored(p, codes, begin, end)
-                    on = [t for t in d.trace if t[0] == "M"]
-                    trace = [{"state": s, "model": int(k), "target": int(i), "posterior": q} for s, k, i, q in d.trace]
-                    domains.append(
-                        {"env_from": d.begin, "env_to": d.end, "ali_from": int(on[0][2]), "ali_to": int(on[-1][2]), "hmm_from": int(on[0][1]), "hmm_to": int(on[-1][1])}
-                        | {"forward": d.forward, "backward": d.backward, "accuracy": d.accuracy, "correction": d.correction, "trace": trace}
-                    )
                 route = "NO_REGIONS" if not found else "MULTIDOMAIN" if any(m for _, _, m in found) else "UNCERTAIN" if uncertain else "SIMPLE"
                 regions = [{"env_from": b, "env_to": e, "multidomain": m} for b, e, m in found]
-                out.append((r.profile_ordinal, r.seq_ordinal, n, p.m, fwd.score, r.bias_nats, float(track[-1, 0]), uncertain, route, regions, domains))
+                out.append((*head, float(track[-1, 0]), uncertain, route, regions, [rescored_domain(p, codes[k], b, e) for b, e, _ in found]))
             yield pd.DataFrame(out, columns=["profile_ordinal", "seq_ordinal", "length", "model_length", "forward_nats", "filter_nats", "nexpected", "uncertain", "route", "regions", "domains"])
 
-    return kept.where("past = 'VITERBI'").select("profile_ordinal", "seq_ordinal", "length", "residues", "bias_nats").mapInPandas(run, DOMAINS)
+    columns = ["profile_ordinal", "seq_ordinal", "length", "consensus", "residues", "bias_nats", *(["forward_nats"] if known else [])]
+    return dealt(kept.select(*columns)).mapInPandas(run, DOMAINS)
+
+
+def from_filter_scores(rows: DataFrame, targets: DataFrame, profiles: DataFrame, o: SearchOptions) -> DataFrame:
+    """The search continued from filter scores of elsewhere: profile_ordinal, seq_ordinal, bias_nats, viterbi_bits (NULL or NaN
+    is uncertain and goes on) and optionally forward_nats. Pairs that the Viterbi filter rejects for certain are left out."""
+    past = S.gumbel_survival(F.col("viterbi_bits"), F.lit(o.v_mu), F.lit(o.rate)) > o.f2
+    going = rows.where(F.col("viterbi_bits").isNull() | F.isnan("viterbi_bits") | ~past)
+    columns = [c for c in ("profile_ordinal", "seq_ordinal", "bias_nats", "forward_nats") if c in rows.columns]
+    fit = targets.where("status = 'OK'").select("seq_ordinal", "length", "residues")
+    return continuation(going.select(*columns).join(fit, "seq_ordinal").join(profiles.select("profile_ordinal", "consensus"), "profile_ordinal"), o)
+
+
+def from_msv_scores(rows: DataFrame, targets: DataFrame, profiles: DataFrame, o: SearchOptions) -> DataFrame:
+    """The filters continued from single-segment decisions of elsewhere: profile_ordinal, seq_ordinal. Same columns as `filters`."""
+    fit = targets.where("status = 'OK'").select("seq_ordinal", "length").withColumn("tjb", S.length_cost_byte(F.col("length"), F.lit(float(K.SCALE_BYTE))))
+    return filters(rows.select("profile_ordinal", "seq_ordinal").distinct().join(fit, "seq_ordinal"), targets, profiles, o)
 
 
 def domain_scores(domains: DataFrame, omega: float, null2: bool = True) -> DataFrame:
@@ -237,7 +295,7 @@ def gathering_prune(pairs: DataFrame, domains: DataFrame, cutoffs: DataFrame, in
     The whole-target bound leaves the correction out, the rebuilt one also the length penalty: neither can raise a score.
     """
     best = domains.groupBy("profile_ordinal", "seq_ordinal").agg(F.sum(F.greatest(F.col("forward") + input_error, F.lit(0.0))).alias("sum_"))
-    d = pairs.join(best, ["profile_ordinal", "seq_ordinal"], "left").join(F.broadcast(cutoffs), "profile_ordinal")
+    d = pairs.join(best, ["profile_ordinal", "seq_ordinal"], "left").join(cutoffs, "profile_ordinal")
     null1 = S.null1_score(F.col("length").cast("double"))
     whole = (F.col("forward_nats") + input_error - null1) / S.LN2 + round_error
     rebuilt = (F.coalesce("sum_", F.lit(0.0)) - null1) / S.LN2 + round_error
@@ -255,12 +313,16 @@ class SearchResult:
 
 
 def search(profiles: DataFrame, targets: DataFrame, options: SearchOptions | None = None) -> SearchResult:
-    """profiles: profile_ordinal, name, consensus, model_length (and with `cutoffs` their columns); targets: as sources.tables.targets gives them."""
+    """profiles: profile_ordinal, name, consensus, model_length (and with `cutoffs` their columns); targets: as sources.tables.targets gives them.
+
+    The candidates' filter scores and what follows them are written once in the shared folder, so that hits, domains,
+    counters and reports read them instead of scoring again; `pairs`, of every profile and target, stays a plan.
+    """
     o = options or SearchOptions()
     chunks = loaded(profiles)
     pairs = first_filter(segment_scores(chunks, targets), profile_constants(profiles, chunks), o)
-    filtered = filters(pairs.where("action = 'KEEP'"), targets, chunks, o)
-    continued = continuation(filtered, chunks, o)
+    filtered = materialised(filters(pairs.where("action = 'KEEP'"), targets, profiles, o), "filtered")
+    continued = materialised(continuation(filtered.where("past = 'VITERBI'"), o), "continued")
     exploded = continued.where("route <> 'F3_REJECT'").select("profile_ordinal", "seq_ordinal", "length", "forward_nats", "route", F.posexplode("domains").alias("domain_ordinal", "d"))
     domains = domain_scores(exploded.select("profile_ordinal", "seq_ordinal", "length", "forward_nats", "route", "domain_ordinal", "d.*"), o.omega, o.null2)
     z = o.z or targets.count()

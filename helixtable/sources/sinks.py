@@ -2,10 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import atexit
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share: below the one the cluster names, in local mode below the warehouse."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")
+    named = named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/helixtable"
+    return f"{named.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _drop(spark: SparkSession, path: str) -> None:
+    try:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # the session may be gone at exit
+        pass
+
+
+def materialised(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder, read back: several readers cost one run, a lost executor a reread. It goes at exit."""
+    spark, path = df.sparkSession, shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    atexit.register(_drop, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def result_row(columns: dict[str, Column]) -> Column:
     """One tab-separated line: name, query, score, evalue, c_evalue, i_evalue, envelope, domain score, alignment and model coordinates."""
     f = columns

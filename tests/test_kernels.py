@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 
 from helixtable.functions import scores as S
 from helixtable.functions.alphabet import SYMBOLS, digits
+from helixtable.operators import batches as B
 from helixtable.operators import kernels as K
 
 RESIDUES = "ACDEFGHIKLMNPQRSTVWY"
@@ -150,3 +151,46 @@ def test_ordered_key(a, b):
     assert S.from_ordered_key(S.ordered_key(a)) == a
     if a < b:
         assert S.ordered_key(a) < S.ordered_key(b)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(words, words), min_size=1, max_size=6), st.sampled_from([0.0, 1.0]))
+def test_batches_equal_one_pair_kernels(pairs, loops):
+    pairs.sort(key=lambda x: -len(x[1]))
+    ps, codes = [K.Profile(0, "p", x) for x, _ in pairs], [digits(t) for _, t in pairs]
+    tjb = np.arange(len(codes)) * 7
+    over, xj = B.multi_segments(ps, codes, tjb)
+    for p, c, t, o, x in zip(ps, codes, tjb, over, xj, strict=True):
+        status, best = K.multi_segment(p, c, int(t))
+        assert (status == "OVERFLOW") == o and (o or best == x)
+    assert B.bias_scores(ps, codes) == pytest.approx([K.bias_score(p, c) for p, c in zip(ps, codes, strict=True)], abs=1e-9)
+    assert B.viterbis(ps, codes, loops) == pytest.approx([K.viterbi(p, c, loops) for p, c in zip(ps, codes, strict=True)], abs=1e-9)
+    for got, p, c in zip(B.forwards(ps, codes, loops), ps, codes, strict=True):
+        want = K.forward(p, c, loops)
+        assert got.score == pytest.approx(want.score, abs=1e-9) and np.allclose(got.rows, want.rows) and np.allclose(got.scale, want.scale)
+
+
+def test_batches_of_long_models_and_targets():
+    rng = np.random.default_rng(5)
+    ps = [K.Profile(0, "p", "".join(rng.choice(list(RESIDUES), n))) for n in (300, 40, 129)]
+    codes = [digits(ps[0].consensus * 3), digits("".join(rng.choice(list(RESIDUES), 400))), digits("A")]
+    assert [s.score for s in B.forwards(ps, codes)] == pytest.approx([K.forward(p, c).score for p, c in zip(ps, codes, strict=True)], abs=1e-8)
+    parts = B.cut(np.array([B.CELLS * 2, 5, 7] + [1] * 600))
+    assert sorted(np.concatenate(parts).tolist()) == list(range(603)) and parts[0].tolist() == [0] and max(map(len, parts)) <= B.ROWS
+
+
+def scalar_bias(p, codes):
+    """The two-state model by enumeration in log space."""
+    n = len(codes)
+    p1, stay, odds = n / (n + 1), p.m / (p.m + 1), K.expand(p.composition / K.BACKGROUND)
+    state = [math.log(0.999), math.log(0.001 * odds[codes[0]])]
+    for c in codes[1:]:
+        state = [lse(state[0] + math.log(p1), state[1] + math.log(1 - stay)), lse(state[0] + math.log(1 - p1), state[1] + math.log(stay)) + math.log(odds[c])]
+    return lse(*state) + n * math.log(p1) + math.log(1 - p1)
+
+
+@settings(max_examples=40, deadline=None)
+@given(words, words)
+def test_bias_score(consensus, target):
+    p = K.Profile(0, "p", consensus)
+    assert K.bias_score(p, digits(target)) == pytest.approx(scalar_bias(p, digits(target)), abs=1e-9)
