@@ -149,29 +149,73 @@ def _searched(spark, sf_dir, **options):
     return P.search(T.profile_table(read(spark, sf_dir, "benchmark")), targets, o), o, targets
 
 
-@query()
+def _first_filter(spark, sf_dir):
+    profiles, targets = T.profile_table(read(spark, sf_dir, "benchmark")), T.targets(read(spark, sf_dir, "documents"))
+    chunks = P.loaded(profiles)
+    return P.first_filter(P.segment_scores(chunks, targets), P.profile_constants(profiles, chunks), P.SearchOptions())
+
+
+_HIT, _MISS = (int(x) for x in K.Profile(0, "", "A").gains[0, :2])  # of any canonical position: its own residue, any other
+_TBM = f"least(255, round(-{K.SCALE_BYTE!r} * ln(2.0 / (m * (m + 1))), 0))::INT"
+
+
+def _coded(table: str, key: str, name: str) -> str:
+    """SQL of the words of a table's texts as residue codes: (key, place, code)."""
+    words = rf"list_filter(string_split_regex(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
+    lists = f"SELECT {key} AS {name}, {words} AS w FROM {table}"
+    return f"SELECT {name}, len(w)::INT AS n, unnest(range(1, len(w) + 1)) AS place, ('0x' || substr(md5(unnest(w)), 1, 8))::BIGINT % 20 AS code FROM ({lists}) WHERE len(w) > 0"
+
+
+def _gains(name: str, code: str) -> str:
+    """SQL of the best ungapped diagonal gain of each pair (profile_ordinal, seq_ordinal, gain), where codes are compared as `code`.
+
+    Only equal residues raise a sum, so a best segment runs from one to another: between two of them, each place that differs
+    costs the same, which makes the sum a difference of one running value, and the best one that value less its running minimum.
+    """
+    value = f"({_HIT - _MISS} * row_number() OVER o + {_MISS} * t.place)"
+    return f"""{name}_r AS (SELECT profile_ordinal, seq_ordinal, t.place - p.place AS d, t.place AS spot, {value} AS v FROM t JOIN p ON {code.format('t.code')} = {code.format('p.code')} WINDOW o AS (PARTITION BY profile_ordinal, seq_ordinal, t.place - p.place ORDER BY t.place)),
+{name} AS (SELECT profile_ordinal, seq_ordinal, max(x) AS gain FROM (SELECT profile_ordinal, seq_ordinal, v - min(v) OVER (PARTITION BY profile_ordinal, seq_ordinal, d ORDER BY spot) + {_HIT} AS x FROM {name}_r) GROUP BY profile_ordinal, seq_ordinal)"""
+
+
+def _decided(name: str, gains: str) -> str:
+    """SQL of the first filter over gains: every pair with its status, bits, P-value and action."""
+    return f"""{name}_1 AS (SELECT q.profile_ordinal, l.seq_ordinal, l.n AS length, coalesce(g.gain, 0)::INT AS gain, least(255, (-round({K.SCALE_BYTE!r} * ln(3.0 / (l.n + 3)), 0))::INT) AS tjb, {_TBM} AS tbm FROM (SELECT DISTINCT profile_ordinal, n AS m FROM p) q CROSS JOIN (SELECT DISTINCT seq_ordinal, n FROM t) l LEFT JOIN {gains} g ON g.profile_ordinal = q.profile_ordinal AND g.seq_ordinal = l.seq_ordinal),
+{name}_2 AS (SELECT *, 128 + least(gain, 127) AS raw, least(gain, 127) + {K.BASE} - tjb - tbm AS adjusted FROM {name}_1),
+{name}_3 AS (SELECT *, CASE WHEN tjb + tbm + {K.TEC} + {-_MISS} >= 127 THEN 'NO_RESULT' WHEN raw >= {255 + _MISS} THEN CASE WHEN {K.BASE} - tjb - tbm < 128 THEN 'NO_RESULT' ELSE 'OVERFLOW' END WHEN adjusted >= {255 + _MISS} THEN 'OVERFLOW' WHEN adjusted - {K.TEC} > {K.BASE} THEN 'NO_RESULT' ELSE 'OK' END AS status FROM {name}_2),
+{name}_4 AS (SELECT *, CASE WHEN status = 'OK' THEN adjusted - {K.TEC} - tjb - {K.BASE} END AS numerator, length * ln(length::DOUBLE / (length + 1)) + ln(1 - length::DOUBLE / (length + 1)) AS null1 FROM {name}_3),
+{name}_5 AS (SELECT *, (numerator / {K.SCALE_BYTE!r} - 3.0 - null1) / {S.LN2!r} AS bits FROM {name}_4),
+{name}_6 AS (SELECT *, exp(-{S.LN2!r} * (bits + 7.5)) AS ey FROM {name}_5),
+{name} AS (SELECT *, CASE WHEN ey < {S.SMALL!r} THEN ey ELSE 1 - exp(-ey) END AS p, CASE WHEN status = 'OK' AND (CASE WHEN ey < {S.SMALL!r} THEN ey ELSE 1 - exp(-ey) END) > 0.02 THEN 'DEFINITE_REJECT' ELSE 'KEEP' END AS action FROM {name}_6)"""
+
+
+_WORDS = f"WITH t AS ({_coded('documents', 'doc_id', 'seq_ordinal')}), p AS ({_coded('benchmark', 'item_id::INT', 'profile_ordinal')})"
+_PAIRS = f"{_WORDS}, {_gains('g', '{}')}, {_decided('f', 'g')}"
+
+
+@query(f"{_PAIRS} SELECT profile_ordinal, seq_ordinal, length, gain, tjb, status, numerator, round(bits, 6) AS bits, round(p, 9) AS p, action FROM f")
 def ssv_scores(spark, sf_dir):
     """All pairs: gain, status, numerator, bits, P-value and the first filter's decision."""
-    r, _, _ = _searched(spark, sf_dir)
-    return r.pairs.select("profile_ordinal", "seq_ordinal", "length", "gain", "tjb", "status", "numerator", F.round("bits", 6).alias("bits"), F.round("p", 9).alias("p"), "action")
+    return _first_filter(spark, sf_dir).select("profile_ordinal", "seq_ordinal", "length", "gain", "tjb", "status", "numerator", F.round("bits", 6).alias("bits"), F.round("p", 9).alias("p"), "action")
 
 
-@query()
+@query(f"""{_PAIRS}, c AS (SELECT profile_ordinal, count(*) AS n, string_agg(seq_ordinal::VARCHAR, ',' ORDER BY seq_ordinal) AS targets FROM f WHERE action = 'KEEP' GROUP BY profile_ordinal)
+SELECT profile_ordinal, coalesce(sum(n) OVER (ORDER BY profile_ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start, n, targets FROM c""")
 def f1_candidates(spark, sf_dir):
-    r, _, _ = _searched(spark, sf_dir)
-    return R.candidate_lists(r.pairs.where("action = 'KEEP'")).select("profile_ordinal", "start", "n", "targets")
+    return R.candidate_lists(_first_filter(spark, sf_dir).where("action = 'KEEP'")).select("profile_ordinal", "start", "n", F.array_join("targets", ",").alias("targets"))
 
 
-@query()
+@query(f"{_PAIRS} SELECT count(*) AS compared, count(*) AS agreed, 0::BIGINT AS only_first, 0::BIGINT AS only_second, 0::BIGINT AS skipped, 'SCORE' AS mode FROM f")
 def cutoff_agreement(spark, sf_dir):
     """The first filter by its compiled score cutoff against the one by P-value: both must decide alike."""
-    r, o, _ = _searched(spark, sf_dir)
+    o = P.SearchOptions()
     mode, cutoff = S.compiled_cutoff(lambda x: S.gumbel(x, o.m_mu, o.rate), o.f1)
     by_score = (F.col("status") != "OK") | (F.col("bits").cast("float") >= F.lit(cutoff).cast("float"))
-    return R.agreement(r.pairs, by_score, F.col("action") == "KEEP").withColumn("mode", F.lit(mode))
+    return R.agreement(_first_filter(spark, sf_dir), by_score, F.col("action") == "KEEP").withColumn("mode", F.lit(mode))
 
 
-@query()
+@query(f"""{_WORDS}, {_gains('g', '{}')}, {_decided('f', 'g')}, {_gains('h', '({} // 2)')}, {_decided('b', 'h')}
+SELECT f.profile_ordinal, count(*) AS pairs, count(*) FILTER (b.action = 'DEFINITE_REJECT') AS certain, count(*) FILTER (b.action = 'DEFINITE_REJECT' AND f.action = 'KEEP') AS false_rejects, count(*) FILTER (b.gain < f.gain) AS below
+FROM f JOIN b ON b.profile_ordinal = f.profile_ordinal AND b.seq_ordinal = f.seq_ordinal GROUP BY f.profile_ordinal""")
 def coarse_filter(spark, sf_dir):
     """The reduced-alphabet bound: pairs that it certainly rejects, and how many of those the exact filter would keep (none)."""
     o = P.SearchOptions()

@@ -17,10 +17,10 @@ def residues_of(text: Column) -> Column:
 
 
 def words_as_residues(text: Column) -> Column:
-    """A residue for each word of a text, by hash: passages of words become sequences whose chance matches are rare."""
+    """A residue for each word of a text, by the first 32 bits of its MD5: passages of words become sequences whose chance matches are rare."""
     words = F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+"), "")
     canonical = F.lit(list(SYMBOLS[:CANONICAL]))
-    return F.array_join(F.transform(words, lambda w: F.get(canonical, F.pmod(F.xxhash64(w), F.lit(CANONICAL)).cast("int"))), "")
+    return F.array_join(F.transform(words, lambda w: F.get(canonical, (F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long") % CANONICAL).cast("int"))), "")
 
 
 def targets(docs: DataFrame, encode: Callable[[Column], Column] = words_as_residues) -> DataFrame:
