@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixtable.functions import scores as S
+from helixtable.operators.planning import ranked
 
 QUANTILES = (0.0, 0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99, 1.0)
 
@@ -208,10 +209,10 @@ def route_partition(rows: DataFrame, key: str, route: str, routes: list[str]) ->
 
 
 def pareto(rows: DataFrame, ordinal: str, cost: str) -> DataFrame:
-    """rank by falling cost (ties by ordinal), cumulative cost, and the fraction as two whole numbers. One row for each profile."""
-    w = Window.partitionBy(F.lit(0)).orderBy(F.col(cost).desc(), ordinal)
-    total = F.sum(cost).over(Window.partitionBy(F.lit(0)))
-    return rows.select(ordinal, cost, F.row_number().over(w).alias("rank"), F.sum(cost).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("numerator"), total.alias("denominator"))
+    """rank by falling cost (ties by ordinal), cumulative cost, and the fraction as two whole numbers."""
+    total = rows.agg(F.sum(cost).alias("denominator"))  # one row
+    d = ranked(rows.select(ordinal, cost), [F.col(cost).desc(), F.col(ordinal)], (cost,)).crossJoin(total)
+    return d.select(ordinal, cost, "rank", F.col(f"{cost}_upto").alias("numerator"), "denominator")
 
 
 def replicate_statistics(runs: DataFrame, group: list[str], value: str) -> DataFrame:
