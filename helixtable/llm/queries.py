@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from helixtable.llm import embeddings, fingerprints, html, lines, mixing, packing, pii, secrets, simhash, toxicity
+from helixtable.llm import codes, embeddings, fingerprints, html, lines, mixing, negatives, packing, pii, quality, secrets, simhash, toxicity
 from helixtable.llm.common import table
 
 
@@ -52,6 +52,18 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
+def op11_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mine(negatives.relabelled(table(spark, sf_dir, "embeddings")))
+
+
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_pii": op2_pii,
@@ -63,5 +75,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_embeddings": op9_embeddings,
     "op10_fingerprints": op10_fingerprints,
+    "op11_codes": op11_codes,
+    "op12_negatives": op12_negatives,
+    "op13_quality": op13_quality,
 }
-ORACLES = {"op8_line_dedup": lines.ORACLE_SQL, "op9_embeddings": embeddings.ORACLE_SQL, "op5_secrets": secrets.ORACLE_SQL, "op10_fingerprints": fingerprints.ORACLE_SQL}
+ORACLES = {
+    "op5_secrets": secrets.ORACLE_SQL, "op8_line_dedup": lines.ORACLE_SQL, "op9_embeddings": embeddings.ORACLE_SQL, "op10_fingerprints": fingerprints.ORACLE_SQL,
+    "op11_codes": codes.ORACLE_SQL, "op12_negatives": negatives.ORACLE_SQL,
+}
