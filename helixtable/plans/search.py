@@ -7,13 +7,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from helixtable.functions import scores as S
 from helixtable.functions.alphabet import digits
 from helixtable.operators import batches as B
 from helixtable.operators import kernels as K
+from helixtable.operators import seeds as W
 from helixtable.sources.sinks import materialised
 
 #: Bytes of profile tables that a task may hold; more profiles go through in chunks.
@@ -101,8 +102,8 @@ def segment_scores(profiles: list[list[K.Profile]], targets: DataFrame) -> DataF
 
 def profile_constants(profiles: DataFrame, chunks: list[list[K.Profile]]) -> DataFrame:
     """profile_ordinal with the byte constants of its filters."""
-    rows = [(p.ordinal, p.m, K.BASE, p.bias, p.tbm, K.TEC) for c in chunks for p in c]
-    return profiles.sparkSession.createDataFrame(rows, "profile_ordinal int, model_length int, base int, bias int, tbm int, tec int")
+    rows = [(p.ordinal, p.m, K.BASE, p.bias, p.tbm, K.TEC, max(1, int(p.gains.max()))) for c in chunks for p in c]
+    return profiles.sparkSession.createDataFrame(rows, "profile_ordinal int, model_length int, base int, bias int, tbm int, tec int, most int")
 
 
 def first_filter(pairs: DataFrame, constants: DataFrame, o: SearchOptions) -> DataFrame:
@@ -117,6 +118,49 @@ def first_filter(pairs: DataFrame, constants: DataFrame, o: SearchOptions) -> Da
     return d.withColumn("action", S.decision(F.col("p"), F.col("status"), o.f1))
 
 
+def levelled(targets: DataFrame, chunks: list[list[K.Profile]], o: SearchOptions) -> DataFrame:
+    """Targets that the engine takes, with low and high: the least and the most hits that the cutoffs of their pairs may stand for."""
+    _, cutoff = S.compiled_cutoff(lambda x: S.gumbel(x, o.m_mu, o.rate), o.f1)
+    ps = [p for c in chunks for p in c]
+    tbm, bias, most = ([f(p) for p in ps] or [1] for f in (lambda p: p.tbm, lambda p: p.bias, lambda p: max(1, int(p.gains.max()))))
+    one = lambda pick, other, g: W.level(W.required_gain(F.col("length"), F.lit(pick(tbm)), F.lit(K.TEC), F.lit(K.BASE), F.lit(other(bias)), float(K.SCALE_BYTE), cutoff), F.lit(g(most)))
+    plain = F.col("residues").rlike("^[ACDEFGHIKLMNPQRSTVWY]*$")
+    fit = targets.where("status = 'OK'").select("seq_ordinal", "status", "length", "residues")
+    return fit.withColumn("low", F.when(plain, one(min, max, max)).otherwise(F.lit(0))).withColumn("high", F.when(plain, one(max, min, min)).otherwise(F.lit(0)))
+
+
+def wanted_level(o: SearchOptions) -> Column:
+    """The level of a pair, of its length and its profile's constants."""
+    _, cutoff = S.compiled_cutoff(lambda x: S.gumbel(x, o.m_mu, o.rate), o.f1)
+    return W.level(W.required_gain(*[F.col(c) for c in ("length", "tbm", "tec", "base", "bias")], float(K.SCALE_BYTE), cutoff), F.col("most"))
+
+
+def seeded_pairs(profiles: DataFrame, targets: DataFrame, chunks: list[list[K.Profile]], o: SearchOptions) -> tuple[DataFrame, DataFrame]:
+    """Pairs (profile_ordinal, seq_ordinal, length, gain) that may reach the first filter's cutoff: by seeds, and without.
+
+    The gain of a pair that reaches its cutoff is exact; of others it is one of its diagonals', below the cutoff too.
+    """
+    constants = profile_constants(profiles, chunks)
+    fit = materialised(levelled(targets, chunks, o).repartition(spread(targets.sparkSession), "seq_ordinal"), "levelled")
+    cores = materialised(W.compiled(profiles, lambda c: K.Profile(0, "", c).gains), "cores")
+    index = cores.where("offsets IS NOT NULL")
+    offsets: dict[int, list[int]] = {}
+    for r in index.select("hits", "offsets").distinct().orderBy("hits", "offsets").toLocalIterator():  # as many as ways to span SPAN places
+        offsets.setdefault(r["hits"], []).append(r["offsets"])
+    met = W.diagonals(W.scanned(fit, offsets, W.bitmap(index)), index, constants, wanted_level(o))
+    known = W.diagonal_gains(met, fit, profiles, W.symbol_gains(lambda c: K.Profile(0, "", c).gains))
+    opens = {(r["profile_ordinal"], r["hits"]) for r in cores.where("offsets IS NULL").select("profile_ordinal", "hits").collect()}  # profiles without a certificate
+    # without seeds: few-hit pairs, targets of other symbols, open profiles
+    pairs = segment_scores(chunks, fit.where(F.col("low") < W.HITS[0])).join(constants, "profile_ordinal").join(fit.select("seq_ordinal", (F.col("high") == 0).alias("other")), "seq_ordinal")
+    other = pairs.where(F.col("other") | (wanted_level(o) < W.HITS[0])).select("profile_ordinal", "seq_ordinal", "length", "gain")
+    if opens:
+        named = constants.sparkSession.createDataFrame(sorted(opens), "profile_ordinal int, open_hits int")
+        left = [[p for p in c if any(p.ordinal == k for k, _ in opens)] for c in chunks]
+        rest = segment_scores([c for c in left if c], fit.where(F.col("high") >= W.HITS[0])).join(constants, "profile_ordinal")
+        other = other.unionByName(rest.withColumn("level_", wanted_level(o)).join(named, "profile_ordinal").where("level_ = open_hits").select("profile_ordinal", "seq_ordinal", "length", "gain"))
+    return known, other
+
+
 AFTER = "profile_ordinal int, seq_ordinal long, length int, consensus string, residues string, msv_status string, msv_bits double, bias_nats double, viterbi_bits double, past string"
 
 
@@ -316,12 +360,15 @@ def search(profiles: DataFrame, targets: DataFrame, options: SearchOptions | Non
     """profiles: profile_ordinal, name, consensus, model_length (and with `cutoffs` their columns); targets: as sources.tables.targets gives them.
 
     The candidates' filter scores and what follows them are written once in the shared folder, so that hits, domains,
-    counters and reports read them instead of scoring again; `pairs`, of every profile and target, stays a plan.
+    counters and reports read them instead of scoring again; `pairs`, of every profile and target, stays a plan that
+    the search itself does not run: candidates come by seeds.
     """
     o = options or SearchOptions()
     chunks = loaded(profiles)
     pairs = first_filter(segment_scores(chunks, targets), profile_constants(profiles, chunks), o)
-    filtered = materialised(filters(pairs.where("action = 'KEEP'"), targets, profiles, o), "filtered")
+    known, other = seeded_pairs(profiles, targets, chunks, o)
+    seeded = first_filter(known.unionByName(other), profile_constants(profiles, chunks), o)
+    filtered = materialised(filters(seeded.where("action = 'KEEP'"), targets, profiles, o), "filtered")
     continued = materialised(continuation(filtered.where("past = 'VITERBI'"), o), "continued")
     exploded = continued.where("route <> 'F3_REJECT'").select("profile_ordinal", "seq_ordinal", "length", "forward_nats", "route", F.posexplode("domains").alias("domain_ordinal", "d"))
     domains = domain_scores(exploded.select("profile_ordinal", "seq_ordinal", "length", "forward_nats", "route", "domain_ordinal", "d.*"), o.omega, o.null2)
