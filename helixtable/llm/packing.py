@@ -172,7 +172,7 @@ def programme(lengths: np.ndarray, counts: np.ndarray, size: int, gap: float = G
 
     Revised simplex with an explicit inverse, computed anew every REFRESH pivots. The counts are moved by less than a
     millionth each, so no two bases tie. Prices are the duals drawn towards the best duals so far, first the lengths'
-    shares of a sequence, so that they don't swing. It ends when a bound proves the gap: any prices, divided by what the
+    shares of a sequence, so that they don't swing. It ends when a bound that a pricing gave proves the gap: any prices, divided by what the
     dearest pattern costs by them, bound the sequences from below. It also ends where a round of pivots, one for each
     length, has gained less than the gap: what it has packs everything.
     """
@@ -191,8 +191,9 @@ def programme(lengths: np.ndarray, counts: np.ndarray, size: int, gap: float = G
 
     inverse, amounts = fresh()
     centre = lengths / size  # by these prices no pattern costs more than 1
-    bound, pull, pivots, since, before = float(counts @ centre), PULL, 0, 0, np.inf
-    while (total := float(amounts.sum())) > max(bound * (1 + gap), np.ceil(bound - 1e-9)):
+    bound, pull, pivots, since, before = 0.0, PULL, 0, 0, np.inf
+    while True:
+        total = float(amounts.sum())
         if pivots - since >= m:
             if total > before * (1 - gap):
                 break
@@ -202,6 +203,8 @@ def programme(lengths: np.ndarray, counts: np.ndarray, size: int, gap: float = G
         value, used = priced(lengths, counts, prices, size)
         if counts @ prices / value > bound:
             bound, centre = float(counts @ prices / value), prices / value
+        if total <= max(bound * (1 + gap), np.ceil(bound - 1e-9)):
+            break
         at, n = list(used), np.array(list(used.values()), dtype=float)
         if duals[at] @ n <= 1 + 1e-9:  # no gain by the duals themselves: draw less
             if pull < 1e-3:
@@ -226,16 +229,10 @@ def programme(lengths: np.ndarray, counts: np.ndarray, size: int, gap: float = G
 
 
 def patterns(lengths: np.ndarray, counts: np.ndarray, size: int = SIZE, gap: float = GAP) -> list[tuple[dict[int, int], int]]:
-    """Patterns with whole times that pack all counts. Where the whole patterns of first fit decreasing are within the
-    gap of the tokens' own bound, the programme can't do better and they are its solution; otherwise its patterns are
-    rounded down, and the residue is packed by first fit decreasing."""
+    """Patterns with whole times that pack all counts: those of the programme, rounded down; first fit decreasing packs
+    what rounding leaves, less than one sequence for each length."""
     if not len(lengths):
         return []
-    start = [(used, int(times)) for used, times in first_fit(lengths, counts, size, True)]
-    needed = sum(times for _, times in start)
-    bound = float((lengths * counts).sum()) / size
-    if needed <= max(bound * (1 + gap), np.ceil(bound)):
-        return start
     left, out = counts.copy(), []
     for used, amount in programme(lengths, counts, size, gap):
         times = int(min([np.floor(amount + 1e-6), *(left[i] // n for i, n in used.items())]))
@@ -243,8 +240,7 @@ def patterns(lengths: np.ndarray, counts: np.ndarray, size: int = SIZE, gap: flo
             for i, n in used.items():
                 left[i] -= n * times
             out.append((used, times))
-    out += [(used, int(times)) for used, times in first_fit(lengths, left, size, True)]
-    return out if sum(times for _, times in out) < needed else start
+    return out + [(used, int(times)) for used, times in first_fit(lengths, left, size, True)]
 
 
 class Plan:

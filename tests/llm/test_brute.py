@@ -326,3 +326,16 @@ def test_pipeline_stages(spark, sf):
     out = corpus_pipeline.run(spark, sf)
     total = out.agg({"length": "sum"}).first()[0]
     assert total > 0 and out.where("length <= 0").count() == 0
+
+
+def test_packing_comes_through_priced_columns(spark, monkeypatch):
+    """On sf0.1 the programme prices columns, and its patterns place nearly all rests whole."""
+    calls, made, price, solve = [], [], packing.priced, packing.programme
+    monkeypatch.setattr(packing, "priced", lambda *a: calls.append(1) or price(*a))
+    monkeypatch.setattr(packing, "programme", lambda *a: made.append(solve(*a)) or made[-1])
+    rows = queries.op1_packing(spark, "/root/testdata/sf0.1").select("doc_id", "doc_tokens", "length", "sequence_id").toPandas()
+    assert calls and len(made) == 1 and made[0]
+    placed = sum(int(times + 1e-6) for _, times in made[0])
+    assert placed >= 0.3 * rows["sequence_id"].nunique()  # sequences of the programme's own patterns, after rounding
+    rests = rows[rows["length"] == rows["doc_tokens"] % 2048].groupby("doc_id").size()
+    assert len(rests) >= 0.95 * (rows.drop_duplicates("doc_id")["doc_tokens"] % 2048 > 0).sum()
