@@ -2,9 +2,11 @@
 
 A page is cut into blocks at block-level tags. The first pass classifies each block by where it stands (menus, headers,
 footers, sidebars, notices, adverts, forms and reader comments are bad by their element, role, class or id), by link
-density, by stop-word density and by length: good, bad, or undecided where a block is too short to tell. In the second
-pass undecided blocks take the label of their nearest decided neighbours; inside an article, between labels that
-differ, and with no decided neighbour there, they are good.
+density, by stop-word density and by length: good, bad, or undecided where a block is too short to tell. On a page that
+holds stop words of no language listed, and for blocks in scripts without spaces, length, link density and the mark at a
+block's end decide alone. In the second pass undecided blocks take the label of their nearest decided neighbours; inside
+an article, between labels that differ, and with no decided neighbour there, they are good. Inside an article, lists of
+links, and sentences in elements that are named as menus or social ones, stay; so does what stands in noscript there.
 
 Defined cases: null html is an empty page with an empty text; null and repeated page_ids and urls stay; unclosed
 elements end with what encloses them; an unclosed comment, script or style runs to the end; what else holds no text
@@ -53,21 +55,38 @@ GENERIC = frozenset(
 SAYING = frozenset("has have with without no not is open closed enable enabled disable disabled show hide status".split())
 QUALIFIERS = frozenset("related promoted sponsored".split())
 QUALIFIED = frozenset("article articles news post posts product products reading story stories topic topics video videos".split()) | GENERIC
-# Frequent function words of English, German, French and Spanish.
+# Names that inside an article say too little: there only what reads as no sentence is bad.
+SOFT = frozenset("menu social".split())
+# Frequent function words of English, German, French, Spanish, Italian, Dutch, Portuguese, Polish, Swedish, Turkish, Russian and Ukrainian.
 STOP_WORDS = frozenset(
     "the of and to in a is that it for was on are with as his they be at this from have or by one had not but what all were when your can said there "
     "der die und das den von zu mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei "
     "le la les de et un une des du en que qui dans pour sur par pas au est plus ne se ce avec il elle sont ou "
-    "el los las y del que por con para una su al lo como más pero sus no se".split()
+    "el los las y del que por con para una su al lo como más pero sus no se "
+    "il lo la i gli le un una di del della dei delle che e è per con non si sono come anche più nel nella da dal ha "
+    "de het een en van in op te dat die is niet met voor zijn aan er om ook als bij maar naar door uit wordt "
+    "o a os as um uma do da dos das em no na nos nas que e é para com não por mais ao foi se como mas "
+    "i w z na do nie się to jest że o jak po od za ale przez dla był była są oraz "
+    "och att det som en på är av för med den till inte om har de ett var från "
+    "ve bir bu da de için ile olarak daha çok gibi en ama o ne "
+    "и в не на что с по а к у из за это как его но от для о же то так все он она они был была было были мы вы ты "
+    "і в не на що з по а до у за це як його але від для о та так все він вона вони був була".split()
 )
-LINKS, MOSTLY, SHORT, LONG, DENSE, SPARSE = 0.33, 0.8, 25, 200, 0.30, 0.10
+LINKS, MOSTLY, SHORT, LONG, DENSE, SPARSE, KNOWN, SENTENCE = 0.33, 0.8, 25, 200, 0.30, 0.10, 0.05, 50
+ENDS = re.compile("[.!?…。！？｡．؟।][\"'”’»)\\]」』]*$")
+UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]")  # scripts that set no spaces between words
 
 
 class Block:
-    __slots__ = ("text", "linked", "bad", "article", "heading")
+    __slots__ = ("text", "linked", "bad", "soft", "article", "heading")
 
-    def __init__(self, text: str, linked: int, bad: bool, article: bool, heading: bool) -> None:
-        self.text, self.linked, self.bad, self.article, self.heading = text, linked, bad, article, heading
+    def __init__(self, text: str, linked: int, mark: int, article: bool, heading: bool) -> None:
+        self.text, self.linked, self.bad, self.soft, self.article, self.heading = text, linked, mark > 1, mark == 1, article, heading
+
+    def share(self) -> float:
+        """Of stop words among its words."""
+        words = self.text.lower().split()
+        return sum(w.strip(".,;:!?\"'()«»„“”") in STOP_WORDS for w in words) / len(words)
 
 
 def head_word(words: list[str]) -> str:
@@ -82,25 +101,29 @@ def head_word(words: list[str]) -> str:
     return words[end - 1]
 
 
-def named_bad(name: str, attributes: str, in_article: bool) -> bool:
+def marked(name: str, attributes: str, in_article: bool) -> int:
+    """What an element's own name and attributes say of it: 2 bad, 1 bad unless it reads as sentences, 0 nothing."""
     if name in NOT_TEXT or (name == "header" and not in_article):
-        return True
+        return 2
     if not attributes or name in ("html", "body") or (in_article and name in TEXTS and "hidden" not in attributes):
-        return False
+        return 0
+    out = 0
     for key, *values in ATTRIBUTE.findall(attributes):
         value = "".join(values)
         if key.lower() == "hidden" or (key.lower() == "aria-hidden" and value == "true"):
-            return True
+            return 2
         if key.lower() == "aria-hidden":
             continue
         for token in value.split():
             parts = [p.lower() for p in PART.findall(token)]
             head = head_word(parts) if parts else ""
-            if head in NOT_WORDS or "".join(parts) in NOT_WORDS:
-                return True
+            if in_article and head in SOFT:
+                out = 1
+            elif head in NOT_WORDS or "".join(parts) in NOT_WORDS:
+                return 2
             if head == "header" and not in_article and {"article", "entry", "post", "story", "content"}.isdisjoint(parts):
-                return True
-    return False
+                return 2
+    return out
 
 
 class Scanner:
@@ -150,7 +173,7 @@ class Scanner:
 def blocks(page: str) -> list[Block]:
     """The non-empty blocks of a page, in order."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # element, bad, in an article
+    stack: list[tuple[str, int, bool]] = []  # element, its mark, in an article
     open_: list[Counter] = [Counter()]  # how many of each element are open, by the innermost of BARRIERS around them
     total: Counter = Counter()  # the same, of all
     parts: list[str] = []
@@ -162,8 +185,8 @@ def blocks(page: str) -> list[Block]:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                bad, article = stack[-1][1:] if stack else (False, False)
-                out.append(Block(text, linked, bad, article, heading))
+                mark, article = stack[-1][1:] if stack else (0, False)
+                out.append(Block(text, linked, mark, article, heading))
             parts.clear()
         linked, heading = 0, False
 
@@ -175,8 +198,8 @@ def blocks(page: str) -> list[Block]:
             if in_link:
                 linked += len(raw)
 
-    def push(name: str, bad: bool, article: bool) -> None:
-        stack.append((name, bad, article))
+    def push(name: str, mark: int, article: bool) -> None:
+        stack.append((name, mark, article))
         total[name] += 1
         open_[-1][name] += 1
         if name in BARRIERS:
@@ -200,6 +223,8 @@ def blocks(page: str) -> list[Block]:
                 parts.append(" ")
         elif name in SKIPPED:
             parts.append(" ")
+            if name == "noscript" and stack and stack[-1][2]:
+                continue
             if not closing and not attributes.endswith("/") and name not in unclosed:
                 close = SKIPPED[name].search(page, upto)
                 if close:
@@ -226,28 +251,36 @@ def blocks(page: str) -> list[Block]:
                     pop()
                 elif name not in ("p",) and stack and stack[-1][0] == "p":
                     pop()
-                bad, article = stack[-1][1:] if stack else (False, False)
+                mark, article = stack[-1][1:] if stack else (0, False)
                 article = article or name in ("article", "main")
-                push(name, bad or named_bad(name, attributes, article), article)
+                push(name, max(mark, marked(name, attributes, article)), article)
             heading = name[0] == "h" and name[1:].isdigit() and not closing
     text(page[upto:])
     flush()
     return out
 
 
-def first_pass(b: Block) -> str:
-    """good, bad or undecided. An article is evidence for its own blocks only: it says nothing against others."""
+def first_pass(b: Block, known: bool = True) -> str:
+    """good, bad or undecided. An article is evidence for its own blocks only: it says nothing against others.
+    known: whether the page holds stop words of a language that is listed."""
     if b.bad:
         return "bad"
-    words = b.text.lower().split()
-    dense = sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / len(words)
-    if b.linked > LINKS * len(b.text) and not (b.article and dense >= SPARSE and b.linked < MOSTLY * len(b.text)):
-        return "bad"  # an article's own sentences may hold links
+    unspaced = len(UNSPACED.findall(b.text))
+    size = len(b.text) + 2 * unspaced  # a character of these scripts says as much as some three letters
+    known = known and 3 * unspaced < len(b.text)
+    dense = b.share()
+    sentence = size >= SENTENCE and bool(ENDS.search(b.text)) and (dense >= SPARSE or not known)
+    if b.soft:
+        return "good" if sentence and b.linked <= LINKS * len(b.text) else "bad"
+    if b.linked > LINKS * len(b.text) and not (b.article and (dense >= SPARSE or not known) and b.linked < MOSTLY * len(b.text)):
+        return "undecided" if b.article else "bad"  # an article's own sentences may hold links
     if b.article:
-        return "good" if len(b.text) >= SHORT and (dense >= SPARSE or len(b.text) >= LONG) else "undecided"
-    if len(b.text) < SHORT or b.heading:
+        return "good" if size >= SHORT and (dense >= SPARSE or size >= LONG or sentence) else "undecided"
+    if size < SHORT or b.heading:
         return "undecided"
-    return "good" if dense >= DENSE or (len(b.text) >= LONG and dense >= SPARSE) else "undecided" if dense >= SPARSE else "bad"
+    if not known:
+        return "good" if sentence or size >= LONG else "undecided"
+    return "good" if dense >= DENSE or sentence or (size >= LONG and dense >= SPARSE) else "undecided" if dense >= SPARSE else "bad"
 
 
 def second_pass(found: list[Block], labels: list[str]) -> list[str]:
@@ -272,9 +305,9 @@ def second_pass(found: list[Block], labels: list[str]) -> list[str]:
                     out[i] = around.pop()
                 elif articles:
                     out[i] = "good"
-                elif around:  # labels differ: the nearer one, and a heading belongs to what follows
-                    nearer_last = found[i].heading or last[1] - n <= n - before[n][1]
-                    out[i] = last[0] if nearer_last else before[n][0]
+                elif around:  # labels differ: the nearer one, good if they are as near, and a heading belongs to what follows
+                    after, ago = last[1] - n, n - before[n][1]
+                    out[i] = last[0] if found[i].heading or after < ago else before[n][0] if ago < after else "good"
                 else:
                     out[i] = "bad"
     return out
@@ -282,7 +315,9 @@ def second_pass(found: list[Block], labels: list[str]) -> list[str]:
 
 def main_text(page: str) -> str:
     found = blocks(page)
-    labels = second_pass(found, [first_pass(b) for b in found])
+    words = [(len(b.text.split()), b.share()) for b in found if not b.bad]
+    known = sum(n * share for n, share in words) >= KNOWN * sum(n for n, _ in words)
+    labels = second_pass(found, [first_pass(b, known) for b in found])
     return "\n".join(b.text for b, label in zip(found, labels, strict=True) if label == "good")
 
 
