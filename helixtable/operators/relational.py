@@ -123,34 +123,6 @@ def merged_filters(msv: DataFrame, bias: DataFrame, viterbi: DataFrame) -> DataF
 # -- regions -----------------------------------------------------------------
 
 
-def region_rows(tracks: DataFrame, key: str, position: str, rt1: float = 0.25, rt2: float = 0.10, rt3: float = 0.20, guard: float = 2e-4) -> DataFrame:
-    """key, n, regions (begin, end, split), uncertain, route of posterior tracks (key, position from 1, starts, ends, inside).
-
-    starts and ends are expected counts at a position. The state machine is one fold over a track's ordered positions;
-    a track is one target's, so its length is bounded by the engine's longest target.
-    """
-    d = tracks.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(position).alias("j"), "starts", "ends", "inside"))).alias("track"))
-    near = lambda x, t: f"cast(abs({x} - {t}) <= {guard} as int)"
-    region = "array<struct<begin:int,end:int,split:double>>"
-    # s0/e0: sums before the region; the largest of min(ends so far, starts from here) is kept with the sums it needs
-    step = f"""(a, x) -> CASE
-        WHEN NOT a.on THEN named_struct('begin', CASE WHEN a.begin IS NULL OR x.inside - x.starts < {rt2} THEN cast(x.j as int) ELSE a.begin END, 'on', x.inside >= {rt1},
-            'uncertain', a.uncertain + {near('x.inside', rt1)} + {near('(x.inside - x.starts)', rt2)}, 'out', a.out)
-        WHEN x.inside - x.ends >= {rt2} THEN named_struct('begin', a.begin, 'on', true, 'uncertain', a.uncertain + {near('(x.inside - x.ends)', rt2)}, 'out', a.out)
-        ELSE named_struct('begin', cast(null as int), 'on', false, 'uncertain', a.uncertain + {near('(x.inside - x.ends)', rt2)},
-            'out', concat(a.out, array(named_struct('begin', a.begin, 'end', cast(x.j as int), 'split', cast(null as double))))) END"""
-    start = f"named_struct('begin', cast(null as int), 'on', false, 'uncertain', 0, 'out', cast(array() as {region}))"
-    d = d.withColumn("state", F.expr(f"aggregate(track, {start}, {step})"))
-    inner = "filter(track, y -> y.j >= r.begin AND y.j <= r.end)"
-    ends = "aggregate(filter(track, y -> y.j >= r.begin AND y.j <= z.j), 0D, (s, y) -> s + y.ends)"
-    starts = "aggregate(filter(track, y -> y.j >= z.j AND y.j <= r.end), 0D, (s, y) -> s + y.starts)"
-    split = f"array_max(transform({inner}, z -> least({ends}, {starts})))"
-    d = d.withColumn("regions", F.expr(f"transform(state.out, r -> named_struct('begin', r.begin, 'end', r.end, 'split', round({split}, 9)))"))
-    uncertain = F.col("state.uncertain") + F.expr(f"size(filter(regions, r -> abs(r.split - {rt3}) <= {guard}))")
-    route = F.when(uncertain > 0, "UNCERTAIN").when(F.size("regions") == 0, "NO_REGIONS").when(F.expr(f"exists(regions, r -> r.split >= {rt3})"), "MULTIDOMAIN").otherwise("SIMPLE")
-    return d.select(key, F.size("track").alias("n"), "regions", uncertain.alias("uncertain"), route.alias("route"))
-
-
 def atomic_fallback(regions: DataFrame, key: list[str], failed: str) -> DataFrame:
     """Regions whose row has any failed sibling go to the exact path as one."""
     return regions.withColumn("fallback", F.max(F.col(failed).cast("int")).over(Window.partitionBy(*key)) == 1)

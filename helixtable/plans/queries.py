@@ -12,6 +12,7 @@ from helixtable.functions import scores as S
 from helixtable.functions.alphabet import alphabet
 from helixtable.operators import kernels as K
 from helixtable.operators import provenance as V
+from helixtable.operators import regions as G
 from helixtable.operators import relational as R
 from helixtable.plans import search as P
 from helixtable.sources import sinks
@@ -404,23 +405,42 @@ def _tracks(spark, sf_dir):
     return e.select("user_id", "j", ((F.col("v") % 7) / 16.0).alias("starts"), ((F.col("v") % 5) / 16.0).alias("ends"), (F.col("v") / 128.0).alias("inside"))
 
 
-@query("""WITH RECURSIVE e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS j, (round(coalesce(value, 0) * 100)::BIGINT % 100) AS v FROM events),
+_WALK = """WITH RECURSIVE e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS j, (round(coalesce(value, 0) * 100)::BIGINT % 100) AS v FROM events),
 t AS (SELECT user_id, j, (v % 7) / 16.0::DOUBLE AS b, (v % 5) / 16.0::DOUBLE AS e, v / 128.0::DOUBLE AS m FROM e),
 m AS (SELECT user_id, 0::BIGINT AS j, NULL::BIGINT AS began, false AS is_on, NULL::BIGINT AS closed FROM t GROUP BY user_id
   UNION ALL SELECT t.user_id, t.j, CASE WHEN NOT m.is_on THEN CASE WHEN m.began IS NULL OR m.closed IS NOT NULL OR t.m - t.b < 0.1 THEN t.j ELSE m.began END ELSE m.began END,
     CASE WHEN NOT m.is_on THEN t.m >= 0.25 ELSE t.m - t.e >= 0.1 END, CASE WHEN m.is_on AND t.m - t.e < 0.1 THEN t.j END
   FROM m JOIN t ON t.user_id = m.user_id AND t.j = m.j + 1),
 r AS (SELECT user_id, began AS lo, closed AS hi FROM m WHERE closed IS NOT NULL),
-z AS (SELECT r.user_id, r.lo, r.hi, t.j, sum(t.e) OVER (PARTITION BY r.user_id, r.lo ORDER BY t.j) AS ends, sum(t.b) OVER (PARTITION BY r.user_id, r.lo ORDER BY t.j DESC) AS starts FROM r JOIN t ON t.user_id = r.user_id AND t.j BETWEEN r.lo AND r.hi)
+z AS (SELECT r.user_id, r.lo, r.hi, t.j, sum(t.e) OVER (PARTITION BY r.user_id, r.lo ORDER BY t.j) AS ends, sum(t.b) OVER (PARTITION BY r.user_id, r.lo ORDER BY t.j DESC) AS starts FROM r JOIN t ON t.user_id = r.user_id AND t.j BETWEEN r.lo AND r.hi)"""
+
+
+@query(f"""{_WALK}
 SELECT user_id, lo AS "begin", hi AS "end", round(max(least(ends, starts)), 9) AS split, max(least(ends, starts)) >= 0.2 AS multidomain FROM z GROUP BY user_id, lo, hi""")
 def region_segments(spark, sf_dir):
-    d = R.region_rows(_tracks(spark, sf_dir), "user_id", "j").select("user_id", F.explode("regions").alias("r"))
-    return d.select("user_id", F.col("r.begin").cast("long").alias("begin"), F.col("r.end").cast("long").alias("end"), F.col("r.split").alias("split"), (F.col("r.split") >= 0.2).alias("multidomain"))
+    d = G.regions(_tracks(spark, sf_dir), "user_id", "j")
+    return d.select("user_id", F.col("begin").cast("long").alias("begin"), F.col("end").cast("long").alias("end"), "split", (F.col("split") >= 0.2).alias("multidomain"))
 
 
-@query()
+@query(f"""{_WALK},
+u AS (SELECT t.user_id, count(*) AS n, sum(CASE WHEN p.is_on THEN (abs(t.m - t.e - 0.1) <= 2e-4)::INT ELSE (abs(t.m - 0.25) <= 2e-4)::INT + (abs(t.m - t.b - 0.1) <= 2e-4)::INT END) AS doubts FROM t JOIN m p ON p.user_id = t.user_id AND p.j = t.j - 1 GROUP BY t.user_id),
+s AS (SELECT user_id, lo, max(least(ends, starts)) AS split FROM z GROUP BY user_id, lo),
+v AS (SELECT user_id, count(*) AS regions, sum((abs(split - 0.2) <= 2e-4)::INT) AS near, max(split) AS most FROM s GROUP BY user_id)
+SELECT u.user_id, n, coalesce(regions, 0) AS regions, (doubts + coalesce(near, 0))::BIGINT AS uncertain,
+    CASE WHEN doubts + coalesce(near, 0) > 0 THEN 'UNCERTAIN' WHEN regions IS NULL THEN 'NO_REGIONS' WHEN most >= 0.2 THEN 'MULTIDOMAIN' ELSE 'SIMPLE' END AS route FROM u LEFT JOIN v ON v.user_id = u.user_id""")
 def row_routes(spark, sf_dir):
-    return R.region_rows(_tracks(spark, sf_dir), "user_id", "j").select("user_id", "n", F.size("regions").alias("regions"), "uncertain", "route")
+    return G.track_routes(_tracks(spark, sf_dir), "user_id", "j")
+
+
+@query("""WITH i AS (SELECT l_suppkey, l_orderkey, l_linenumber, date_diff('day', DATE '1970-01-01', l_shipdate::DATE)::BIGINT AS lo, date_diff('day', DATE '1970-01-01', l_shipdate::DATE)::BIGINT + (l_quantity::BIGINT % 7) AS hi FROM lineitem),
+r AS (SELECT *, max(hi) OVER (PARTITION BY l_suppkey ORDER BY lo, hi, l_orderkey, l_linenumber ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM i),
+c AS (SELECT *, sum((reached IS NULL OR lo > reached)::INT) OVER (PARTITION BY l_suppkey ORDER BY lo, hi, l_orderkey, l_linenumber) AS c FROM r)
+SELECT l_suppkey, l_orderkey, l_linenumber, min(lo) OVER (PARTITION BY l_suppkey, c) AS cluster_begin, max(hi) OVER (PARTITION BY l_suppkey, c) AS cluster_end, count(*) OVER (PARTITION BY l_suppkey, c) AS clustered FROM c""")
+def interval_overlaps(spark, sf_dir):
+    """Deliveries of a supplier as intervals of days: which chain of overlapping ones each belongs to."""
+    day = F.datediff(F.to_date("l_shipdate"), F.lit("1970-01-01").cast("date")).cast("long")
+    rows = read(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", day.alias("lo"), (day + F.col("l_quantity").cast("long") % 7).alias("hi"))
+    return G.overlaps(rows, ["l_suppkey"], "lo", "hi", 256).drop("lo", "hi", "reached")
 
 
 # -- accounting and telemetry -------------------------------------------------------------------

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from helixtable.functions import scores as S
 from helixtable.operators import kernels as K
+from helixtable.operators import regions as G
 from helixtable.operators import relational as R
 from helixtable.plans import search as P
 from helixtable.plans.queries import QUERIES, SQL
@@ -106,19 +107,50 @@ def test_status_ladder(spark):
         assert (r.s, r.n) == want
 
 
-def test_region_fold_equals_kernel(spark):
+@pytest.mark.parametrize("size", [3, 8, 4096])
+def test_regions_by_ranges_equal_kernel(spark, size):
     rng = np.random.default_rng(3)
-    tracks, want = [], {}
-    for k in range(30):
-        n = int(rng.integers(1, 40))
-        t = np.concatenate([[[0, 0, 0]], np.round(rng.random((n, 3)) * [0.4, 0.4, 1], 4)])
+    tracks, want, doubts = [], {}, {}
+    for k in range(40):
+        n = int(rng.integers(1, 60))
+        t = np.concatenate([[[0, 0, 0]], rng.random((n, 3)) * [0.4, 0.4, 1 if k % 2 else 0.5]])
         tracks += [(k, j, *map(float, t[j])) for j in range(1, n + 1)]
         cum = t.copy()
         cum[:, :2] = np.cumsum(t[:, :2], axis=0)
-        want[k] = [(b, e, m) for b, e, m in K.regions(cum)[0]]
-    d = R.region_rows(spark.createDataFrame(tracks, "k int, j int, starts double, ends double, inside double"), "k", "j")
-    got = {r["k"]: [(x["begin"], x["end"], x["split"] >= 0.2) for x in r["regions"]] for r in d.collect()}
+        found, doubts[k] = K.regions(cum)
+        want[k] = [(b, e, m) for b, e, m in found]
+    d = spark.createDataFrame(tracks, "k int, j int, starts double, ends double, inside double").repartition(3)
+    got = {k: [] for k in want}
+    for r in G.regions(d, "k", "j", size=size).orderBy("k", "begin").collect():
+        got[r["k"]].append((r["begin"], r["end"], r["split"] >= 0.2))
     assert got == want
+    routes = {r["k"]: r for r in G.track_routes(d, "k", "j", size=size).collect()}
+    assert {k: r["regions"] for k, r in routes.items()} == {k: len(w) for k, w in want.items()}
+    for k, r in routes.items():
+        assert (r["route"] == "UNCERTAIN") == (r["uncertain"] > 0)
+        if not r["uncertain"]:
+            assert r["route"] == ("NO_REGIONS" if not want[k] else "MULTIDOMAIN" if any(m for _, _, m in want[k]) else "SIMPLE")
+
+
+@pytest.mark.parametrize("size", [4, 64])
+def test_overlaps_equal_plain_walk(spark, size):
+    rng = np.random.default_rng(8)
+    rows = [(int(k), i, int(b), int(b + n)) for k in range(4) for i, (b, n) in enumerate(zip(rng.integers(0, 120, 50), rng.integers(0, 9, 50), strict=True))]
+    rows += [(9, 0, 0, 100), (9, 1, 3, 5), (9, 2, 50, 60), (9, 3, 100, 100), (9, 4, 101, 101)]  # nested, touching, apart
+    want = {}
+    for k in {r[0] for r in rows}:
+        chain, upto = [], None
+        for r in sorted((r for r in rows if r[0] == k), key=lambda r: r[2:]):
+            if upto is None or r[2] > upto:
+                chain.append([])
+                upto = r[3]
+            chain[-1].append(r)
+            upto = max(upto, r[3])
+        for c in chain:
+            for r in c:
+                want[r[:2]] = (min(x[2] for x in c), max(x[3] for x in c), len(c))
+    d = spark.createDataFrame(rows, "k int, i int, lo int, hi int").repartition(3)
+    assert {(r["k"], r["i"]): (r["cluster_begin"], r["cluster_end"], r["clustered"]) for r in G.overlaps(d, ["k"], "lo", "hi", size).collect()} == want
 
 
 def test_seeds_miss_nothing(spark):
