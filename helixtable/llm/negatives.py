@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from helixtable.llm.codes import scaled, sound
 from helixtable.llm.common import forget, written
 
-SCALE, MOST, FIRST, TILE, BLOCK, STEP, EVERY = 256, 1 << 24, 5, 1024, 256, 8, 100
+SCALE, MOST, FIRST, TILE, BLOCK, STEP, FEW, EVERY = 256, 1 << 24, 5, 1024, 256, 16, 48, 100
 
 
 def bounds(anchor: np.ndarray, low: np.ndarray, high: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -53,8 +53,8 @@ def scan(anchor: np.ndarray, columns: np.ndarray, low: np.ndarray, high: np.ndar
         read = order[i : i + STEP]
         partial = partial + anchor[read] @ columns[np.ix_(read, candidates)]
         end = min(i + STEP, len(order))
-        stay = prune(partial + least[end], partial + most[end])
-        if not stay.all():
+        if len(candidates) > FEW or end == len(order):  # fewer are read to the end sooner than they are weighed
+            stay = prune(partial + least[end], partial + most[end])
             candidates, partial = candidates[stay], partial[stay]
     return candidates, partial
 
@@ -75,12 +75,19 @@ def window(score: int) -> tuple[int, int]:
 
 
 def windows_may(windows: list[tuple[int, int]]):
+    least, most = min(lo for lo, _ in windows), max(hi for _, hi in windows)
+
     def prune(lower: np.ndarray, upper: np.ndarray) -> np.ndarray:
-        stay = np.zeros(len(lower), dtype=bool)
-        for lo, hi in windows:
-            may = (upper >= lo) & (lower <= hi)
-            k = kth(lower[(lower >= lo) & (upper <= hi)])
-            stay |= may & (upper >= k) if k is not None else may
+        stay = (upper >= least) & (lower <= most)
+        some = np.flatnonzero(stay)
+        if FEW < len(some):
+            lower, upper = lower[some], upper[some]
+            within = np.zeros(len(some), dtype=bool)
+            for lo, hi in windows:
+                may = (upper >= lo) & (lower <= hi)
+                k = kth(lower[(lower >= lo) & (upper <= hi)])
+                within |= may & (upper >= k) if k is not None else may
+            stay[some] = within
         return stay
 
     return prune
@@ -97,37 +104,59 @@ def _firsts(candidates: np.ndarray, scores: np.ndarray) -> np.ndarray:
     return np.lexsort((candidates, -scores))[:FIRST]
 
 
+class Found:
+    """Rows that a task returns, gathered as arrays."""
+
+    def __init__(self, rows: pd.DataFrame) -> None:
+        self.ids, self.uids = rows["vec_id"].to_numpy(), rows["uid"].to_numpy()
+        self.asked, self.places, self.at, self.scores = [], [], [], []
+
+    def add(self, uid: int, place: int, at: np.ndarray, scores: np.ndarray) -> None:
+        self.asked.append(np.full(len(at), uid))
+        self.places.append(np.full(len(at), place))
+        self.at.append(at)
+        self.scores.append(scores)
+
+    def frame(self) -> pd.DataFrame:
+        one = lambda x: np.concatenate(x) if x else np.zeros(0, dtype=np.int64)
+        at = one(self.at)
+        return pd.DataFrame({"uid": one(self.asked), "place": one(self.places), "other": self.ids[at], "score": one(self.scores), "other_uid": self.uids[at]})
+
+
+FOUND = "uid long, place int, other {}, score long, other_uid long"
+NONE = pd.DataFrame({"uid": [], "place": [], "other": [], "score": [], "other_uid": []})
+
+
 def _positives(anchors: pd.DataFrame, tile: pd.DataFrame) -> pd.DataFrame:
-    out = []
-    if len(anchors) and len(tile):
-        rows, columns = _tile(tile)
-        low, high = columns.min(axis=1), columns.max(axis=1)
-        label, uid = rows["label"].to_numpy(), rows["uid"].to_numpy()
-        for a in anchors.itertuples(index=False):
-            candidates = np.flatnonzero((label == a.label) & (uid != a.uid))
-            candidates, scores = scan(np.asarray(a.v, dtype=np.int64), columns, low, high, candidates, best_may)
-            top = _firsts(candidates, scores)
-            out.append(pd.DataFrame({"uid": a.uid, "other": rows["vec_id"].to_numpy()[candidates[top]], "score": scores[top], "other_uid": uid[candidates[top]]}))
-    return pd.concat(out) if out else pd.DataFrame({"uid": [], "other": [], "score": [], "other_uid": []})
+    if not len(anchors) or not len(tile):
+        return NONE
+    rows, columns = _tile(tile)
+    low, high, out = columns.min(axis=1), columns.max(axis=1), Found(rows)
+    label, uid = rows["label"].to_numpy(), rows["uid"].to_numpy()
+    for a in anchors.itertuples(index=False):
+        candidates = np.flatnonzero((label == a.label) & (uid != a.uid))
+        candidates, scores = scan(np.asarray(a.v, dtype=np.int64), columns, low, high, candidates, best_may)
+        top = _firsts(candidates, scores)
+        out.add(a.uid, 0, candidates[top], scores[top])
+    return out.frame()
 
 
 def _negatives(anchors: pd.DataFrame, tile: pd.DataFrame) -> pd.DataFrame:
-    out = []
-    if len(anchors) and len(tile):
-        rows, columns = _tile(tile)
-        low, high = columns.min(axis=1), columns.max(axis=1)
-        label, uid, ids = rows["label"].to_numpy(), rows["uid"].to_numpy(), rows["vec_id"].to_numpy()
-        for a in anchors.itertuples(index=False):
-            spans = [window(int(s)) for s in a.scores]
-            spans_of = [(lo, hi) for lo, hi in spans if lo <= hi]
-            if not spans_of:
-                continue
-            candidates, scores = scan(np.asarray(a.v, dtype=np.int64), columns, low, high, np.flatnonzero(label != a.label), windows_may(spans_of))
-            for place, (lo, hi) in enumerate(spans, 1):
+    if not len(anchors) or not len(tile):
+        return NONE
+    rows, columns = _tile(tile)
+    low, high, out, label = columns.min(axis=1), columns.max(axis=1), Found(rows), rows["label"].to_numpy()
+    for a in anchors.itertuples(index=False):
+        spans = [(place, *window(int(s))) for place, s in enumerate(a.scores, 1)]
+        spans = [(place, lo, hi) for place, lo, hi in spans if lo <= hi]
+        if spans:
+            prune = windows_may([(lo, hi) for _, lo, hi in spans])
+            candidates, scores = scan(np.asarray(a.v, dtype=np.int64), columns, low, high, np.flatnonzero(label != a.label), prune)
+            for place, lo, hi in spans if len(candidates) else ():
                 within = np.flatnonzero((scores >= lo) & (scores <= hi))
                 top = within[_firsts(candidates[within], scores[within])]
-                out.append(pd.DataFrame({"uid": a.uid, "place": place, "other": ids[candidates[top]], "score": scores[top], "other_uid": uid[candidates[top]]}))
-    return pd.concat(out) if out else pd.DataFrame({"uid": [], "place": [], "other": [], "score": [], "other_uid": []})
+                out.add(a.uid, place, candidates[top], scores[top])
+    return out.frame()
 
 
 def _first(rows: DataFrame, *keys: str) -> DataFrame:
@@ -150,21 +179,20 @@ def mine(vectors: DataFrame, anchor: Column | None = None) -> DataFrame:
     each = lambda n, name: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias(name)
     wide = rows.select("n", deal(tiles).alias("tile"), "uid", "vec_id", "label", "v").select("*", each(blocks, "block")).groupBy("n", "block", "tile")
 
-    def meet(asking: DataFrame, function, schema: str) -> DataFrame:
+    def meet(asking: DataFrame, function) -> DataFrame:
         grid = asking.withColumn("block", deal(blocks)).select("*", each(tiles, "tile")).groupBy("n", "block", "tile")
-        return grid.cogroup(wide).applyInPandas(function, schema)
+        return grid.cogroup(wide).applyInPandas(function, FOUND.format(kinds["vec_id"]))
 
-    of_anchor = rows.where("anchor").select("n", "uid", "label", "v")
-    other = f"other {kinds['vec_id']}, score long, other_uid long"
-    positives = _first(meet(of_anchor, _positives, f"uid long, {other}"), "uid")
+    of_anchor = written(rows.where("anchor").select("n", "uid", "label", "v"), "anchors")  # a table of its own: both sides of cogroup must not share columns
+    positives = _first(meet(of_anchor, _positives), "uid")
     positives = written(positives.select("uid", F.col("rank").alias("place"), F.col("other").alias("positive_id"), F.col("score").alias("positive_score")), "positives")
     scores = positives.groupBy("uid").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "positive_score"))), lambda x: x.positive_score).alias("scores"))  # FIRST at most
     asking = written(of_anchor.join(scores, "uid"), "anchors")
-    negatives = _first(meet(asking, _negatives, f"uid long, place int, {other}"), "uid", "place")
+    negatives = _first(meet(asking, _negatives), "uid", "place")
     negatives = written(negatives.select("uid", "place", "rank", F.col("other").alias("negative_id"), F.col("score").alias("negative_score")), "negatives")
     ids = rows.where("anchor").select("uid", F.col("vec_id").alias("anchor_id"))
     out = written(negatives.join(positives, ["uid", "place"]).join(ids, "uid").select("anchor_id", "positive_id", F.col("rank").cast("int").alias("rank"), "negative_id", "positive_score", "negative_score"), "hard-negatives")
-    forget(rows, positives, asking, negatives)
+    forget(rows, of_anchor, positives, asking, negatives)
     return out
 
 
