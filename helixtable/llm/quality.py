@@ -3,9 +3,9 @@
 Statistics of a text are columns; a rule is a conjunction of thresholds on them, such as symbol_share > 0.01 AND
 repeat_share <= 0.2. Rules are learned by sequential covering for the rows labelled 0: a rule grows literal by
 literal, each the one of most information gain on the rows still uncovered; then its end is pruned where a shorter
-rule is better on rows kept from growing; rows that it covers go, and the next rule grows from the rest. Learning ends
-with the first rule that is not PRECISION precise on the rows kept from growing, or after RULES. The list is emitted
-as one ordered conditional expression, `number`, which names the first rule that a text meets, or 0.
+rule is better on rows kept from growing; rows that it covers go, and the next rule grows from the rest. A rule that is
+not PRECISION precise on the rows kept from growing is dropped, and none that starts with its statistic is tried for
+the rows left; learning ends when none is left to try, or after RULES. The list is emitted as one ordered conditional expression, `number`, which names the first rule that a text meets, or 0.
 
 The thresholds tried are quantiles of each statistic among the rows of each label (QUANTILES a label) and what lies
 midway between two; of thresholds of equal gain in a row the middle one is taken, away from either kind of row. So a
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from helixtable.llm.common import forget, nested, text_of, written
 
 SPACE, A_WORD, NO_SYMBOL = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]", r"[^#*$%&|<>]+"
-WINDOW, QUANTILES, RULES, LITERALS, PRECISION, KEPT_BACK = 5, 32, 12, 4, 0.9, 3
+WINDOW, QUANTILES, RULES, LITERALS, PRECISION, KEPT_BACK = 5, 32, 12, 4, 0.95, 3
 STATISTICS = ("n_words", "mean_word", "symbol_share", "upper_share", "mark_share", "dup_line_share", "repeat_share", "distinct_share", "line_words", "ended_share", "top_share")
 
 
@@ -154,8 +154,8 @@ def gain(p: int, n: int, p1: int, n1: int) -> float:
     return p1 * (math.log2(p1 / (p1 + n1)) - math.log2(p / (p + n))) if p1 else 0.0
 
 
-def best_step(counts: list, cuts: dict[str, list[float]]) -> tuple[Step, int] | None:
-    """The step of most gain by counts (at, place, bad, n), and how many good rows it leaves. None if no step gains."""
+def best_step(counts: list, cuts: dict[str, list[float]], but: frozenset[int] = frozenset()) -> tuple[Step, int] | None:
+    """The step of most gain by counts (at, place, bad, n), on any statistic but those, and how many good rows it leaves. None if no step gains."""
     table: dict[int, dict[int, list[int]]] = {}
     for r in counts:
         table.setdefault(r["at"], {}).setdefault(r["place"], [0, 0])[r["bad"]] += r["n"]
@@ -164,6 +164,8 @@ def best_step(counts: list, cuts: dict[str, list[float]]) -> tuple[Step, int] |
         n, p = (sum(x[k] for x in places.values()) for k in (0, 1))
         if not p:
             return None
+        if at in but:
+            continue
         n1 = p1 = 0
         by: dict[tuple, list[int]] = {}
         for place in range(len(cuts[STATISTICS[at]])):
@@ -195,12 +197,13 @@ def learned(rows: DataFrame) -> list[Rule]:
     cuts = thresholds(rows)
     left = table = written(placed(rows, cuts), "quality-places")
     rules: list[list[Step]] = []
+    failed: frozenset[int] = frozenset()
     while len(rules) < RULES:
         rule: list[Step] = []
         growing = left.where(~F.col("back"))
         while len(rule) < LITERALS:
             counts = growing.select(F.col("bad").cast("int").alias("bad"), F.posexplode("places").alias("at", "place")).groupBy("at", "place", "bad").agg(F.count("*").alias("n")).collect()
-            found = best_step(counts, cuts)
+            found = best_step(counts, cuts, frozenset() if rule else failed)
             if not found:
                 break
             rule.append(found[0])
@@ -211,8 +214,10 @@ def learned(rows: DataFrame) -> list[Rule]:
             break
         k, p, n = pruned(rule, left.where("back"))
         if p < PRECISION * (p + n) or not p:
-            break
+            failed |= {rule[0].at}
+            continue
         rules.append(rule[:k])
+        failed = frozenset()
         cond = F.lit(True)
         for step in rule[:k]:
             cond = cond & step.column()

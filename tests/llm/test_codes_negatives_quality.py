@@ -49,7 +49,7 @@ def plain_codes(rows):
 def vectors(n, width, seed=1):
     rng = np.random.default_rng(seed)
     rows = [(i, [float(np.float32(x)) for x in rng.normal(size=width)], int(rng.integers(0, 3))) for i in range(n)]
-    rows += [(n, None, 0), (n + 1, [NAN] * width, 0), (n + 2, [INF] + [0.0] * (width - 1), 1), (n + 3, [None] + [0.0] * (width - 1), 1), (n + 4, [], 1), (n + 5, [0.5] * width, None), (None, [0.25] * width, 2), (3, rows[3][1], 2), (7, rows[9][1], 1), (n + 6, [1.0] * 5, 0)]
+    rows += [(n, None, 0), (n + 1, [NAN] * width, 0), (n + 2, [INF] + [0.0] * (width - 1), 1), (n + 3, [None] + [0.0] * (width - 1), 1), (n + 4, [], 1), (n + 5, [0.5] * width, None), (None, [0.25] * width, 2), (3, rows[3][1], 2), (2, rows[4][1], 1), (n + 6, [1.0] * 5, 0)]
     return rows
 
 
@@ -174,9 +174,9 @@ def test_rules_learn_a_planted_conjunction(spark):
 
 def test_quality_on_held_out_labels(spark):
     """Rules from two thirds of the labels, judged on the rest."""
-    sf = "/root/testdata/sf0.01"
+    sf = "/root/testdata/sf0.1"
     labels = table(spark, sf, "labels")
     out = quality.quality(table(spark, sf, "documents"), labels.where("crc32(cast(doc_id as string)) % 3 <> 1"))
     rows = [r for r in out.join(labels, "doc_id").collect() if zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1]
     bad, good = [r for r in rows if r["quality"] == 0], [r for r in rows if r["quality"] == 1 and not r["base_failed"]]
-    assert sum(not r["kept"] for r in bad) >= 0.9 * len(bad) and sum(r["kept"] for r in good) >= 0.97 * len(good)
+    assert sum(not r["kept"] for r in bad) >= 0.95 * len(bad) and sum(r["kept"] for r in good) >= 0.99 * len(good)
