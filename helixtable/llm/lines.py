@@ -5,7 +5,8 @@ one of BUCKETS hash buckets, then by hash. A line is removed if any earlier line
 the corpus has a Jaccard similarity of at least SIMILARITY with it. Lines of equal token sets are one set, known by
 128 bits, of which the first line stays. Different sets are joined on their prefixes: the n - ceil(t n) + CLASSES + 1
 rarest tokens, of which similar sets share CLASSES + 1 at least. If one of those is in a bucket of fewer than
-2^(RARE + 1) words, it is a key by itself, and its list is short. If all are more frequent, two of them are in one of
+2^(RARE + 1) words, it is a key by itself, and its list has no more rows than that; there a set is looked for among those of
+no more tokens, of which the n - ceil(2 t n / (1 + t)) + 1 rarest are enough. If all are more frequent, two of them are in one of
 CLASSES hash classes, and that pair of tokens is the key. So no list is that of one frequent token, and the rows of
 the joins grow with the lines. Where a corpus is so large that each bucket is full, all keys are pairs of the tokens
 of the emptier buckets. Candidates must pass the length filter, the positional filter (single tokens) and a bound on the
@@ -24,18 +25,15 @@ from pyspark.sql import functions as F
 
 from helixtable.llm.common import WORD, forget, kept_by, marked, nested, text_of, written
 
-SIMILARITY, CLASSES, RARE, BUCKETS, HEADS, LONG = 0.8, 4, 5, 1 << 21, 4, 64
+SIMILARITY, CLASSES, RARE, BUCKETS, HEADS = 0.8, 4, 9, 1 << 21, 4
 SET = ("id", "n", "bits", "more")
 PLACE = ("key", "tie", "line")  # of a line, in the order of lines
 PART, HASH_BITS, ZERO = 4096, 43, "!"  # buckets in a part of the counts; bits of a token's hash below its rarity; the first of the characters
 
 
-def words(line: Column) -> Column:
-    """The words of a line in lower case, repeats included. A split at one character is the fast one."""
-    line = F.lower(line)
-    for c in "\t\r\x0b\x0c":
-        line = F.replace(line, F.lit(c), F.lit(" "))
-    return F.array_remove(F.split(line, " ", -1), "")
+def words(text: Column) -> Column:
+    """The words of a line or text in lower case, repeats included."""
+    return F.array_remove(F.split(F.lower(text), r"[\x20\x09-\x0D]+", -1), "")
 
 
 def hashes(line: Column) -> Column:
@@ -56,24 +54,26 @@ def bucket(h: Column) -> Column:
     return h.bitwiseAND(F.lit(BUCKETS - 1))
 
 
-def rarity(lines: DataFrame) -> DataFrame:
-    """One row, counts: for each bucket a character, by the binary logarithm of how many lines its tokens (h) are in. BUCKETS bytes whatever the input."""
-    met = lines.select(F.explode("h").alias("h")).groupBy(bucket(F.col("h")).alias("id")).agg(F.floor(F.log2(F.count("*"))).cast("int").alias("k")).where("k > 0")
+def rarity(texts: DataFrame) -> DataFrame:
+    """One row, counts: for each bucket a character, by the binary logarithm of how often its words stand in the texts. BUCKETS bytes whatever the input."""
+    met = texts.select(F.explode(words(F.col("text"))).alias("w")).select(bucket(F.xxhash64("w")).alias("id")).groupBy("id").agg(F.floor(F.log2(F.count("*"))).cast("int").alias("k")).where("k > 0")
     parts = met.groupBy(F.floor(F.col("id") / PART).alias("part")).agg(F.sort_array(F.collect_list(F.struct((F.col("id") % PART).cast("int").alias("at"), "k"))).alias("x"))  # PART at most
     one = f"concat(repeat('{ZERO}', e.at - CASE WHEN i = 0 THEN 0 ELSE x[i - 1].at + 1 END), char({ord(ZERO)} + e.k))"
     filled = F.expr(f"concat(array_join(transform(x, (e, i) -> {one}), ''), repeat('{ZERO}', {PART - 1} - x[size(x) - 1].at))")
-    rows = lines.sparkSession.range(BUCKETS // PART).select(F.col("id").alias("part")).join(parts, "part", "left")
+    rows = texts.sparkSession.range(BUCKETS // PART).select(F.col("id").alias("part")).join(parts, "part", "left")
     rows = rows.select("part", F.coalesce(filled, F.repeat(F.lit(ZERO), F.lit(PART))).alias("x"))
     whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part", "x"))), lambda r: r.x), "")
     return written(rows.agg(whole.cast("binary").alias("counts")), "line-counts")
 
 
 def by_rarity(lines: DataFrame, counts: DataFrame) -> DataFrame:
-    """lines with t, the tokens (h) rarest first: their bucket's logarithm above HASH_BITS bits of their hash. The counts
-    are a scalar subquery, so they stand in no plan."""
+    """lines with t, the tokens (h) rarest first: their bucket's logarithm above HASH_BITS bits of their hash; s1 and s2 are hashes of the
+    whole set. The counts are a scalar subquery, so they stand in no plan."""
     rank = lambda h: (F.ascii(F.substring(F.col("counts"), bucket(h).cast("int") + 1, 1).cast("string")) - ord(ZERO)).cast("long")
     t = F.sort_array(F.transform("h", lambda h: F.shiftleft(rank(h), HASH_BITS).bitwiseOR(F.shiftrightunsigned(h, 64 - HASH_BITS))))
-    return lines.select(*PLACE, "h", counts.scalar().alias("counts")).select(*PLACE, t.alias("t"))
+    # the counts must be named once only, or Spark lays them into each row
+    named = lines.select(*PLACE, F.xxhash64("h").alias("s1"), F.xxhash64(F.lit(1), "h").alias("s2"), "h", counts.scalar().alias("counts"))
+    return named.select(*PLACE, "s1", "s2", t.alias("t"))
 
 
 def keyed_sets(tokens: DataFrame, similarity: float) -> DataFrame:
@@ -96,15 +96,12 @@ def paired(sets: DataFrame) -> DataFrame:
     return pairs.where(f"few OR (shiftright(x ^ y, 6) & {CLASSES - 1}L) = 0").select(*SET, F.xxhash64("x", "y").alias("key"))
 
 
-def parities(t: str, long_only: bool = False) -> Column:
-    """64 bits: whether an odd number of tokens has each of 64 hash values. Two sets differ in as many tokens at least as
-    bits. The second 64 bits, of other hash values, are for long sets: the first suffice for those of LONG tokens or fewer."""
-    x = "shiftright(x, 8)" if long_only else "x"
-    bits = f"aggregate({t}, 0L, (a, x) -> a ^ shiftleft(1L, cast({x} & 63L as int)))"
-    return F.expr(f"CASE WHEN size({t}) > {LONG} THEN {bits} ELSE 0L END" if long_only else bits)
+def parities(t: str, high: bool) -> Column:
+    """64 of 128 bits: whether an odd number of tokens has each of 128 hash values. Two sets differ in as many tokens at least as bits."""
+    return F.expr(f"aggregate({t}, 0L, (a, x) -> CASE WHEN (x & 64L) {'<>' if high else '='} 0L THEN a ^ shiftleft(1L, cast(x & 63L as int)) ELSE a END)")
 
 
-APART = "bit_count(bits_a ^ bits_b)"
+APART = "(bit_count(bits_a ^ bits_b) + bit_count(more_a ^ more_b))"
 
 
 def fitting(similarity: float, positional: bool) -> Column:
@@ -112,9 +109,17 @@ def fitting(similarity: float, positional: bool) -> Column:
     need = f"ceil({similarity / (1 + similarity)!r} * (n_a + n_b) - 1e-9)"
     room = f" AND least(pos_a, pos_b) + least(n_a - pos_a, n_b - pos_b) >= {need}" if positional else ""
     lengths = f"least(n_a, n_b) >= {similarity} * greatest(n_a, n_b) - 1e-9"
-    differ = f"n_a + n_b - 2 * {need}"
-    both = f"(n_a <= {LONG} OR n_b <= {LONG} OR bit_count(more_a ^ more_b) <= {differ})"
-    return F.expr(f"{lengths}{room} AND {APART} <= {differ} AND {both}")
+    return F.expr(f"{lengths}{room} AND {APART} <= n_a + n_b - 2 * {need}")
+
+
+def by_singles(sets: DataFrame, similarity: float) -> DataFrame:
+    """id_a, id_b (the later one), apart of the sets that share a rare token and can be similar. A set of no fewer tokens is looked for
+    among those of no more, of which a shorter prefix is enough: it can lack only as many tokens as the lengths allow."""
+    single = sets.select(*SET, F.posexplode("singles").alias("pos", "token")).where("token IS NOT NULL")
+    few = F.expr(f"pos < n - ceil({2 * similarity / (1 + similarity)!r} * n - 1e-9) + 1")
+    side = lambda d, x: d.select("token", *[F.col(c).alias(f"{c}_{x}") for c in (*SET, "pos")])
+    met = side(single.where(few), "a").join(side(single, "b"), "token").where("n_a <= n_b AND id_a <> id_b").where(fitting(similarity, True))
+    return met.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"), F.expr(APART).alias("apart"))
 
 
 def sides(left: DataFrame, right: DataFrame, on: str, *columns: str) -> DataFrame:
@@ -145,9 +150,7 @@ def similar_sets(sets: DataFrame, firsts: DataFrame, texts: DataFrame, similarit
     left are joined with all that are earlier. Of a set's candidates the one with the fewest differing bits is verified
     first, the others only if that one was not similar.
     """
-    single = sets.select(*SET, F.posexplode("singles").alias("pos", "token")).where("token IS NOT NULL")
-    near = sides(single, single, "token", *SET, "pos").where(fitting(similarity, True)).select("id_a", "id_b", F.expr(APART).alias("apart"))
-    near = written(near.distinct(), "line-near")
+    near = written(by_singles(sets, similarity).distinct(), "line-near")
     pair = paired(sets)
     held = pair.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key")
     pair = written(pair.join(held, "key"), "line-pairs")  # what more than one set has
@@ -157,7 +160,7 @@ def similar_sets(sets: DataFrame, firsts: DataFrame, texts: DataFrame, similarit
     star = star.join(thin_a, "id_a").join(thin_b, "id_b").where(fitting(similarity, False)).select("id_a", "id_b", F.expr(APART).alias("apart"))
     found = written(near.union(star), "line-found")
     forget(near)
-    best = found.groupBy("id_b").agg(F.min(F.shiftleft(F.col("apart").cast("long"), 56).bitwiseOR(F.col("id_a"))).alias("x"))  # 56 bits hold an id
+    best = found.groupBy("id_b").agg(F.min(F.shiftleft(F.least("apart", F.lit(127)).cast("long"), 56).bitwiseOR(F.col("id_a"))).alias("x"))  # 56 bits hold an id
     best = written(best.select(F.col("x").bitwiseAND(F.lit((1 << 56) - 1)).alias("id_a"), "id_b"), "line-best")
     early = verified(best, firsts, texts, similarity)
     unsettled = lambda rows, id_: rows.join(early.withColumnRenamed("id", id_), id_, "left_anti")
@@ -172,17 +175,13 @@ def similar_sets(sets: DataFrame, firsts: DataFrame, texts: DataFrame, similarit
 def removed_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """key, tie, removed (sorted line numbers) of the documents that lose lines."""
     texts = keyed(docs)
-    wide = exploded(texts).select(*PLACE, hashes(F.col("content")).alias("h"))
-    wide = written(wide.select(*PLACE, "h", F.xxhash64("h").alias("s1"), F.xxhash64(F.lit(1), "h").alias("s2")), "line-tokens")
-    tokens = wide.where(F.size("h") > 0)
-    lines = written(tokens.select(*PLACE, "s1", "s2"), "lines")
+    tokens = exploded(texts).select(*PLACE, hashes(F.col("content")).alias("h")).where(F.size("h") > 0)
+    rare_first = by_rarity(tokens, rarity(texts)).withColumn("n", F.size("t")).withColumn("bits", parities("t", False)).withColumn("more", parities("t", True))
+    lines = keyed_sets(rare_first, similarity).select(*PLACE, "s1", "s2", *SET[1:], "singles", "frequent", "few")
+    lines = written(lines, "lines")  # of a line's tokens only those that are keys; all of them cost more to write than to find again
     firsts = lines.groupBy("s1", "s2").agg(F.min(F.struct(*PLACE)).alias("at")).select("at.*", "s1", "s2")
     firsts = written(firsts.orderBy(*PLACE).withColumn("id", F.monotonically_increasing_id()), "line-firsts")  # ids grow as places do
-    counts = rarity(tokens)
-    rare_first = by_rarity(tokens, counts).withColumn("n", F.size("t")).withColumn("bits", parities("t")).withColumn("more", parities("t", True))
-    sets = keyed_sets(rare_first, similarity).drop("t").join(firsts.select("id", *PLACE), [*PLACE]).select(*SET, "singles", "frequent", "few")
-    sets = written(sets, "line-sets")
-    forget(wide, counts)
+    sets = written(lines.drop("s1", "s2").join(firsts.select("id", *PLACE), [*PLACE]).select(*SET, "singles", "frequent", "few"), "line-sets")
     late = similar_sets(sets, firsts, texts, similarity).withColumn("late", F.lit(True))
     ends = firsts.select("id", "s1", "s2", F.struct(*PLACE).alias("first")).join(late, "id", "left").drop("id")
     gone = lines.select(*PLACE, "s1", "s2").join(ends, ["s1", "s2"]).where(F.col("late").isNotNull() | (F.struct(*PLACE) > F.col("first")))
