@@ -563,11 +563,12 @@ def common_outcomes(spark, sf_dir):
 @query("SELECT event_type, count(*) AS rows, round(sum(value), 4) AS total FROM events GROUP BY event_type")
 def incremental_ingest(spark, sf_dir):
     """Running counters of a stream of files, after everything there is."""
-    from helixtable.streaming.ingest import counted_stream, run_available
+    from helixtable.streaming.ingest import counted_batches, files
 
     schema = read(spark, sf_dir, "events").schema
-    stream = counted_stream(spark, f"{sf_dir}/events.parque[t]", schema, "event_type")
-    return run_available(stream, "ingested_events", sinks.shared_folder(spark, "ingest")).select("event_type", "rows", F.round("total", 4).alias("total"))
+    stream = files(spark, f"{sf_dir}/events.parque[t]", schema)
+    folder = sinks.shared_folder(spark, "ingest")
+    return counted_batches(stream, "event_type", f"{folder}/parts", f"{folder}/checkpoint").select("event_type", "rows", F.round("total", 4).alias("total"))
 
 
 # -- formats, merges and stability ---------------------------------------------------------------

@@ -7,17 +7,28 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
-def counted_stream(spark: SparkSession, folder: str, schema: StructType, key: str, files_per_batch: int = 1) -> DataFrame:
-    """Running counters by key over a folder of Parquet files."""
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
-    return stream.groupBy(key).agg(F.count("*").alias("rows"), F.sum("value").alias("total"))
+def files(spark: SparkSession, folder: str, schema: StructType, files_per_batch: int = 1) -> DataFrame:
+    """A stream of the Parquet files of a folder, so many to a batch."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
 
-def run_available(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """Everything there is, in batches, into an in-memory table of counters (a row for each key); returns the table."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def counted_batches(stream: DataFrame, key: str, target: str, checkpoint: str) -> DataFrame:
+    """key, rows, total over everything there is, by batches: each writes what it adds under its own number and nothing stays on
+    the driver. A batch that runs again replaces its own part, so it counts once; reading sums the parts."""
+
+    def add(batch: DataFrame, number: int) -> None:
+        batch.groupBy(key).agg(F.count("*").alias("rows"), F.sum("value").alias("total")).write.mode("overwrite").parquet(f"{target}/batch={number}")
+
+    query = stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    return counters(stream.sparkSession, key, target, stream.schema)
+
+
+def counters(spark: SparkSession, key: str, target: str, schema: StructType) -> DataFrame:
+    """The counters as they stand: the sums of what the batches added."""
+    kind = schema[key].dataType.simpleString()
+    parts = spark.read.schema(f"{key} {kind}, rows long, total double").option("recursiveFileLookup", True).parquet(target)
+    return parts.groupBy(key).agg(F.sum("rows").alias("rows"), F.sum("total").alias("total"))
 
 
 def append_batches(stream: DataFrame, target: str, checkpoint: str, transform) -> None:

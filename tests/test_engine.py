@@ -272,14 +272,18 @@ def test_provenance(spark):
 
 
 def test_streams_in_batches(spark, tmp_path):
-    from helixtable.streaming.ingest import append_batches, counted_stream, run_available
+    from helixtable.streaming.ingest import append_batches, counted_batches, counters, files
 
     for i in range(3):
         spark.range(i * 10, i * 10 + 10).selectExpr("id % 2 AS k", "cast(id AS double) AS value").coalesce(1).write.parquet(str(tmp_path / f"in{i}"))
     schema = spark.read.parquet(str(tmp_path / "in0")).schema
-    out = run_available(counted_stream(spark, str(tmp_path / "in*"), schema, "k"), "batches", str(tmp_path / "c1"))
-    assert sorted((r["k"], r["rows"], r["total"]) for r in out.collect()) == [(0, 15, 210.0), (1, 15, 225.0)]
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in*"))
+    got = lambda d: sorted((r["k"], r["rows"], r["total"]) for r in d.collect())
+    stream, parts = files(spark, str(tmp_path / "in*"), schema), str(tmp_path / "parts")
+    want = [(0, 15, 210.0), (1, 15, 225.0)]
+    assert got(counted_batches(stream, "k", parts, str(tmp_path / "c1"))) == want
+    assert len(list((tmp_path / "parts").glob("batch=*"))) == 3
+    # the same batches once more, as after a failure before their commit: each counts once
+    assert got(counted_batches(stream, "k", parts, str(tmp_path / "c1b"))) == want == got(counters(spark, "k", parts, schema))
     append_batches(stream, str(tmp_path / "out"), str(tmp_path / "c2"), lambda b: b.where("k = 0"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 15
 
