@@ -28,6 +28,15 @@ def ranked(rows: DataFrame, order: list[Column], sums: tuple[str, ...] = ()) ->
     return out.drop("at_", "range_", "n_0_", *[f"{c}_n_0_" for c in sums])
 
 
+def ranked_within(rows: DataFrame, group: str, order: list[Column], name: str) -> DataFrame:
+    """rows with their place (from 0) within a group: the place in one order of all less the place where the group begins. A group
+    that holds most rows is ranked by ranges like any other."""
+    d = ranked(rows, [F.col(group), *order])
+    starts = d.groupBy(F.col(group).alias("group_")).agg(F.min("rank").alias("first_"))
+    d = d.join(starts, F.col(group).eqNullSafe(F.col("group_")))
+    return d.withColumn(name, F.col("rank") - F.col("first_")).drop("rank", "group_", "first_")
+
+
 def first_records(rows: DataFrame, ordinal: str, n: int) -> DataFrame:
     """The first n records by ordinal: each task keeps n of its own before they meet."""
     return rows.orderBy(ordinal).limit(n)

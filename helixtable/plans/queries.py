@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from helixtable.functions import scores as S
 from helixtable.functions.alphabet import alphabet
 from helixtable.operators import kernels as K
+from helixtable.operators import planning as N
 from helixtable.operators import provenance as V
 from helixtable.operators import regions as G
 from helixtable.operators import relational as R
@@ -109,9 +110,8 @@ def degenerate_odds(spark, sf_dir):
 w AS (SELECT l.doc_id AS place, r.source, r.ordinal, r.n AS want FROM labels l JOIN r USING (doc_id))
 SELECT w.place, w.source, w.ordinal, r.doc_id, r.n, CASE WHEN r.doc_id IS NULL THEN 'MISSING' WHEN r.n <> w.want THEN 'MISMATCH' END AS problem FROM w LEFT JOIN r ON r.source = w.source AND r.ordinal = w.ordinal""")
 def select_by_ordinal(spark, sf_dir):
-    w = Window.partitionBy("source").orderBy("doc_id")
     docs = read(spark, sf_dir, "documents").select("source", "doc_id", F.length(F.coalesce("text", F.lit(""))).alias("n"))
-    records = docs.withColumn("ordinal", (F.row_number().over(w) - 1).cast("long"))
+    records = N.ranked_within(docs, "source", [F.col("doc_id")], "ordinal")
     wanted = read(spark, sf_dir, "labels").select("doc_id").join(records, "doc_id").select(F.col("doc_id").alias("place"), "source", "ordinal", "n")
     return R.select_records(records, wanted, ["source", "ordinal"], ["n"]).select("place", "source", "ordinal", "doc_id", "n", "problem")
 
@@ -121,10 +121,13 @@ def dedupe_conflicts(spark, sf_dir):
     return R.unique_or_conflict(read(spark, sf_dir, "conversations"), ["conv_id", "role"], ["text"])
 
 
-@query("SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, d.doc_id IS NULL AS only_second, l.doc_id IS NULL AS only_first FROM documents d FULL JOIN labels l ON d.doc_id = l.doc_id")
+@query("""SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, CASE WHEN d.doc_id IS NULL OR l.doc_id IS NULL THEN 'streams of different length' WHEN d.doc_id % 2 <> (l.doc_id + l.toxic) % 2 THEN 'parity differs' END AS mismatch
+FROM documents d FULL JOIN labels l ON d.doc_id = l.doc_id""")
 def lockstep_join(spark, sf_dir):
-    d, labels = read(spark, sf_dir, "documents").select("doc_id", F.lit(1).alias("a")), read(spark, sf_dir, "labels").select("doc_id", F.lit(1).alias("b"))
-    return d.join(labels, "doc_id", "full").select("doc_id", F.col("a").isNull().alias("only_second"), F.col("b").isNull().alias("only_first"))
+    """Documents and labels side by side, with what does not match: a row that one side lacks, or a parity that toxic labels turn."""
+    d = read(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 2).alias("parity"))
+    labels = read(spark, sf_dir, "labels").select("doc_id", ((F.col("doc_id") + F.col("toxic")) % 2).alias("parity"))
+    return T.lockstep(d, labels, "doc_id", ["parity"]).select("doc_id", "mismatch")
 
 
 # -- seeds -------------------------------------------------------------------------
