@@ -1,12 +1,14 @@
 """Document fingerprints: a homomorphic multiset hash of paragraphs, with DataFrame functions only.
 
-A paragraph (a line of the text) is hashed to a wide vector: EXACT lanes from its whole content, and NEAR lanes that
-count the bits of the hashes of its pieces of PIECE code points. A document's fingerprint is the sum of its
-paragraphs' vectors, exact lanes modulo 2^32 and near lanes modulo 2^16 as printed. So the order of paragraphs does
-not matter, and a paragraph's vector can be added or taken away without the rest of its document (`added`, `removed`).
+A paragraph (a line of the text) is hashed to a wide vector: EXACT lanes from its whole content, NEAR lanes that
+count the bits of the hashes of its pieces, and how many pieces there are. Pieces are cut where the content says, after a
+space that follows one of LAST, or after LONGEST code points: what is put in or taken out changes the pieces around it,
+not those after it. A document's fingerprint is the sum of its paragraphs' vectors, exact lanes, near lanes and the
+count of pieces modulo 2^32 each, printed one after the other. So the order of paragraphs does not matter, and a
+paragraph's vector can be added or taken away without the rest of its document (`added`, `removed`).
 
-Likeness is the cosine of the centred near lanes, at least 0: with +1 for a set and -1 for a clear bit, the inner
-product of two sums estimates how many pieces the texts share.
+Likeness comes from the lanes that the fingerprint prints: it is the cosine of the centred near lanes, at least 0. With
++1 for a set and -1 for a clear bit, the inner product of two sums estimates how many pieces the texts share.
 
 Defined cases: a null text is an empty one, and an empty text is one empty paragraph without pieces; two texts
 without pieces are alike (1), a text with and one without are not (0); a null doc_id comes last in descending order;
@@ -21,7 +23,8 @@ from pyspark.sql import functions as F
 
 from helixtable.llm.common import text_of, written
 
-EXACT, NEAR, PIECE = 8, 60, 16
+EXACT, NEAR, LAST, LONGEST = 8, 60, "adehlnort", 48
+PIECE = rf"(?s).{{1,{LONGEST}}}?[{LAST}] |.{{1,{LONGEST}}}"
 
 
 def _lower_hex(value: str, width: int, modulus: int) -> str:
@@ -35,13 +38,13 @@ def fingerprinted(df: DataFrame, text: str, out: str) -> DataFrame:
     df = df.withColumn("p_", F.split(text, "\n", -1))
     df = df.withColumn("h_", F.expr(f"transform(transform(p_, p -> array(md5(p), md5(concat('+', p)))), d -> array({halves}))"))
     df = df.withColumn(f"{out}_exact", F.expr("array(" + ", ".join(f"aggregate(h_, 0L, (a, h) -> (a + h[{k}]) % {1 << 32}L)" for k in range(EXACT)) + ")"))
-    df = df.withColumn("b_", F.expr(f"transform(flatten(transform(p_, p -> regexp_extract_all(p, '(?s).{{1,{PIECE}}}', 0))), x -> {number('md5(x)', 1, NEAR // 4)})"))
+    df = df.withColumn("b_", F.expr(f"transform(flatten(transform(p_, p -> regexp_extract_all(p, '{PIECE}', 0))), x -> {number('md5(x)', 1, NEAR // 4)})"))
     # two lanes in one sum, 31 bits each
     half = NEAR // 2
     sums = ", ".join(f"aggregate(b_, 0L, (a, h) -> a + (shiftright(h, {j}) & 1L) + shiftleft(shiftright(h, {j + half}) & 1L, 31))" for j in range(half))
     df = df.withColumn("s_", F.expr(f"array({sums})")).withColumn(f"{out}_pieces", F.size("b_").cast("long"))
     df = df.withColumn(f"{out}_near", F.expr(f"concat(transform(s_, x -> x & {(1 << 31) - 1}L), transform(s_, x -> shiftright(x, 31)))"))
-    df = df.withColumn(out, F.expr(f"concat({_lower_hex(f'{out}_exact', 8, 1 << 32)}, {_lower_hex(f'{out}_near', 4, 1 << 16)})"))
+    df = df.withColumn(out, F.expr(f"concat({_lower_hex(f'{out}_exact', 8, 1 << 32)}, {_lower_hex(f'{out}_near', 8, 1 << 32)}, lpad(lower(hex({out}_pieces % {1 << 32}L)), 8, '0'))"))
     return df.drop("p_", "h_", "b_", "s_")
 
 
@@ -116,7 +119,7 @@ def _fingerprint_sql(text: str) -> str:
     """DuckDB list of the exact lanes, the near lanes and the number of pieces of a text."""
     number = lambda s, salt, at, n: f"('0x' || substr(md5({salt}{s}), {at}, {n}))::BIGINT"
     lines = f"string_split({text}, chr(10))"
-    pieces = f"list_transform(flatten(list_transform({lines}, lambda p: regexp_extract_all(p, '(?s).{{1,{PIECE}}}'))), lambda x: {number('x', '', 1, NEAR // 4)})"
+    pieces = f"list_transform(flatten(list_transform({lines}, lambda p: regexp_extract_all(p, '{PIECE}'))), lambda x: {number('x', '', 1, NEAR // 4)})"
     exact = ", ".join(f"list_sum(list_transform({lines}, lambda p: {number('p', chr(39) * 2 + ' || ' if k < 4 else chr(39) + '+' + chr(39) + ' || ', 8 * (k % 4) + 1, 8)})) % {1 << 32}" for k in range(EXACT))
     near = ", ".join(f"coalesce(list_sum(list_transform(b, lambda h: (h >> {j}) & 1)), 0)" for j in range(NEAR))
     return f"SELECT *, [{exact}] AS e, {pieces} AS b FROM", f"SELECT * EXCLUDE (b), [{near}] AS n, len(b) AS c FROM"
@@ -133,7 +136,7 @@ def _oracle() -> str:
     g AS (SELECT doc_id, follows, length(t)::BIGINT AS n_chars, substr(t, 1, length(t) - length(t) // 2) || substr(u, 1, length(t) // 2) AS x FROM o),
     texts AS (SELECT 0 AS kind, doc_id, t FROM d UNION ALL SELECT 1, doc_id, x FROM g),
     v AS ({second} ({first} texts)),
-    f AS (SELECT kind, doc_id, n, c, {hexed('e', 8, 1 << 32)} || {hexed('n', 4, 1 << 16)} AS f FROM v)
+    f AS (SELECT kind, doc_id, n, c, {hexed('e', 8, 1 << 32)} || {hexed('n', 8, 1 << 32)} || lpad(lower(to_hex(c % {1 << 32})), 8, '0') AS f FROM v)
     SELECT g.doc_id, g.n_chars, sha256(g.x) AS edited_sha256, a.f AS fingerprint, b.f AS edited_fingerprint, {like('a.', 'b.')} AS near_edited, {like('a.', 'm.')} AS near_next
     FROM g JOIN f a ON a.kind = 0 AND a.doc_id = g.doc_id JOIN f b ON b.kind = 1 AND b.doc_id = g.doc_id JOIN f m ON m.kind = 0 AND m.doc_id = g.follows
     """
