@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 
 from helixtable.llm.common import WORD, forget, kept_by, marked, nested, text_of, written
 
-SIMILARITY, CLASSES, RARE, BUCKETS, HEADS = 0.8, 4, 9, 1 << 21, 4
+SIMILARITY, CLASSES, RARE, BUCKETS, HEADS = 0.8, 4, 10, 1 << 21, 4
 SET = ("id", "n", "bits", "more")
+WIDE = (*SET, "bits2", "more2")  # with a second sketch, for sets that are met by pairs of frequent tokens
 PLACE = ("key", "tie", "line")  # of a line, in the order of lines
 PART, HASH_BITS, ZERO = 4096, 43, "!"  # buckets in a part of the counts; bits of a token's hash below its rarity; the first of the characters
 
@@ -91,25 +92,28 @@ def keyed_sets(tokens: DataFrame, similarity: float) -> DataFrame:
 
 def paired(sets: DataFrame) -> DataFrame:
     """id, n, bits, more, key of the pairs of frequent tokens of one class; of all pairs where fewer than CLASSES + 1 tokens need be shared."""
-    firsts = sets.where(F.size("frequent") > 1).select(*SET, "few", "frequent", F.posexplode("frequent").alias("i", "x"))
-    pairs = firsts.select(*SET, "few", "x", F.explode(F.expr("slice(frequent, i + 2, size(frequent))")).alias("y"))
-    return pairs.where(f"few OR (shiftright(x ^ y, 6) & {CLASSES - 1}L) = 0").select(*SET, F.xxhash64("x", "y").alias("key"))
+    firsts = sets.where(F.size("frequent") > 1).select(*WIDE, "few", "frequent", F.posexplode("frequent").alias("i", "x"))
+    pairs = firsts.select(*WIDE, "few", "x", F.explode(F.expr("slice(frequent, i + 2, size(frequent))")).alias("y"))
+    return pairs.where(f"few OR (shiftright(x ^ y, 6) & {CLASSES - 1}L) = 0").select(*WIDE, F.xxhash64("x", "y").alias("key"))
 
 
-def parities(t: str, high: bool) -> Column:
+def parities(t: str, high: bool, shift: int = 0) -> Column:
     """64 of 128 bits: whether an odd number of tokens has each of 128 hash values. Two sets differ in as many tokens at least as bits."""
-    return F.expr(f"aggregate({t}, 0L, (a, x) -> CASE WHEN (x & 64L) {'<>' if high else '='} 0L THEN a ^ shiftleft(1L, cast(x & 63L as int)) ELSE a END)")
+    x = f"shiftright(x, {shift})" if shift else "x"
+    return F.expr(f"aggregate({t}, 0L, (a, x) -> CASE WHEN ({x} & 64L) {'<>' if high else '='} 0L THEN a ^ shiftleft(1L, cast({x} & 63L as int)) ELSE a END)")
 
 
 APART = "(bit_count(bits_a ^ bits_b) + bit_count(more_a ^ more_b))"
 
 
 def fitting(similarity: float, positional: bool) -> Column:
-    """Whether sets a and b (n_a, n_b, bits_a, bits_b, more_a, more_b, and pos_a, pos_b of a common token) can still be similar."""
+    """Whether sets a and b (n_a, n_b, bits_a, bits_b, more_a, more_b) can still be similar: by a common token, at pos_a and pos_b, or,
+    where they are met by pairs of tokens, by a second sketch."""
     need = f"ceil({similarity / (1 + similarity)!r} * (n_a + n_b) - 1e-9)"
     room = f" AND least(pos_a, pos_b) + least(n_a - pos_a, n_b - pos_b) >= {need}" if positional else ""
     lengths = f"least(n_a, n_b) >= {similarity} * greatest(n_a, n_b) - 1e-9"
-    return F.expr(f"{lengths}{room} AND {APART} <= n_a + n_b - 2 * {need}")
+    more = room or f" AND bit_count(bits2_a ^ bits2_b) + bit_count(more2_a ^ more2_b) <= n_a + n_b - 2 * {need}"
+    return F.expr(f"{lengths} AND {APART} <= n_a + n_b - 2 * {need}{more}")
 
 
 def by_singles(sets: DataFrame, similarity: float) -> DataFrame:
@@ -156,7 +160,7 @@ def similar_sets(sets: DataFrame, firsts: DataFrame, texts: DataFrame, similarit
     pair = written(pair.join(held, "key"), "line-pairs")  # what more than one set has
     heads = pair.groupBy("key", F.pmod(F.xxhash64("id"), F.lit(HEADS)).alias("salt")).agg(F.min("id").alias("head")).select("key", "head")
     star = pair.select("key", "id").join(heads, "key").where("head < id").select(F.col("head").alias("id_a"), F.col("id").alias("id_b")).distinct()
-    thin_a, thin_b = (sets.select(*[F.col(c).alias(f"{c}_{x}") for c in SET]) for x in "ab")
+    thin_a, thin_b = (sets.select(*[F.col(c).alias(f"{c}_{x}") for c in WIDE]) for x in "ab")
     star = star.join(thin_a, "id_a").join(thin_b, "id_b").where(fitting(similarity, False)).select("id_a", "id_b", F.expr(APART).alias("apart"))
     found = written(near.union(star), "line-found")
     forget(near)
@@ -164,7 +168,7 @@ def similar_sets(sets: DataFrame, firsts: DataFrame, texts: DataFrame, similarit
     best = written(best.select(F.col("x").bitwiseAND(F.lit((1 << 56) - 1)).alias("id_a"), "id_b"), "line-best")
     early = verified(best, firsts, texts, similarity)
     unsettled = lambda rows, id_: rows.join(early.withColumnRenamed("id", id_), id_, "left_anti")
-    rest = sides(pair, unsettled(pair, "id"), "key", *SET).where(fitting(similarity, False)).select("id_a", "id_b")
+    rest = sides(pair, unsettled(pair, "id"), "key", *WIDE).where(fitting(similarity, False)).select("id_a", "id_b")
     rest = unsettled(found.select("id_a", "id_b"), "id_b").unionByName(rest).distinct()
     rest = written(rest.join(best, ["id_a", "id_b"], "left_anti"), "line-rest")
     late = verified(rest, firsts, texts, similarity)
@@ -177,11 +181,12 @@ def removed_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     texts = keyed(docs)
     tokens = exploded(texts).select(*PLACE, hashes(F.col("content")).alias("h")).where(F.size("h") > 0)
     rare_first = by_rarity(tokens, rarity(texts)).withColumn("n", F.size("t")).withColumn("bits", parities("t", False)).withColumn("more", parities("t", True))
-    lines = keyed_sets(rare_first, similarity).select(*PLACE, "s1", "s2", *SET[1:], "singles", "frequent", "few")
+    second = [F.when(F.size("frequent") > 1, parities("t", high, 7)).otherwise(F.lit(0).cast("long")).alias(c) for c, high in (("bits2", False), ("more2", True))]
+    lines = keyed_sets(rare_first, similarity).select(*PLACE, "s1", "s2", *SET[1:], *second, "singles", "frequent", "few")
     lines = written(lines, "lines")  # of a line's tokens only those that are keys; all of them cost more to write than to find again
     firsts = lines.groupBy("s1", "s2").agg(F.min(F.struct(*PLACE)).alias("at")).select("at.*", "s1", "s2")
     firsts = written(firsts.orderBy(*PLACE).withColumn("id", F.monotonically_increasing_id()), "line-firsts")  # ids grow as places do
-    sets = written(lines.drop("s1", "s2").join(firsts.select("id", *PLACE), [*PLACE]).select(*SET, "singles", "frequent", "few"), "line-sets")
+    sets = written(lines.drop("s1", "s2").join(firsts.select("id", *PLACE), [*PLACE]).select(*WIDE, "singles", "frequent", "few"), "line-sets")
     late = similar_sets(sets, firsts, texts, similarity).withColumn("late", F.lit(True))
     ends = firsts.select("id", "s1", "s2", F.struct(*PLACE).alias("first")).join(late, "id", "left").drop("id")
     gone = lines.select(*PLACE, "s1", "s2").join(ends, ["s1", "s2"]).where(F.col("late").isNotNull() | (F.struct(*PLACE) > F.col("first")))
