@@ -5,6 +5,7 @@ import time
 
 import numpy as np
 import pandas as pd
+import pytest
 
 from helixtable.llm import html, lines, mixing, pii, simhash, toxicity
 
@@ -82,8 +83,10 @@ def test_hostile_pages_take_time_in_proportion():
     assert time.time() - began < 20
 
 
-def test_line_sets_equal_brute_force(spark):
-    """Jaccard 0.5 and 0.8 of lines of 0 to 10 words, against all pairs."""
+@pytest.mark.parametrize("rare", [0, 3, lines.RARE])
+def test_line_sets_equal_brute_force(spark, monkeypatch, rare):
+    """Jaccard 0.5 and 0.8 of lines of 0 to 10 words, against all pairs: by pairs of frequent tokens, by both, and by rare tokens alone."""
+    monkeypatch.setattr(lines, "RARE", rare)
     rng = random.Random(3)
     word = ["a", "b", "c", "d", "e", "f", "g", "h", "i", "j", "k", "l", *(f"r{x}" for x in range(30))]
     rows = [(d, "\n".join(" ".join(rng.choice(word) for _ in range(rng.randint(0, 10))) for _ in range(6))) for d in range(200)]
