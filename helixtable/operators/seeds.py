@@ -90,15 +90,14 @@ def compiled(profiles: DataFrame, gains_of) -> DataFrame:
                     d = pd.DataFrame(rows, columns=["first", "offsets", "key"], dtype=object)
                     yield d.assign(profile_ordinal=ordinal, hits=hits)[["profile_ordinal", "hits", "first", "offsets", "key"]]
 
-    return profiles.select("profile_ordinal", "consensus").mapInPandas(run, "profile_ordinal int, hits int, first int, offsets long, key long")
+    dealt = profiles.select("profile_ordinal", "consensus").repartition(max(8, profiles.sparkSession.sparkContext.defaultParallelism), "profile_ordinal")
+    return dealt.mapInPandas(run, "profile_ordinal int, hits int, first int, offsets long, key long")
 
 
-def places(key, offsets):
-    """The two places of a core in the bitmap; for columns and for arrays alike."""
+def places(key: Column, offsets: Column) -> tuple[Column, Column]:
+    """The two places of a core in the bitmap."""
     at = offsets % PRIME
-    if isinstance(key, Column):
-        return (key * KEY_1 + at * OFFSETS_1).bitwiseAND(F.lit(BITS - 1)), F.shiftright(key * KEY_2 + at * OFFSETS_2, 9).bitwiseAND(F.lit(BITS - 1))
-    return (key * KEY_1 + at * OFFSETS_1) & (BITS - 1), (key * KEY_2 + at * OFFSETS_2) >> 9 & (BITS - 1)
+    return (key * KEY_1 + at * OFFSETS_1).bitwiseAND(F.lit(BITS - 1)), F.shiftright(key * KEY_2 + at * OFFSETS_2, 9).bitwiseAND(F.lit(BITS - 1))
 
 
 def bitmap(index: DataFrame) -> np.ndarray:
@@ -121,8 +120,9 @@ def _found(codes: np.ndarray, offsets: int, bits: np.ndarray) -> tuple[np.ndarra
     for k, o in enumerate(at[1:], 1):
         key |= codes[o : o + n] << 5 * k
     spots = np.arange(n)
-    for which in (0, 1):
-        x = places(key, offsets)[which]
+    rest = offsets % PRIME
+    for place in (lambda k: k * KEY_1 + rest * OFFSETS_1, lambda k: k * KEY_2 + rest * OFFSETS_2 >> 9):  # as `places` has them
+        x = place(key) & (BITS - 1)
         on = np.flatnonzero(bits[x >> 3] >> (x & 7).astype(np.uint8) & 1)
         spots, key = spots[on], key[on]
     return spots, key

@@ -365,6 +365,7 @@ def search(profiles: DataFrame, targets: DataFrame, options: SearchOptions | Non
     """
     o = options or SearchOptions()
     chunks = loaded(profiles)
+    targets = materialised(targets, "targets")  # residues are made once, not by each stage that reads them
     pairs = first_filter(segment_scores(chunks, targets), profile_constants(profiles, chunks), o)
     known, other = seeded_pairs(profiles, targets, chunks, o)
     seeded = first_filter(known.unionByName(other), profile_constants(profiles, chunks), o)
