@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from helixtable.llm.common import ranked, small_batches, text_of, written
 
-SIZE, END, GAP, PULL, REFRESH, SEED = 2048, 1, 1e-3, 0.8, 64, 42
+SIZE, END, GAP, PULL, REFRESH, ROUND, SEED = 2048, 1, 1e-3, 0.8, 64, 64, 42
 WORDS_KEPT = 250_000  # words a Python worker remembers the ids of, some 50 MB
 _tokenizers: dict[str, tuple] = {}  # of this process: vocabulary file, with the words met
 
@@ -173,8 +173,8 @@ def programme(lengths: np.ndarray, counts: np.ndarray, size: int, gap: float = G
     Revised simplex with an explicit inverse, computed anew every REFRESH pivots. The counts are moved by less than a
     millionth each, so no two bases tie. Prices are the duals drawn towards the best duals so far, first the lengths'
     shares of a sequence, so that they don't swing. It ends when a bound that a pricing gave proves the gap: any prices, divided by what the
-    dearest pattern costs by them, bound the sequences from below. It also ends where a round of pivots, one for each
-    length, has gained less than the gap: what it has packs everything.
+    dearest pattern costs by them, bound the sequences from below. It also ends where a round of pivots, one for every
+    eighth length, has gained less than the gap, or rounding has spoilt the basis: what it has packs everything.
     """
     m = len(lengths)
     basis = [{}] * m
@@ -190,11 +190,12 @@ def programme(lengths: np.ndarray, counts: np.ndarray, size: int, gap: float = G
         return inverse, np.maximum(inverse @ wanted, 0)
 
     inverse, amounts = fresh()
+    sound = list(basis), amounts
     centre = lengths / size  # by these prices no pattern costs more than 1
-    bound, pull, pivots, since, before = 0.0, PULL, 0, 0, np.inf
+    bound, pull, pivots, since, before = 0.0, 1.0, 0, 0, np.inf  # the first prices are the shares alone: they prove the tokens' own bound
     while True:
         total = float(amounts.sum())
-        if pivots - since >= m:
+        if pivots - since >= max(ROUND, m // 8):
             if total > before * (1 - gap):
                 break
             since, before = pivots, total
@@ -212,7 +213,9 @@ def programme(lengths: np.ndarray, counts: np.ndarray, size: int, gap: float = G
             pull = pull / 2 if pull > 2e-3 else 0.0
             continue
         pull, d = PULL, inverse[:, at] @ n
-        able = np.flatnonzero(d > 1e-9)
+        able = np.flatnonzero(d > 1e-6)
+        if not len(able):
+            break
         r = able[int((amounts[able] / d[able]).argmin())]
         step = amounts[r] / d[r]
         amounts = np.maximum(amounts - step * d, 0)
@@ -224,10 +227,28 @@ def programme(lengths: np.ndarray, counts: np.ndarray, size: int, gap: float = G
         basis[r] = used
         pivots += 1
         if pivots % REFRESH == 0:
-            inverse, amounts = fresh()
+            try:
+                inverse, amounts = fresh()
+                sound = list(basis), amounts
+            except np.linalg.LinAlgError:  # rounding has made the basis singular: what was sound last packs everything too
+                break
+    basis, amounts = sound if pivots % REFRESH == 0 else _checked(basis, wanted, sound)
     return [(used, float(x)) for used, x in zip(basis, amounts, strict=True)]
 
 
+def _checked(basis: list[dict[int, int]], wanted: np.ndarray, sound: tuple) -> tuple:
+    """The basis with its amounts solved anew, or the last sound one where rounding has spoilt it."""
+    columns = np.zeros((len(basis), len(basis)))
+    for r, used in enumerate(basis):
+        columns[list(used), r] = list(used.values())
+    try:
+        amounts = np.linalg.solve(columns, wanted)
+    except np.linalg.LinAlgError:
+        return sound
+    fits = np.isfinite(amounts).all() and amounts.min() > -1e-3 and np.abs(columns @ amounts - wanted).max() < 1e-3
+    return (basis, np.maximum(amounts, 0)) if fits else sound
+
+
 def patterns(lengths: np.ndarray, counts: np.ndarray, size: int = SIZE, gap: float = GAP) -> list[tuple[dict[int, int], int]]:
     """Patterns with whole times that pack all counts: those of the programme, rounded down; first fit decreasing packs
     what rounding leaves, less than one sequence for each length."""
