@@ -2,39 +2,86 @@
 
 from __future__ import annotations
 
+import json
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-TOKEN = r'"(?:[^"\\]|\\.)*"|[{}\[\],:]|[^\s{}\[\],:"]+'
+#: Strings, marks, and anything else that holds no white space.
+TOKEN = re.compile(r'"(?:[^"\\]|\\[^\n\r\x85\u2028\u2029])*"|[{}\[\],:]|[^\s{}\[\],:"]+', re.ASCII)
+FAULTS = "array<struct<path:string,name:string,copies:bigint>>"
+
+
+def held(token: str) -> str | None:
+    """What a string token holds; None for other tokens and for escapes that JSON does not know."""
+    if token[0] != '"':
+        return None
+    if "\\" not in token:
+        return token[1:-1]
+    try:
+        return json.loads(token).encode("utf-8", "replace").decode()  # half a surrogate pair is no text
+    except ValueError:
+        return None
+
+
+def twice(text: str) -> list[tuple[str | None, str | None, int]]:
+    """(path, name, copies) of the keys that stand more than once in one object: one walk over the tokens, which keeps the open objects and arrays."""
+    out, key = [], ""
+    open_: list[list] = []  # [whether an object, path, items so far, counts of keys]
 
-# One step of the walk over a text's tokens: objects and arrays that are open (st), how many have been opened (made), the last key, all keys met.
-_TOP = "element_at(a.st, -1)"
-_PLACE = f"CASE WHEN size(a.st) = 0 THEN '$' WHEN {_TOP}.o THEN concat({_TOP}.path, '.', a.key) ELSE concat({_TOP}.path, '[', {_TOP}.n, ']') END"
-_STEP = f"""(a, t) -> CASE
-    WHEN t.x IN ('{{', '[') THEN named_struct('st', concat(a.st, array(named_struct('o', t.x = '{{', 'id', a.made, 'path', {_PLACE}, 'n', 0))), 'made', a.made + 1, 'key', a.key, 'met', a.met)
-    WHEN t.x IN ('}}', ']') THEN named_struct('st', slice(a.st, 1, greatest(0, size(a.st) - 1)), 'made', a.made, 'key', a.key, 'met', a.met)
-    WHEN t.x = ',' AND size(a.st) > 0 AND NOT {_TOP}.o THEN named_struct('st', concat(slice(a.st, 1, size(a.st) - 1), array(named_struct('o', false, 'id', {_TOP}.id, 'path', {_TOP}.path, 'n', {_TOP}.n + 1))), 'made', a.made, 'key', a.key, 'met', a.met)
-    WHEN t.y = ':' AND size(a.st) > 0 AND {_TOP}.o THEN named_struct('st', a.st, 'made', a.made, 'key', t.k, 'met', concat(a.met, array(named_struct('id', {_TOP}.id, 'path', {_TOP}.path, 'key', t.k))))
-    ELSE a END"""
-_START = "named_struct('st', cast(array() as array<struct<o:boolean,id:int,path:string,n:int>>), 'made', 0, 'key', '', 'met', cast(array() as array<struct<id:int,path:string,key:string>>))"
+    def close(o: list) -> None:
+        if o[3]:
+            out.extend((o[1], k, n) for k, n in o[3].items() if n > 1)
 
+    tokens = TOKEN.finditer(text)
+    token = next(tokens, None)
+    while token is not None:
+        x, token = token[0], next(tokens, None)
+        top = open_[-1] if open_ else None
+        if x in "{[":
+            if top is None:
+                path = "$"
+            elif not top[0]:
+                path = None if top[1] is None else f"{top[1]}[{top[2]}]"
+            else:
+                path = None if top[1] is None or key is None else f"{top[1]}.{key}"
+            open_.append([x == "{", path, 0, Counter() if x == "{" else None])
+        elif x in "}]":
+            if open_:
+                close(open_.pop())
+        elif x == "," and top is not None and not top[0]:
+            top[2] += 1
+        elif token is not None and token[0] == ":" and top is not None and top[0]:
+            key = held(x)
+            top[3][key] += 1
+    for o in open_:
+        close(o)
+    return out
 
-def tokens_of(text: Column) -> Column:
-    """The tokens x of a JSON text, each with the next one, y, and for strings what they hold, k."""
-    tokens = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
-    plain = lambda x: F.when(F.contains(x, F.lit("\\")), F.from_json(F.concat(F.lit("["), x, F.lit("]")), "array<string>")[0]).otherwise(x.substr(F.lit(2), F.length(x) - 2))
-    return F.transform(tokens, lambda x, i: F.struct(x.alias("x"), F.get(tokens, i + 1).alias("y"), F.when(x.startswith('"'), plain(x)).alias("k")))
+
+def repeated_keys(text: Column) -> Column:
+    """An array of path, name, copies for each text without nulls."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([[{"path": p, "name": k, "copies": n} for p, k, n in twice(t)] for t in texts], dtype=object)
+
+    return F.pandas_udf(run, FAULTS, F.PandasUDFType.SCALAR_ITER)(text)
 
 
 def json_faults(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """key, path, name, copies of every key that an object holds more than once; a text that is no JSON has the path NULL and the name 'INVALID'."""
-    paired = rows.select(key, text, tokens_of(F.col(text)).alias("tokens_"))
-    walked = paired.select(key, text, F.expr(f"aggregate(tokens_, {_START}, {_STEP}).met").alias("met_"))
-    met = walked.select(key, F.explode("met_").alias("m")).groupBy(key, "m.id", "m.path", "m.key").agg(F.count("*").alias("copies")).where("copies > 1")
-    twice = met.select(key, "path", F.col("key").alias("name"), "copies")
-    # with keys that stand twice parse_json refuses a text too: those are named above
-    bad = walked.where(F.col(text).isNotNull() & F.try_parse_json(F.col(text)).isNull()).where(F.size(F.array_distinct(F.transform("met_", lambda m: F.struct(m.id, m.key)))) == F.size("met_"))
-    return twice.unionByName(bad.select(key, F.lit(None).cast("string").alias("path"), F.lit("INVALID").alias("name"), F.lit(1).cast("long").alias("copies")))
+    """key, path, name, copies of every key that an object holds more than once; a text that is no JSON has the path NULL and the name 'INVALID'.
+
+    Texts are walked in tasks, each once and in time that grows with its length.
+    """
+    met = rows.where(F.col(text).isNotNull()).select(key, text, repeated_keys(F.col(text)).alias("met_"))
+    # with keys that stand twice parse_json refuses a text too: those are named already
+    bad = F.when(F.try_parse_json(F.col(text)).isNull(), F.array(F.struct(F.lit(None).cast("string").alias("path"), F.lit("INVALID").alias("name"), F.lit(1).cast("long").alias("copies"))))
+    return met.select(key, F.explode(F.when(F.size("met_") > 0, F.col("met_")).otherwise(bad)).alias("m")).select(key, "m.path", "m.name", "m.copies")
 
 
 def canonical(text: Column) -> Column:

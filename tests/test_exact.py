@@ -92,6 +92,15 @@ def test_json_faults(spark):
     assert [sum(got[i].values()) for i in range(300, 305)] == [1, 1, 1, 1, 0]
 
 
+def test_json_faults_of_a_long_text(spark):
+    """A walk whose time grows with the square of a text's length does not end on these; equal keys of two rows are two texts."""
+    n = 200_000
+    text = '{"log": [{' + ", ".join(f'"k{i % (n // 2)}": {i}' for i in range(n)) + '}, {"a": 1, "\\ud800": 2}]}'
+    out = J.json_faults(spark.createDataFrame([(1, text), (2, '{"a": 1, "a": 2}'), (2, '{"a": 1, "a": 2}'), (3, '{"a": {"b": 1}, "a')], "i int, t string"), "i", "t").collect()
+    assert len(out) == n // 2 + 3 and {(r["path"], r["copies"]) for r in out if r["i"] == 1} == {("$.log[0]", 2)}
+    assert sorted((r["i"], r["name"], r["copies"]) for r in out if r["i"] > 1) == [(2, "a", 2), (2, "a", 2), (3, "INVALID", 1)]
+
+
 def test_canonical(spark):
     texts = ['{"b": 1, "a": {"d": [1, 2, {"z": null, "y": "\\u0041"}], "c": true}}', '{"a":{"c":true,"d":[1,2,{"y":"A","z":null}]},"b":1}', '{"a": 1, "a": 2}', "nope"]
     out = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(J.canonical(F.col("t"))).collect()]
