@@ -19,8 +19,7 @@ def survivor_census(spark, sf_dir):
     o = P.SearchOptions()
     profiles, targets = T.profile_table(read(spark, sf_dir, "benchmark")), T.targets(read(spark, sf_dir, "documents"))
     chunks = P.loaded(profiles)
-    known, other = P.seeded_pairs(profiles, targets, chunks, o)
-    kept = materialised(P.first_filter(known.unionByName(other), P.profile_constants(profiles, chunks), o).where("action = 'KEEP'").select("profile_ordinal", "seq_ordinal", "gain", "status", "length", "bits"), "kept")
+    kept = materialised(P.candidates(profiles, targets, chunks, o).select("profile_ordinal", "seq_ordinal", "gain", "status", "length", "bits"), "kept")
     keys, n = ["profile_ordinal", "seq_ordinal"], F.col("length")
     stages = {
         "kept": kept.drop("bits"),

@@ -16,8 +16,7 @@ def _journal(spark, sf_dir):
     o = P.SearchOptions()
     profiles, targets = T.profile_table(read(spark, sf_dir, "benchmark")), T.targets(read(spark, sf_dir, "documents"))
     chunks = P.loaded(profiles)
-    known, other = P.seeded_pairs(profiles, targets, chunks, o)
-    kept = P.first_filter(known.unionByName(other), P.profile_constants(profiles, chunks), o).where("action = 'KEEP'")
+    kept = P.candidates(profiles, targets, chunks, o)
     places = materialised(J.numbered(targets.where("status = 'OK'"), "seq_ordinal", "length"), "places")
     rows = kept.join(places.select("seq_ordinal", "place"), "seq_ordinal").select("profile_ordinal", "place", "status", (F.col("status") == "OK").cast("int").alias("stage"))
     made = J.entries(materialised(rows, "exceptions"), "profile_ordinal", profiles, places, "status", "stage", F.lit(False))

@@ -205,7 +205,8 @@ def ssv_scores(spark, sf_dir):
 @query(f"""{_PAIRS}, c AS (SELECT profile_ordinal, count(*) AS n, string_agg(seq_ordinal::VARCHAR, ',' ORDER BY seq_ordinal) AS targets FROM f WHERE action = 'KEEP' GROUP BY profile_ordinal)
 SELECT profile_ordinal, coalesce(sum(n) OVER (ORDER BY profile_ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start, n, targets FROM c""")
 def f1_candidates(spark, sf_dir):
-    return R.candidate_lists(_first_filter(spark, sf_dir).where("action = 'KEEP'")).select("profile_ordinal", "start", "n", F.array_join("targets", ",").alias("targets"))
+    profiles, targets = T.profile_table(read(spark, sf_dir, "benchmark")), T.targets(read(spark, sf_dir, "documents"))
+    return R.candidate_lists(P.candidates(profiles, targets, P.loaded(profiles), P.SearchOptions())).select("profile_ordinal", "start", "n", F.array_join("targets", ",").alias("targets"))
 
 
 @query(f"{_PAIRS} SELECT count(*) AS compared, count(*) AS agreed, 0::BIGINT AS only_first, 0::BIGINT AS only_second, 0::BIGINT AS skipped, 'SCORE' AS mode FROM f")

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from hashlib import md5
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from helixtable.functions.alphabet import CANONICAL, SYMBOLS
 from helixtable.functions.scores import LONGEST
 
+#: Words whose residues a task keeps.
+KNOWN = 1 << 20
+
 
 def residues_of(text: Column) -> Column:
     """The letters of a text in upper case: every Latin letter is a symbol of the amino alphabet."""
@@ -17,10 +22,25 @@ def residues_of(text: Column) -> Column:
 
 
 def words_as_residues(text: Column) -> Column:
-    """A residue for each word of a text, by the first 32 bits of its MD5: passages of words become sequences whose chance matches are rare."""
-    words = F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+"), "")
-    canonical = F.lit(list(SYMBOLS[:CANONICAL]))
-    return F.array_join(F.transform(words, lambda w: F.get(canonical, (F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long") % CANONICAL).cast("int"))), "")
+    """A residue for each word of a text, by the first 32 bits of its MD5: passages of words become sequences whose chance matches are rare.
+
+    Each distinct word is hashed once by a task (KNOWN of them are kept). Not marked deterministic: what reads it several times, as filters on the length do, must not encode a text again.
+    """
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known: dict[bytes, str] = {}
+        for texts in batches:
+            out = []
+            for t in texts:
+                words = t.encode().split()  # bytes: the six ASCII white-space characters only
+                if len(known) > KNOWN:
+                    known.clear()
+                for w in set(words).difference(known):
+                    known[w] = SYMBOLS[int.from_bytes(md5(w, usedforsecurity=False).digest()[:4], "big") % CANONICAL]
+                out.append("".join([known[w] for w in words]))
+            yield pd.Series(out, dtype=object)
+
+    return F.pandas_udf(run, "string", F.PandasUDFType.SCALAR_ITER).asNondeterministic()(F.lower(F.coalesce(text, F.lit(""))))
 
 
 def targets(docs: DataFrame, encode: Callable[[Column], Column] = words_as_residues) -> DataFrame:

@@ -49,3 +49,27 @@ def test_continuation_from_scores_equals_the_search(spark, sf):
     for given in (rows, rows.join(r.continued.select("profile_ordinal", "seq_ordinal", "forward_nats"), ["profile_ordinal", "seq_ordinal"])):
         got = {tuple(map(str, x)) for x in P.from_filter_scores(given, targets, profiles, o).select(*columns).collect()}
         assert got == want and want
+
+
+def test_candidates_are_what_the_first_filter_keeps_of_all_pairs(spark):
+    rng = random.Random(6)
+    passages = ["".join(rng.choice("ACDEFGHIKLMNPQRSTVWY") for _ in range(n)) for n in (1, 2, 7, 30, 59, 300)]
+    texts = ["".join(rng.choice("ACDEFGHIKLMNPQRSTVWYX-") for _ in range(n)) for n in (1, 2, 5, 40, 40, 700, 6000, 30000)]
+    texts += [texts[5][:300] + p + texts[5][300:] for p in passages] + [p[len(p) // 3 :] for p in passages[2:]]
+    profiles = spark.createDataFrame([(i, f"p{i}", p, len(p)) for i, p in enumerate(passages)], "profile_ordinal int, name string, consensus string, model_length int")
+    targets = spark.createDataFrame([(i, t, len(t), "OK") for i, t in enumerate(texts)], "seq_ordinal long, residues string, length int, status string")
+    chunks = P.loaded(profiles)
+    for o in (P.SearchOptions(), P.SearchOptions(f1=1e-6), P.SearchOptions(f1=0.5, m_mu=-3.0), P.SearchOptions(f1=1.0), P.SearchOptions(f1=0.0)):
+        every = P.first_filter(P.segment_scores(chunks, targets), P.profile_constants(profiles, chunks), o)
+        assert every.count() == len(passages) * len(texts)
+        assert sorted(P.candidates(profiles, targets, chunks, o).collect()) == sorted(every.where("action = 'KEEP'").collect())
+    assert P.segment_scores(chunks, targets, P.SearchOptions()).count() < len(passages) * len(texts)  # the rest does not leave the task
+
+
+def test_words_as_residues_by_python(spark):
+    texts = [None, "", " \t\n\x0b\x0c\r", "Some words, some WORDS here\x1fso  İstanbul ΣΑΣ"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    words = F.array_remove(F.split(F.lower(F.coalesce("t", F.lit(""))), r"[\x20\x09-\x0D]+"), "")
+    plain = F.array_join(F.transform(words, lambda w: F.substring(F.lit("ACDEFGHIKLMNPQRSTVWY"), (F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long") % 20 + 1).cast("int"), F.lit(1))), "")
+    got = rows.select("i", T.words_as_residues(F.col("t")).alias("got"), plain.alias("plain")).collect()
+    assert all(r["got"] == r["plain"] for r in got) and any(r["got"] for r in got)
