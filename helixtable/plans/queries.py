@@ -229,9 +229,9 @@ def coarse_filter(spark, sf_dir):
     exact = P.loaded(profiles)
     coarse = [[K.coarse_gains(p, classes) for p in c] for c in exact]
     constants = P.profile_constants(profiles, exact)
-    fine = P.first_filter(P.segment_scores(exact, targets), constants, o).select("profile_ordinal", "seq_ordinal", F.col("action").alias("exact"), F.col("gain").alias("gain"))
-    bound = P.first_filter(P.segment_scores(coarse, targets), constants, o).select("profile_ordinal", "seq_ordinal", F.col("action").alias("coarse"), F.col("gain").alias("bound"))
-    d = fine.join(bound, ["profile_ordinal", "seq_ordinal"])
+    both = P.segment_scores(exact, targets, bounds=coarse)  # one pass: pairs need not be met again
+    fine = P.first_filter(both, constants, o).select("profile_ordinal", "seq_ordinal", "length", F.col("action").alias("exact"), F.col("gain").alias("exact_gain"), F.col("bound").alias("gain"))
+    d = P.first_filter(fine, constants, o).select("profile_ordinal", "exact", F.col("exact_gain").alias("gain"), F.col("action").alias("coarse"), F.col("gain").alias("bound"))
     return d.groupBy("profile_ordinal").agg(F.count("*").alias("pairs"), F.count_if(F.col("coarse") == "DEFINITE_REJECT").alias("certain"), F.count_if((F.col("coarse") == "DEFINITE_REJECT") & (F.col("exact") == "KEEP")).alias("false_rejects"), F.count_if(F.col("bound") < F.col("gain")).alias("below"))
 
 
