@@ -11,6 +11,7 @@ from helixtable.operators import seeds as W
 from helixtable.plans import search as P
 from helixtable.plans.queries import _HIT, _MISS, _PAIRS, _TBM, query, read
 from helixtable.sources import tables as T
+from helixtable.sources.sinks import materialised
 
 _CUTOFF = S.compiled_cutoff(lambda x: S.gumbel(x, P.SearchOptions().m_mu, P.SearchOptions().rate), P.SearchOptions().f1)[1]
 
@@ -39,9 +40,12 @@ def seed_filter(spark, sf_dir):
     o = P.SearchOptions()
     profiles, targets = T.profile_table(read(spark, sf_dir, "benchmark")), T.targets(read(spark, sf_dir, "documents"))
     chunks = P.loaded(profiles)
-    known, other = P.seeded_pairs(profiles, targets, chunks, o)
-    exact = P.first_filter(P.segment_scores(chunks, targets), P.profile_constants(profiles, chunks), o).where("action = 'KEEP'")
-    marks = known.select("profile_ordinal", "seq_ordinal", F.lit("seeded").alias("how")).unionByName(other.select("profile_ordinal", "seq_ordinal", F.lit("open").alias("how")))
+    constants = P.profile_constants(profiles, chunks)
+    met, fit, opens = P.seeded_diagonals(profiles, targets, chunks, o)
+    exact = materialised(P.candidates(profiles, targets, chunks, o).select("profile_ordinal", "seq_ordinal"), "required")
+    # pairs alone are counted: no diagonal is scored, and what two counts read is written once
+    known, other = met.select("profile_ordinal", "seq_ordinal").distinct(), P.open_pairs(fit, constants, opens, o)
+    marks = materialised(known.withColumn("how", F.lit("seeded")).unionByName(other.withColumn("how", F.lit("open"))), "marks")
     missed = R.false_rejects(exact, marks.drop("how")).select("profile_ordinal", F.lit("missed").alias("how"))
     rows = marks.select("profile_ordinal", "how").unionByName(missed).unionByName(exact.select("profile_ordinal", F.lit("required").alias("how")))
     counts = rows.groupBy("profile_ordinal").agg(*[F.count_if(F.col("how") == k).alias(k) for k in ("open", "seeded", "required", "missed")])
