@@ -250,11 +250,23 @@ def similar(pairs: DataFrame, sets: DataFrame, docs: DataFrame, width: int, simi
     return out
 
 
+def linked_sets(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Edges (a, b) that connect the sets (id, s1, s2) of rows (s1, s2, fp) whose fingerprints the tree connects."""
+    found = components(links(rows.select("fp").distinct())).withColumnRenamed("node", "fp")
+    named = rows.select("s1", "s2", "fp").distinct().join(found, "fp", "left").join(sets.select("id", "s1", "s2"), ["s1", "s2"])
+    named = written(named.select(F.coalesce("component", "fp").alias("group"), "id").distinct(), "simhash-groups")
+    heads = named.groupBy("group").agg(F.min("id").alias("a"), F.count("*").alias("size")).where("size > 1")
+    out = written(named.join(heads, "group").where("id > a").select("a", F.col("id").alias("b")).distinct(), "simhash-near")
+    forget(named)
+    return out
+
+
 def deduplicated(docs: DataFrame, width: int = 5, similarity: float = SIMILARITY) -> DataFrame:
     """docs with one row of each group of near-duplicates, the one of the smallest doc_id (null first, then by text hash).
 
-    Links are pairs of texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more. Fingerprints of
-    64 bits do not reach so far: at 0.8 two differ in some nine bits. So candidates are pairs of sets that agree in one
+    Links are pairs of texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more. Candidates are what
+    the tree of fingerprints connects (RADIUS bits), each held against the first of its group; fingerprints of 64 bits do
+    not reach as far as 0.8, where two differ in some nine bits, so further candidates are pairs of sets that agree in one
     of BANDS bands of ROWS minimum hashes (all but (1 - 0.8^4)^24, some 3 in a million pairs, at 0.8; fewer above), and
     each is verified on its whole sets. Equal sets are one. Sets are first held against the first set of each of
     their bands, which settles groups of near copies at the cost of their members; then all pairs of a band that this
@@ -262,15 +274,16 @@ def deduplicated(docs: DataFrame, width: int = 5, similarity: float = SIMILARITY
     """
     small_batches(docs.sparkSession)
     key, tie = F.coalesce("doc_id", F.lit(-(1 << 63))), F.xxhash64(text_of())
-    rows = docs.select(F.struct(key.alias("key"), tie.alias("tie")).alias("at"), sketched(text_of(), width).alias("x")).select("at", "x.*")
+    rows = docs.select(F.struct(key.alias("key"), tie.alias("tie")).alias("at"), sketched(text_of(), width).alias("x"), fingerprint(text_of()).alias("fp")).select("at", "x.*", "fp")
     rows = written(rows, "simhash")
-    sets = rows.groupBy("s1", "s2").agg(F.min(F.struct("at", "n", "bands")).alias("x")).select("x.*")
+    sets = rows.groupBy("s1", "s2").agg(F.min(F.struct("at", "n", "bands")).alias("x")).select("s1", "s2", "x.*")
     sets = written(sets.withColumn("id", F.monotonically_increasing_id()), "simhash-sets")
     banded = written(sets.select("id", "n", F.explode("bands").alias("band")), "simhash-bands")
     fits = lambda a, b: F.least(a, b) >= F.lit(similarity) * F.greatest(a, b) - 1e-9
     heads = banded.groupBy("band").agg(F.min(F.struct("id", "n")).alias("head"), F.count("*").alias("size")).where("size > 1")
     star = banded.join(heads, "band").where(F.col("id") > F.col("head.id")).where(fits(F.col("n"), F.col("head.n")))
-    star = written(star.select(F.col("head.id").alias("a"), F.col("id").alias("b")).distinct(), "simhash-pairs")
+    star = star.select(F.col("head.id").alias("a"), F.col("id").alias("b")).union(linked_sets(rows, sets))
+    star = written(star.distinct(), "simhash-pairs")
     edges = similar(star, sets, docs, width, similarity)
     placed = banded.join(components(edges).withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     placed = written(placed, "simhash-placed")

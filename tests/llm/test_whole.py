@@ -6,6 +6,7 @@ import time
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from helixtable.llm import html, lines, mixing, pii, simhash, toxicity
 
@@ -15,6 +16,13 @@ def jaccard(a, b):
     return len(a & b) / len(a | b) if a | b else 1.0
 
 
+def test_fingerprints_give_candidates_of_the_deduplication(spark):
+    """Sets whose fingerprints the tree connects meet the first of their group, whatever their minimum hashes."""
+    rows = spark.createDataFrame([(1, 1, 0b0), (2, 2, 0b11), (3, 3, 0b1111), (4, 4, -1), (5, 5, 1 << 40), (1, 1, 7 << 50), (6, 6, (7 << 50) + 1)], "s1 long, s2 long, fp long")
+    sets = rows.select(F.col("s1").alias("id"), "s1", "s2").distinct()
+    assert sorted(map(tuple, simhash.linked_sets(rows, sets).collect())) == [(1, 2), (1, 3), (1, 5), (1, 6)]
+
+
 def test_near_duplicates_from_similarity_08(spark):
     """Texts at Jaccard 0.8 to 1 to another go, as by brute force; texts below it stay."""
     rng, texts = random.Random(1), []
