@@ -15,17 +15,15 @@ from helixtable.operators.kernels import BASE, NEG, TEC, Profile, Specials, _mov
 
 #: Cells (pairs x residues, pairs x model positions) of a batch; what is larger is a batch of its own.
 CELLS = 1 << 20
-#: Pairs of a batch at most: their match, insert and delete values stay in cache.
-ROWS = 256
-#: Model positions that a deletion scan takes at a time, so that powers of its factor stay in range.
-SCAN = 128
+#: Pairs of a batch at most: their match, insert and delete values stay in cache. Those of programmes that keep a few numbers a pair.
+ROWS, NARROW_ROWS = 512, 4096
 
 
-def cut(lengths: np.ndarray) -> list[np.ndarray]:
-    """Indices of the pairs in batches, longest target first, of CELLS cells or one pair."""
+def cut(lengths: np.ndarray, rows: int = ROWS) -> list[np.ndarray]:
+    """Indices of the pairs in batches, longest target first, of CELLS cells or one pair, and `rows` pairs at most."""
     out, order, at = [], np.argsort(-lengths, kind="stable"), 0
     while at < len(order):
-        size = min(ROWS, max(1, CELLS // max(1, int(lengths[order[at]]))))
+        size = min(rows, max(1, CELLS // max(1, int(lengths[order[at]]))))
         out.append(order[at : at + size])
         at += size
     return out
@@ -51,30 +49,49 @@ def stacked(ps: list[Profile], rows, fill: float, dtype) -> tuple[np.ndarray, np
     return out, which
 
 
+def tabled(ps: list[Profile], rows, fill: float, dtype) -> tuple[np.ndarray, np.ndarray]:
+    """As `stacked`, in one table (profiles and codes x positions), with each pair's first row: a code's row comes that much later."""
+    tables, which = stacked(ps, rows, fill, dtype)
+    return np.ascontiguousarray(tables.reshape(-1, tables.shape[2])), which * tables.shape[1]
+
+
 def multi_segments(ps: list[Profile], codes: list[np.ndarray], tjb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Whether each pair's multi-segment filter overflows, and its best state value where not."""
     grid, running = padded(codes)
-    gains, which = stacked(ps, lambda p: p.gains, -10_000, np.int16)
+    gains, which = tabled(ps, lambda p: p.gains, -10_000, np.int16)
     bias = np.array([p.bias for p in ps], np.int16)
     step = tjb.astype(np.int16) + np.array([p.tbm for p in ps], np.int16)
-    n = len(codes)
+    n, width = len(codes), gains.shape[1]
     over, xj, xb = np.zeros(n, bool), np.zeros(n, np.int16), np.maximum(0, BASE - step).astype(np.int16)
-    row, score = np.zeros((n, gains.shape[2] + 1), np.int16), np.zeros((n, gains.shape[2]), np.int16)
+    # model positions lie along the first axis, pairs along the second; a maximum of two whole arrays is vectorised
+    row, zero = np.zeros((width + 1, n), np.int16), np.zeros((width, n), np.int16)
     ceiling = (255 - bias).astype(np.int16)
     for c, a in zip(grid, running, strict=True):
-        s = score[:a]
-        np.maximum(row[:a, :-1], xb[:a, None], out=s)
-        np.minimum(s, ceiling[:a, None], out=s)
-        s += gains[which[:a], c[:a]]
-        np.maximum(s, 0, out=s)
-        row[:a, 1:] = s
-        xe = s.max(axis=1)
+        s = np.maximum(row[:-1, :a], xb[:a])
+        np.minimum(s, ceiling[:a], out=s)
+        s += gains[which[:a] + c[:a]].T
+        np.maximum(s, zero[:, :a], out=row[1:, :a])
+        s = row[1:, :a]
+        xe = s.max(axis=0)
         over[:a] |= xe >= ceiling[:a]
         np.maximum(xj[:a], xe - TEC, out=xj[:a])
         xb[:a] = np.maximum(0, np.maximum(BASE, xj[:a]) - step[:a])
     return over, xj
 
 
+def single_segments(ps: list[Profile], gains: np.ndarray, tjb: np.ndarray) -> np.ndarray:
+    """What `multi_segments` has as each pair's best state value, by its single-segment gain, where that settles it; -1 elsewhere.
+
+    A second segment may begin better than the first only when a first one ends above BASE. Until then every place is the
+    constant begin plus the best sum of its diagonal.
+    """
+    step = tjb.astype(int) + np.array([p.tbm for p in ps], int)
+    begin, bias = BASE - step, np.array([p.bias for p in ps], int)
+    end = begin + gains
+    settled = (gains > 0) & (begin >= 0) & (end - TEC <= BASE) & (end < 255 - bias)
+    return np.where(settled, np.maximum(0, end - TEC), -1)
+
+
 def bias_scores(ps: list[Profile], codes: list[np.ndarray]) -> np.ndarray:
     """Log-probabilities of the targets under the two-state model of background and each profile's composition."""
     grid, running = padded(codes)
@@ -101,33 +118,37 @@ def viterbis(ps: list[Profile], codes: list[np.ndarray], loops: float = 1.0) ->
     """Log-odds of the best multi-segment alignment of each pair."""
     grid, running = padded(codes)
     size, p = len(codes), ps[0]
-    emit, which = stacked(ps, lambda q: np.log(q.odds), NEG, np.float64)
-    width, m_of = emit.shape[2], np.array([q.m for q in ps])
-    ends = np.where(np.arange(width) == m_of[:, None] - 1, NEG, 0.0)  # the last position has no insert state
+    emit, which = tabled(ps, lambda q: np.log(q.odds), NEG, np.float64)
+    width = emit.shape[1]
     move, loop = map(np.log, _moves(np.array([len(c) for c in codes], dtype=float), loops))
     e_j, e_c = (np.log(0.5), np.log(0.5)) if loops else (NEG, 0.0)
     mm, mi, md = np.log(1 - p.to_insert - p.to_delete), np.log(p.to_insert), np.log(p.to_delete)
     im, ii, dm, dd = np.log(1 - p.insert_again), np.log(p.insert_again), np.log(1 - p.delete_again), np.log(p.delete_again)
-    entry, slope = np.log(np.array([q.entry for q in ps])), dd * np.arange(width)
-    match, insert, delete = (np.full((size, width), NEG) for _ in range(3))
+    entry, slope = np.log(np.array([q.entry for q in ps])), (dd * np.arange(width))[:, None]
+    # model positions lie along the first axis, pairs along the second. Inserts are kept with their way out, deletions less their
+    # slope, so that a running maximum chains them; a deletion that ends a model is below the match that it left, and an insert
+    # there is followed by nothing
+    match, insert, delete, best, other = (np.full((width, size), NEG) for _ in range(5))
+    into, out_of = (np.repeat(x, size, axis=1) for x in (md - slope[1:], dm + slope[:-1]))
     xn, xj, xc = np.zeros(size), np.full(size, NEG), np.full(size, NEG)
-    xb, pairs = xn + move, np.arange(size)
+    xb = xn + move
     for c, a in zip(grid, running, strict=True):
-        m, i, d = match[:a], insert[:a], delete[:a]
-        best = np.empty((a, width))
-        best[:, 0] = NEG
-        np.maximum(m[:, :-1] + mm, i[:, :-1] + im, out=best[:, 1:])
-        np.maximum(best[:, 1:], d[:, :-1] + dm, out=best[:, 1:])
-        np.maximum(best, (xb[:a] + entry[:a])[:, None], out=best)
-        np.maximum(m + mi, i + ii, out=i)
-        i += ends[:a]
-        np.add(best, emit[which[:a], c[:a]], out=m)
-        d[:, 0] = NEG
-        d[:, 1:] = m[:, :-1] + md
-        d -= slope
-        np.maximum.accumulate(d, axis=1, out=d)
-        d += slope
-        xe = np.maximum(m.max(axis=1), d[pairs[:a], m_of[:a] - 1])
+        m, i, d, to, x = (y[:, :a] for y in (match, insert, delete, best, other))
+        np.add(m[:-1], mm, out=to[1:])
+        np.maximum(to[1:], i[:-1], out=to[1:])
+        np.add(d[:-1], out_of[:, :a], out=x[1:])
+        np.maximum(to[1:], x[1:], out=to[1:])
+        to[0] = NEG
+        np.maximum(to, xb[:a] + entry[:a], out=to)
+        np.add(m, mi + im, out=x)
+        i += ii
+        np.maximum(i, x, out=i)
+        np.add(to, emit[which[:a] + c[:a]].T, out=m)
+        np.add(m[:-1], into[:, :a], out=d[1:])
+        lines = list(d)
+        for y, z in zip(lines[1:], lines[2:], strict=False):  # numpy's running maximum along this axis is not vectorised
+            np.maximum(y, z, out=z)
+        xe = m.max(axis=0)
         xj[:a], xc[:a] = np.maximum(xj[:a] + loop[:a], xe + e_j), np.maximum(xc[:a] + loop[:a], xe + e_c)
         xn[:a] += loop[:a]
         xb[:a] = np.maximum(xn[:a], xj[:a]) + move[:a]
@@ -146,7 +167,7 @@ def forwards(ps: list[Profile], codes: list[np.ndarray], loops: float = 1.0) ->
     e_j, e_c = (0.5, 0.5) if loops else (0.0, 1.0)
     mm, mi, md = 1 - p.to_insert - p.to_delete, p.to_insert, p.to_delete
     im, ii, dm, dd = 1 - p.insert_again, p.insert_again, 1 - p.delete_again, p.delete_again
-    entry, powers, pairs = np.array([q.entry for q in ps]), dd ** np.arange(min(SCAN, width))[:, None], np.arange(size)
+    entry, pairs = np.array([q.entry for q in ps]), np.arange(size)
     # states lie along the first axis, pairs along the second: the deletion scan walks whole rows
     match, insert, delete = (np.zeros((width, size)) for _ in range(3))
     rows, scale = np.zeros((len(grid) + 1, size, 5)), np.zeros((len(grid) + 1, size))
@@ -163,13 +184,9 @@ def forwards(ps: list[Profile], codes: list[np.ndarray], loops: float = 1.0) ->
         m[:] = new
         d[0] = 0
         d[1:] = new[:-1] * md
-        for s in range(0, width, SCAN):
-            part = d[s : s + SCAN]
-            if s:
-                part[0] += dd * d[s - 1]
-            part /= powers[: len(part)]
-            np.cumsum(part, axis=0, out=part)
-            part *= powers[: len(part)]
+        lines = list(d)
+        for y, z in zip(lines, lines[1:], strict=False):  # numpy's sums along this axis are not vectorised
+            z += y * dd
         xe = m.sum(axis=0) + d[m_of[:a] - 1, pairs[:a]]
         xj[:a], xc[:a] = xj[:a] * loop[:a] + xe * e_j, xc[:a] * loop[:a] + xe * e_c
         xn[:a] *= loop[:a]

@@ -71,11 +71,12 @@ class Profile:
         return 2.0 / (self.m * (self.m + 1))
 
 
-def segment_gains(profiles: list[Profile], residues: np.ndarray, starts: np.ndarray, slice_: int = 1 << 15) -> np.ndarray:
+def segment_gains(profiles: list[Profile], residues: np.ndarray, starts: np.ndarray, slice_: int = 1 << 15, narrow: bool = True) -> np.ndarray:
     """(targets, profiles) best ungapped diagonal gain, 0 at least. residues: targets end to end, each ended by a code of 255.
 
     Model positions are walked in turn; a step is one vector operation over all target positions, in pieces that stay in
-    cache. Positions of equal gains, of any profile, share one row of gains looked up for the piece's residues.
+    cache. Positions of equal gains, of any profile, share one row of gains looked up for the piece's residues. Sums are
+    bytes; a pair whose sum came so near to their end that the next one might not fit is walked again in 16 bits.
     """
     best = np.zeros((len(starts), len(profiles)), dtype=np.int32)
     kinds: dict[bytes, int] = {}
@@ -83,6 +84,9 @@ def segment_gains(profiles: list[Profile], residues: np.ndarray, starts: np.ndar
     tables = np.full((len(kinds), len(SYMBOLS) + 1), -10_000, np.int16)  # the last column ends a target
     for key, at in kinds.items():
         tables[at, :-1] = np.frombuffer(key, np.int16)
+    most = max(1, int(tables.max(initial=0)))
+    if narrow := narrow and most <= 63 and int(tables[:, :-1].min(initial=0)) >= -128:
+        tables = np.maximum(tables, -128).astype(np.int8)
     cuts = [0]
     for s in starts[1:]:
         if s - cuts[-1] >= slice_:
@@ -95,7 +99,8 @@ def segment_gains(profiles: list[Profile], residues: np.ndarray, starts: np.ndar
         codes = residues[low:high]
         safe = np.where(codes == 255, len(SYMBOLS), codes)
         looked_up: dict[int, np.ndarray] = {}
-        run, new, top = (np.empty(high - low, dtype=np.int16) for _ in range(3))
+        run, new, top = (np.empty(high - low, dtype=tables.dtype) for _ in range(3))
+        zero = np.zeros(high - low, dtype=tables.dtype)  # a maximum of two arrays is vectorised, one of an array and a number is not
         for n, p in enumerate(rows):
             run[:] = 0
             top[:] = 0
@@ -105,11 +110,17 @@ def segment_gains(profiles: list[Profile], residues: np.ndarray, starts: np.ndar
                     gains = looked_up[kind] = tables[kind][safe]
                 new[0] = gains[0]
                 np.add(run[:-1], gains[1:], out=new[1:])
-                np.maximum(new, 0, out=new)
+                np.maximum(new, zero, out=new)
                 np.maximum(top, new, out=top)
                 run, new = new, run
             best[own, n] = np.maximum.reduceat(top, starts[own] - low)
         looked_up.clear()
+    if narrow:
+        ends = np.append(starts[1:], len(residues))
+        for n in np.flatnonzero((best > 127 - most).any(axis=0)):
+            again = np.flatnonzero(best[:, n] > 127 - most)
+            parts = [residues[starts[k] : ends[k]] for k in again]
+            best[again, n] = segment_gains([profiles[n]], np.concatenate(parts), np.cumsum([0, *map(len, parts[:-1])]), slice_, False)[:, 0]
     return best
 
 
