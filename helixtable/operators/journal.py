@@ -86,10 +86,21 @@ def tree(packed: DataFrame, key: str, fan: int = FAN) -> DataFrame:
     return out.select(key, "level", "node", "hash")
 
 
-def read_back(packed: DataFrame, key: str) -> DataFrame:
-    """key, place, route of every pair: entries unpacked, spans opened (their pairs have the route SPAN)."""
-    d = packed.select(key, F.explode(F.arrays_zip("begins", "lengths", "routes")).alias("x"))
-    return d.select(key, F.explode(F.sequence(F.col("x.begins"), F.col("x.begins") + F.col("x.lengths") - 1)).alias("place"), F.col("x.routes").alias("route"))
+def read_back(packed: DataFrame, key: str, names: DataFrame | None = None, span: int = BLOCK * FAN) -> DataFrame:
+    """key, place, route of every pair: entries unpacked, spans opened (their pairs have the route SPAN).
+
+    names: place and one more column, which the pairs then have too. It meets the blocks by range, as an array of `span` names at
+    most, so that no row of a pair is shuffled.
+    """
+    if names is None:
+        d = packed.select(key, F.explode(F.arrays_zip("begins", "lengths", "routes")).alias("x"))
+        return d.select(key, F.explode(F.sequence(F.col("x.begins"), F.col("x.begins") + F.col("x.lengths") - 1)).alias("place"), F.col("x.routes").alias("route"))
+    name = next(c for c in names.columns if c != "place")
+    lists = names.groupBy(F.floor(F.col("place") / span).alias("range")).agg(F.array_sort(F.collect_list(F.struct("place", name))).alias("named_"))  # `span` at most
+    d = packed.select(key, "range", "begins", "lengths", "routes").join(lists, "range")
+    entry = lambda e: F.transform(F.slice("named_", (e.begins - F.col("range") * span + 1).cast("int"), e.lengths.cast("int")), lambda n: F.struct(n["place"].alias("place"), n[name].alias(name), e.routes.alias("route")))
+    pairs = F.flatten(F.transform(F.arrays_zip("begins", "lengths", "routes"), entry))
+    return d.select(key, F.explode(pairs).alias("x")).select(key, "x.*")
 
 
 def damaged(packed: DataFrame, key: str) -> DataFrame:

@@ -15,6 +15,7 @@ def _journal(spark, sf_dir):
     """The journal of the first filter: pairs that go on are exceptions, by status; rejected ones are in spans."""
     o = P.SearchOptions()
     profiles, targets = T.profile_table(read(spark, sf_dir, "benchmark")), T.targets(read(spark, sf_dir, "documents"))
+    targets = materialised(targets, "targets")  # residues are made once, not by each pass that ranks, scores or joins them
     chunks = P.loaded(profiles)
     kept = P.candidates(profiles, targets, chunks, o)
     places = materialised(J.numbered(targets.where("status = 'OK'"), "seq_ordinal", "length"), "places")
@@ -27,7 +28,7 @@ def _journal(spark, sf_dir):
 def journal_routes(spark, sf_dir):
     """The route of every pair, read back from the journal's blocks."""
     packed, places = _journal(spark, sf_dir)
-    return J.read_back(packed, "profile_ordinal").join(places.select("seq_ordinal", "place"), "place").select("profile_ordinal", "seq_ordinal", "route")
+    return J.read_back(packed, "profile_ordinal", places.select("seq_ordinal", "place")).select("profile_ordinal", "seq_ordinal", "route")
 
 
 _ENTRIES = f"""{_PAIRS},
