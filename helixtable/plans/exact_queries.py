@@ -10,7 +10,9 @@ from helixtable.functions import floats as X
 from helixtable.operators import facts as B
 from helixtable.operators import provenance as V
 from helixtable.operators import strict as J
-from helixtable.plans.queries import _PAIRS, _first_filter, query, read
+from helixtable.plans import search as P
+from helixtable.plans.queries import _PAIRS, query, read
+from helixtable.sources import tables as T
 
 UNITS = 4096  # units in the last place that another engine's P-value may be off
 
@@ -33,10 +35,15 @@ _UNIT = "pow(2.0::DOUBLE, floor(log2(p)) - 52)"
     count(*) FILTER ((greatest(0, p - {UNITS} * {_UNIT}) * 40 <= 10) = (least(1, p + {2 * UNITS} * {_UNIT}) * 40 <= 10)) AS stable_e FROM f WHERE p IS NOT NULL GROUP BY profile_ordinal""")
 def interval_calls(spark, sf_dir):
     """The first filter's own P-values, widened: how many calls by P and by E-value no value of the interval would change."""
-    d = _first_filter(spark, sf_dir).where("p IS NOT NULL")
+    profiles, targets = T.profile_table(read(spark, sf_dir, "benchmark")), T.targets(read(spark, sf_dir, "documents"))
+    chunks = P.loaded(profiles)
+    # a P-value follows from profile, length and gain: each is widened once, however many pairs have it
+    alike = P.segment_scores(chunks, targets).groupBy("profile_ordinal", "length", "gain").agg(F.count("*").alias("n"))
+    d = P.first_filter(alike, P.profile_constants(profiles, chunks), P.SearchOptions()).where("p IS NOT NULL")
     low, high = X.widened(F.col("p"), UNITS)
-    d = d.select("profile_ordinal", V.stable_evalue(low, high, F.lit(1.0), 0.02).alias("by_p"), V.stable_evalue(low, high, F.lit(40.0), 10.0).alias("by_e"))
-    return d.groupBy("profile_ordinal").agg(F.count("*").alias("pairs"), F.count_if("by_p").alias("stable"), F.count_if("by_e").alias("stable_e"))
+    d = d.select("profile_ordinal", "n", V.stable_evalue(low, high, F.lit(1.0), 0.02).alias("by_p"), V.stable_evalue(low, high, F.lit(40.0), 10.0).alias("by_e"))
+    of = lambda c: F.sum(F.when(F.col(c), F.col("n")).otherwise(0))
+    return d.groupBy("profile_ordinal").agg(F.sum("n").alias("pairs"), of("by_p").alias("stable"), of("by_e").alias("stable_e"))
 
 
 @query("""SELECT user_id, '$.log[' || (event_id % 2) || ']' AS path, event_type AS name, count(*) AS copies FROM events GROUP BY user_id, event_id % 2, event_type HAVING count(*) > 1""")
