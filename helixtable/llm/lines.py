@@ -25,11 +25,11 @@ from pyspark.sql import functions as F
 
 from helixtable.llm.common import WORD, forget, kept_by, marked, nested, text_of, written
 
-SIMILARITY, CLASSES, RARE, BUCKETS, HEADS = 0.8, 4, 10, 1 << 21, 4
+SIMILARITY, CLASSES, RARE, BUCKETS, HEADS, SIEVES = 0.8, 4, 10, 1 << 21, 4, 8
 SET = ("id", "n", "bits", "more")
 WIDE = (*SET, "bits2", "more2")  # with a second sketch, for sets that are met by pairs of frequent tokens
 PLACE = ("key", "tie", "line")  # of a line, in the order of lines
-PART, HASH_BITS, ZERO = 4096, 43, "!"  # buckets in a part of the counts; bits of a token's hash below its rarity; the first of the characters
+PART, HASH_BITS = 4096, 58  # buckets in a part of the counts; bits of a token's hash below its rarity
 
 
 def words(text: Column) -> Column:
@@ -38,8 +38,8 @@ def words(text: Column) -> Column:
 
 
 def hashes(line: Column) -> Column:
-    """The hashes of the distinct words of a line, in their own order."""
-    return F.sort_array(F.array_distinct(F.transform(words(line), lambda w: F.xxhash64(w))))
+    """The hashes of the distinct words of a line."""
+    return F.array_distinct(F.transform(words(line), lambda w: F.xxhash64(w)))
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -56,25 +56,25 @@ def bucket(h: Column) -> Column:
 
 
 def rarity(texts: DataFrame) -> DataFrame:
-    """One row, counts: for each bucket a character, by the binary logarithm of how often its words stand in the texts. BUCKETS bytes whatever the input."""
-    met = texts.select(F.explode(words(F.col("text"))).alias("w")).select(bucket(F.xxhash64("w")).alias("id")).groupBy("id").agg(F.floor(F.log2(F.count("*"))).cast("int").alias("k")).where("k > 0")
+    """One row, counts: for each bucket the binary logarithm of how often its words stand in the texts. BUCKETS bytes whatever the input."""
+    met = texts.select(F.explode(words(F.col("text"))).alias("w")).select(bucket(F.xxhash64("w")).alias("id")).groupBy("id").agg(F.floor(F.log2(F.count("*"))).cast("tinyint").alias("k")).where("k > 0")
     parts = met.groupBy(F.floor(F.col("id") / PART).alias("part")).agg(F.sort_array(F.collect_list(F.struct((F.col("id") % PART).cast("int").alias("at"), "k"))).alias("x"))  # PART at most
-    one = f"concat(repeat('{ZERO}', e.at - CASE WHEN i = 0 THEN 0 ELSE x[i - 1].at + 1 END), char({ord(ZERO)} + e.k))"
-    filled = F.expr(f"concat(array_join(transform(x, (e, i) -> {one}), ''), repeat('{ZERO}', {PART - 1} - x[size(x) - 1].at))")
+    one = "concat(array_repeat(0Y, e.at - CASE WHEN i = 0 THEN 0 ELSE x[i - 1].at + 1 END), array(e.k))"
+    filled = F.expr(f"concat(flatten(transform(x, (e, i) -> {one})), array_repeat(0Y, {PART - 1} - x[size(x) - 1].at))")
     rows = texts.sparkSession.range(BUCKETS // PART).select(F.col("id").alias("part")).join(parts, "part", "left")
-    rows = rows.select("part", F.coalesce(filled, F.repeat(F.lit(ZERO), F.lit(PART))).alias("x"))
-    whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part", "x"))), lambda r: r.x), "")
-    return written(rows.agg(whole.cast("binary").alias("counts")), "line-counts")
+    rows = rows.select("part", F.coalesce(filled, F.expr(f"array_repeat(0Y, {PART})")).alias("x"))
+    whole = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("part", "x"))), lambda r: r.x))
+    return written(rows.agg(whole.alias("counts")), "line-counts")
 
 
 def by_rarity(lines: DataFrame, counts: DataFrame) -> DataFrame:
     """lines with t, the tokens (h) rarest first: their bucket's logarithm above HASH_BITS bits of their hash; s1 and s2 are hashes of the
-    whole set. The counts are a scalar subquery, so they stand in no plan."""
-    rank = lambda h: (F.ascii(F.substring(F.col("counts"), bucket(h).cast("int") + 1, 1).cast("string")) - ord(ZERO)).cast("long")
+    whole set. The counts are a scalar subquery, so they stand in no plan. No token is NULL, or they would not be sorted as plain numbers."""
+    rank = lambda h: F.coalesce(F.col("counts")[bucket(h).cast("int")].cast("long"), F.lit(0).cast("long"))
     t = F.sort_array(F.transform("h", lambda h: F.shiftleft(rank(h), HASH_BITS).bitwiseOR(F.shiftrightunsigned(h, 64 - HASH_BITS))))
     # the counts must be named once only, or Spark lays them into each row
-    named = lines.select(*PLACE, F.xxhash64("h").alias("s1"), F.xxhash64(F.lit(1), "h").alias("s2"), "h", counts.scalar().alias("counts"))
-    return named.select(*PLACE, "s1", "s2", t.alias("t"))
+    named = lines.select(*PLACE, "h", counts.scalar().alias("counts")).select(*PLACE, t.alias("t"))
+    return named.select(*PLACE, F.xxhash64("t").alias("s1"), F.xxhash64(F.lit(1), "t").alias("s2"), "t")
 
 
 def keyed_sets(tokens: DataFrame, similarity: float) -> DataFrame:
@@ -87,14 +87,22 @@ def keyed_sets(tokens: DataFrame, similarity: float) -> DataFrame:
     # if a shared token is rare, so is the rarest one, which stands in the prefixes that hold one shared token; a token
     # that is alone in its bucket is in no other line
     singles = f"transform({prefix(1)}, x -> CASE WHEN x >= {1 << HASH_BITS}L AND ({rare} OR {least} <= 1) THEN x END)"
-    return tokens.withColumn("singles", F.expr(singles)).withColumn("frequent", F.expr(f"filter({prefix(CLASSES + 1)}, x -> NOT {rare})")).withColumn("few", F.expr(f"{least} <= {CLASSES}"))
+    d = tokens.withColumn("singles", F.expr(singles)).withColumn("frequent", F.expr(f"filter({prefix(CLASSES + 1)}, x -> NOT {rare})")).withColumn("few", F.expr(f"{least} <= {CLASSES}"))
+    # similar sets that share no rare token share `least` frequent ones, of which CLASSES + 1 stand here: a set that has fewer is met by rare tokens alone
+    return d.withColumn("frequent", F.expr(f"CASE WHEN size(frequent) >= greatest(2, least({CLASSES + 1}, {least})) THEN frequent ELSE array() END"))
 
 
 def paired(sets: DataFrame) -> DataFrame:
     """id, n, bits, more, key of the pairs of frequent tokens of one class; of all pairs where fewer than CLASSES + 1 tokens need be shared."""
     firsts = sets.where(F.size("frequent") > 1).select(*WIDE, "few", "frequent", F.posexplode("frequent").alias("i", "x"))
-    pairs = firsts.select(*WIDE, "few", "x", F.explode(F.expr("slice(frequent, i + 2, size(frequent))")).alias("y"))
-    return pairs.where(f"few OR (shiftright(x ^ y, 6) & {CLASSES - 1}L) = 0").select(*WIDE, F.xxhash64("x", "y").alias("key"))
+    own = f"filter(slice(frequent, i + 2, size(frequent)), y -> few OR (shiftright(x ^ y, 6) & {CLASSES - 1}L) = 0)"  # no row is made for a pair that is no key
+    return firsts.select(*WIDE, "x", F.explode(F.expr(own)).alias("y")).select(*WIDE, F.xxhash64("x", "y").alias("key"))
+
+
+def sieved(pair: DataFrame) -> DataFrame:
+    """id, sieve, key: SIEVES minimum hashes of a set's pairs, so many rows a set, however many pairs it has."""
+    least = F.array(*[F.min(F.xxhash64("key", F.lit(i))) for i in range(SIEVES)])
+    return pair.groupBy("id").agg(least.alias("m")).select("id", F.posexplode("m").alias("sieve", "key"))
 
 
 def parities(t: str, high: bool, shift: int = 0) -> Column:
@@ -107,10 +115,10 @@ APART = "(bit_count(bits_a ^ bits_b) + bit_count(more_a ^ more_b))"
 
 
 def fitting(similarity: float, positional: bool) -> Column:
-    """Whether sets a and b (n_a, n_b, bits_a, bits_b, more_a, more_b) can still be similar: by a common token, at pos_a and pos_b, or,
+    """Whether sets a and b (n_a, n_b, bits_a, bits_b, more_a, more_b) can still be similar: by their first common token, at pos_a and pos_b, or,
     where they are met by pairs of tokens, by a second sketch."""
     need = f"ceil({similarity / (1 + similarity)!r} * (n_a + n_b) - 1e-9)"
-    room = f" AND least(pos_a, pos_b) + least(n_a - pos_a, n_b - pos_b) >= {need}" if positional else ""
+    room = f" AND least(n_a - pos_a, n_b - pos_b) >= {need}" if positional else ""
     lengths = f"least(n_a, n_b) >= {similarity} * greatest(n_a, n_b) - 1e-9"
     more = room or f" AND bit_count(bits2_a ^ bits2_b) + bit_count(more2_a ^ more2_b) <= n_a + n_b - 2 * {need}"
     return F.expr(f"{lengths} AND {APART} <= n_a + n_b - 2 * {need}{more}")
@@ -150,7 +158,7 @@ def similar_sets(sets: DataFrame, firsts: DataFrame, texts: DataFrame, similarit
     """ids of the sets with an earlier similar set. sets: id (in the order of lines), n, bits, more, singles, frequent, few.
 
     Lists of single tokens are short and joined whole. By pairs, each set is first held against HEADS early sets, at most,
-    of each of its keys: that settles groups of near copies at the cost of their members. Then only the sets that this
+    of those that share one of SIEVES minimum hashes of its keys: that settles groups of near copies at the cost of their members. Then only the sets that this
     left are joined with all that are earlier. Of a set's candidates the one with the fewest differing bits is verified
     first, the others only if that one was not similar.
     """
@@ -158,8 +166,9 @@ def similar_sets(sets: DataFrame, firsts: DataFrame, texts: DataFrame, similarit
     pair = paired(sets)
     held = pair.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key")
     pair = written(pair.join(held, "key"), "line-pairs")  # what more than one set has
-    heads = pair.groupBy("key", F.pmod(F.xxhash64("id"), F.lit(HEADS)).alias("salt")).agg(F.min("id").alias("head")).select("key", "head")
-    star = pair.select("key", "id").join(heads, "key").where("head < id").select(F.col("head").alias("id_a"), F.col("id").alias("id_b")).distinct()
+    least = sieved(pair)
+    heads = least.groupBy("sieve", "key", F.pmod(F.xxhash64("id"), F.lit(HEADS)).alias("salt")).agg(F.min("id").alias("head")).drop("salt")
+    star = least.join(heads, ["sieve", "key"]).where("head < id").select(F.col("head").alias("id_a"), F.col("id").alias("id_b")).distinct()
     thin_a, thin_b = (sets.select(*[F.col(c).alias(f"{c}_{x}") for c in WIDE]) for x in "ab")
     star = star.join(thin_a, "id_a").join(thin_b, "id_b").where(fitting(similarity, False)).select("id_a", "id_b", F.expr(APART).alias("apart"))
     found = written(near.union(star), "line-found")
@@ -187,6 +196,8 @@ def removed_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     firsts = lines.groupBy("s1", "s2").agg(F.min(F.struct(*PLACE)).alias("at")).select("at.*", "s1", "s2")
     firsts = written(firsts.orderBy(*PLACE).withColumn("id", F.monotonically_increasing_id()), "line-firsts")  # ids grow as places do
     sets = written(lines.drop("s1", "s2").join(firsts.select("id", *PLACE), [*PLACE]).select(*WIDE, "singles", "frequent", "few"), "line-sets")
+    whole, lines = lines, written(lines.select(*PLACE, "s1", "s2"), "line-names")
+    forget(whole)
     late = similar_sets(sets, firsts, texts, similarity).withColumn("late", F.lit(True))
     ends = firsts.select("id", "s1", "s2", F.struct(*PLACE).alias("first")).join(late, "id", "left").drop("id")
     gone = lines.select(*PLACE, "s1", "s2").join(ends, ["s1", "s2"]).where(F.col("late").isNotNull() | (F.struct(*PLACE) > F.col("first")))

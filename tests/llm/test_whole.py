@@ -129,3 +129,20 @@ def test_long_texts_meet_the_budget():
     """Where all texts are longer than what is left, the nearest sum is taken, above or below."""
     rounds, took = mixing.fit(np.array([200_000]), np.array([10]), 130_000.0)
     assert rounds == 0 and took.tolist() == [1]
+
+
+def test_pairs_are_of_sets_that_rare_tokens_may_miss(spark):
+    """Fewer frequent tokens than similar sets without a shared rare one must share make no pairs; so many do."""
+    rows = [(i, sorted([(lines.RARE + 1) << lines.HASH_BITS | 64 * k for k in range(frequent)] + [1 << lines.HASH_BITS | 64 * k for k in range(20 - frequent)])) for i, frequent in ((4, 12), (5, 13))]
+    sets = lines.keyed_sets(spark.createDataFrame(rows, "id long, t array<long>").withColumn("n", F.size("t")), 0.8)
+    assert {r["id"]: len(r["frequent"]) for r in sets.collect()} == {4: 0, 5: 0}  # 9 rarest of 20: 8 and 7 rare ones, so 1 and 2 frequent
+    rows = [(i, [(lines.RARE + 1) << lines.HASH_BITS | 64 * k for k in range(n)]) for i, n in ((2, 2), (3, 3), (4, 20))]
+    sets = lines.keyed_sets(spark.createDataFrame(rows, "id long, t array<long>").withColumn("n", F.size("t")), 0.5)
+    assert {r["id"]: len(r["frequent"]) for r in sets.collect()} == {2: 2, 3: 3, 4: 15}
+
+
+def test_a_group_of_near_copies_costs_its_members(spark):
+    """However many pairs the sets of a group share, each shows SIEVES minimum hashes of them to the heads of the group."""
+    pair = spark.range(30).crossJoin(spark.range(200).select(F.col("id").alias("key")))
+    rows = lines.sieved(pair).groupBy("id").count().collect()
+    assert len(rows) == 30 and {r["count"] for r in rows} == {lines.SIEVES}
