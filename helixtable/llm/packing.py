@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from helixtable.llm.common import ranked, small_batches, text_of, written
 
 SIZE, END, GAP, PULL, REFRESH, ROUND, SEED = 2048, 1, 1e-3, 0.8, 64, 64, 42
+ROWS = 64  # of the driver's inverse that are worked on at once
 WORDS_KEPT = 250_000  # words a Python worker remembers the ids of, some 50 MB
 _tokenizers: dict[str, tuple] = {}  # of this process: vocabulary file, with the words met
 
@@ -223,10 +224,13 @@ def programme(lengths: np.ndarray, counts: np.ndarray, size: int, gap: float = G
         inverse[r] /= d[r]
         rows = np.flatnonzero(np.abs(d) > 1e-12)
         rows = rows[rows != r]
-        inverse[rows] -= d[rows, None] * inverse[r]
+        for part in range(0, len(rows), ROWS):
+            some = rows[part : part + ROWS]
+            inverse[some] -= d[some, None] * inverse[r]
         basis[r] = used
         pivots += 1
         if pivots % REFRESH == 0:
+            inverse = None  # its memory goes before the new one takes its own
             try:
                 inverse, amounts = fresh()
                 sound = list(basis), amounts

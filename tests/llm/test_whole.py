@@ -2,13 +2,14 @@
 
 import random
 import time
+import tracemalloc
 
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from helixtable.llm import html, lines, mixing, pii, simhash, toxicity
+from helixtable.llm import html, lines, mixing, packing, pii, simhash, toxicity
 
 
 def jaccard(a, b):
@@ -146,3 +147,18 @@ def test_a_group_of_near_copies_costs_its_members(spark):
     pair = spark.range(30).crossJoin(spark.range(200).select(F.col("id").alias("key")))
     rows = lines.sieved(pair).groupBy("id").count().collect()
     assert len(rows) == 30 and {r["count"] for r in rows} == {lines.SIEVES}
+
+
+def test_the_programme_holds_one_inverse(monkeypatch):
+    """Pivots and fresh starts of the packing's programme take no copies of its inverse beside the columns that it is made of."""
+    monkeypatch.setattr(packing, "REFRESH", 4)
+    lengths = np.arange(651, 1200)
+    counts, calls, price = np.random.default_rng(7).integers(20, 60, len(lengths)), [], packing.priced
+    monkeypatch.setattr(packing, "priced", lambda *a: calls.append(1) or price(*a))
+    tracemalloc.start()
+    packed = packing.programme(lengths, counts, 2048)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    made = sum(np.bincount(list(used), np.array(list(used.values())) * times, len(lengths)) for used, times in packed)
+    assert len(calls) > 8 and np.abs(made - counts).max() < 1e-3
+    assert peak < 2.7 * 8 * len(lengths) ** 2
