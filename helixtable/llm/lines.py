@@ -20,12 +20,12 @@ empty text; an empty table gives an empty result; `deduplicated` keeps other col
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixtable.llm.common import WORD, forget, kept_by, marked, nested, text_of, written
 
-SIMILARITY, CLASSES, RARE, BUCKETS, HEADS, SIEVES = 0.8, 4, 10, 1 << 21, 4, 8
+SIMILARITY, CLASSES, RARE, BUCKETS, HEADS, SIEVES, FIRST = 0.8, 4, 10, 1 << 21, 4, 8, 3
 SET = ("id", "n", "bits", "more")
 WIDE = (*SET, "bits2", "more2")  # with a second sketch, for sets that are met by pairs of frequent tokens
 PLACE = ("key", "tie", "line")  # of a line, in the order of lines
@@ -34,7 +34,9 @@ PART, HASH_BITS = 4096, 58  # buckets in a part of the counts; bits of a token's
 
 def words(text: Column) -> Column:
     """The words of a line or text in lower case, repeats included."""
-    return F.array_remove(F.split(F.lower(text), r"[\x20\x09-\x0D]+", -1), "")
+    for space in "\t\n\x0b\x0c\r":  # one plain character splits without a regular expression
+        text = F.replace(text, F.lit(space), F.lit(" "))
+    return F.array_remove(F.split(F.lower(text), " ", -1), "")
 
 
 def hashes(line: Column) -> Column:
@@ -114,24 +116,54 @@ def parities(t: str, high: bool, shift: int = 0) -> Column:
 APART = "(bit_count(bits_a ^ bits_b) + bit_count(more_a ^ more_b))"
 
 
-def fitting(similarity: float, positional: bool) -> Column:
-    """Whether sets a and b (n_a, n_b, bits_a, bits_b, more_a, more_b) can still be similar: by their first common token, at pos_a and pos_b, or,
-    where they are met by pairs of tokens, by a second sketch."""
+def fitting(similarity: float, met_by: str = "") -> Column:
+    """Whether sets a and b (n_a, n_b, bits_a, bits_b, more_a, more_b) can still be similar: where they are met by "tokens", also by their first
+    common token, at pos_a and pos_b, and where they are met by "pairs" of tokens, by a second sketch."""
     need = f"ceil({similarity / (1 + similarity)!r} * (n_a + n_b) - 1e-9)"
-    room = f" AND least(n_a - pos_a, n_b - pos_b) >= {need}" if positional else ""
     lengths = f"least(n_a, n_b) >= {similarity} * greatest(n_a, n_b) - 1e-9"
-    more = room or f" AND bit_count(bits2_a ^ bits2_b) + bit_count(more2_a ^ more2_b) <= n_a + n_b - 2 * {need}"
-    return F.expr(f"{lengths} AND {APART} <= n_a + n_b - 2 * {need}{more}")
+    more = {
+        "tokens": f" AND least(n_a - pos_a, n_b - pos_b) >= {need}",
+        "pairs": f" AND bit_count(bits2_a ^ bits2_b) + bit_count(more2_a ^ more2_b) <= n_a + n_b - 2 * {need}",
+    }
+    return F.expr(f"{lengths} AND {APART} <= n_a + n_b - 2 * {need}{more.get(met_by, '')}")
+
+
+def by_first_tokens(sets: DataFrame, similarity: float) -> DataFrame:
+    """id_a, id_b, apart: each set with the earliest set and the last one before it that have one of its FIRST rarest keys in their own,
+    if they can be similar. Two rows at most for each of these keys, however many sets are alike; a list is that of a rare token."""
+    first = F.slice(F.filter("singles", lambda x: x.isNotNull()), 1, FIRST)
+    list_ = Window.partitionBy("token").orderBy("id")
+    own = F.struct(*SET)
+    met = sets.select(*SET, F.explode(first).alias("token")).select(*SET, F.first(own).over(list_).alias("one"), F.lag(own).over(list_).alias("two")).where("two IS NOT NULL")
+    met = met.select(*SET, F.explode(F.array_distinct(F.array("one", "two"))).alias("a"))
+    met = met.select(*[F.col(f"a.{c}").alias(f"{c}_a") for c in SET], *[F.col(c).alias(f"{c}_b") for c in SET]).where("id_a < id_b")
+    return met.where(fitting(similarity)).select("id_a", "id_b", F.expr(APART).alias("apart"))
+
+
+def by_pairs(pair: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """id_a, id_b, apart: each set with HEADS early sets, at most, of those that share one of SIEVES minimum hashes of its pairs, if they can be
+    similar. One row for each minimum hash, which has its early sets in an array, so that the same early set is met once."""
+    least = sieved(pair)
+    salt = F.pmod(F.xxhash64("id"), F.lit(HEADS))
+    heads = least.groupBy("sieve", "key").agg(*[F.min(F.when(salt == i, F.col("id"))).alias(f"h{i}") for i in range(HEADS)])
+    heads = heads.select("sieve", "key", F.array(*[f"h{i}" for i in range(HEADS)]).alias("heads"))
+    met = least.join(heads, ["sieve", "key"]).select("id", F.filter("heads", lambda h: h < F.col("id")).alias("heads")).where(F.size("heads") > 0)
+    star = met.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("heads"))).alias("heads")).select(F.explode("heads").alias("id_a"), F.col("id").alias("id_b"))
+    thin_a, thin_b = (sets.select(*[F.col(c).alias(f"{c}_{x}") for c in WIDE]) for x in "ab")
+    return star.join(thin_a, "id_a").join(thin_b, "id_b").where(fitting(similarity, "pairs")).select("id_a", "id_b", F.expr(APART).alias("apart"))
 
 
 def by_singles(sets: DataFrame, similarity: float) -> DataFrame:
-    """id_a, id_b (the later one), apart of the sets that share a rare token and can be similar. A set of no fewer tokens is looked for
-    among those of no more, of which a shorter prefix is enough: it can lack only as many tokens as the lengths allow."""
-    single = sets.select(*SET, F.posexplode("singles").alias("pos", "token")).where("token IS NOT NULL")
+    """id_a, id_b (the later one) of the sets that share a rare token and can be similar, if the later one is open. A set of no fewer tokens
+    is looked for among those of no more, of which a shorter prefix is enough: it can lack only as many tokens as the lengths allow."""
+    single = sets.select(*SET, "open", F.posexplode("singles").alias("pos", "token")).where("token IS NOT NULL")
     few = F.expr(f"pos < n - ceil({2 * similarity / (1 + similarity)!r} * n - 1e-9) + 1")
-    side = lambda d, x: d.select("token", *[F.col(c).alias(f"{c}_{x}") for c in (*SET, "pos")])
-    met = side(single.where(few), "a").join(side(single, "b"), "token").where("n_a <= n_b AND id_a <> id_b").where(fitting(similarity, True))
-    return met.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"), F.expr(APART).alias("apart"))
+    packed = F.expr("shiftleft(cast(n as long), 32) | shiftleft(cast(pos as long), 1) | cast(open as long)").alias("what")  # rows are many: one field less is a seventh
+    side = lambda d, x: d.select("token", "id", packed, "bits", "more").select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "what", "bits", "more")])
+    unpacked = [F.expr(e).alias(f"{c}_{x}") for x in "ab" for c, e in (("n", f"cast(shiftright(what_{x}, 32) as int)"), ("pos", f"cast(shiftright(what_{x}, 1) & 2147483647L as int)"))]
+    met = side(single.where(few), "a").join(side(single, "b"), "token").where("CASE WHEN id_a < id_b THEN what_b ELSE what_a END & 1L = 1L AND id_a <> id_b")
+    met = met.select("id_a", "id_b", "bits_a", "bits_b", "more_a", "more_b", *unpacked).where("n_a <= n_b").where(fitting(similarity, "tokens"))
+    return met.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"))
 
 
 def sides(left: DataFrame, right: DataFrame, on: str, *columns: str) -> DataFrame:
@@ -155,40 +187,37 @@ def verified(pairs: DataFrame, firsts: DataFrame, texts: DataFrame, similarity:
 
 
 def similar_sets(sets: DataFrame, firsts: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """ids of the sets with an earlier similar set. sets: id (in the order of lines), n, bits, more, singles, frequent, few.
+    """ids of the sets with an earlier similar set. sets: a written table of id (in the order of lines), n, bits, more, singles, frequent,
+    few, which goes when it is read for the last time.
 
-    Lists of single tokens are short and joined whole. By pairs, each set is first held against HEADS early sets, at most,
-    of those that share one of SIEVES minimum hashes of its keys: that settles groups of near copies at the cost of their members. Then only the sets that this
-    left are joined with all that are earlier. Of a set's candidates the one with the fewest differing bits is verified
-    first, the others only if that one was not similar.
+    Each set is first held against a few early sets that share one of its rarest tokens, or a minimum hash of its pairs; of these the one with
+    the fewest differing bits is verified. That settles groups of near copies at the cost of their members. Only the sets that this left
+    open are then joined with all that are earlier: by rare tokens, whose lists are short, and by pairs of frequent ones.
     """
-    near = written(by_singles(sets, similarity).distinct(), "line-near")
     pair = paired(sets)
     held = pair.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key")
     pair = written(pair.join(held, "key"), "line-pairs")  # what more than one set has
-    least = sieved(pair)
-    heads = least.groupBy("sieve", "key", F.pmod(F.xxhash64("id"), F.lit(HEADS)).alias("salt")).agg(F.min("id").alias("head")).drop("salt")
-    star = least.join(heads, ["sieve", "key"]).where("head < id").select(F.col("head").alias("id_a"), F.col("id").alias("id_b")).distinct()
-    thin_a, thin_b = (sets.select(*[F.col(c).alias(f"{c}_{x}") for c in WIDE]) for x in "ab")
-    star = star.join(thin_a, "id_a").join(thin_b, "id_b").where(fitting(similarity, False)).select("id_a", "id_b", F.expr(APART).alias("apart"))
-    found = written(near.union(star), "line-found")
-    forget(near)
+    found = by_first_tokens(sets, similarity).union(by_pairs(pair, sets, similarity))
     best = found.groupBy("id_b").agg(F.min(F.shiftleft(F.least("apart", F.lit(127)).cast("long"), 56).bitwiseOR(F.col("id_a"))).alias("x"))  # 56 bits hold an id
     best = written(best.select(F.col("x").bitwiseAND(F.lit((1 << 56) - 1)).alias("id_a"), "id_b"), "line-best")
     early = verified(best, firsts, texts, similarity)
-    unsettled = lambda rows, id_: rows.join(early.withColumnRenamed("id", id_), id_, "left_anti")
-    rest = sides(pair, unsettled(pair, "id"), "key", *WIDE).where(fitting(similarity, False)).select("id_a", "id_b")
-    rest = unsettled(found.select("id_a", "id_b"), "id_b").unionByName(rest).distinct()
-    rest = written(rest.join(best, ["id_a", "id_b"], "left_anti"), "line-rest")
+    open_ = sets.select(*SET, "singles").join(early.select("id", F.lit(False).alias("late")), "id", "left").withColumn("open", F.col("late").isNull()).drop("late")
+    open_ = written(open_, "line-open")
+    forget(sets)  # the largest table; nothing reads it any more
+    near = written(by_singles(open_, similarity).distinct(), "line-near")
+    forget(open_)
+    rest = sides(pair, pair.join(early, "id", "left_anti"), "key", *WIDE).where(fitting(similarity, "pairs")).select("id_a", "id_b")
+    rest = near.union(rest).distinct().join(best, ["id_a", "id_b"], "left_anti")
+    rest = written(rest, "line-rest")
     late = verified(rest, firsts, texts, similarity)
-    forget(pair, found, best, rest)
+    forget(pair, best, near, rest)
     return early.union(late).distinct()
 
 
 def removed_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """key, tie, removed (sorted line numbers) of the documents that lose lines."""
     texts = keyed(docs)
-    tokens = exploded(texts).select(*PLACE, hashes(F.col("content")).alias("h")).where(F.size("h") > 0)
+    tokens = exploded(texts).select(*PLACE, "content").where(F.col("content").rlike(WORD)).select(*PLACE, hashes(F.col("content")).alias("h"))  # a condition on h would hash twice
     rare_first = by_rarity(tokens, rarity(texts)).withColumn("n", F.size("t")).withColumn("bits", parities("t", False)).withColumn("more", parities("t", True))
     second = [F.when(F.size("frequent") > 1, parities("t", high, 7)).otherwise(F.lit(0).cast("long")).alias(c) for c, high in (("bits2", False), ("more2", True))]
     lines = keyed_sets(rare_first, similarity).select(*PLACE, "s1", "s2", *SET[1:], *second, "singles", "frequent", "few")
@@ -202,7 +231,7 @@ def removed_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     ends = firsts.select("id", "s1", "s2", F.struct(*PLACE).alias("first")).join(late, "id", "left").drop("id")
     gone = lines.select(*PLACE, "s1", "s2").join(ends, ["s1", "s2"]).where(F.col("late").isNotNull() | (F.struct(*PLACE) > F.col("first")))
     out = written(gone.groupBy("key", "tie").agg(F.array_sort(F.collect_set("line")).alias("removed")), "gone")
-    forget(sets, firsts, lines)
+    forget(firsts, lines)
     return out
 
 

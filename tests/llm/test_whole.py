@@ -162,3 +162,19 @@ def test_the_programme_holds_one_inverse(monkeypatch):
     made = sum(np.bincount(list(used), np.array(list(used.values())) * times, len(lengths)) for used, times in packed)
     assert len(calls) > 8 and np.abs(made - counts).max() < 1e-3
     assert peak < 2.7 * 8 * len(lengths) ** 2
+
+
+def test_a_group_of_near_copies_makes_no_pair_of_each_two(spark, monkeypatch):
+    """200 lines that share 40 words: as many candidates as lines, not 19,900, and all but the first line go."""
+    rows, sizes = [(i, " ".join([f"w{k}" for k in range(40)] + [f"x{i}", f"y{i}"])) for i in range(200)], {}
+    write = lines.written
+
+    def counted(df, name):
+        out = write(df, name)
+        sizes[name] = max(sizes.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(lines, "written", counted)
+    gone = lines.removed_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["key"] for r in gone} == set(range(1, 200))
+    assert {n: s for n, s in sizes.items() if n in ("line-near", "line-found", "line-rest") and s > 400} == {}
