@@ -131,10 +131,9 @@ def fitting(similarity: float, met_by: str = "") -> Column:
 def by_first_tokens(sets: DataFrame, similarity: float) -> DataFrame:
     """id_a, id_b, apart: each set with the earliest set and the last one before it that have one of its FIRST rarest keys in their own,
     if they can be similar. Two rows at most for each of these keys, however many sets are alike; a list is that of a rare token."""
-    first = F.slice(F.filter("singles", lambda x: x.isNotNull()), 1, FIRST)
     list_ = Window.partitionBy("token").orderBy("id")
     own = F.struct(*SET)
-    met = sets.select(*SET, F.explode(first).alias("token")).select(*SET, F.first(own).over(list_).alias("one"), F.lag(own).over(list_).alias("two")).where("two IS NOT NULL")
+    met = sets.select(*SET, F.explode("first").alias("token")).select(*SET, F.first(own).over(list_).alias("one"), F.lag(own).over(list_).alias("two")).where("two IS NOT NULL")
     met = met.select(*SET, F.explode(F.array_distinct(F.array("one", "two"))).alias("a"))
     met = met.select(*[F.col(f"a.{c}").alias(f"{c}_a") for c in SET], *[F.col(c).alias(f"{c}_b") for c in SET]).where("id_a < id_b")
     return met.where(fitting(similarity)).select("id_a", "id_b", F.expr(APART).alias("apart"))
@@ -186,9 +185,9 @@ def verified(pairs: DataFrame, firsts: DataFrame, texts: DataFrame, similarity:
     return out
 
 
-def similar_sets(sets: DataFrame, firsts: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """ids of the sets with an earlier similar set. sets: a written table of id (in the order of lines), n, bits, more, singles, frequent,
-    few, which goes when it is read for the last time.
+def similar_sets(sets: DataFrame, lines: DataFrame, firsts: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """ids of the sets with an earlier similar set. sets: id (in the order of lines), n, bits, more, first (the FIRST rarest
+    keys), frequent, few; lines: a line's place, n, bits, more, singles. Both are written tables that go when they are read for the last time.
 
     Each set is first held against a few early sets that share one of its rarest tokens, or a minimum hash of its pairs; of these the one with
     the fewest differing bits is verified. That settles groups of near copies at the cost of their members. Only the sets that this left
@@ -201,9 +200,10 @@ def similar_sets(sets: DataFrame, firsts: DataFrame, texts: DataFrame, similarit
     best = found.groupBy("id_b").agg(F.min(F.shiftleft(F.least("apart", F.lit(127)).cast("long"), 56).bitwiseOR(F.col("id_a"))).alias("x"))  # 56 bits hold an id
     best = written(best.select(F.col("x").bitwiseAND(F.lit((1 << 56) - 1)).alias("id_a"), "id_b"), "line-best")
     early = verified(best, firsts, texts, similarity)
-    open_ = sets.select(*SET, "singles").join(early.select("id", F.lit(False).alias("late")), "id", "left").withColumn("open", F.col("late").isNull()).drop("late")
+    marks = firsts.select("id", *PLACE).join(early.select("id", F.lit(False).alias("late")), "id", "left").select("id", *PLACE, F.col("late").isNull().alias("open"))
+    open_ = lines.select(*PLACE, *SET[1:], "singles").join(marks, [*PLACE]).select(*SET, "singles", "open")  # single tokens are many and move once
     open_ = written(open_, "line-open")
-    forget(sets)  # the largest table; nothing reads it any more
+    forget(sets, lines)  # the largest tables; nothing reads them any more
     near = written(by_singles(open_, similarity).distinct(), "line-near")
     forget(open_)
     rest = sides(pair, pair.join(early, "id", "left_anti"), "key", *WIDE).where(fitting(similarity, "pairs")).select("id_a", "id_b")
@@ -224,10 +224,11 @@ def removed_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     lines = written(lines, "lines")  # of a line's tokens only those that are keys; all of them cost more to write than to find again
     firsts = lines.groupBy("s1", "s2").agg(F.min(F.struct(*PLACE)).alias("at")).select("at.*", "s1", "s2")
     firsts = written(firsts.orderBy(*PLACE).withColumn("id", F.monotonically_increasing_id()), "line-firsts")  # ids grow as places do
-    sets = written(lines.drop("s1", "s2").join(firsts.select("id", *PLACE), [*PLACE]).select(*WIDE, "singles", "frequent", "few"), "line-sets")
+    first = F.slice(F.filter("singles", lambda x: x.isNotNull()), 1, FIRST).alias("first")
+    sets = lines.select(*PLACE, *WIDE[1:], first, "frequent", "few").join(firsts.select("id", *PLACE), [*PLACE])
+    sets = written(sets.select(*WIDE, "first", "frequent", "few"), "line-sets")
     whole, lines = lines, written(lines.select(*PLACE, "s1", "s2"), "line-names")
-    forget(whole)
-    late = similar_sets(sets, firsts, texts, similarity).withColumn("late", F.lit(True))
+    late = similar_sets(sets, whole, firsts, texts, similarity).withColumn("late", F.lit(True))
     ends = firsts.select("id", "s1", "s2", F.struct(*PLACE).alias("first")).join(late, "id", "left").drop("id")
     gone = lines.select(*PLACE, "s1", "s2").join(ends, ["s1", "s2"]).where(F.col("late").isNotNull() | (F.struct(*PLACE) > F.col("first")))
     out = written(gone.groupBy("key", "tie").agg(F.array_sort(F.collect_set("line")).alias("removed")), "gone")
