@@ -11,12 +11,16 @@ from __future__ import annotations
 import numpy as np
 
 from helixtable.functions.alphabet import BACKGROUND, SYMBOLS, expand
-from helixtable.operators.kernels import BASE, NEG, TEC, Profile, Specials, _moves
+from helixtable.operators.kernels import BASE, NEG, TEC, Domain, Profile, Specials, _moves, occupied, walked
 
 #: Cells (pairs x residues, pairs x model positions) of a batch; what is larger is a batch of its own.
 CELLS = 1 << 20
 #: Pairs of a batch at most: their match, insert and delete values stay in cache. Those of programmes that keep a few numbers a pair.
 ROWS, NARROW_ROWS = 512, 4096
+#: Up to so many model positions and running pairs, deletions are chained by a product of matrices rather than row by row.
+CHAINED, FEW = 128, 256
+#: Segments that are rescored at a time.
+DOMAINS = 128
 
 
 def cut(lengths: np.ndarray, rows: int = ROWS) -> list[np.ndarray]:
@@ -155,52 +159,168 @@ def viterbis(ps: list[Profile], codes: list[np.ndarray], loops: float = 1.0) ->
     return xc + move
 
 
-def forwards(ps: list[Profile], codes: list[np.ndarray], loops: float = 1.0) -> list[Specials]:
-    """Forward of each pair: specials by row, their log factors and the score."""
+def _chained(width: int, again: float) -> np.ndarray | None:
+    """The matrix that chains deletions: y[k] = x[k] + again y[k - 1]; none for long models, whose rows are walked."""
+    by = np.arange(width)[:, None] - np.arange(width)[None, :]
+    return np.where(by >= 0, again ** np.maximum(by, 0).astype(float), 0.0) if width <= CHAINED else None
+
+
+def forwards(ps: list[Profile], codes: list[np.ndarray], loops: float = 1.0, full: bool = False, lengths: np.ndarray | None = None) -> list[Specials]:
+    """Forward of each pair: specials by row, their log factors and the score. full: match and insert values by row too.
+    lengths: of the whole targets, for the length model of isolated segments."""
     grid, running = padded(codes)
     size, p = len(codes), ps[0]
-    odds, which = stacked(ps, lambda q: q.odds, 0.0, np.float64)
-    width, m_of = odds.shape[2], np.array([q.m for q in ps])
+    odds, which = tabled(ps, lambda q: q.odds, 0.0, np.float64)
+    width, m_of = odds.shape[1], np.array([q.m for q in ps])
     ends = (np.arange(width)[:, None] != m_of - 1).astype(float)
-    lengths = np.array([len(c) for c in codes])
-    move, loop = _moves(lengths.astype(float), loops)
+    sizes = np.array([len(c) for c in codes])
+    move, loop = _moves((sizes if lengths is None else np.asarray(lengths)).astype(float), loops)
     e_j, e_c = (0.5, 0.5) if loops else (0.0, 1.0)
     mm, mi, md = 1 - p.to_insert - p.to_delete, p.to_insert, p.to_delete
     im, ii, dm, dd = 1 - p.insert_again, p.insert_again, 1 - p.delete_again, p.delete_again
-    entry, pairs = np.array([q.entry for q in ps]), np.arange(size)
+    entry, pairs, chain = np.array([q.entry for q in ps]), np.arange(size), _chained(width, dd)
     # states lie along the first axis, pairs along the second: the deletion scan walks whole rows
     match, insert, delete = (np.zeros((width, size)) for _ in range(3))
-    rows, scale = np.zeros((len(grid) + 1, size, 5)), np.zeros((len(grid) + 1, size))
+    rows, scale = np.zeros((len(grid) + 1, 5, size)), np.zeros((len(grid) + 1, size))
+    keep = [np.zeros((len(grid) + 1, width, size)) for _ in range(2)] if full else None
     xn, xj, xc, xb = np.ones(size), np.zeros(size), np.zeros(size), np.array(move)
-    rows[0] = np.stack([np.zeros(size), xn, xj, xb, xc], axis=1)
-    for i, (c, a) in enumerate(zip(grid, running, strict=True), 1):
-        m, n, d = match[:, :a], insert[:, :a], delete[:, :a]
-        new = np.broadcast_to(xb[:a] * entry[:a], (width, a)).copy()
-        new[1:] += m[:-1] * mm + n[:-1] * im + d[:-1] * dm
-        new *= odds[which[:a], c[:a]].T
-        n *= ii
-        n += m * mi
-        n *= ends[:, :a]
-        m[:] = new
-        d[0] = 0
-        d[1:] = new[:-1] * md
-        lines = list(d)
-        for y, z in zip(lines, lines[1:], strict=False):  # numpy's sums along this axis are not vectorised
-            z += y * dd
-        xe = m.sum(axis=0) + d[m_of[:a] - 1, pairs[:a]]
-        xj[:a], xc[:a] = xj[:a] * loop[:a] + xe * e_j, xc[:a] * loop[:a] + xe * e_c
-        xn[:a] *= loop[:a]
-        xb[:a] = (xn[:a] + xj[:a]) * move[:a]
-        top = np.maximum(np.maximum(xe, xn[:a]), np.maximum(xj[:a], xc[:a]))
-        off = np.flatnonzero((top > 1e4) | (top < 1e-4))
-        if len(off):
+    rows[0, 1], rows[0, 3] = xn, xb
+    before = size + 1
+    for i, (c, a) in enumerate(zip(grid, running.tolist(), strict=True), 1):
+        if a < before:  # pairs that have ended take no part any more
+            match, insert, delete, ends, before = match[:, :a].copy(), insert[:, :a].copy(), delete[:, :a].copy(), ends[:, :a], a
+            xn, xj, xc_, xb, loop_, move_, entry_, which_, last = xn[:a], xj[:a], xc[:a], xb[:a], loop[:a], move[:a], entry[:a], which[:a], m_of[:a] - 1
+        new = np.empty((width, a))
+        new[:] = xb * entry_
+        new[1:] += match[:-1] * mm + insert[:-1] * im + delete[:-1] * dm
+        new *= odds[which_ + c[:a]].T
+        insert *= ii
+        match *= mi
+        insert += match
+        insert *= ends
+        match = new
+        delete[0] = 0
+        np.multiply(new[:-1], md, out=delete[1:])
+        if chain is not None and a <= FEW:
+            delete = chain @ delete
+        else:
+            lines = list(delete)
+            for y, z in zip(lines, lines[1:], strict=False):  # numpy's sums along this axis are not vectorised
+                z += y * dd
+        xe = match.sum(axis=0) + delete[last, pairs[:a]]
+        xj = xj * loop_ + xe * e_j
+        xc_[:] = xc_ * loop_ + xe * e_c
+        xn = xn * loop_
+        xb = (xn + xj) * move_
+        top = np.maximum(np.maximum(xe, xn), np.maximum(xj, xc_))
+        if top.max() > 1e4 or top.min() < 1e-4:
+            off = np.flatnonzero((top > 1e4) | (top < 1e-4))
             by = top[off]
             for x in (match, insert, delete):
                 x[:, off] /= by
-            for x in (xe, xn, xj, xb, xc):
+            for x in (xe, xn, xj, xb, xc_):
                 x[off] /= by
             scale[i, off] = np.log(by)
-        rows[i, :a] = np.stack([xe, xn[:a], xj[:a], xb[:a], xc[:a]], axis=1)
+        for x, y in zip(rows[i], (xe, xn, xj, xb, xc_), strict=True):
+            x[:a] = y
+        if full:
+            keep[0][i, :, :a], keep[1][i, :, :a] = match, insert
     with np.errstate(divide="ignore"):
         total = np.log(xc * move)
-    return [Specials(rows[: n + 1, b], scale[: n + 1, b], float(total[b] + scale[: n + 1, b].sum()) if xc[b] > 0 else NEG) for b, n in enumerate(lengths)]
+    own = (lambda b, n, m: (keep[0][: n + 1, :m, b], keep[1][: n + 1, :m, b])) if full else (lambda b, n, m: (None, None))
+    return [Specials(rows[: n + 1, :, b], scale[: n + 1, b], float(total[b] + scale[: n + 1, b].sum()) if xc[b] > 0 else NEG, *own(b, n, m_of[b])) for b, n in enumerate(sizes)]
+
+
+def backwards(ps: list[Profile], codes: list[np.ndarray], loops: float = 1.0, full: bool = False, lengths: np.ndarray | None = None) -> list[Specials]:
+    """Backward of each pair, as `forwards`; targets are walked from their ends, so all begin at once."""
+    grid, running = padded([c[::-1] for c in codes])
+    size, p = len(codes), ps[0]
+    odds, which = tabled(ps, lambda q: q.odds, 0.0, np.float64)
+    width, m_of = odds.shape[1], np.array([q.m for q in ps])
+    inside = (np.arange(width)[:, None] < m_of).astype(float)
+    sizes = np.array([len(c) for c in codes])
+    move, loop = _moves((sizes if lengths is None else np.asarray(lengths)).astype(float), loops)
+    e_j, e_c = (0.5, 0.5) if loops else (0.0, 1.0)
+    mm, mi, md = 1 - p.to_insert - p.to_delete, p.to_insert, p.to_delete
+    im, ii, dm, dd = 1 - p.insert_again, p.insert_again, 1 - p.delete_again, p.delete_again
+    entry, pairs, chain = np.array([q.entry for q in ps]), np.arange(size), _chained(width, dd)
+    chain = None if chain is None else np.ascontiguousarray(chain.T)
+    match, insert = np.zeros((width, size)), np.zeros((width, size))
+    rows, scale = np.zeros((len(grid) + 1, 5, size)), np.zeros((len(grid) + 1, size))
+    keep = [np.zeros((len(grid) + 1, width, size)) for _ in range(2)] if full else None
+    xn, xj, xc = np.zeros(size), np.zeros(size), np.array(move)
+    before = size + 1
+    for s, a in enumerate([size, *running.tolist()]):
+        if a < before:
+            match, insert, inside, before = match[:, :a].copy(), insert[:, :a].copy(), inside[:, :a], a
+            xn, xj, xc, loop, move, entry, which, last = xn[:a], xj[:a], xc[:a], loop[:a], move[:a], entry[:a], which[:a], m_of[:a] - 1
+        if s:
+            emitted = match * odds[which + grid[s - 1, :a]].T  # what follows if the next residue is emitted by each match state
+            xb = emitted.sum(axis=0) * entry
+            xj, xc, xn = xj * loop + xb * move, xc * loop, xn * loop + xb * move
+        else:
+            emitted, xb = np.zeros((width, size)), np.zeros(size)
+        xe = xj * e_j + xc * e_c
+        follow = np.zeros((width, a))
+        follow[:-1] = emitted[1:]
+        delete = follow * dm
+        delete[last, pairs[:a]] += xe
+        if chain is not None and a <= FEW:
+            delete = chain @ delete
+        else:
+            lines = list(delete)[::-1]
+            for y, z in zip(lines, lines[1:], strict=False):
+                z += y * dd
+        match = follow * mm + insert * mi + xe
+        match[:-1] += delete[1:] * md
+        match *= inside
+        insert *= ii
+        insert += follow * im
+        most = match.max(axis=0)
+        top = np.maximum(np.maximum(np.maximum(xe, xn), np.maximum(xj, xc)), most)
+        if top.max() > 1e4 or top.min() < 1e-4:
+            off = np.flatnonzero((top > 1e4) | ((top > 0) & (top < 1e-4)))
+            by = top[off]
+            for x in (match, insert):
+                x[:, off] /= by
+            for x in (xe, xn, xj, xb, xc):
+                x[off] /= by
+            scale[s, off] = np.log(by)
+        for x, y in zip(rows[s], (xe, xn, xj, xb, xc), strict=True):
+            x[:a] = y
+        if full:
+            keep[0][s, :, :a], keep[1][s, :, :a] = match, insert
+    out = []
+    for b, n in enumerate(sizes):
+        own, factors = rows[n::-1, :, b], scale[n::-1, b]
+        kept = (keep[0][n::-1, : m_of[b], b], keep[1][n::-1, : m_of[b], b]) if full else (None, None)
+        out.append(Specials(own, factors, float(np.log(own[0, 1]) + factors.sum()) if own[0, 1] > 0 else NEG, *kept))
+    return out
+
+
+def rescored(ps: list[Profile], codes: list[np.ndarray], spans: list[tuple[int, int]]) -> list[Domain]:
+    """`kernels.rescored` of many segments, each with its profile, its whole target and its first and last residue."""
+    parts, out = [c[b - 1 : e] for c, (b, e) in zip(codes, spans, strict=True)], [None] * len(ps)
+    width = max((p.m for p in ps), default=1)
+    sizes = np.array([len(c) for c in parts], dtype=int)
+    for at in cut(sizes * width, DOMAINS):
+        own, part, whole = [ps[k] for k in at], [parts[k] for k in at], np.array([len(codes[k]) for k in at])
+        fs, bs = (run(own, part, 0.0, True, whole) for run in (forwards, backwards))
+        known = [occupied(p, c, f, b, int(n)) for p, c, f, b, n in zip(own, part, fs, bs, whole, strict=True)]
+        rows, width_ = int(sizes[at].max()) + 1, max(p.m for p in own)
+        match, insert, xn = np.zeros((rows, len(at), width_)), np.zeros((rows, len(at), width_)), np.zeros((rows, len(at), 1))
+        for k, (m, i, outside, _) in enumerate(known):
+            match[: len(m), k, : m.shape[1]], insert[: len(i), k, : i.shape[1]] = m, i
+            xn[1 : len(outside), k, 0] = np.cumsum(outside[1:])
+        gain_m, gain_i, gain_d = (np.full(match.shape, NEG) for _ in range(3))
+        for r in range(1, rows):
+            came = np.repeat(xn[r - 1], width_, axis=1)
+            np.maximum(came[:, 1:], np.maximum(np.maximum(gain_m[r - 1, :, :-1], gain_i[r - 1, :, :-1]), gain_d[r - 1, :, :-1]), out=came[:, 1:])
+            np.add(came, match[r], out=gain_m[r])
+            np.add(np.maximum(gain_m[r - 1], gain_i[r - 1]), insert[r], out=gain_i[r])
+            np.maximum.accumulate(gain_m[r, :, :-1], axis=1, out=gain_d[r, :, 1:])
+        for k, (i, p, f, b, (m, n, _, correction)) in enumerate(zip(at.tolist(), own, fs, bs, known, strict=True)):
+            to = sizes[i] + 1
+            accuracy, trace = walked(spans[i][0], m, n, xn[:to, k, 0], *(g[:to, k, : p.m] for g in (gain_m, gain_i, gain_d)))
+            out[i] = Domain(*spans[i], f.score, b.score, accuracy, correction, trace)
+    return out

@@ -71,7 +71,7 @@ class Profile:
         return 2.0 / (self.m * (self.m + 1))
 
 
-def segment_gains(profiles: list[Profile], residues: np.ndarray, starts: np.ndarray, slice_: int = 1 << 15, narrow: bool = True) -> np.ndarray:
+def segment_gains(profiles: list[Profile], residues: np.ndarray, starts: np.ndarray, slice_: int = 1 << 17, narrow: bool = True) -> np.ndarray:
     """(targets, profiles) best ungapped diagonal gain, 0 at least. residues: targets end to end, each ended by a code of 255.
 
     Model positions are walked in turn; a step is one vector operation over all target positions, in pieces that stay in
@@ -347,32 +347,41 @@ class Domain:
     trace: list[tuple[str, int, int, float]]  # state, model position, target position, posterior
 
 
-def rescored(p: Profile, codes: np.ndarray, begin: int, end: int) -> Domain:
-    """One segment on its own: Forward, Backward, decoding, composition correction, and its most accurate alignment."""
-    part = codes[begin - 1 : end]
-    n = len(part)
-    f, b = (run(p, part, 0.0, True, len(codes)) for run in (forward, backward))
-    loop = _moves(len(codes), 0.0)[1]
+def occupied(p: Profile, part: np.ndarray, f: Specials, b: Specials, whole: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Posteriors of match and insert states and of what is outside, by row, and the composition correction of an isolated segment."""
+    n, loop = len(part), _moves(whole, 0.0)[1]
     joint = np.exp(np.cumsum(f.scale) + np.cumsum(b.scale[::-1])[::-1] - f.score)
     match, insert = f.match * b.match * joint[:, None], f.insert * b.insert * joint[:, None]
     outside = 1 - posteriors(f, b, loop)[:, 2]
     use_m, use_i, use_x = match[1:].sum(axis=0) / n, insert[1:].sum(axis=0) / n, outside[1:].sum() / n
     null2 = expand(use_m @ p.odds[:, :CANONICAL] + use_i.sum() + use_x)
-    correction = float(np.log(null2[part]).sum())
+    return match, insert, outside, float(np.log(null2[part]).sum())
+
+
+def rescored(p: Profile, codes: np.ndarray, begin: int, end: int) -> Domain:
+    """One segment on its own: Forward, Backward, decoding, composition correction, and its most accurate alignment."""
+    part = codes[begin - 1 : end]
+    n = len(part)
+    f, b = (run(p, part, 0.0, True, len(codes)) for run in (forward, backward))
+    match, insert, outside, correction = occupied(p, part, f, b, len(codes))
     # most accurate alignment: the largest sum of posteriors, one path of M, I and D within the model
     gain_m = np.full((n + 1, p.m), NEG)
     gain_i = np.full((n + 1, p.m), NEG)
     gain_d = np.full((n + 1, p.m), NEG)
     xn = np.concatenate([[0.0], np.cumsum(outside[1:])])
-    exits = np.full(n + 1, NEG)
     shift = lambda a: np.concatenate([[NEG], a[:-1]])
     for i in range(1, n + 1):
         came = np.maximum(np.maximum(shift(gain_m[i - 1]), shift(gain_i[i - 1])), np.maximum(shift(gain_d[i - 1]), xn[i - 1]))
         gain_m[i] = came + match[i]
         gain_i[i] = np.maximum(gain_m[i - 1], gain_i[i - 1]) + insert[i]
         gain_d[i] = np.maximum.accumulate(shift(gain_m[i]))
-        exits[i] = gain_m[i].max()
-    tail = xn[n] - xn
+    accuracy, trace = walked(begin, match, insert, xn, gain_m, gain_i, gain_d)
+    return Domain(begin, end, f.score, b.score, accuracy, correction, trace)
+
+
+def walked(begin: int, match: np.ndarray, insert: np.ndarray, xn: np.ndarray, gain_m: np.ndarray, gain_i: np.ndarray, gain_d: np.ndarray) -> tuple[float, list[tuple[str, int, int, float]]]:
+    """The accuracy and the path of the best gains of an isolated segment."""
+    exits, tail = gain_m.max(axis=1), xn[-1] - xn
     stop = int((exits + tail).argmax())
     k, i, state, trace = int(gain_m[stop].argmax()), stop, "M", []
     while True:
@@ -392,4 +401,4 @@ def rescored(p: Profile, codes: np.ndarray, begin: int, end: int) -> Domain:
         if came_from == "B":
             break
         state = came_from
-    return Domain(begin, end, f.score, b.score, float((exits + tail)[stop]), correction, trace[::-1])
+    return float((exits + tail)[stop]), trace[::-1]

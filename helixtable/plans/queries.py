@@ -147,10 +147,10 @@ def seed_pairs(spark, sf_dir):
 # -- the search ----------------------------------------------------------------------
 
 
-def _searched(spark, sf_dir, **options):
+def _searched(spark, sf_dir, until="domains", **options):
     o = P.SearchOptions(**options)
-    targets = T.targets(read(spark, sf_dir, "documents"))
-    return P.search(T.profile_table(read(spark, sf_dir, "benchmark")), targets, o), o, targets
+    r = P.search(T.profile_table(read(spark, sf_dir, "benchmark")), T.targets(read(spark, sf_dir, "documents")), o, until)
+    return r, o, r.targets
 
 
 def _first_filter(spark, sf_dir):
@@ -238,14 +238,14 @@ def coarse_filter(spark, sf_dir):
 @query()
 def filter_scores(spark, sf_dir):
     """Candidates: multi-segment, bias and Viterbi scores, and the last filter passed."""
-    r, _, _ = _searched(spark, sf_dir)
+    r, _, _ = _searched(spark, sf_dir, "filters")
     return r.filtered.select("profile_ordinal", "seq_ordinal", "length", "msv_status", F.round("msv_bits", 6).alias("msv_bits"), F.round("bias_nats", 6).alias("bias_nats"), F.round("viterbi_bits", 6).alias("viterbi_bits"), "past")
 
 
 @query()
 def forward_regions(spark, sf_dir):
     """What passed Viterbi: Forward score, route and regions."""
-    r, _, _ = _searched(spark, sf_dir)
+    r, _, _ = _searched(spark, sf_dir, "regions")
     return r.continued.select("profile_ordinal", "seq_ordinal", F.round("forward_nats", 6).alias("forward_nats"), F.round("nexpected", 6).alias("nexpected"), "route", "regions")
 
 
@@ -275,7 +275,7 @@ def search_rows(spark, sf_dir):
 @query()
 def search_counters(spark, sf_dir):
     """Targets, residues and what passed each stage, by profile; rejected pairs count too."""
-    r, _, targets = _searched(spark, sf_dir)
+    r, _, targets = _searched(spark, sf_dir, "forward")
     size = targets.where("status = 'OK'").agg(F.count("*").alias("targets"), F.sum("length").alias("residues"))
     order = {"NONE": 0, "MSV": 1, "BIAS": 2, "VITERBI": 3}
     level = F.coalesce(*[F.when(F.col("past") == k, F.lit(v)) for k, v in order.items()])
@@ -288,7 +288,7 @@ def search_counters(spark, sf_dir):
 @query()
 def search_journal(spark, sf_dir):
     """Routes of the pairs that passed Viterbi partition them; one row a profile."""
-    r, _, _ = _searched(spark, sf_dir)
+    r, _, _ = _searched(spark, sf_dir, "regions")
     return R.route_partition(r.continued, "profile_ordinal", "route", ["F3_REJECT", "NO_REGIONS", "SIMPLE", "UNCERTAIN", "MULTIDOMAIN"])
 
 
