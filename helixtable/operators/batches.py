@@ -179,52 +179,56 @@ def forwards(ps: list[Profile], codes: list[np.ndarray], loops: float = 1.0, ful
     mm, mi, md = 1 - p.to_insert - p.to_delete, p.to_insert, p.to_delete
     im, ii, dm, dd = 1 - p.insert_again, p.insert_again, 1 - p.delete_again, p.delete_again
     entry, pairs, chain = np.array([q.entry for q in ps]), np.arange(size), _chained(width, dd)
+    # what leaves matches, directly and through deletions, for the next position, in one product
+    leaving = None if chain is None else mm * np.eye(width) + dm * md * np.vstack([np.zeros((1, width)), chain[:-1]])
     # states lie along the first axis, pairs along the second: the deletion scan walks whole rows
-    match, insert, delete = (np.zeros((width, size)) for _ in range(3))
+    match, insert, left = (np.zeros((width, size)) for _ in range(3))
     rows, scale = np.zeros((len(grid) + 1, 5, size)), np.zeros((len(grid) + 1, size))
     keep = [np.zeros((len(grid) + 1, width, size)) for _ in range(2)] if full else None
-    xn, xj, xc, xb = np.ones(size), np.zeros(size), np.zeros(size), np.array(move)
-    rows[0, 1], rows[0, 3] = xn, xb
+    rows[0, 1], rows[0, 3] = 1, move
     before = size + 1
     for i, (c, a) in enumerate(zip(grid, running.tolist(), strict=True), 1):
         if a < before:  # pairs that have ended take no part any more
-            match, insert, delete, ends, before = match[:, :a].copy(), insert[:, :a].copy(), delete[:, :a].copy(), ends[:, :a], a
-            xn, xj, xc_, xb, loop_, move_, entry_, which_, last = xn[:a], xj[:a], xc[:a], xb[:a], loop[:a], move[:a], entry[:a], which[:a], m_of[:a] - 1
-        new = np.empty((width, a))
-        new[:] = xb * entry_
-        new[1:] += match[:-1] * mm + insert[:-1] * im + delete[:-1] * dm
-        new *= odds[which_ + c[:a]].T
+            match, insert, left, before = match[:, :a].copy(), insert[:, :a].copy(), left[:, :a].copy(), a
+            loop_, move_, entry_, which_, own, last = loop[:a], move[:a], entry[:a], which[:a], pairs[:a], m_of[:a] - 1
+        last_row, row = rows[i - 1, :, :a], rows[i, :, :a]
+        new = odds[which_ + c[:a]].T
+        come = np.repeat((last_row[3] * entry_)[None, :], width, axis=0)
+        come[1:] += left[:-1]
+        come[1:] += insert[:-1] * im
+        new = np.multiply(new, come, out=come)
         insert *= ii
         match *= mi
         insert += match
-        insert *= ends
         match = new
-        delete[0] = 0
-        np.multiply(new[:-1], md, out=delete[1:])
-        if chain is not None and a <= FEW:
-            delete = chain @ delete
+        if leaving is not None and a <= FEW:
+            left = leaving @ match
+            out_of = (left[last, own] - mm * match[last, own]) / dm
         else:
+            delete = np.zeros((width, a))
+            np.multiply(match[:-1], md, out=delete[1:])
             lines = list(delete)
             for y, z in zip(lines, lines[1:], strict=False):  # numpy's sums along this axis are not vectorised
                 z += y * dd
-        xe = match.sum(axis=0) + delete[last, pairs[:a]]
-        xj = xj * loop_ + xe * e_j
-        xc_[:] = xc_ * loop_ + xe * e_c
-        xn = xn * loop_
-        xb = (xn + xj) * move_
-        top = np.maximum(np.maximum(xe, xn), np.maximum(xj, xc_))
+            out_of = delete[last, own]
+            left = match * mm
+            delete *= dm
+            left += delete
+        np.multiply(last_row, loop_, out=row)
+        np.add(match.sum(axis=0), out_of, out=row[0])
+        row[2] += row[0] * e_j
+        row[4] += row[0] * e_c
+        np.multiply(row[1] + row[2], move_, out=row[3])
+        top = row.max(axis=0)
         if top.max() > 1e4 or top.min() < 1e-4:
             off = np.flatnonzero((top > 1e4) | (top < 1e-4))
             by = top[off]
-            for x in (match, insert, delete):
+            for x in (match, insert, left, row):
                 x[:, off] /= by
-            for x in (xe, xn, xj, xb, xc_):
-                x[off] /= by
             scale[i, off] = np.log(by)
-        for x, y in zip(rows[i], (xe, xn, xj, xb, xc_), strict=True):
-            x[:a] = y
         if full:
-            keep[0][i, :, :a], keep[1][i, :, :a] = match, insert
+            keep[0][i, :, :a], keep[1][i, :, :a] = match, insert * ends[:, :a]
+    xc = rows[sizes, 4, pairs]
     with np.errstate(divide="ignore"):
         total = np.log(xc * move)
     own = (lambda b, n, m: (keep[0][: n + 1, :m, b], keep[1][: n + 1, :m, b])) if full else (lambda b, n, m: (None, None))

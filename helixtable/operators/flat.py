@@ -1,16 +1,17 @@
 """The filters of many (profile, target) pairs with the targets laid end to end: model positions are walked in turn, and
 a step is one operation on all residues of a piece, so Python's cost is per model position and not per residue.
 
-What begins a segment depends on the segments that ended before it. Each round takes that from the round before, the
-first from a model of one segment; the values of a round are below the final ones until nothing changes. Pairs that are
-not settled after ROUNDS go to the programmes of `batches`, residue by residue.
+What begins a segment depends on the segments that ended before it. The first round has one segment only. A path of more
+is no better unless each of its segments, taken alone, ends above a level that pays for the next one's begin; so further
+rounds walk only the window from the first to the last such end, and take what begins a segment from the round before,
+until nothing changes. Pairs that are not settled after ROUNDS go to the programmes of `batches`, residue by residue.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-from helixtable.functions.alphabet import BACKGROUND, SYMBOLS, expand
+from helixtable.functions.alphabet import SYMBOLS
 from helixtable.operators import batches as B
 from helixtable.operators.kernels import BASE, NEG, TEC, Profile, _moves
 
@@ -54,34 +55,60 @@ class Laid:
         """A value of each pair at all its cells."""
         return np.repeat(x, self.sizes)
 
-    def runs(self, x: np.ndarray, of: np.ndarray) -> list[np.ndarray]:
-        """The running maximum within the targets of some pairs."""
-        return [np.maximum.accumulate(x[self.starts[k] : self.starts[k] + self.sizes[k]]) for k in of]
+    def windows(self, x: np.ndarray, of: np.ndarray, level: np.ndarray) -> list[tuple[int, int, np.ndarray]]:
+        """(pair, first place, values from there to the last place) of where some pairs have values above their levels."""
+        out = []
+        for k, least in zip(of.tolist(), level.tolist(), strict=True):
+            own = x[self.starts[k] : self.starts[k] + self.sizes[k]]
+            above = np.flatnonzero(own > least)
+            out.append((k, int(above[0]), own[above[0] : above[-1] + 1].copy()))
+        return out
+
+
+def _again(open_: list[list], begins) -> list[list]:
+    """The windows [pair, first place, values, begins] whose begins, by their values, are not those of the last round."""
+    out = []
+    for k, first, values, last in open_:
+        now = begins(k, np.maximum.accumulate(values))
+        if last is None or not np.array_equal(now, last):
+            out.append([k, first, values, now])
+    return out
 
 
 def multi_segments(ps: list[Profile], codes: list[np.ndarray], tjb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """As `batches.multi_segments`, for pairs in any order."""
-    over, xj = np.zeros(len(ps), bool), np.zeros(len(ps), np.int64)
+    over, xj, tjb = np.zeros(len(ps), bool), np.zeros(len(ps), np.int64), np.asarray(tjb)
+    step = tjb.astype(np.int64) + np.array([p.tbm for p in ps], np.int64)
+    ceiling = 255 - np.array([p.bias for p in ps], np.int64)
+    begin = np.maximum(0, BASE - step)
+    # residues of a segment that ends above the level
+    least = (BASE + TEC - begin) // np.maximum(1, np.array([int(p.gains.max()) for p in ps], np.int64)) + 1
+
+    def ends_of(at: np.ndarray, targets: list[np.ndarray], begins) -> tuple[Laid, np.ndarray]:
+        lay = Laid([ps[k] for k in at], targets, lambda p: np.maximum(p.gains, -10_000), -10_000, np.int16)
+        ends = _segment_ends(lay, np.minimum(begins(lay), 255).astype(np.int16), lay.spread(ceiling[at]).astype(np.int16))
+        top = np.maximum.reduceat(ends, lay.starts).astype(np.int64)
+        over[at], xj[at] = over[at] | (top >= ceiling[at]), np.maximum(xj[at], top - TEC)
+        return lay, ends
+
+    open_: list[list] = []
     for at in pieces(ps, codes):
-        step = np.asarray(tjb)[at].astype(np.int64) + np.array([ps[k].tbm for k in at])
-        begin = None
-        for _ in range(ROUNDS):
-            lay = Laid([ps[k] for k in at], [codes[k] for k in at], lambda p: np.maximum(p.gains, -10_000), -10_000, np.int16)
-            ceiling = np.array([255 - ps[k].bias for k in at])
-            begin = lay.spread(np.maximum(0, BASE - step)) if begin is None else begin
-            ends = _segment_ends(lay, np.minimum(begin, 255).astype(np.int16), lay.spread(ceiling).astype(np.int16))
-            top = np.maximum.reduceat(ends, lay.starts).astype(np.int64)
-            over[at], xj[at] = top >= ceiling, np.maximum(0, top - TEC)
-            again = np.flatnonzero((top < ceiling) & (top - TEC > BASE))  # others begin every segment alike
-            new = [np.maximum(0, np.maximum(BASE, x.astype(np.int64) - TEC) - s) for x, s in zip(lay.runs(ends, again), step[again], strict=True)]
-            new = [(k, x) for k, x in zip(again, new, strict=True) if not np.array_equal(x, begin[lay.starts[k] : lay.starts[k] + lay.sizes[k]])]
-            if not new:
-                break
-            left = np.array([k for k, _ in new])
-            at, step, begin = at[left], step[left], np.concatenate([x for _, x in new])
-        else:
-            for part in B.cut(np.array([len(codes[k]) for k in at])):
-                over[at[part]], xj[at[part]] = B.multi_segments([ps[k] for k in at[part]], [codes[k] for k in at[part]], np.asarray(tjb)[at[part]])
+        lay, ends = ends_of(at, [codes[k] for k in at], lambda lay: lay.spread(begin[at]))  # noqa: B023
+        some = np.flatnonzero(~over[at] & (xj[at] > BASE))
+        open_ += [[int(at[k]), first, x.astype(np.int64), None] for k, first, x in lay.windows(ends, some, np.full(len(some), BASE + TEC)) if len(x) > least[at[k]]]
+    begins = lambda k, x: np.maximum(0, np.maximum(BASE, x - TEC) - step[k])
+    for _ in range(ROUNDS - 1):
+        open_ = _again(open_, begins)
+        targets = [codes[k][first : first + len(x) - 1] for k, first, x, _ in open_]
+        for part in pieces([ps[w[0]] for w in open_], targets):
+            at = np.array([open_[w][0] for w in part])
+            lay, ends = ends_of(at, [targets[w] for w in part], lambda lay: np.concatenate([open_[w][3] for w in part]))  # noqa: B023
+            for w, b, size in zip(part, lay.starts, lay.sizes, strict=True):
+                open_[w][2] = np.maximum(open_[w][2], ends[b : b + size])
+        open_ = [w for w in open_ if not over[w[0]]]
+    at = np.array([k for k, *_ in _again(open_, begins)], dtype=int)
+    for part in B.cut(np.array([len(codes[k]) for k in at])):
+        over[at[part]], xj[at[part]] = B.multi_segments([ps[k] for k in at[part]], [codes[k] for k in at[part]], tjb[at[part]])
     return over, xj
 
 
@@ -102,29 +129,39 @@ def _segment_ends(lay: Laid, begin: np.ndarray, ceiling: np.ndarray) -> np.ndarr
 
 def viterbis(ps: list[Profile], codes: list[np.ndarray]) -> np.ndarray:
     """As `batches.viterbis`, for pairs in any order and expected further segments of one."""
-    score = np.full(len(ps), NEG)
+    n, half = np.array([len(c) for c in codes], dtype=float), np.log(0.5)
+    move, loop = map(np.log, _moves(n, 1.0))
+    begin, score = move + np.log(np.array([p.entry for p in ps])), np.full(len(ps), NEG)
+    # residues of a segment that ends above the level
+    least = np.ceil((-half - begin) / (np.array([p.most for p in ps]) - loop))
+
+    def ends_of(at: np.ndarray, targets: list[np.ndarray], first: np.ndarray, more: np.ndarray | float) -> tuple[Laid, np.ndarray, np.ndarray]:
+        own = [ps[k] for k in at]
+        lay = Laid(own, targets, lambda p: p.emit, NEG, np.float64)
+        passed = (lay.place + lay.spread(first)) * lay.spread(loop[at])
+        ends = _alignment_ends(lay, own, passed + more + lay.spread(begin[at]))
+        ends -= passed
+        best = np.maximum.reduceat(ends, lay.starts) + half
+        score[at] = np.maximum(score[at], best + n[at] * loop[at] + move[at])
+        return lay, ends, best
+
+    open_: list[list] = []
     for at in pieces(ps, codes):
-        more = None
-        for _ in range(ROUNDS):
-            own, targets = [ps[k] for k in at], [codes[k] for k in at]
-            lay = Laid(own, targets, lambda p: np.log(p.odds), NEG, np.float64)
-            n = np.array([len(c) for c in targets], dtype=float)
-            move, loop = map(np.log, _moves(n, 1.0))
-            more = np.zeros(len(lay.place)) if more is None else more  # by how much a further segment begins better than a first one
-            passed = lay.place * lay.spread(loop)
-            ends = _alignment_ends(lay, own, passed + more + lay.spread(move + np.log([p.entry for p in own])))
-            ends -= passed
-            best = np.maximum.reduceat(ends, lay.starts) + np.log(0.5)
-            score[at] = best + n * loop + move
-            again = np.flatnonzero(best > 0)
-            new = [(k, np.maximum(0, x + np.log(0.5))) for k, x in zip(again, lay.runs(ends, again), strict=True)]
-            new = [(k, x) for k, x in new if not np.array_equal(x, more[lay.starts[k] : lay.starts[k] + lay.sizes[k]])]
-            if not new:
-                break
-            at, more = at[[k for k, _ in new]], np.concatenate([x for _, x in new])
-        else:
-            for part in B.cut(np.array([len(codes[k]) for k in at])):
-                score[at[part]] = B.viterbis([ps[k] for k in at[part]], [codes[k] for k in at[part]])
+        lay, ends, best = ends_of(at, [codes[k] for k in at], np.zeros(len(at), int), 0.0)
+        some = np.flatnonzero(best > 0)
+        open_ += [[int(at[k]), first, x, None] for k, first, x in lay.windows(ends, some, np.full(len(some), -half)) if len(x) > least[at[k]]]
+    begins = lambda k, x: np.maximum(0, x + half)  # noqa: E731 - by how much a further segment begins better than a first one
+    for _ in range(ROUNDS - 1):
+        open_ = _again(open_, begins)
+        targets = [codes[k][first : first + len(x) - 1] for k, first, x, _ in open_]
+        for part in pieces([ps[w[0]] for w in open_], targets):
+            at, first = (np.array([open_[w][c] for w in part]) for c in (0, 1))
+            lay, ends, _ = ends_of(at, [targets[w] for w in part], first, np.concatenate([open_[w][3] for w in part]))
+            for w, b, size in zip(part, lay.starts, lay.sizes, strict=True):
+                open_[w][2] = np.maximum(open_[w][2], ends[b : b + size])
+    at = np.array([k for k, *_ in _again(open_, begins)], dtype=int)
+    for part in B.cut(np.array([len(codes[k]) for k in at])):
+        score[at[part]] = B.viterbis([ps[k] for k in at[part]], [codes[k] for k in at[part]])
     return score
 
 
@@ -135,7 +172,7 @@ def _alignment_ends(lay: Laid, ps: list[Profile], entered: np.ndarray) -> np.nda
     im, ii, dm, dd = np.log(1 - p.insert_again), np.log(p.insert_again), np.log(1 - p.delete_again), np.log(p.delete_again)
     # an insert falls by ii a cell, so it is a running maximum less a ramp. Between targets the ramp falls so far that what
     # is carried over stays below what begins in the next one
-    most = np.maximum.reduceat(entered, lay.starts) + np.array([q.m for q in ps]) * float(np.log(max(q.odds.max() for q in ps)))
+    most = np.maximum.reduceat(entered, lay.starts) + np.array([q.m for q in ps]) * max(q.most for q in ps)
     gaps = np.concatenate([[0], np.ceil(np.maximum(0, most[:-1] - entered[lay.starts[1:]]) / -ii) + 8])
     ramp = ii * (np.arange(size) + np.repeat(np.cumsum(gaps), lay.sizes))
     out_of = ramp[1:] + (mi - ii + im)
@@ -176,7 +213,7 @@ def _bias(ps: list[Profile], codes: list[np.ndarray]) -> np.ndarray:
     at: dict[int, int] = {}
     which = np.array([at.setdefault(id(p), len(at)) for p in ps])
     own = {id(p): p for p in ps}
-    expected = np.stack([expand(own[k].composition / BACKGROUND) for k in at])
+    expected = np.stack([own[k].expected for k in at])
     n, m = np.array([len(c) for c in codes]), np.array([p.m for p in ps], dtype=float)
     p1, stay = n / (n + 1), m / (m + 1)
     # residues after the first, in blocks by pair; the last block of a pair is filled with steps that change nothing

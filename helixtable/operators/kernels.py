@@ -66,6 +66,22 @@ class Profile:
         """Mean emission probabilities of the 20 residues over the model's positions."""
         return (self.odds[:, :CANONICAL] * BACKGROUND).mean(axis=0)
 
+    @cached_property
+    def expected(self) -> np.ndarray:
+        """The composition's odds of all 29 codes."""
+        return expand(self.composition / BACKGROUND)
+
+    @cached_property
+    def emit(self) -> np.ndarray:
+        """(M, 29) logarithms of the match odds."""
+        with np.errstate(divide="ignore"):
+            return np.log(self.odds)
+
+    @cached_property
+    def most(self) -> float:
+        """The largest of them, 0 at least."""
+        return max(0.0, float(self.emit.max()))
+
     @property
     def entry(self) -> float:
         return 2.0 / (self.m * (self.m + 1))

@@ -16,6 +16,14 @@ from helixtable.functions.scores import LONGEST
 KNOWN = 1 << 20
 
 
+class _Residues(dict):
+    """Residues by word, each found when it is first asked for."""
+
+    def __missing__(self, word: bytes) -> str:
+        residue = self[word] = SYMBOLS[int.from_bytes(md5(word, usedforsecurity=False).digest()[:4], "big") % CANONICAL]
+        return residue
+
+
 def residues_of(text: Column) -> Column:
     """The letters of a text in upper case: every Latin letter is a symbol of the amino alphabet."""
     return F.upper(F.regexp_replace(F.coalesce(text, F.lit("")), "[^A-Za-z]", ""))
@@ -28,16 +36,13 @@ def words_as_residues(text: Column) -> Column:
     """
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        known: dict[bytes, str] = {}
+        known = _Residues()
         for texts in batches:
             out = []
             for t in texts:
-                words = t.encode().split()  # bytes: the six ASCII white-space characters only
                 if len(known) > KNOWN:
                     known.clear()
-                for w in set(words).difference(known):
-                    known[w] = SYMBOLS[int.from_bytes(md5(w, usedforsecurity=False).digest()[:4], "big") % CANONICAL]
-                out.append("".join([known[w] for w in words]))
+                out.append("".join(map(known.__getitem__, t.encode().split())))  # bytes: the six ASCII white-space characters only
             yield pd.Series(out, dtype=object)
 
     return F.pandas_udf(run, "string", F.PandasUDFType.SCALAR_ITER).asNondeterministic()(F.lower(F.coalesce(text, F.lit(""))))
