@@ -216,26 +216,28 @@ def _bias(ps: list[Profile], codes: list[np.ndarray]) -> np.ndarray:
     expected = np.stack([own[k].expected for k in at])
     n, m = np.array([len(c) for c in codes]), np.array([p.m for p in ps], dtype=float)
     p1, stay = n / (n + 1), m / (m + 1)
-    # residues after the first, in blocks by pair; the last block of a pair is filled with steps that change nothing
+    # residues after the first, in blocks by pair; only the last block of a pair may be shorter
     blocks = -(-(n - 1) // BLOCK)
     first = np.cumsum(blocks) - blocks
     total, of = int(blocks.sum()), np.repeat(np.arange(len(ps)), blocks)
-    odds, there = np.ones(total * BLOCK), np.zeros(total * BLOCK, bool)
-    if total:
-        place = np.arange((n - 1).sum()) - np.repeat(np.cumsum(n - 1) - (n - 1), n - 1) + np.repeat(first * BLOCK, n - 1)
-        odds[place], there[place] = expected[np.repeat(which, n - 1), np.concatenate([c[1:] for c in codes])], True
-    odds, there = np.ascontiguousarray(odds.reshape(total, BLOCK).T), there.reshape(total, BLOCK).sum(axis=1)
+    cells, there = np.zeros(total * BLOCK, np.uint8), np.full(total, BLOCK)
+    for at, size, x in zip((first * BLOCK).tolist(), (n - 1).tolist(), codes, strict=True):
+        cells[at : at + size] = x[1:]
+    there[(first + blocks - 1)[blocks > 0]] -= (blocks * BLOCK - (n - 1))[blocks > 0]
     a, b, c, d = p1[of], 1 - p1[of], (1 - stay)[of], stay[of]
     one, two = [np.ones(total), np.zeros(total)], [np.zeros(total), np.ones(total)]  # what a block makes of each state
     scale = np.zeros(total)
     by_size = np.argsort(-there, kind="stable")  # running blocks first
-    odds, a, b, c, d = odds[:, by_size], a[by_size], b[by_size], c[by_size], d[by_size]
+    cells = np.ascontiguousarray(cells.reshape(total, BLOCK)[by_size].T)
+    table, row = expected.ravel(), which[of][by_size] * expected.shape[1]
+    a, b, c, d = a[by_size], b[by_size], c[by_size], d[by_size]
     running = (there[by_size][None, :] > np.arange(BLOCK)[:, None]).sum(axis=1)
     for k, r in enumerate(running):
         if not r:
             break
+        odds = np.take(table, row[:r] + cells[k, :r], mode="clip")
         for x, y in (one, two):
-            x[:r], y[:r] = x[:r] * a[:r] + y[:r] * c[:r], (x[:r] * b[:r] + y[:r] * d[:r]) * odds[k, :r]
+            x[:r], y[:r] = x[:r] * a[:r] + y[:r] * c[:r], (x[:r] * b[:r] + y[:r] * d[:r]) * odds
         if k % 8 == 7:
             top = np.maximum(np.maximum(one[0], one[1]), np.maximum(two[0], two[1]))[:r]
             for x in (*one, *two):

@@ -334,8 +334,8 @@ def regions(track: np.ndarray, rt1: float = 0.25, rt2: float = 0.10, rt3: float
     """(begin, end, several segments) of each closed region, 1-based and inclusive; and how many comparisons fell within the guard."""
     out, begin, triggered, uncertain = [], None, False, 0
     near = lambda x, t: int(abs(x - t) <= guard) if guard else 0
-    for j in range(1, len(track)):
-        b, e, inside = track[j, 0] - track[j - 1, 0], track[j, 1] - track[j - 1, 1], track[j, 2]
+    moves = np.diff(track[:, :2], axis=0).tolist()
+    for j, ((b, e), inside) in enumerate(zip(moves, track[1:, 2].tolist(), strict=True), 1):
         if not triggered:
             uncertain += near(inside, rt1) + near(inside - b, rt2)
             if begin is None or inside - b < rt2:

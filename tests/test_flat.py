@@ -122,3 +122,17 @@ def test_pairs_that_wait_in_small_pools(spark, tables, monkeypatch):
     monkeypatch.setattr(P, "RESIDUES", 50)
     assert [k for part in P.portions(strings) for k in range(part.start, part.stop)] == list(range(len(strings)))
     assert P.portions(strings[:0]) == []
+
+
+def test_forward_batches_are_cut_within_bands_of_model_length(monkeypatch):
+    rng = np.random.default_rng(9)
+    ps = [K.Profile(k, "", "A" * int(m)) for k, m in enumerate(rng.integers(1, 60, 50))]
+    lengths = rng.integers(1, 500, 50)
+    of = np.sort(rng.permutation(50)[:40])
+    for band in (P.BAND, 10):
+        monkeypatch.setattr(P, "BAND", band)
+        parts = P.banded(ps, lengths, of)
+        assert sorted(np.concatenate(parts).tolist()) == of.tolist()
+        assert all((np.diff(lengths[x]) <= 0).all() for x in parts)
+    assert max(ps[k].m for k in parts[0]) <= min(ps[k].m for k in parts[-1])
+    assert sum(map(len, P.banded(ps, lengths, of[:0]))) == 0
